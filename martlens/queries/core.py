@@ -241,3 +241,233 @@ FROM q7b, nrm""", extra_ctes=Q7_CTES))
 def q7_festive_uplift(star, spark, sf_dir):
     """Q7 festive uplift per calendar day vs normal, periods + combined (A-29)."""
     return A.festive_uplift(star)
+
+
+# --- marts (A-20 ... A-22) -----------------------------------------------------------
+def _mart_sql(keys: list[str]) -> str:
+    cols = ", ".join(keys)
+    return O.with_star(f"""
+SELECT {cols}, COUNT(*) AS orders, CAST(SUM(net_before_tax) AS DOUBLE) AS revenue_net,
+       CAST(SUM(gross_bill_value) AS DOUBLE) AS revenue_gross, CAST(SUM(total_qty) AS BIGINT) AS units,
+       {O.safe_ratio('SUM(net_before_tax)', 'COUNT(*)')} AS aov
+FROM (SELECT f.*, s.store_name, s.city, s.region FROM fact_orders f JOIN dim_store s ON f.store_id = s.store_id) x
+GROUP BY {cols}""")
+
+
+@register("mart_store_month", _mart_sql(M.MART_KEYS["mart_store_month"]))
+def mart_store_month(star, spark, sf_dir):
+    """Store x month mart (A-20)."""
+    return M.mart_store_month(star)
+
+
+@register("mart_city_month", _mart_sql(M.MART_KEYS["mart_city_month"]))
+def mart_city_month(star, spark, sf_dir):
+    """City x month mart (A-21)."""
+    return M.mart_city_month(star)
+
+
+@register("mart_channel_month", _mart_sql(M.MART_KEYS["mart_channel_month"]))
+def mart_channel_month(star, spark, sf_dir):
+    """Channel x month mart (A-22)."""
+    return M.mart_channel_month(star)
+
+
+# --- metric query (A-01 ... A-11) ------------------------------------------------------
+ORDER_METRIC_SQL = {
+    "revenue": "CAST(COALESCE(SUM(net_before_tax), 0) AS DOUBLE)",
+    "revenue_with_tax": "CAST(COALESCE(SUM(net_revenue), 0) AS DOUBLE)",
+    "gross_revenue": "CAST(COALESCE(SUM(gross_bill_value), 0) AS DOUBLE)",
+    "discount": "CAST(COALESCE(SUM(discount_amount), 0) AS DOUBLE)",
+    "orders": "COUNT(order_id)",
+    "units": "CAST(COALESCE(SUM(total_qty), 0) AS BIGINT)",
+    "aov": O.safe_ratio("COALESCE(SUM(net_before_tax), 0)", "COUNT(order_id)"),
+    "units_per_order": O.safe_ratio("COALESCE(SUM(total_qty), 0)", "COUNT(order_id)"),
+}
+LINE_METRIC_SQL = {
+    "revenue": "CAST(COALESCE(SUM(line_net_value), 0) AS DOUBLE)",
+    "orders": "COUNT(DISTINCT order_id)",
+    "units": "CAST(COALESCE(SUM(quantity), 0) AS BIGINT)",
+    "aov": O.safe_ratio("COALESCE(SUM(line_net_value), 0)", "COUNT(DISTINCT order_id)"),
+    "units_per_order": O.safe_ratio("COALESCE(SUM(quantity), 0)", "COUNT(DISTINCT order_id)"),
+    "gross_margin": "CAST(COALESCE(SUM(line_margin), 0) AS DOUBLE)",
+    "margin_pct": O.pct_of("COALESCE(SUM(line_margin), 0)", "COALESCE(SUM(line_net_value), 0)"),
+}
+
+
+def _metric_sql(metrics: list[str], dims: list[str], grain: str, filters: dict | None = None,
+                promo: bool = False, limit: int | None = None) -> str:
+    table = "wide_orders" if grain == "order" else "wide_lines"
+    defs = ORDER_METRIC_SQL if grain == "order" else LINE_METRIC_SQL
+    src = table
+    if promo:
+        src = f"(SELECT o.*, p.promo_name, p.promo_type FROM {table} o LEFT JOIN dim_promotion p " \
+              f"ON o.promo_id = p.promo_id)"
+    where = [W]
+    for k, v in (filters or {}).items():
+        if isinstance(v, (list, tuple)):
+            where.append(f"{k} IN ({', '.join(repr(x) for x in v)})")
+        else:
+            where.append(f"{k} = {v!r}")
+    sel = ", ".join([*dims, *[f"{defs[m]} AS {m}" for m in metrics]])
+    group = f" GROUP BY {', '.join(dims)}" if dims else ""
+    body = f"SELECT {sel} FROM {src} x WHERE {' AND '.join(where)}{group}"
+    if limit is not None:
+        order = ", ".join([f"{metrics[0]} DESC", *[f"{d} ASC NULLS LAST" for d in dims]])
+        body += f" ORDER BY {order} LIMIT {limit}"
+    return O.with_star(body)
+
+
+ALL_ORDER_METRICS = ["revenue", "revenue_with_tax", "gross_revenue", "discount", "orders", "units", "aov",
+                     "units_per_order"]
+ALL_LINE_METRICS = ["revenue", "orders", "units", "aov", "units_per_order", "gross_margin", "margin_pct"]
+METRIC_CASES = {
+    # name: (metrics, dimensions, filters, limit)
+    "metric_all_order_metrics": (ALL_ORDER_METRICS, [], None, None),
+    "metric_by_region": (ALL_ORDER_METRICS, ["region"], None, None),
+    "metric_by_store_format": (["revenue", "orders", "aov"], ["store_format"], None, None),
+    "metric_by_day_name": (["revenue", "orders", "aov"], ["day_name"], None, None),
+    "metric_by_order_hour": (["revenue", "orders"], ["order_hour"], None, None),
+    "metric_by_month_channel": (["revenue", "orders", "units_per_order"], ["month_key", "channel"], None, None),
+    "metric_by_promo_name": (["revenue", "orders", "aov"], ["promo_name"], None, None),
+    "metric_by_festive_period": (["revenue", "orders"], ["festive_period", "is_festive"], None, None),
+    "metric_filtered_city_channel": (["revenue", "orders", "aov"], ["store_id"],
+                                     {"city": P.extra.get("city", "ASIA"),
+                                      "channel": list(P.delivery_channels)}, None),
+    "metric_top_stores_capped": (["revenue", "orders"], ["store_id", "store_name"], None, 10),
+    "metric_line_by_category": (ALL_LINE_METRICS, ["category"], None, None),
+    "metric_line_by_veg": (ALL_LINE_METRICS, ["veg_nonveg"], None, None),
+    "metric_line_margin_by_channel": (["gross_margin", "margin_pct", "revenue"], ["channel"], None, None),
+}
+
+
+def _metric_fn(metrics, dims, filters, limit):
+    def fn(star, spark, sf_dir):
+        return metric_query(star, metrics, dims, window=star.profile.window(), filters=filters, limit=limit)
+    return fn
+
+
+for _name, (_m, _d, _f, _lim) in METRIC_CASES.items():
+    from martlens.operators.metrics import choose_grain as _cg
+    _g = _cg(_m, _d)
+    _promo = any(x in ("promo_name", "promo_type") for x in _d)
+    register(_name, _metric_sql(_m, _d, _g, _f, _promo, _lim))(_metric_fn(_m, _d, _f, _lim))
+
+
+# --- distribution facts and shapes (A-37 ... A-47, W-02/W-03, L-05) ----------------------
+@register("dimension_cardinalities", O.with_star("""
+SELECT 'stores' AS name, COUNT(DISTINCT store_id) AS value FROM dim_store
+UNION ALL SELECT 'cities', COUNT(DISTINCT city) FROM dim_store
+UNION ALL SELECT 'regions', COUNT(DISTINCT region) FROM dim_store
+UNION ALL SELECT 'products', COUNT(DISTINCT sku_id) FROM dim_product
+UNION ALL SELECT 'categories', COUNT(DISTINCT category) FROM dim_product
+UNION ALL SELECT 'customers', COUNT(DISTINCT customer_id) FROM dim_customer
+UNION ALL SELECT 'promotions', COUNT(DISTINCT promo_id) FROM dim_promotion
+UNION ALL SELECT 'calendar_days', COUNT(DISTINCT date) FROM dim_calendar
+UNION ALL SELECT 'channels', COUNT(DISTINCT channel) FROM fact_orders
+UNION ALL SELECT 'months', COUNT(DISTINCT month_key) FROM fact_orders"""))
+def dimension_cardinalities(star, spark, sf_dir):
+    """Exact distinct counts of ten dimensions (A-37)."""
+    return A.dimension_cardinalities(star)
+
+
+@register("headline_averages", O.with_star(f"""
+SELECT {O.safe_ratio('COALESCE(SUM(net_before_tax), 0)', 'COUNT(order_id)')} AS aov,
+       {O.safe_ratio('COALESCE(SUM(total_qty), 0)', 'COUNT(order_id)')} AS units_per_order FROM fact_orders"""))
+def headline_averages(star, spark, sf_dir):
+    """AOV and units per order over the whole order fact (A-38)."""
+    return A.headline_averages(star)
+
+
+@register("group_shares", O.with_star(f"""
+SELECT total_orders, anonymous_orders, promoted_orders,
+       {O.percentage4('anonymous_orders', 'total_orders')} AS anonymous_share_pct,
+       {O.percentage4('promoted_orders', 'total_orders')} AS promoted_share_pct
+FROM (SELECT COUNT(*) AS total_orders, COUNT(CASE WHEN customer_id IS NULL THEN 1 END) AS anonymous_orders,
+             COUNT(CASE WHEN promo_id IS NOT NULL THEN 1 END) AS promoted_orders FROM fact_orders) x"""))
+def group_shares(star, spark, sf_dir):
+    """Anonymous and promoted order shares with counts (A-39, F-07)."""
+    return A.group_shares(star)
+
+
+@register("segment_breakdown", O.with_star(f"""
+SELECT segment, {ORDER_AGGS.replace('SUM(net_before_tax) AS DOUBLE', 'COALESCE(SUM(net_before_tax), 0) AS DOUBLE')},
+       {O.safe_ratio('COALESCE(SUM(net_before_tax), 0)', 'COUNT(order_id)')} AS aov,
+       {O.safe_ratio('COALESCE(SUM(total_qty), 0)', 'COUNT(order_id)')} AS units_per_order
+FROM (SELECT *, COALESCE(customer_segment, 'Anonymous') AS segment FROM wide_orders WHERE {W}) x GROUP BY segment"""))
+def segment_breakdown(star, spark, sf_dir):
+    """Customer segments with anonymous orders as their own group (A-42)."""
+    return A.segment_breakdown(star)
+
+
+@register("promotion_effectiveness", O.with_star(f"""
+SELECT is_promo, promo_name, CAST(COALESCE(SUM(net_before_tax), 0) AS DOUBLE) AS revenue, COUNT(order_id) AS orders,
+       CAST(COALESCE(SUM(total_qty), 0) AS BIGINT) AS units,
+       {O.safe_ratio('COALESCE(SUM(net_before_tax), 0)', 'COUNT(order_id)')} AS aov,
+       {O.safe_ratio('COALESCE(SUM(total_qty), 0)', 'COUNT(order_id)')} AS units_per_order,
+       CAST(COALESCE(SUM(discount_amount), 0) AS DOUBLE) AS discount
+FROM (SELECT o.*, CAST(o.promo_id IS NOT NULL AS INTEGER) AS is_promo,
+             COALESCE(p.promo_name, 'No promotion') AS promo_name
+      FROM wide_orders o LEFT JOIN dim_promotion p ON o.promo_id = p.promo_id WHERE {W}) x
+GROUP BY is_promo, promo_name"""))
+def promotion_effectiveness(star, spark, sf_dir):
+    """Promoted vs non-promoted orders, per promotion (A-43)."""
+    return A.promotion_effectiveness(star)
+
+
+_DELIV = ", ".join(f"'{c}'" for c in P.delivery_channels)
+
+
+@register("delivery_share", O.with_star(f"""
+SELECT channel_group, CAST(COALESCE(p, 0) AS DOUBLE) AS part_revenue, CAST(COALESCE(w, 0) AS DOUBLE) AS whole_revenue,
+       {O.pct_of('CAST(COALESCE(p, 0) AS DOUBLE)', 'CAST(COALESCE(w, 0) AS DOUBLE)')} AS pct_of_total
+FROM (SELECT CASE WHEN channel IN ({_DELIV}) THEN 'Delivery' ELSE channel END AS channel_group,
+             SUM(net_before_tax) AS p FROM wide_orders WHERE {W} GROUP BY 1) g,
+     (SELECT SUM(net_before_tax) AS w FROM wide_orders WHERE {W}) t"""))
+def delivery_share(star, spark, sf_dir):
+    """Delivery channels grouped as one, with percent of total (A-45, W-05)."""
+    return A.delivery_share(star)
+
+
+@register("entity_profile_store", O.with_star(f"""
+SELECT store_id, revenue, peer_avg_revenue, revenue - peer_avg_revenue AS diff_vs_peer
+FROM (SELECT store_id, CAST(COALESCE(SUM(net_before_tax), 0) AS DOUBLE) AS revenue FROM wide_orders WHERE {W}
+      GROUP BY store_id) g,
+     (SELECT AVG(revenue) AS peer_avg_revenue FROM (SELECT CAST(COALESCE(SUM(net_before_tax), 0) AS DOUBLE)
+        AS revenue FROM wide_orders WHERE {W} GROUP BY store_id) y) a"""))
+def entity_profile_store(star, spark, sf_dir):
+    """Store revenue with the peer average and the difference (A-46, W-06)."""
+    return A.entity_profile(star, "store_id")
+
+
+@register("two_store_comparison", O.with_star(f"""
+SELECT month_key, CAST(COALESCE(SUM(CASE WHEN store_id = 'ST001' THEN net_before_tax END), 0) AS DOUBLE) AS revenue_a,
+       CAST(COALESCE(SUM(CASE WHEN store_id = 'ST002' THEN net_before_tax END), 0) AS DOUBLE) AS revenue_b,
+       CAST(COALESCE(SUM(CASE WHEN store_id = 'ST001' THEN net_before_tax END), 0) AS DOUBLE)
+       - CAST(COALESCE(SUM(CASE WHEN store_id = 'ST002' THEN net_before_tax END), 0) AS DOUBLE) AS difference
+FROM wide_orders WHERE {W} AND store_id IN ('ST001', 'ST002') GROUP BY month_key"""))
+def two_store_comparison(star, spark, sf_dir):
+    """Two stores side by side by month with the difference (A-47)."""
+    return A.two_entity_comparison(star, "ST001", "ST002")
+
+
+@register("top3_stores_per_month", O.with_star(f"""
+SELECT * FROM (SELECT month_key, store_id, revenue,
+                      row_number() OVER (PARTITION BY month_key ORDER BY revenue DESC, store_id) AS rank_in_month
+               FROM (SELECT month_key, store_id, CAST(COALESCE(SUM(net_before_tax), 0) AS DOUBLE) AS revenue
+                     FROM wide_orders WHERE {W} GROUP BY month_key, store_id) g) x WHERE rank_in_month <= 3"""))
+def top3_stores_per_month(star, spark, sf_dir):
+    """Top 3 stores inside every month (L-05)."""
+    return A.top_k_per_month(star, "store_id", 3)
+
+
+@register("city_month_over_month", O.with_star("""
+SELECT city, month_key, revenue, prev_revenue,
+       CASE WHEN prev_revenue <> 0 THEN (revenue - prev_revenue) * 100.0 / prev_revenue END AS mom_pct
+FROM (SELECT city, month_key, CAST(COALESCE(SUM(net_before_tax), 0) AS DOUBLE) AS revenue,
+             LAG(CAST(COALESCE(SUM(net_before_tax), 0) AS DOUBLE)) OVER (PARTITION BY city ORDER BY month_key)
+               AS prev_revenue
+      FROM (SELECT f.*, s.city FROM fact_orders f JOIN dim_store s ON f.store_id = s.store_id) x
+      GROUP BY city, month_key) y"""))
+def city_month_over_month(star, spark, sf_dir):
+    """Previous month and month-over-month % on the city mart (W-02, W-03)."""
+    return A.month_over_month(star, "city")
