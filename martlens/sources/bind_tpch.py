@@ -196,24 +196,36 @@ def bind_star(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) ->
         wide_orders=wide_orders, wide_lines=wide_lines, source=sf_dir)
 
 
-_STAR_MEMO: dict[tuple[int, str, str], Star] = {}
+_STAR_MEMO: dict[tuple[str, str, str], Star] = {}
 
 
 def star_for(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) -> Star:
-    """The star for a testdata folder.
-
-    If the session names a materialised star for this folder
-    (``martlens.star.<abs path>`` -> written root), it is read; otherwise the
-    lazy binding over the source tables is used.
+    """The star for a testdata folder, built once per session.
+
+    The first call binds the star over the source tables, writes it under the
+    session's checkpoint directory (see :func:`write_star`) and reads it back;
+    later calls in the same application reuse it, so every query runs over the
+    written star (partition pruning by month, no replay of the source joins).
+    A folder named in ``martlens.star.<abs path>`` is read as is. With
+    ``martlens.materialize=false`` the lazy binding is returned instead.
     """
-    key = (id(spark), os.path.abspath(sf_dir), profile.name)
-    written = spark.conf.get(f"martlens.star.{os.path.abspath(sf_dir)}", None)
+    from martlens.sources.star import read_star, write_star
+
+    path = os.path.abspath(sf_dir)
+    key = (spark.sparkContext.applicationId, path, profile.name)
+    if key in _STAR_MEMO:
+        return _STAR_MEMO[key]
+    written = spark.conf.get(f"martlens.star.{path}", None)
     if written:
-        from martlens.sources.star import read_star
-        return read_star(spark, written, profile)
-    if key not in _STAR_MEMO:
-        _STAR_MEMO[key] = bind_star(spark, sf_dir, profile)
-    return _STAR_MEMO[key]
+        star = read_star(spark, written, profile)
+    elif spark.conf.get("martlens.materialize", "true").lower() == "true":
+        root = write_star(bind_star(spark, sf_dir, profile))
+        spark.conf.set(f"martlens.star.{path}", root)
+        star = read_star(spark, root, profile)
+    else:
+        star = bind_star(spark, sf_dir, profile)
+    _STAR_MEMO[key] = star
+    return star
 
 
 def data_range(star: Star) -> tuple[date, date]:

@@ -85,30 +85,31 @@ class Star:
 
 
 def write_star(star: Star, path: str | None = None) -> str:
-    """Materialise the star once (S-05/S-06): overwrite into a fresh folder.
-
-    Facts are partitioned by ``month_key``. The folder lives under the shared
-    checkpoint directory unless ``path`` is given; a rebuild goes to a new
-    folder and the caller switches readers over only after the gate passed.
+    """Materialise the star once (S-05/S-06) and return its folder.
+
+    Only the dimensions and the two *wide* facts are written; the narrow facts
+    are projections of the wide ones (column pruning makes them free on read).
+    Facts are written partitioned by ``month_key`` behind a REBALANCE hint: AQE
+    hash-distributes rows by month and splits oversized months into
+    advisory-sized partitions, so files stay evenly sized however skewed the
+    months are. The folder lives under the shared checkpoint directory unless
+    ``path`` is given; a rebuild goes to a new folder, and readers are switched
+    to it only after the quality gate passed.
     """
     spark = star.fact_orders.sparkSession
     root = path or os.path.join(ensure_checkpoint_dir(spark), f"star-{uuid.uuid4().hex[:12]}")
-    for name, df in star.tables().items():
-        w = df.write.mode("overwrite")
-        if name in FACTS:
-            w = w.partitionBy("month_key")
-        w.parquet(os.path.join(root, name))
-    star.wide_lines.write.mode("overwrite").partitionBy("month_key").parquet(os.path.join(root, "wide_lines"))
-    star.wide_orders.write.mode("overwrite").partitionBy("month_key").parquet(os.path.join(root, "wide_orders"))
+    for name in DIMENSIONS:
+        getattr(star, name).write.mode("overwrite").parquet(os.path.join(root, name))
+    for name in ("wide_orders", "wide_lines"):
+        df = getattr(star, name).hint("rebalance", "month_key")
+        df.write.mode("overwrite").partitionBy("month_key").parquet(os.path.join(root, name))
     return root
 
 
 def read_star(spark: SparkSession, root: str, profile: Profile) -> Star:
-    r = lambda n: spark.read.parquet(os.path.join(root, n))
-    frames = {n: r(n) for n in DIMENSIONS + FACTS + ("wide_lines", "wide_orders")}
-    # Partition columns come back last; restore the declared column order.
-    frames["fact_orders"] = frames["fact_orders"].select(*COLUMNS["fact_orders"])
-    frames["fact_order_lines"] = frames["fact_order_lines"].select(*COLUMNS["fact_order_lines"], "month_key")
+    frames = {n: spark.read.parquet(os.path.join(root, n)) for n in DIMENSIONS + ("wide_orders", "wide_lines")}
+    frames["fact_orders"] = frames["wide_orders"].select(*COLUMNS["fact_orders"])
+    frames["fact_order_lines"] = frames["wide_lines"].select(*COLUMNS["fact_order_lines"], "month_key")
     return Star(profile=profile, source=root, **frames)
 
 
