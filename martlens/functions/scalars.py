@@ -118,8 +118,8 @@ MONTH_KEY_RE = r"^\d{4}-\d{2}$"
 def parse_date_like(s: ColumnOrName) -> Column:
     """'YYYY-MM-DD' -> date, 'YYYY-MM' -> first of month, anything else NULL."""
     c = F.trim(_c(s).cast("string"))
-    return (F.when(c.rlike(ISO_DATE_RE), F.try_to_date(c, F.lit("yyyy-MM-dd")))
-            .when(c.rlike(MONTH_KEY_RE), F.try_to_date(F.concat(c, F.lit("-01")), F.lit("yyyy-MM-dd"))))
+    return (F.when(c.rlike(ISO_DATE_RE), F.try_to_date(c, "yyyy-MM-dd"))
+            .when(c.rlike(MONTH_KEY_RE), F.try_to_date(F.concat(c, F.lit("-01")), "yyyy-MM-dd")))
 
 
 # --- F-16 ... F-18 ------------------------------------------------------------

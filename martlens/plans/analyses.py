@@ -37,12 +37,20 @@ def _order_aggs() -> list:
             F.sum("total_qty").alias("_units")]
 
 
+_MEASURES = ("revenue", "orders", "units", "aov", "units_per_order")
+
+
 def _finish_order_aggs(df: DataFrame) -> DataFrame:
-    return (df.withColumn("revenue", _money("_rev"))
-            .withColumn("units", F.coalesce("_units", F.lit(0)).cast("long"))
-            .withColumn("aov", S.safe_ratio("revenue", "orders"))
-            .withColumn("units_per_order", S.safe_ratio("units", "orders"))
-            .drop("_rev", "_units"))
+    """revenue, orders, units, aov, units_per_order in that order, after the keys."""
+    out = (df.withColumn("revenue", _money("_rev"))
+           .withColumn("units", F.coalesce("_units", F.lit(0)).cast("long"))
+           .withColumn("aov", S.safe_ratio("revenue", "orders"))
+           .withColumn("units_per_order", S.safe_ratio("units", "orders"))
+           .drop("_rev", "_units"))
+    rest = [c for c in out.columns if c not in _MEASURES]
+    first = df.columns.index("_rev") if "_rev" in df.columns else len(rest)
+    keys = [c for c in df.columns[:first] if c in rest]
+    return out.select(*keys, *_MEASURES, *[c for c in rest if c not in keys])
 
 
 def window_orders(star: Star, w: TimeWindow | None = None) -> DataFrame:

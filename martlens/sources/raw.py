@@ -39,7 +39,7 @@ def to_iso_date(c: Column | str, fmt: str | None = None) -> Column:
     """Date normalisation (S-02): NULL stays NULL, garbage becomes NULL."""
     col = F.col(c) if isinstance(c, str) else c
     if fmt:
-        return F.try_to_date(col.cast("string"), F.lit(fmt))
+        return F.try_to_date(col.cast("string"), fmt)
     return F.to_date(col) if not isinstance(c, str) else F.try_to_date(col.cast("string"))
 
 
