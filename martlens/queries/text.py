@@ -1 +1,177 @@
-"""Registered queries."""
+"""Registered text jobs: entity resolution (E-*), claim audit (N-*), text functions (F-10 ... F-15)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from martlens import oracle as O
+from martlens.plans import entities as E
+from martlens.profile import TESTDATA as P
+from martlens.registry import register
+
+W = O.window_pred(P)
+
+
+# --- mention texts, derived from the window's orders (same rule in Spark and SQL) -----------
+def mention_texts(star):
+    """One question per order in the window, naming its store, geography and attributes."""
+    wo = star.wide_orders.filter(F.col("order_date").between(F.lit(P.window_start), F.lit(P.window_end)))
+    k = F.col("order_id") % 4
+    seg = F.coalesce(F.lower("customer_segment"), F.lit("walk-in"))
+    num = F.substring("store_id", 3, 3).cast("int").cast("string")
+    text = (F.when(k == 0, F.concat(F.lit("How is ST"), num, F.lit(" doing in "), F.col("city"), F.lit(" for "), seg,
+                                    F.lit("s?")))
+            .when(k == 1, F.concat(F.lit("Compare "), F.col("store_name"), F.lit(" and "), F.col("day_name"),
+                                   F.lit(" sales on "), F.lower("day_type"), F.lit("s")))
+            .when(k == 2, F.concat(F.lit("Were delivery orders at "), F.col("store_format"), F.lit(" stores up on "),
+                                   F.col("channel"), F.lit("?")))
+            .otherwise(F.concat(F.lit("Show "), F.lower("region"), F.lit(" "), F.col("festive_period"),
+                                F.lit(" margin in "), F.col("month_key"))))
+    return wo.select(F.col("order_id").alias("text_id"), text.alias("text"))
+
+
+TEXTS_SQL = f"""texts AS (
+  SELECT order_id AS text_id,
+    CASE order_id % 4
+      WHEN 0 THEN 'How is ST' || CAST(CAST(substr(store_id, 3, 3) AS INTEGER) AS VARCHAR) || ' doing in ' || city
+                  || ' for ' || COALESCE(lower(customer_segment), 'walk-in') || 's?'
+      WHEN 1 THEN 'Compare ' || store_name || ' and ' || day_name || ' sales on ' || lower(day_type) || 's'
+      WHEN 2 THEN 'Were delivery orders at ' || store_format || ' stores up on ' || channel || '?'
+      ELSE 'Show ' || lower(region) || ' ' || festive_period || ' margin in ' || month_key END AS text
+  FROM wide_orders WHERE {W})"""
+
+
+def _lit_list(vals) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in vals)
+
+
+def catalogue_sql() -> str:
+    parts = []
+    for dim, table, col, ident in E.DIMENSIONS:
+        v = f"CAST({col} AS VARCHAR)"
+        parts.append(f"SELECT DISTINCT '{dim}' AS dimension, '{table}.{col}' AS \"column\", {v} AS value, "
+                     f"{'TRUE' if ident else 'FALSE'} AS is_identifier FROM {table} "
+                     f"WHERE {v} IS NOT NULL AND trim({v}) <> ''")
+    return "cat AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _alias_values() -> str:
+    rows = ([(a, "city", v) for a, v in E.CITY_ALIASES.items()] + [(a, "channel", v) for a, v in E.CHANNEL_ALIASES.items()]
+            + [(w, "channel", ch) for w in E.DELIVERY_WORDS for ch in P.delivery_channels])
+    return ", ".join(f"('{a}', '{d}', '{t}')" for a, d, t in rows)
+
+
+TOK = "[A-Za-z0-9&''\\-]+"
+PIECES = "[A-Za-z0-9&''\\-]+|[^A-Za-z0-9&''\\-]+"
+IDENT = "^([A-Za-z]{2,4})(\\d{1,6})$"
+
+
+def resolve_sql(texts_cte: str) -> str:
+    return f"""{texts_cte},
+{catalogue_sql()},
+tk AS (SELECT text_id, p, list_filter(range(1, len(p) + 1), lambda i: regexp_full_match(p[i], '{TOK}')) AS t
+       FROM (SELECT text_id, regexp_extract_all(text, '{PIECES}') AS p FROM texts) x),
+ph0 AS (SELECT text_id, p, t, unnest(range(0, len(t))) AS start FROM tk WHERE len(t) > 0),
+ph1 AS (SELECT text_id, p, t, start, unnest(range(1, least(4, len(t) - start) + 1)) AS n_tokens FROM ph0),
+ph AS (SELECT text_id, start, start + n_tokens - 1 AS "end", n_tokens,
+              trim(array_to_string(p[t[start + 1]:t[start + n_tokens]], '')) AS phrase FROM ph1),
+phs AS (SELECT *, lower(phrase) AS k FROM ph
+        WHERE phrase <> '' AND NOT (n_tokens = 1 AND lower(phrase) IN ({_lit_list(E.STOPWORDS)}))),
+al AS (SELECT a.alias, c.dimension, c."column", c.value
+       FROM (VALUES {_alias_values()}) a(alias, dimension, target)
+       JOIN cat c ON a.dimension = c.dimension AND lower(a.target) = lower(c.value)),
+t1 AS (SELECT s.text_id, s.start, s."end", s.n_tokens, s.phrase, c.dimension, c."column", c.value,
+              CASE WHEN s.phrase = c.value THEN 1.0 ELSE 0.98 END AS confidence, 'exact' AS method, 1 AS tier
+       FROM phs s JOIN cat c ON s.k = lower(c.value)),
+t2 AS (SELECT s.text_id, s.start, s."end", s.n_tokens, s.phrase, a.dimension, a."column", a.value,
+              0.95 AS confidence, 'alias' AS method, 2 AS tier FROM phs s JOIN al a ON s.k = a.alias),
+ids AS (SELECT dimension, "column", value, lower(regexp_extract(trim(value), '{IDENT}', 1)) AS ip,
+               CAST(regexp_extract(trim(value), '{IDENT}', 2) AS BIGINT) AS inum
+        FROM cat WHERE is_identifier AND regexp_matches(trim(value), '{IDENT}')),
+t3 AS (SELECT s.text_id, s.start, s."end", s.n_tokens, s.phrase, i.dimension, i."column", i.value,
+              CASE WHEN upper(s.phrase) = upper(i.value) THEN 1.0 ELSE 0.95 END AS confidence,
+              'identifier' AS method, 3 AS tier
+       FROM phs s JOIN ids i ON s.n_tokens = 1 AND regexp_matches(trim(s.phrase), '{IDENT}')
+         AND lower(regexp_extract(trim(s.phrase), '{IDENT}', 1)) = i.ip
+         AND CAST(regexp_extract(trim(s.phrase), '{IDENT}', 2) AS BIGINT) = i.inum),
+nd AS (SELECT *, CASE WHEN length(k) > 4 AND suffix(k, 's') THEN substr(k, 1, length(k) - 1) ELSE k END AS needle
+       FROM phs),
+sf AS (SELECT dimension, "column", value, substr(lower(value), i) AS sfx
+       FROM (SELECT dimension, "column", value, unnest(range(1, greatest(length(value), 1) + 1)) AS i
+             FROM cat WHERE NOT is_identifier) x
+       WHERE (i = 1 OR regexp_full_match(substr(lower(value), i - 1, 1), '\\s'))
+         AND length(substr(lower(value), i)) >= 4),
+t4 AS (SELECT DISTINCT n.text_id, n.start, n."end", n.n_tokens, n.phrase, f.dimension, f."column", f.value,
+              0.8 AS confidence, 'substring' AS method, 4 AS tier
+       FROM nd n JOIN sf f ON length(n.needle) >= 4 AND substr(n.needle, 1, 4) = substr(f.sfx, 1, 4)
+         AND starts_with(f.sfx, n.needle)),
+cands AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4),
+won AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY text_id, start, "end") AS mt FROM cands) x
+        WHERE tier = mt),
+spans AS (SELECT text_id, list_sort(list({{'neg': -n_tokens, 'start': start, 'end': "end"}})) AS s
+          FROM (SELECT DISTINCT text_id, start, "end", n_tokens FROM won) x GROUP BY text_id),
+acc AS (SELECT text_id, unnest(list_reduce(s, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.start <= x."end"
+                AND x.start <= y."end")) > 0 THEN a ELSE list_append(a, x) END,
+                []::STRUCT(neg BIGINT, start BIGINT, "end" BIGINT)[])) AS sp FROM spans),
+kept AS (SELECT w.* FROM won w JOIN acc a ON w.text_id = a.text_id AND w.start = a.sp.start AND w."end" = a.sp."end"),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY confidence DESC, dimension, value, start)
+             AS match_rank FROM kept),
+matches AS (SELECT text_id, phrase AS text, dimension, "column", value, CAST(confidence AS DOUBLE) AS confidence,
+                   method, match_rank FROM ranked WHERE match_rank <= {E.MAX_MATCHES})"""
+
+
+RESOLVE = resolve_sql(TEXTS_SQL)
+
+
+@register("entity_resolution_exact_tiers", O.with_star("SELECT * FROM matches", extra_ctes=RESOLVE))
+def entity_resolution_exact_tiers(star, spark, sf_dir):
+    """Resolve mentions to dimension values by the exact, alias, identifier and substring tiers (E-01 ... E-09)."""
+    return E.resolve(mention_texts(star), E.catalogue(star), P.delivery_channels, fuzzy=False)
+
+
+@register("entity_resolution_full", None)
+def entity_resolution_full(star, spark, sf_dir):
+    """All five tiers including the similarity ratio (E-06); rows-only: the ratio has no SQL equivalent."""
+    return E.resolve(mention_texts(star), E.catalogue(star), P.delivery_channels, fuzzy=True)
+
+
+@register("entity_ambiguity", O.with_star(f"""
+SELECT text_id, text, n_dimensions, candidates FROM (
+  SELECT text_id, lt AS text, COUNT(DISTINCT dimension) AS n_dimensions,
+         array_to_string(list_sort(list(DISTINCT dimension || ':' || value)), ';') AS candidates
+  FROM (SELECT *, lower(text) AS lt, max(confidence) OVER (PARTITION BY text_id, lower(text)) AS best FROM matches) m
+  WHERE best - confidence <= {E.AMBIGUITY_BAND} + 1e-12 GROUP BY text_id, lt) g WHERE n_dimensions >= 2""",
+                                            extra_ctes=RESOLVE))
+def entity_ambiguity(star, spark, sf_dir):
+    """Phrases matching two or more dimensions with close confidence (E-10)."""
+    return E.ambiguous(E.resolve(mention_texts(star), E.catalogue(star), P.delivery_channels, fuzzy=False))
+
+
+@register("entity_by_dimension", O.with_star("""
+SELECT text_id, dimension, COUNT(*) AS n_matches, array_to_string(list_sort(list(DISTINCT value)), ',') AS "values"
+FROM matches GROUP BY text_id, dimension""", extra_ctes=RESOLVE))
+def entity_by_dimension(star, spark, sf_dir):
+    """Resolved values grouped per text and dimension (E-11)."""
+    return E.group_by_dimension(E.resolve(mention_texts(star), E.catalogue(star), P.delivery_channels, fuzzy=False))
+
+
+@register("entity_catalogue_counts", O.with_star(
+    "SELECT dimension, \"column\", is_identifier, COUNT(*) AS n_values FROM cat GROUP BY ALL",
+    extra_ctes=catalogue_sql()))
+def entity_catalogue_counts(star, spark, sf_dir):
+    """Size of the catalogue per dimension (E-01)."""
+    return E.catalogue(star).groupBy("dimension", "column", "is_identifier").agg(F.count(F.lit(1)).alias("n_values"))
+
+
+@register("topic_tags_conversations", f"""
+SELECT conv_id * 1000 + turn AS text_id, {" ".join(
+    f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN {i + 1} ELSE"
+    for i, (words, _l) in enumerate(E.TOPIC_RULES))} 0 {"END " * len(E.TOPIC_RULES)}AS rule,
+  {" ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{label}' ELSE"
+            for words, label in E.TOPIC_RULES)} '{E.DEFAULT_TOPIC}' {"END " * len(E.TOPIC_RULES)}AS topic
+FROM conversations""")
+def topic_tags_conversations(star, spark, sf_dir):
+    """First matching topic rule per conversation turn, over the whole conversations table (E-13)."""
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    texts = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    return E.topic_tag(texts)
