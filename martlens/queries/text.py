@@ -175,3 +175,136 @@ def topic_tags_conversations(star, spark, sf_dir):
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     texts = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
     return E.topic_tag(texts)
+
+
+# --- claim audit (N-01 ... N-07) ---------------------------------------------------------------
+from martlens.plans import analyses as A  # noqa: E402
+from martlens.plans import claims as C  # noqa: E402
+from martlens.queries.core import Q2_BASE  # noqa: E402
+
+_M1, _M3 = P.window().months()[0], P.window().months()[-1]
+
+
+def claim_inputs(star):
+    """Answers written about each store of the window ranking, and the cells they were written from."""
+    rank = A.store_ranking(star)
+    wo = star.wide_orders.filter(F.col("order_date").between(F.lit(P.window_start), F.lit(P.window_end)))
+    monthly = wo.groupBy("store_id", "month_key").agg(F.sum("net_before_tax").cast("double").alias("revenue"))
+    ends = monthly.groupBy("store_id").agg(
+        F.coalesce(F.max(F.when(F.col("month_key") == _M1, F.col("revenue"))), F.lit(0.0)).alias("_m1"),
+        F.coalesce(F.max(F.when(F.col("month_key") == _M3, F.col("revenue"))), F.lit(0.0)).alias("_m3"))
+    aid = F.substring("store_id", 3, 3).cast("long")
+    fmt = lambda c: F.format_number(F.floor(c).cast("long"), 0)
+    text = F.concat(
+        F.col("store_id"), F.lit(" ("), F.col("store_name"), F.lit(") earned "), fmt(F.col("revenue")),
+        F.lit(" INR from "), F.col("orders").cast("string"), F.lit(" orders, about "),
+        fmt(F.col("revenue") / 1000.0), F.lit(" thousand; AOV "), fmt(F.col("aov")), F.lit(". A rival claim of "),
+        fmt(F.col("revenue") * 1.37), F.lit(" INR ("), F.floor("revenue_share_pct").cast("long").cast("string"),
+        F.lit("% share) in 2001-06 for 2001 lists ST0"), F.substring("store_id", 3, 3),
+        F.lit(". May to July moved by "), fmt(F.abs(F.col("_m3") - F.col("_m1"))), F.lit(" INR."))
+    answers = rank.join(ends, "store_id", "left").select(
+        aid.alias("answer_id"), text.alias("text"), F.lit(0.85).alias("confidence"),
+        (F.col("rank") > 20).alias("verification_failed"))
+    cells = C.long_cells(aid, "ranking", rank).unionByName(
+        C.long_cells(aid, "monthly", monthly.select("store_id", "month_key", "revenue")))
+    return answers, cells
+
+
+CLAIM_CTES = Q2_BASE + f""",
+mon AS (SELECT store_id, month_key, CAST(SUM(net_before_tax) AS DOUBLE) AS revenue FROM wide_orders WHERE {W}
+        GROUP BY store_id, month_key),
+ends AS (SELECT store_id, COALESCE(MAX(CASE WHEN month_key = '{_M1}' THEN revenue END), 0.0) AS m1,
+                COALESCE(MAX(CASE WHEN month_key = '{_M3}' THEN revenue END), 0.0) AS m3 FROM mon GROUP BY store_id),
+answers AS (
+  SELECT CAST(substr(r.store_id, 3, 3) AS BIGINT) AS answer_id,
+    r.store_id || ' (' || r.store_name || ') earned ' || format('{{:,}}', CAST(floor(r.revenue) AS BIGINT))
+    || ' INR from ' || CAST(r.orders AS VARCHAR) || ' orders, about '
+    || format('{{:,}}', CAST(floor(r.revenue / 1000.0) AS BIGINT)) || ' thousand; AOV '
+    || format('{{:,}}', CAST(floor(r.aov) AS BIGINT)) || '. A rival claim of '
+    || format('{{:,}}', CAST(floor(r.revenue * 1.37) AS BIGINT)) || ' INR ('
+    || CAST(CAST(floor(r.revenue_share_pct) AS BIGINT) AS VARCHAR) || '% share) in 2001-06 for 2001 lists ST0'
+    || substr(r.store_id, 3, 3) || '. May to July moved by '
+    || format('{{:,}}', CAST(floor(abs(e.m3 - e.m1)) AS BIGINT)) || ' INR.' AS text,
+    0.85 AS confidence, r.rank > 20 AS verification_failed
+  FROM ranked r LEFT JOIN ends e ON r.store_id = e.store_id),
+cells AS (
+  SELECT CAST(substr(store_id, 3, 3) AS BIGINT) AS answer_id, 'ranking' AS result_id, u.col AS "column",
+         u.num, u.str
+  FROM ranked, (SELECT 1) d,
+  LATERAL (VALUES ('store_id', NULL, store_id), ('store_name', NULL, store_name), ('city', NULL, city),
+                  ('region', NULL, region), ('revenue', revenue, NULL), ('orders', CAST(orders AS DOUBLE), NULL),
+                  ('units', CAST(units AS DOUBLE), NULL), ('aov', aov, NULL),
+                  ('units_per_order', units_per_order, NULL), ('revenue_share_pct', revenue_share_pct, NULL),
+                  ('rank', CAST(rank AS DOUBLE), NULL)) u(col, num, str)
+  UNION ALL
+  SELECT CAST(substr(store_id, 3, 3) AS BIGINT), 'monthly', u.col, u.num, u.str
+  FROM mon, LATERAL (VALUES ('store_id', NULL, store_id), ('month_key', NULL, month_key),
+                            ('revenue', revenue, NULL)) u(col, num, str)),
+fa AS (SELECT answer_id, regexp_replace(text, '{C.DATE_LIKE_RE}', ' ', 'g') AS m FROM answers),
+ft AS (SELECT answer_id, regexp_extract_all(m, '{C.NUMBER_RE}') AS t, regexp_split_to_array(m, '{C.NUMBER_RE}') AS s
+       FROM fa),
+fx AS (SELECT answer_id, t, s, unnest(range(0, len(t))) AS i FROM ft),
+figs AS (SELECT answer_id, position, token, value FROM (
+           SELECT answer_id, i AS position, t[i + 1] AS token, substr(s[i + 2], 1, 1) AS trail,
+                  CAST(replace(t[i + 1], ',', '') AS DOUBLE) AS value FROM fx) x
+         WHERE trail <> '%' AND token NOT IN ({", ".join(repr(y) for y in P.data_years())})
+           AND value >= {P.min_checked_magnitude}),
+sv AS (SELECT DISTINCT f.answer_id, f.position FROM figs f JOIN cells c ON f.answer_id = c.answer_id
+         AND c.num IS NOT NULL,
+       (VALUES {", ".join(f"({float(s)})" for s in P.scale_factors)}) sc(scale)
+       WHERE abs(f.value * sc.scale - c.num) <= greatest(abs(c.num) * {P.number_match_tolerance}, 0.5)),
+cv AS (SELECT answer_id, result_id, "column", num FROM cells WHERE num IS NOT NULL),
+mv AS (SELECT cv.* FROM cv JOIN (SELECT answer_id, result_id, "column" FROM cv GROUP BY ALL HAVING COUNT(*) > 1) g
+         USING (answer_id, result_id, "column")),
+sd AS (SELECT DISTINCT f.answer_id, f.position FROM figs f JOIN mv a ON f.answer_id = a.answer_id
+       JOIN mv b ON a.answer_id = b.answer_id AND a.result_id = b.result_id AND a."column" = b."column"
+       WHERE b.num >= a.num + f.value - greatest(abs(f.value) * {P.number_match_tolerance}, 0.5)
+         AND b.num <= a.num + f.value + greatest(abs(f.value) * {P.number_match_tolerance}, 0.5)),
+unsup AS (SELECT answer_id, token, MIN(position) AS first_position FROM figs f
+          WHERE NOT EXISTS (SELECT 1 FROM sv WHERE sv.answer_id = f.answer_id AND sv.position = f.position)
+            AND NOT EXISTS (SELECT 1 FROM sd WHERE sd.answer_id = f.answer_id AND sd.position = f.position)
+          GROUP BY answer_id, token),
+idents AS (SELECT DISTINCT answer_id, unnest(regexp_extract_all(text, '{C.IDENTIFIER_RE}')) AS token FROM answers),
+unsup_id AS (SELECT i.* FROM idents i WHERE NOT EXISTS (
+               SELECT 1 FROM cells c WHERE c.answer_id = i.answer_id AND c.str IS NOT NULL AND contains(c.str, i.token)))"""
+
+
+@register("claim_cells_long", O.with_star("SELECT * FROM cells", extra_ctes=CLAIM_CTES))
+def claim_cells_long(star, spark, sf_dir):
+    """Numeric and string cells of the results behind each answer, in long form (N-01)."""
+    return claim_inputs(star)[1]
+
+
+@register("claim_figures", O.with_star("SELECT * FROM figs", extra_ctes=CLAIM_CTES))
+def claim_figures(star, spark, sf_dir):
+    """Figure candidates after masking dates, rates, data years and small numbers (N-02, F-13)."""
+    return C.figures(claim_inputs(star)[0], P)
+
+
+@register("claim_unsupported_figures", O.with_star("SELECT * FROM unsup", extra_ctes=CLAIM_CTES))
+def claim_unsupported_figures(star, spark, sf_dir):
+    """Figures no value (at any scale) and no within-column difference supports (N-03 ... N-05)."""
+    answers, cells = claim_inputs(star)
+    return C.unsupported_figures(answers, cells, P)
+
+
+@register("claim_unsupported_identifiers", O.with_star("SELECT * FROM unsup_id", extra_ctes=CLAIM_CTES))
+def claim_unsupported_identifiers(star, spark, sf_dir):
+    """Identifier tokens not contained in any string cell (N-06, F-14)."""
+    answers, cells = claim_inputs(star)
+    return C.unsupported_identifiers(answers, cells)
+
+
+@register("claim_confidence", O.with_star(f"""
+SELECT a.answer_id, u.answer_id IS NOT NULL AS has_unsupported_figure,
+  CAST(CASE WHEN a.verification_failed THEN least(
+         CASE WHEN u.answer_id IS NOT NULL THEN round(CAST(a.confidence AS DECIMAL(6,4)) * CAST(0.7 AS DECIMAL(2,1)), 2)
+              ELSE CAST(a.confidence AS DECIMAL(6,4)) END, CAST({C.UNVERIFIED_CEILING} AS DECIMAL(6,4)))
+       ELSE CASE WHEN u.answer_id IS NOT NULL THEN round(CAST(a.confidence AS DECIMAL(6,4)) * CAST(0.7 AS DECIMAL(2,1)), 2)
+              ELSE CAST(a.confidence AS DECIMAL(6,4)) END END AS DOUBLE) AS adjusted_confidence
+FROM answers a LEFT JOIN (SELECT DISTINCT answer_id FROM unsup) u ON a.answer_id = u.answer_id""",
+                                           extra_ctes=CLAIM_CTES))
+def claim_confidence(star, spark, sf_dir):
+    """Confidence x0.7 on an unsupported figure, capped at 0.4 when verification failed (N-07)."""
+    answers, cells = claim_inputs(star)
+    return C.adjusted_confidence(answers, C.unsupported_figures(answers, cells, P))
