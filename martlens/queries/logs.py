@@ -102,7 +102,7 @@ def steps(spark, sf_dir):
                     (F.col("event_type") == "error").alias("failed"))
 
 
-@register("t03_run_rollup", f"""
+T03_SQL = f"""
 WITH s AS (SELECT user_id * 100000 + CAST(floor(epoch_us(ts) / {L.US} / {L.SECONDS_PER_DAY}) AS BIGINT) AS run_id,
                   epoch_us(ts) AS us, event_id AS seq, event_type AS provider,
                   CASE WHEN event_type <> 'view' THEN CAST(floor(value * 100) AS BIGINT) END AS tokens,
@@ -112,7 +112,26 @@ t AS (SELECT run_id, CAST(SUM(COALESCE(tokens, 0)) AS BIGINT) AS total_tokens, C
 fp AS (SELECT run_id, provider, MIN((us, seq)) AS f FROM s WHERE provider IS NOT NULL GROUP BY run_id, provider),
 p AS (SELECT run_id, string_agg(provider, ',' ORDER BY f) AS providers_used FROM fp GROUP BY run_id)
 SELECT t.run_id, t.total_tokens, t.steps, t.failed_steps, COALESCE(p.providers_used, '') AS providers_used
-FROM t LEFT JOIN p ON t.run_id = p.run_id""")
+FROM t LEFT JOIN p ON t.run_id = p.run_id"""
+
+
+@register("t03_run_rollup", T03_SQL)
 def t03_run_rollup(star, spark, sf_dir):
     """Per run: total tokens, providers in first-use order, steps, failed steps (T-03)."""
     return L.run_rollup(steps(spark, sf_dir))
+
+
+@register("t01_admission_streaming", ADMISSION_SQL)
+def t01_admission_streaming(star, spark, sf_dir):
+    """T-01 as a stateful stream fed in three time-ordered deliveries; equals the batch decisions."""
+    from martlens.streaming.admission import run_in_slices
+    return run_in_slices(spark, _events(spark, sf_dir), PER_MINUTE, PER_DAY, slices=3)
+
+
+@register("t03_run_rollup_streaming", T03_SQL)
+def t03_run_rollup_streaming(star, spark, sf_dir):
+    """T-03 as a watermarked one-day event-time window per user, processed as a stream."""
+    from martlens.streaming.rollup import run_once
+    e = _events(spark, sf_dir)
+    return run_once(spark, sf_dir, e.schema, glob="events.parquet").select(
+        "run_id", "total_tokens", "steps", "failed_steps", "providers_used")
