@@ -42,5 +42,5 @@ def register(name: str, sql: str | None):
 
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # importing the query modules fills REGISTRY
-    from martlens.queries import core, decline, quality, verify, text, logs  # noqa: F401
+    from martlens.queries import core, decline, quality, verify, text, logs, extra  # noqa: F401
     return REGISTRY
