@@ -174,27 +174,36 @@ def ident_number(c: Column) -> Column:
 
 # --- E-02 / E-03: phrases ------------------------------------------------------------------------
 def phrases(texts: DataFrame) -> DataFrame:
-    """All 1-4 token phrases with their token span, stop-word singles removed (E-02, E-03)."""
-    pieces = F.regexp_extract_all("text", F.lit(PIECES_RE), 1)
-    df = texts.select("text_id", pieces.alias("_p"))
-    df = df.select("text_id", "_p", F.filter(F.sequence(F.lit(1), F.greatest(F.size("_p"), F.lit(1))),
-                                             lambda i: F.element_at("_p", i).rlike(f"^{TOKEN_RE}$")).alias("_t"))
-    df = df.filter(F.size("_t") > 0)
-    df = df.select("text_id", "_p", "_t", F.explode(F.sequence(F.lit(0), F.size("_t") - 1)).alias("start"))
-    df = df.select("text_id", "_p", "_t", "start",
-                   F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORDS), F.size("_t") - F.col("start"))))
-                   .alias("n_tokens"))
-    first = F.element_at("_t", F.col("start") + 1)
-    last = F.element_at("_t", F.col("start") + F.col("n_tokens"))
-    phrase = F.array_join(F.slice("_p", first, last - first + 1), "")
-    out = df.select("text_id", "start", (F.col("start") + F.col("n_tokens") - 1).alias("end"), "n_tokens",
-                    F.trim(phrase).alias("phrase"))
+    """All 1-4 token phrases with their token span, stop-word singles removed (E-02, E-03).
+
+    Per text: the tokens, and the separators between them (a split on the
+    token pattern). A k-token phrase is token_i + separator_i + the (k-1)-token
+    phrase starting at i+1, so each phrase costs one concatenation and every
+    length is one ``zip_with`` over whole arrays. Exploding then emits rows that
+    carry only their own phrase: linear in the text length.
+    """
+    toks = F.regexp_extract_all("text", F.lit(f"({TOKEN_RE})"), 1)
+    seps = F.split("text", TOKEN_RE, -1)
+    df = texts.select("text_id", toks.alias("_t"), seps.alias("_s")).filter(F.size("_t") > 0)
+    n = F.size("_t")
+    joined = F.zip_with("_t", F.slice("_s", 2, n), lambda a, b: F.concat(a, b))  # token_i + separator_i
+    levels = [F.col("_t")]
+    for k in range(2, MAX_WORDS + 1):
+        prev = levels[-1]
+        levels.append(F.zip_with(F.slice(joined, 1, F.greatest(n - k + 1, F.lit(0))),
+                                 F.slice(prev, 2, F.greatest(n - k + 1, F.lit(0))), lambda a, b: F.concat(a, b)))
+    def tag(k: int):
+        return lambda x, i: F.struct(i.alias("start"), (i + (k - 1)).alias("end"), F.lit(k).alias("n_tokens"),
+                                     x.alias("phrase"))
+    structs = [F.transform(arr, tag(k)) for k, arr in enumerate(levels, start=1)]
+    out = df.select("text_id", F.explode(F.concat(*structs)).alias("_x")).select(
+        "text_id", "_x.start", "_x.end", "_x.n_tokens", F.trim(F.col("_x.phrase")).alias("phrase"))
     stop = F.lower("phrase").isin(list(STOPWORDS)) & (F.col("n_tokens") == 1)
     return out.filter(~stop & (F.col("phrase") != ""))
 
 
 def _value_suffixes(cat: DataFrame) -> DataFrame:
-    """Every word-start suffix (lower-cased) of every non-identifier value."""
+    """Every word-start suffix (lower-cased, at least 4 characters) of every non-identifier value."""
     low = F.lower("value")
     pos = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))),
                    lambda i: (i == 1) | low.substr(i - 1, F.lit(1)).rlike(r"^\s$"))
@@ -205,6 +214,40 @@ def _value_suffixes(cat: DataFrame) -> DataFrame:
             .filter(F.length("suffix") >= MIN_SUBSTRING_LENGTH))
 
 
+def key_table(cat: DataFrame, delivery_channels: tuple[str, ...]) -> DataFrame:
+    """One lookup table for tiers 1-4: (key, tier, dimension, column, value, suffix).
+
+    exact: ``x:`` + lower(value); alias: ``x:`` + alias; identifier: ``i:`` +
+    prefix + ``:`` + number; substring: ``s:`` + first 4 characters of a
+    word-start suffix (the full suffix is kept for the residual startswith).
+    """
+    exact = cat.select(F.concat(F.lit("x:"), F.lower("value")).alias("key"), F.lit(1).alias("tier"),
+                       "dimension", "column", "value", F.lit(None).cast("string").alias("suffix"))
+    al = alias_table(cat, delivery_channels).select(
+        F.concat(F.lit("x:"), F.col("alias")).alias("key"), F.lit(2).alias("tier"), "dimension", "column", "value",
+        F.lit(None).cast("string").alias("suffix"))
+    ids = cat.filter("is_identifier").select(
+        F.concat(F.lit("i:"), ident_prefix(F.col("value")), F.lit(":"),
+                 ident_number(F.col("value")).cast("string")).alias("key"),
+        F.lit(3).alias("tier"), "dimension", "column", "value", F.lit(None).cast("string").alias("suffix")
+    ).filter(F.col("key").isNotNull())
+    sub = _value_suffixes(cat).select(F.concat(F.lit("s:"), F.substring("suffix", 1, 4)).alias("key"),
+                                      F.lit(4).alias("tier"), "dimension", "column", "value", "suffix")
+    return exact.unionByName(al).unionByName(ids).unionByName(sub)
+
+
+def phrase_keys(ph: DataFrame) -> DataFrame:
+    """The lookup keys a phrase may hit: its lower form, its identifier key, its needle prefix."""
+    low = F.lower("phrase")
+    needle = singular(F.col("phrase"))
+    idk = F.when(F.col("n_tokens") == 1, F.concat(F.lit("i:"), ident_prefix(F.col("phrase")), F.lit(":"),
+                                                  ident_number(F.col("phrase")).cast("string")))
+    sk = F.when(F.length(needle) >= MIN_SUBSTRING_LENGTH, F.concat(F.lit("s:"), F.substring(needle, 1, 4)))
+    keys = F.filter(F.array(F.concat(F.lit("x:"), low), idk, sk), lambda k: k.isNotNull())
+    return ph.select("text_id", "start", "end", "n_tokens", "phrase", needle.alias("_needle"),
+                     F.explode(keys).alias("key"))
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio (difflib) of two lower-cased strings, per Arrow batch."""
@@ -232,71 +275,100 @@ def _fuzzy_candidates(ph: DataFrame, cat: DataFrame) -> DataFrame:
             .filter(F.col("ratio") >= FUZZY_THRESHOLD))
 
 
+_MATCH_FIELDS = ("start", "end", "n_tokens", "tier", "confidence", "dimension", "column", "value", "method", "phrase")
+
+
+def _finish_per_text(cands: DataFrame, max_matches: int) -> DataFrame:
+    """Per text, in one row: first tier per span, greedy span claiming, order and cap (E-04, E-08, E-09)."""
+    g = cands.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(*_MATCH_FIELDS))).alias("_m"))
+    # 1. keep the lowest tier of every span (array sorted by start, end, n_tokens, tier)
+    acc0 = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(0).alias("t"),
+                    F.array().cast(g.schema["_m"].dataType).alias("k"))
+    won = F.aggregate("_m", acc0, lambda a, x: F.when(
+        (a["s"] != x["start"]) | (a["e"] != x["end"]),
+        F.struct(x["start"].alias("s"), x["end"].alias("e"), x["tier"].alias("t"),
+                 F.concat(a["k"], F.array(x)).alias("k")))
+        .otherwise(F.struct(a["s"].alias("s"), a["e"].alias("e"), a["t"].alias("t"),
+                            F.when(x["tier"] == a["t"], F.concat(a["k"], F.array(x))).otherwise(a["k"]).alias("k"))),
+        lambda a: a["k"])
+    g = g.select("text_id", won.alias("_w"))
+    # 2. greedy: spans by size descending, then left to right; overlapping spans are skipped
+    spans = F.array_sort(F.array_distinct(F.transform("_w", lambda x: F.struct(
+        (-x["n_tokens"]).alias("neg"), x["start"].alias("start"), x["end"].alias("end")))))
+    empty = F.array().cast("array<struct<neg:int,start:int,end:int>>")
+    accepted = F.aggregate(spans, empty, lambda acc, x: F.when(
+        F.exists(acc, lambda a: (a["start"] <= x["end"]) & (x["start"] <= a["end"])), acc)
+        .otherwise(F.concat(acc, F.array(x))))
+    g = g.select("text_id", "_w", accepted.alias("_a"))
+    kept = F.filter("_w", lambda m: F.exists("_a", lambda a: (a["start"] == m["start"]) & (a["end"] == m["end"])))
+    # 3. order by confidence desc, dimension, value (then position) and cap
+    ordered = F.array_sort(F.transform(kept, lambda m: F.struct(
+        (-m["confidence"]).alias("nc"), m["dimension"].alias("dimension"), m["value"].alias("value"),
+        m["start"].alias("start"), m["column"].alias("column"), m["method"].alias("method"),
+        m["phrase"].alias("phrase"), m["confidence"].alias("confidence"))))
+    capped = F.slice(ordered, 1, max_matches)
+    return g.select("text_id", F.posexplode(capped).alias("_r", "_x")).select(
+        "text_id", F.col("_x.phrase").alias("text"), F.col("_x.dimension").alias("dimension"),
+        F.col("_x.column").alias("column"), F.col("_x.value").alias("value"),
+        F.col("_x.confidence").alias("confidence"), F.col("_x.method").alias("method"),
+        (F.col("_r") + 1).alias("match_rank"))
+
+
+_LOOKUP_MEMO: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def lookup_tables(star: Star) -> tuple[DataFrame, DataFrame]:
+    """Catalogue and key table of a star, built once and checkpointed to the shared folder.
+
+    Both are ETL products (distinct dimension values and their lookup keys);
+    every resolution joins against the materialised copy instead of re-deriving
+    the 16 distinct scans.
+    """
+    from martlens.session import ensure_checkpoint_dir
+
+    spark = star.fact_orders.sparkSession
+    key = (spark.sparkContext.applicationId, f"{star.source}|{star.profile.name}")
+    if key not in _LOOKUP_MEMO:
+        ensure_checkpoint_dir(spark)
+        cat = catalogue(star).checkpoint(eager=True)
+        kt = key_table(cat, star.profile.delivery_channels).checkpoint(eager=True)
+        _LOOKUP_MEMO[key] = (cat, kt)
+    return _LOOKUP_MEMO[key]
+
+
 def resolve(texts: DataFrame, cat: DataFrame, delivery_channels: tuple[str, ...], fuzzy: bool = True,
-            max_matches: int = MAX_MATCHES) -> DataFrame:
-    """Matches per text: (text_id, text, dimension, column, value, confidence, method) (E-04 ... E-09)."""
-    cat = broadcast_if_small(cat, 1_000_000)
-    ph = phrases(texts).withColumn("_key", F.lower("phrase"))
-    base = ["text_id", "start", "end", "n_tokens", "phrase"]
-    # 1 exact
-    c1 = cat.select("dimension", "column", "value", F.lower("value").alias("_key"))
-    t1 = ph.join(c1, "_key").select(*base, "dimension", "column", "value",
-                                      F.when(F.col("phrase") == F.col("value"), F.lit(CONFIDENCE_EXACT))
-                                      .otherwise(F.lit(CONFIDENCE_CASE_INSENSITIVE)).alias("confidence"),
-                                      F.lit("exact").alias("method"), F.lit(1).alias("tier"))
-    # 2 alias
-    al = alias_table(cat, delivery_channels).withColumnRenamed("alias", "_key")
-    t2 = ph.join(F.broadcast(al), "_key").select(*base, "dimension", "column", "value",
-                                                 F.lit(CONFIDENCE_ALIAS).alias("confidence"),
-                                                 F.lit("alias").alias("method"), F.lit(2).alias("tier"))
-    # 3 identifier
-    ids = cat.filter("is_identifier").select("dimension", "column", "value", ident_prefix(F.col("value")).alias("_ip"),
-                                             ident_number(F.col("value")).alias("_in")).filter(F.col("_ip").isNotNull())
-    pid = ph.filter(F.col("n_tokens") == 1).select(*base, ident_prefix(F.col("phrase")).alias("_ip"),
-                                                  ident_number(F.col("phrase")).alias("_in")).filter(
-        F.col("_ip").isNotNull())
-    t3 = pid.join(ids, ["_ip", "_in"]).select(*base, "dimension", "column", "value",
-                                              F.when(F.upper("phrase") == F.upper("value"), F.lit(CONFIDENCE_EXACT))
-                                              .otherwise(F.lit(CONFIDENCE_NORMALISED_ID)).alias("confidence"),
-                                              F.lit("identifier").alias("method"), F.lit(3).alias("tier"))
-    # 4 word-start substring
-    needle = ph.select(*base, singular(F.col("phrase")).alias("_needle")).filter(
-        F.length("_needle") >= MIN_SUBSTRING_LENGTH).withColumn("_k4", F.substring("_needle", 1, 4))
-    suf = _value_suffixes(cat).withColumn("_k4", F.substring("suffix", 1, 4))
-    t4 = (needle.join(suf, "_k4").filter(F.col("suffix").startswith(F.col("_needle")))
-          .select(*base, "dimension", "column", "value").distinct()
-          .select(*base, "dimension", "column", "value", F.lit(CONFIDENCE_SUBSTRING).alias("confidence"),
-                  F.lit("substring").alias("method"), F.lit(4).alias("tier")))
-    cands = t1.unionByName(t2).unionByName(t3).unionByName(t4)
+            max_matches: int = MAX_MATCHES, cat_key: str | None = None, kt: DataFrame | None = None) -> DataFrame:
+    """Matches per text: (text_id, text, dimension, column, value, confidence, method, match_rank) (E-04 ... E-09).
+
+    Phrases and their keys are produced row-locally; tiers 1-4 are one
+    equi-join with the key table (broadcast behind a size check); everything
+    after is one aggregation per text.
+    """
+    kt = broadcast_if_small(kt if kt is not None else key_table(cat, delivery_channels), 1_000_000, key=cat_key)
+    ph = phrases(texts)
+    j = phrase_keys(ph).join(kt, "key").filter((F.col("tier") != 4) | F.col("suffix").startswith(F.col("_needle")))
+    conf = (F.when(F.col("tier") == 1, F.when(F.col("phrase") == F.col("value"), F.lit(CONFIDENCE_EXACT))
+                   .otherwise(F.lit(CONFIDENCE_CASE_INSENSITIVE)))
+            .when(F.col("tier") == 2, F.lit(CONFIDENCE_ALIAS))
+            .when(F.col("tier") == 3, F.when(F.upper("phrase") == F.upper("value"), F.lit(CONFIDENCE_EXACT))
+                  .otherwise(F.lit(CONFIDENCE_NORMALISED_ID)))
+            .otherwise(F.lit(CONFIDENCE_SUBSTRING)))
+    method = F.element_at(F.array(*[F.lit(m) for m in ("exact", "alias", "identifier", "substring")]), F.col("tier"))
+    cands = j.select("text_id", "start", "end", "n_tokens", "tier", conf.alias("confidence"), "dimension", "column",
+                     "value", method.alias("method"), "phrase").distinct()
     if fuzzy:
         fz = _fuzzy_candidates(ph, cat)
-        vals = cat.filter(~F.col("is_identifier")).select("dimension", "column", "value",
-                                                          F.lower("value").alias("vl"))
-        t5 = (ph.filter((F.col("n_tokens") == 1) & (F.length("phrase") >= MIN_FUZZY_LENGTH))
-              .withColumn("tok", F.lower("phrase")).join(fz, "tok").join(vals, "vl"))
+        vals = cat.filter(~F.col("is_identifier")).select("dimension", "column", "value", F.lower("value").alias("vl"))
+        single = ph.filter((F.col("n_tokens") == 1) & (F.length("phrase") >= MIN_FUZZY_LENGTH)).withColumn(
+            "tok", F.lower("phrase"))
+        t5 = single.join(fz, "tok").join(vals, "vl")
         best = Window.partitionBy("text_id", "start", "end")
         t5 = (t5.withColumn("_best", F.max("ratio").over(best)).filter(F.col("ratio") >= F.col("_best") - FUZZY_BAND)
-              .select(*base, "dimension", "column", "value",
+              .select("text_id", "start", "end", "n_tokens", F.lit(5).alias("tier"),
                       F.round(F.lit(CONFIDENCE_FUZZY_BASE) * F.col("ratio"), 3).alias("confidence"),
-                      F.lit("fuzzy").alias("method"), F.lit(5).alias("tier")))
+                      "dimension", "column", "value", F.lit("fuzzy").alias("method"), "phrase"))
         cands = cands.unionByName(t5)
-    span = Window.partitionBy("text_id", "start", "end")
-    won = cands.withColumn("_min", F.min("tier").over(span)).filter(F.col("tier") == F.col("_min")).drop("_min")
-    # E-08 greedy span consumption, per text
-    spans = won.select("text_id", "start", "end", "n_tokens").distinct()
-    ordered = spans.groupBy("text_id").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("n_tokens")).alias("neg"), "start", "end"))).alias("_s"))
-    empty = F.array().cast("array<struct<neg:int,start:int,end:int>>")
-    accepted = ordered.select("text_id", F.explode(F.aggregate(
-        "_s", empty,
-        lambda acc, x: F.when(F.exists(acc, lambda a: (a["start"] <= x["end"]) & (x["start"] <= a["end"])), acc)
-        .otherwise(F.concat(acc, F.array(x))))).alias("_a")).select("text_id", "_a.start", "_a.end")
-    matches = won.join(accepted, ["text_id", "start", "end"])
-    # E-09 ordering and cap
-    order = Window.partitionBy("text_id").orderBy(F.col("confidence").desc(), "dimension", "value", "start")
-    return (matches.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_matches)
-            .select("text_id", F.col("phrase").alias("text"), "dimension", "column", "value", "confidence", "method",
-                    F.col("_rank").alias("match_rank")))
+    return _finish_per_text(cands, max_matches)
 
 
 # --- E-10 ... E-13 ---------------------------------------------------------------------------------

@@ -123,16 +123,22 @@ matches AS (SELECT text_id, phrase AS text, dimension, "column", value, CAST(con
 RESOLVE = resolve_sql(TEXTS_SQL)
 
 
+def _resolve(star, fuzzy: bool):
+    cat, kt = E.lookup_tables(star)
+    return E.resolve(mention_texts(star), cat, P.delivery_channels, fuzzy=fuzzy, kt=kt,
+                     cat_key=f"{star.source}/keytable")
+
+
 @register("entity_resolution_exact_tiers", O.with_star("SELECT * FROM matches", extra_ctes=RESOLVE))
 def entity_resolution_exact_tiers(star, spark, sf_dir):
     """Resolve mentions to dimension values by the exact, alias, identifier and substring tiers (E-01 ... E-09)."""
-    return E.resolve(mention_texts(star), E.catalogue(star), P.delivery_channels, fuzzy=False)
+    return _resolve(star, fuzzy=False)
 
 
 @register("entity_resolution_full", None)
 def entity_resolution_full(star, spark, sf_dir):
     """All five tiers including the similarity ratio (E-06); rows-only: the ratio has no SQL equivalent."""
-    return E.resolve(mention_texts(star), E.catalogue(star), P.delivery_channels, fuzzy=True)
+    return _resolve(star, fuzzy=True)
 
 
 @register("entity_ambiguity", O.with_star(f"""
@@ -144,7 +150,7 @@ SELECT text_id, text, n_dimensions, candidates FROM (
                                             extra_ctes=RESOLVE))
 def entity_ambiguity(star, spark, sf_dir):
     """Phrases matching two or more dimensions with close confidence (E-10)."""
-    return E.ambiguous(E.resolve(mention_texts(star), E.catalogue(star), P.delivery_channels, fuzzy=False))
+    return E.ambiguous(_resolve(star, fuzzy=False))
 
 
 @register("entity_by_dimension", O.with_star("""
@@ -152,7 +158,7 @@ SELECT text_id, dimension, COUNT(*) AS n_matches, array_to_string(list_sort(list
 FROM matches GROUP BY text_id, dimension""", extra_ctes=RESOLVE))
 def entity_by_dimension(star, spark, sf_dir):
     """Resolved values grouped per text and dimension (E-11)."""
-    return E.group_by_dimension(E.resolve(mention_texts(star), E.catalogue(star), P.delivery_channels, fuzzy=False))
+    return E.group_by_dimension(_resolve(star, fuzzy=False))
 
 
 @register("entity_catalogue_counts", O.with_star(
@@ -160,7 +166,7 @@ def entity_by_dimension(star, spark, sf_dir):
     extra_ctes=catalogue_sql()))
 def entity_catalogue_counts(star, spark, sf_dir):
     """Size of the catalogue per dimension (E-01)."""
-    return E.catalogue(star).groupBy("dimension", "column", "is_identifier").agg(F.count(F.lit(1)).alias("n_values"))
+    return E.lookup_tables(star)[0].groupBy("dimension", "column", "is_identifier").agg(F.count(F.lit(1)).alias("n_values"))
 
 
 @register("topic_tags_conversations", f"""
