@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.functions import scalars as S
-from martlens.operators.joins import orphans
+from martlens.operators.joins import broadcast_if_small
 from martlens.operators.marts import build_marts
 from martlens.sources.star import PRIMARY_KEYS, Star
 
@@ -87,13 +87,45 @@ def expected_counts_literal(spark: SparkSession, counts: dict[str, int]) -> Data
                                  ", ".join(f"exp_{t} long" for t in EXPECTED_TABLES))
 
 
+def _pk_dups(df: DataFrame, keys: list[str]) -> Column:
+    """Duplicate rows on a key: rows minus distinct keys (NULL keys count as duplicates)."""
+    k = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    return F.count(F.lit(1)) - F.countDistinct(k)
+
+
+def _fk_small(fact: DataFrame, col: str, parent: DataFrame, pcol: str, flag: str, memo: str | None = None) -> DataFrame:
+    """LEFT join a parent's distinct keys (broadcast behind a size check) and mark matches."""
+    keys = broadcast_if_small(parent.select(F.col(pcol).alias(f"__k_{flag}")).distinct(), 1_000_000, key=memo)
+    return fact.join(keys, F.col(col) == F.col(f"__k_{flag}"), "left")
+
+
+def _fk_large(child: DataFrame, col: str, parent: DataFrame, pcol: str, allow_null: bool, alias: str) -> DataFrame:
+    """Orphan rows against a large parent: child keys are pre-aggregated (map-side combine)
+    to (key, rows) before the anti join, so the shuffle moves distinct keys, not rows."""
+    c = child.filter(F.col(col).isNotNull()) if allow_null else child
+    per_key = c.groupBy(F.col(col).alias("__ck")).agg(F.count(F.lit(1)).alias("__n"))
+    orph = per_key.join(parent.select(F.col(pcol).alias("__pk")).distinct(), F.col("__ck") == F.col("__pk"),
+                        "left_anti")
+    return orph.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias(alias))
+
+
 def quality_stats(star: Star, expected: DataFrame) -> DataFrame:
-    """One row holding every measure the checks need (fused per table)."""
+    """One row holding every measure the checks need.
+
+    About a dozen passes in total: one aggregation per table (with the foreign
+    keys to small dimensions folded in as broadcast left joins), one
+    order-level full outer join shared by the header/line checks, and a
+    pre-aggregated anti join per large parent.
+    """
     p = star.profile
     fo, fl, cal = star.fact_orders, star.fact_order_lines, star.dim_calendar
     fest_names = [fp.name for fp in p.festive_periods]
     net = F.col("net_before_tax")
-    fo_stats = fo.agg(
+    src = f"{star.source}|{id(star.dim_store)}|{id(star.dim_promotion)}|{id(cal)}"
+    small_fk = _fk_small(fo, "store_id", star.dim_store, "store_id", "store", f"{src}/fk_store")
+    small_fk = _fk_small(small_fk, "promo_id", star.dim_promotion, "promo_id", "promo", f"{src}/fk_promo")
+    small_fk = _fk_small(small_fk, "order_date", cal, "date", "cal", f"{src}/fk_cal")
+    fo_stats = small_fk.agg(
         F.count(F.lit(1)).alias("rows_fact_orders"),
         _sum_counts([_cnt(F.col(c).isNull()) for c in REQUIRED_COLUMNS]).alias("fo_null_required"),
         F.min("order_date").alias("fo_min_date"), F.max("order_date").alias("fo_max_date"),
@@ -117,6 +149,9 @@ def quality_stats(star: Star, expected: DataFrame) -> DataFrame:
         F.sum("total_qty").alias("fo_units"),
         _cnt(~F.col("order_hour").between(0, 23)).alias("fo_bad_hour"),
         F.countDistinct("store_id").alias("fo_distinct_stores"),
+        _cnt(F.col("__k_store").isNull()).alias("fk_fact_orders_store_id"),
+        _cnt(F.col("promo_id").isNotNull() & F.col("__k_promo").isNull()).alias("fk_fact_orders_promo_id"),
+        _cnt(F.col("__k_cal").isNull()).alias("fk_fact_orders_order_date"),
     )
     fl_stats = fl.agg(
         F.count(F.lit(1)).alias("rows_fact_order_lines"),
@@ -125,16 +160,20 @@ def quality_stats(star: Star, expected: DataFrame) -> DataFrame:
         F.sum("quantity").alias("fl_units"),
     )
     cal_stats = cal.agg(
-        F.count(F.lit(1)).alias("rows_dim_calendar"),
+        F.count(F.lit(1)).alias("rows_dim_calendar"), _pk_dups(cal, ["date"]).alias("pk_dim_calendar"),
         _cnt(~F.col("month_key").rlike(MONTH_KEY_RE)).alias("cal_bad_mk"),
         _cnt(F.col("is_weekend") != (F.col("day_type") == "Weekend").cast("int")).alias("cal_weekend_mm"),
         _cnt(F.col("is_festive") != F.col("festive_period").isin(fest_names).cast("int")).alias("cal_festive_mm"),
     )
     dp_stats = star.dim_product.agg(
-        F.count(F.lit(1)).alias("rows_dim_product"),
+        F.count(F.lit(1)).alias("rows_dim_product"), _pk_dups(star.dim_product, ["sku_id"]).alias("pk_dim_product"),
         _sum_counts([_cnt(F.col(c) < 0) for c in NON_NEGATIVE["dim_product"]]).alias("dp_neg"))
-    dims = (_one(star.dim_store, "rows_dim_store").crossJoin(_one(star.dim_customer, "rows_dim_customer"))
-            .crossJoin(_one(star.dim_promotion, "rows_dim_promotion")))
+    dims = (star.dim_store.agg(F.count(F.lit(1)).alias("rows_dim_store"),
+                               _pk_dups(star.dim_store, ["store_id"]).alias("pk_dim_store"))
+            .crossJoin(star.dim_customer.agg(F.count(F.lit(1)).alias("rows_dim_customer"),
+                                             _pk_dups(star.dim_customer, ["customer_id"]).alias("pk_dim_customer")))
+            .crossJoin(star.dim_promotion.agg(F.count(F.lit(1)).alias("rows_dim_promotion"),
+                                              _pk_dups(star.dim_promotion, ["promo_id"]).alias("pk_dim_promotion"))))
     marts = build_marts(star)
     mart_stats = None
     for name, m in marts.items():
@@ -143,31 +182,26 @@ def quality_stats(star: Star, expected: DataFrame) -> DataFrame:
                    _cnt(~F.col("month_key").rlike(MONTH_KEY_RE)).alias(f"{short}_bad_mk"),
                    F.sum("revenue_net").alias(f"{short}_revenue"),
                    F.sum("orders").alias(f"{short}_orders"),
-                   _cnt(F.abs(F.col("aov") - S.safe_ratio("revenue_net", "orders")) > 0.01).alias(f"{short}_aov_mm"))
+                   _cnt(F.abs(F.col("aov") - S.safe_ratio("revenue_net", "orders")) > 0.01).alias(f"{short}_aov_mm"),
+                   _pk_dups(m, PRIMARY_KEYS[name]).alias(f"pk_{name}"))
         mart_stats = st if mart_stats is None else mart_stats.crossJoin(st)
-    tables = star.tables()
-    fk = None
-    for child, col, parent, pcol, allow_null in FOREIGN_KEYS:
-        o = _one(orphans(tables[child].select(col), col, tables[parent], pcol, allow_null), f"fk_{child}_{col}")
-        fk = o if fk is None else fk.crossJoin(o)
-    # lines per order, shared by every_order_has_lines and line_to_header
-    per_order = fl.groupBy("order_id").agg(F.sum("line_net_value").alias("_lines_net"))
-    without_lines = _one(fo.select("order_id").join(per_order, "order_id", "left_anti"), "orders_without_lines")
-    joined = fo.select("order_id", "net_before_tax").join(per_order, "order_id", "inner").withColumn(
-        "_var", F.abs(F.col("_lines_net") - F.col("net_before_tax")))
-    l2h = joined.agg(
-        _cnt(F.col("_var") > S.dec(f"{p.line_reconcile_tolerance:.2f}")).alias("l2h_affected"),
-        F.coalesce(F.sum(F.when(F.col("_var") > S.dec(f"{p.line_reconcile_tolerance:.2f}"), F.col("_var"))),
-                   S.dec("0.00")).alias("l2h_variance"))
-    pk = None
-    all_tables = {**tables, **marts}
-    for name, keys in PRIMARY_KEYS.items():
-        d = all_tables[name].groupBy(*keys).count().filter(F.col("count") > 1)
-        o = _one(d, f"pk_{name}")
-        pk = o if pk is None else pk.crossJoin(o)
+    # header <-> lines at order grain, one full outer join for four checks
+    hdr = fo.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n_hdr"), F.sum("net_before_tax").alias("_hdr"))
+    lines = fl.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n_ln"), F.sum("line_net_value").alias("_ln"))
+    tol = S.dec(f"{p.line_reconcile_tolerance:.2f}")
+    var = F.abs(F.col("_ln") - F.col("_hdr"))
+    both = F.col("_n_hdr").isNotNull() & F.col("_n_ln").isNotNull()
+    ol = hdr.join(lines, "order_id", "full_outer").agg(
+        F.coalesce(F.sum(F.col("_n_hdr") - 1), F.lit(0)).cast("long").alias("pk_fact_orders"),
+        _cnt(F.col("_n_ln").isNull()).alias("orders_without_lines"),
+        F.coalesce(F.sum(F.when(F.col("_n_hdr").isNull() | F.col("order_id").isNull(), F.col("_n_ln"))), F.lit(0))
+        .cast("long").alias("fk_fact_order_lines_order_id"),
+        _cnt(both & (var > tol)).alias("l2h_affected"),
+        F.coalesce(F.sum(F.when(both & (var > tol), var)), S.dec("0.00")).alias("l2h_variance"))
+    fk_big = (_fk_large(fo, "customer_id", star.dim_customer, "customer_id", True, "fk_fact_orders_customer_id")
+              .crossJoin(_fk_large(fl, "sku_id", star.dim_product, "sku_id", False, "fk_fact_order_lines_sku_id")))
     stats = (fo_stats.crossJoin(fl_stats).crossJoin(cal_stats).crossJoin(dp_stats).crossJoin(dims)
-             .crossJoin(mart_stats).crossJoin(fk).crossJoin(without_lines).crossJoin(l2h).crossJoin(pk)
-             .crossJoin(expected))
+             .crossJoin(mart_stats).crossJoin(ol).crossJoin(fk_big).crossJoin(expected))
     return stats
 
 

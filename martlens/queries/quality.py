@@ -37,8 +37,11 @@ def _fk(child, col, parent, pcol, allow_null) -> str:
 
 
 def _pk(name, keys) -> str:
-    k = ", ".join(keys)
-    return f"(SELECT COUNT(*) FROM (SELECT {k} FROM {name} GROUP BY {k} HAVING COUNT(*) > 1) d) AS pk_{name}"
+    if name == "fact_orders":
+        return "(SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) AS n FROM fact_orders GROUP BY order_id) d) " \
+               "AS pk_fact_orders"
+    k = keys[0] if len(keys) == 1 else "(" + ", ".join(keys) + ")"
+    return f"(SELECT COUNT(*) - COUNT(DISTINCT {k}) FROM {name}) AS pk_{name}"
 
 
 MK = "'^[0-9]{4}-[0-9]{2}$'"
@@ -85,11 +88,12 @@ STATS_CTES = ",\n".join([
                      ("mart_channel_month", "channel"))) + ")",
     "fk AS (SELECT " + ", ".join(_fk(*f) for f in Q.FOREIGN_KEYS) + ")",
     """per_order AS (SELECT order_id, SUM(line_net_value) AS ln FROM fact_order_lines GROUP BY order_id),
-wl AS (SELECT (SELECT COUNT(*) FROM fact_orders o WHERE NOT EXISTS
+hdr AS (SELECT order_id, SUM(net_before_tax) AS h FROM fact_orders GROUP BY order_id),
+wl AS (SELECT (SELECT COUNT(*) FROM hdr o WHERE NOT EXISTS
                (SELECT 1 FROM per_order p WHERE p.order_id = o.order_id)) AS orders_without_lines),
 l2h AS (SELECT COUNT(CASE WHEN v > 1.00 THEN 1 END) AS l2h_affected,
                COALESCE(SUM(CASE WHEN v > 1.00 THEN v END), 0) AS l2h_variance
-        FROM (SELECT abs(p.ln - o.net_before_tax) AS v FROM fact_orders o JOIN per_order p ON o.order_id = p.order_id) j)""",
+        FROM (SELECT abs(p.ln - o.h) AS v FROM hdr o JOIN per_order p ON o.order_id = p.order_id) j)""",
     "pk AS (SELECT " + ", ".join(_pk(n, k) for n, k in PRIMARY_KEYS.items()) + ")",
     f"""expected AS (SELECT (SELECT COUNT(*) FROM nation) AS exp_dim_store, (SELECT COUNT(*) FROM part) AS exp_dim_product,
   (SELECT COUNT(*) FROM customer) AS exp_dim_customer, (SELECT COUNT(*) FROM orders) AS exp_fact_orders,
