@@ -14,7 +14,7 @@ from martlens.plans import decline as DC
 from martlens.plans import entities as E
 from martlens.profile import TESTDATA as P
 from martlens.queries.core import Q2_BASE
-from martlens.queries.decline import trend_sql
+from martlens.queries.decline import dvb_sql, trend_sql
 from martlens.queries.quality import _mart_cte
 from martlens.registry import register
 from martlens.sources.sinks import preview
@@ -240,3 +240,56 @@ def e02_conversation_phrases(star, spark, sf_dir):
     texts = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
     return E.phrases(texts).groupBy("text_id").agg(F.count(F.lit(1)).alias("n_phrases"),
                                                    F.max("n_tokens").alias("max_tokens"))
+
+
+# --- S-12 / L-06 / C-08 / S-13 ----------------------------------------------------------------------
+@register("s12_star_row_counts", O.with_star("""
+SELECT 'dim_store' AS table_name, COUNT(*) AS "rows" FROM dim_store
+UNION ALL SELECT 'dim_product', COUNT(*) FROM dim_product
+UNION ALL SELECT 'dim_customer', COUNT(*) FROM dim_customer
+UNION ALL SELECT 'dim_promotion', COUNT(*) FROM dim_promotion
+UNION ALL SELECT 'dim_calendar', COUNT(*) FROM dim_calendar
+UNION ALL SELECT 'fact_orders', COUNT(*) FROM fact_orders
+UNION ALL SELECT 'fact_order_lines', COUNT(*) FROM fact_order_lines"""))
+def s12_star_row_counts(star, spark, sf_dir):
+    """Row count of every star table after the build (S-12)."""
+    from martlens.sources.star import row_counts
+    return row_counts(star)
+
+
+L06_CTES = f"""firsts AS (SELECT store_id, MIN(order_date) AS f FROM wide_orders WHERE {W} GROUP BY store_id),
+k AS (SELECT store_id, row_number() OVER (ORDER BY f, store_id) AS series_rank FROM firsts ORDER BY f, store_id LIMIT 8)"""
+
+
+@register("l06_first_series_pivot", O.with_star(f"""
+SELECT k.store_id, k.series_rank, {", ".join(
+    f"CAST(COALESCE(SUM(CASE WHEN o.month_key = '{m}' THEN o.net_before_tax END), 0) AS DOUBLE) AS rev_{m.replace('-', '_')}"
+    for m in P.window().months())}
+FROM k JOIN wide_orders o ON o.store_id = k.store_id AND {W.replace('order_date', 'o.order_date')}
+GROUP BY k.store_id, k.series_rank""", extra_ctes=L06_CTES))
+def l06_first_series_pivot(star, spark, sf_dir):
+    """First 8 stores by first appearance, pivoted by month for charting (L-06, A-23)."""
+    from martlens.operators.topk import first_k_categories
+    wo = A.window_orders(star)
+    k = first_k_categories(wo, "store_id", "order_date", 8)
+    piv = DC.monthly_pivot(wo.join(F.broadcast(k), "store_id"), ["store_id", "series_rank"], P.window().months())
+    return piv.select("store_id", "series_rank", *[F.col(DC.month_col(m)).cast("double").alias(DC.month_col(m))
+                                                   for m in P.window().months()])
+
+
+@register("c08_flag_columns", O.with_star("""
+SELECT 'is_above_baseline' AS "column" FROM dvb
+HAVING COUNT(CASE WHEN is_above_baseline NOT IN (0, 1) THEN 1 END) = 0 AND COUNT(is_above_baseline) > 0""",
+                                          extra_ctes=dvb_sql(["store_id"])))
+def c08_flag_columns(star, spark, sf_dir):
+    """Flag-named columns whose values lie in {0, 1} (C-08), on the decline-vs-baseline table."""
+    from martlens.plans.verify import flag_columns
+    return flag_columns(DC.decline_vs_baseline(star, ["store_id"]))
+
+
+@register("s13_golden_payload", None)
+def s13_golden_payload(star, spark, sf_dir):
+    """Q1 answer as a nested JSON payload, floats rounded to 2, dates ISO (S-13); rows-only."""
+    from martlens.sources.sinks import golden_payload
+    return golden_payload("What was our total revenue, order count and AOV in the last 3 months?",
+                          {"headline": A.headline(star), "monthly": A.monthly(star)})
