@@ -193,7 +193,7 @@ def bind_star(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) ->
         profile=profile, dim_store=dim_store, dim_product=dim_product, dim_customer=dim_customer,
         dim_promotion=dim_promotion, dim_calendar=dim_calendar, fact_orders=fact_orders,
         fact_order_lines=fact_order_lines.select(*COLUMNS["fact_order_lines"]),
-        wide_orders=wide_orders, wide_lines=wide_lines, source=sf_dir)
+        wide_orders=wide_orders, wide_lines=wide_lines, source=sf_dir, lines_base=fact_order_lines)
 
 
 _STAR_MEMO: dict[tuple[str, str, str], Star] = {}

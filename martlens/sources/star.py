@@ -65,8 +65,10 @@ class Star:
     wide_orders: DataFrame
     # line fact with order date/month/store/channel and product attributes (LEFT)
     wide_lines: DataFrame
-    # order_id -> sum of line net value; used by the line-to-header check
     source: str = "lazy"
+    # line fact with product attributes, before the order attributes are attached
+    # (lets the writer join lines to the *written* order fact instead of re-deriving it)
+    lines_base: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in DIMENSIONS + FACTS}
@@ -100,9 +102,18 @@ def write_star(star: Star, path: str | None = None) -> str:
     root = path or os.path.join(ensure_checkpoint_dir(spark), f"star-{uuid.uuid4().hex[:12]}")
     for name in DIMENSIONS:
         getattr(star, name).write.mode("overwrite").parquet(os.path.join(root, name))
-    for name in ("wide_orders", "wide_lines"):
-        df = getattr(star, name).hint("rebalance", "month_key")
-        df.write.mode("overwrite").partitionBy("month_key").parquet(os.path.join(root, name))
+    star.wide_orders.hint("rebalance", "month_key").write.mode("overwrite").partitionBy("month_key").parquet(
+        os.path.join(root, "wide_orders"))
+    wide_lines = star.wide_lines
+    if star.lines_base is not None:
+        # attach order attributes from the order fact just written: the
+        # order-customer join is not evaluated a second time
+        written = spark.read.parquet(os.path.join(root, "wide_orders")).select(
+            F.col("order_id").alias("__oid"), *LINE_ORDER_ATTRS)
+        wide_lines = (star.lines_base.join(written, F.col("order_id") == F.col("__oid"), "left").drop("__oid")
+                      .select(*star.wide_lines.columns))
+    wide_lines.hint("rebalance", "month_key").write.mode("overwrite").partitionBy("month_key").parquet(
+        os.path.join(root, "wide_lines"))
     return root
 
 
