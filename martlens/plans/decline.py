@@ -141,17 +141,6 @@ def store_decline(star: Star, w: TimeWindow | None = None) -> DataFrame:
                     "change_pct", F.col("strictly_declining").alias("declined_every_month"))
 
 
-def _slice_aggregate(star: Star, w: TimeWindow, prior: TimeWindow) -> DataFrame:
-    """(store, channel, month) aggregates over the prior and current windows."""
-    lo, hi = min(w.start, prior.start), max(w.end, prior.end)
-    df = in_window(star.wide_orders, lo, hi).withColumn(
-        "_period", F.when(F.col("order_date").between(S.lit_date(w.start), S.lit_date(w.end)), F.lit("window"))
-        .when(F.col("order_date").between(S.lit_date(prior.start), S.lit_date(prior.end)), F.lit("prior")))
-    return df.groupBy(*STORE_KEYS, "channel", "month_key", "_period").agg(
-        F.sum("net_before_tax").alias("_rev"), F.count("order_id").alias("_orders"),
-        F.sum("total_qty").alias("_units"))
-
-
 def diagnostics_monthly(star: Star, w: TimeWindow | None = None, only_declining: bool = True) -> DataFrame:
     """Store x month spine of revenue, orders, units, AOV, units/order, identified customers (A-31).
 

@@ -44,7 +44,6 @@ METRIC_TOKENS = {
     "revenue_with_tax": ("revenue",), "gross_revenue": ("gross", "revenue"), "discount": ("discount",),
 }
 MIN_ROWS_FOR_TOPN_WARNING = 2
-MAX_OFFENDERS = 10
 REPORT_SCHEMA = ("name string, severity string, passed boolean, result_ids array<string>, n_offenders bigint, "
                  "message string")
 
@@ -232,13 +231,11 @@ def _any(cols: list[Column]) -> Column:
 
 
 def _check_row(cands: DataFrame, name: str, severity: str, ok_msg: str, bad_msg: str) -> DataFrame:
-    offenders = cands.filter(F.col("applicable") & F.col("offending"))
     agg = cands.agg(
         F.count(F.when(F.col("applicable") & F.col("offending"), 1)).alias("n_offenders"),
         F.transform(F.array_sort(F.collect_set(F.when(F.col("applicable") & F.col("offending"),
                                                       F.struct("idx", "rid")))), lambda s: s["rid"])
         .alias("result_ids"))
-    del offenders
     return agg.select(
         F.lit(name).alias("name"), F.lit(severity).alias("severity"), (F.col("n_offenders") == 0).alias("passed"),
         F.col("result_ids"), F.col("n_offenders"),

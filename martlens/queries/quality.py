@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from martlens import oracle as O
 from martlens.plans import quality as Q

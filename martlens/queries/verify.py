@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from martlens import oracle as O
 from martlens.plans import analyses as A
 from martlens.plans import verify as V
 from martlens.profile import TESTDATA as P

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.functions import scalars as S
-from martlens.operators.joins import broadcast_if_small, broadcast_literal
+from martlens.operators.joins import broadcast_if_small
 from martlens.profile import TESTDATA, Profile
 from martlens.sources.raw import read_source
-from martlens.sources.star import COLUMNS, LINE_ORDER_ATTRS, LINE_PRODUCT_ATTRS, Star
+from martlens.sources.star import COLUMNS, LINE_ORDER_ATTRS, Star
 
 # Promotions have no source table in the testdata; six fixed rows.
 PROMOTIONS = [
