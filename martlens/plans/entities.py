@@ -324,10 +324,10 @@ def lookup_tables(star: Star) -> tuple[DataFrame, DataFrame]:
     every resolution joins against the materialised copy instead of re-deriving
     the 16 distinct scans.
     """
-    from martlens.session import ensure_checkpoint_dir
+    from martlens.session import app_key, ensure_checkpoint_dir
 
     spark = star.fact_orders.sparkSession
-    key = (spark.sparkContext.applicationId, f"{star.source}|{star.profile.name}")
+    key = (app_key(spark), f"{star.source}|{star.profile.name}")
     if key not in _LOOKUP_MEMO:
         ensure_checkpoint_dir(spark)
         cat = catalogue(star).checkpoint(eager=True)

@@ -43,6 +43,19 @@ def get_spark(app: str = "martlens", cpus: int | str = "*", shuffle_partitions:
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        return None
+
+
+def app_key(spark: SparkSession) -> str:
+    """Identifier of the running application, for per-application memos."""
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else (spark.conf.get("spark.app.id", None) or str(id(spark)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only when unset.
 
@@ -50,14 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     used as is. Only a session without one (a test, a local bench) gets a fresh
     temporary folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
     local = tempfile.mkdtemp(prefix="martlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 

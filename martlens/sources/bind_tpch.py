@@ -212,7 +212,8 @@ def star_for(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) -> S
     from martlens.sources.star import read_star, write_star
 
     path = os.path.abspath(sf_dir)
-    key = (spark.sparkContext.applicationId, path, profile.name)
+    from martlens.session import app_key
+    key = (app_key(spark), path, profile.name)
     if key in _STAR_MEMO:
         return _STAR_MEMO[key]
     written = spark.conf.get(f"martlens.star.{path}", None)

@@ -1,9 +1,11 @@
-"""Streaming run-log rollup (T-03): per user-day run, tokens, steps, failures.
+"""Streaming run-log rollup (T-03): per user-day run, tokens, steps, failures, providers by first use.
 
-An event-time window of one day per user with a watermark: a run's row is
-emitted once the watermark passes the end of its day, and its state is
-dropped then. Providers are listed by first use from the (time, provider)
-pairs of the run; a run is one user's day, so that list is small.
+The stream aggregates at (user, one-day event-time window, provider) grain
+with a watermark, so the state per run is bounded by the number of providers
+(never the number of events). Each micro-batch's updated rows are appended to
+the sink with their batch id; reading keeps each (run, provider)'s latest row
+and rolls the providers up to the run, ordering them by first use.
+(Append mode would hold back the runs the watermark has not yet closed.)
 """
 
 from __future__ import annotations
@@ -23,25 +25,28 @@ def rollup_stream(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
         "ts", F.timestamp_micros("__us"))
     tokens = F.when(F.col("event_type") != "view", F.floor(F.col("value") * 100).cast("long"))
     g = (ev.withWatermark("ts", watermark)
-         .groupBy("user_id", F.window("ts", "1 day").alias("day"))
-         .agg(F.sum(F.coalesce(tokens, F.lit(0))).cast("long").alias("total_tokens"),
+         .groupBy("user_id", F.window("ts", "1 day").alias("day"), F.col("event_type").alias("provider"))
+         .agg(F.sum(F.coalesce(tokens, F.lit(0))).cast("long").alias("tokens"),
               F.count(F.lit(1)).alias("steps"),
               F.count(F.when(F.col("event_type") == "error", 1)).alias("failed_steps"),
-              F.array_sort(F.collect_list(F.struct("__us", "event_id", "event_type"))).alias("_seq")))
-    providers = F.array_join(F.array_distinct(F.transform("_seq", lambda s: s["event_type"])), ",")
+              F.min(F.struct("__us", "event_id")).alias("first_use")))
     day_no = F.floor(F.unix_micros(F.col("day.start")) / US / SECONDS_PER_DAY).cast("long")
-    return g.select((F.col("user_id") * 100000 + day_no).alias("run_id"), "total_tokens", "steps", "failed_steps",
-                    providers.alias("providers_used"))
+    return g.select((F.col("user_id") * 100000 + day_no).alias("run_id"), "provider", "tokens", "steps",
+                    "failed_steps", "first_use")
+
+
+def rollup_runs(per_provider: DataFrame) -> DataFrame:
+    """Run totals from (run, provider) rows; providers ordered by first use (bounded per run)."""
+    return per_provider.groupBy("run_id").agg(
+        F.sum("tokens").cast("long").alias("total_tokens"), F.sum("steps").alias("steps"),
+        F.sum("failed_steps").alias("failed_steps"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_use", "provider"))),
+                                 lambda s: s["provider"]), ",").alias("providers_used"))
 
 
 def run_once(spark: SparkSession, source_dir: str, schema, root: str | None = None,
              glob: str | None = None) -> DataFrame:
-    """Process everything in ``source_dir`` once (availableNow) and read the result back.
-
-    The aggregation runs in update mode; every micro-batch appends its updated
-    rows tagged with the batch id, and the reader keeps each run's latest row.
-    (Append mode would hold back the runs the watermark has not yet closed.)
-    """
+    """Process everything in ``source_dir`` once (availableNow) and read the rolled-up runs back."""
     root = root or os.path.join(ensure_checkpoint_dir(spark), f"rollup-{uuid.uuid4().hex[:10]}")
     sink, ckpt = os.path.join(root, "sink"), os.path.join(root, "checkpoint")
 
@@ -56,5 +61,5 @@ def run_once(spark: SparkSession, source_dir: str, schema, root: str | None = No
          .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     out = spark.read.parquet(sink)
-    latest = out.groupBy("run_id").agg(F.max("batch_id").alias("batch_id"))
-    return out.join(latest, ["run_id", "batch_id"]).drop("batch_id")
+    latest = out.groupBy("run_id", "provider").agg(F.max("batch_id").alias("batch_id"))
+    return rollup_runs(out.join(latest, ["run_id", "provider", "batch_id"]).drop("batch_id"))
