@@ -189,11 +189,72 @@ def attach_dimensions(star: Star, fact: DataFrame, dimensions: Iterable[str]) ->
     return fact
 
 
+MART_METRICS = {"revenue": "revenue_net", "gross_revenue": "revenue_gross", "orders": "orders", "units": "units"}
+MART_FOR_DIMENSIONS = (
+    ("mart_channel_month", ("channel", "month_key")),
+    ("mart_city_month", ("city", "month_key")),
+    ("mart_store_month", ("store_id", "store_name", "city", "region", "month_key")),
+)
+
+
+def _mart_route(metrics, dimensions, window, filters) -> str | None:
+    """The mart a query can be answered from, or None (the rule of SURVEY section 4).
+
+    Allowed when every metric is additive over the mart (or a ratio of such
+    sums), every dimension and filter column is a mart key, and the window is
+    whole months. Mart ``orders`` is COUNT(*) per group and is additive only
+    because an order has exactly one store, city, channel and month.
+    """
+    from martlens.profile import month_end
+    ok_metrics = set(MART_METRICS) | {"aov", "units_per_order"}
+    if not set(metrics) <= ok_metrics:
+        return None
+    if window is not None and (window.start.day != 1 or window.end != month_end(window.end)):
+        return None
+    cols = set(dimensions) | set((filters or {}).keys())
+    for name, keys in MART_FOR_DIMENSIONS:
+        if cols <= set(keys):
+            return name
+    return None
+
+
+def _from_mart(star: Star, mart_name: str, metrics, dimensions, window, filters) -> DataFrame:
+    from martlens.operators.marts import build_marts
+    m = build_marts(star)[mart_name]
+    if window is not None:
+        m = m.filter(F.col("month_key").between(window.start_month, window.end_month))
+    m = apply_filters(m, filters)
+    sums = {k: F.sum(v) for k, v in MART_METRICS.items()}
+    out = []
+    for name in metrics:
+        if name in ("revenue", "gross_revenue"):
+            out.append(S.as_double(F.coalesce(sums[name], S.dec("0.00"))).alias(name))
+        elif name == "orders":
+            out.append(F.coalesce(sums["orders"], F.lit(0)).cast("long").alias(name))
+        elif name == "units":
+            out.append(F.coalesce(sums["units"], F.lit(0)).cast("long").alias(name))
+        elif name == "aov":
+            out.append(S.safe_ratio(F.coalesce(sums["revenue"], S.dec("0.00")), sums["orders"]).alias(name))
+        else:
+            out.append(S.safe_ratio(F.coalesce(sums["units"], F.lit(0)), sums["orders"]).alias(name))
+    return m.groupBy(*dimensions).agg(*out) if dimensions else m.agg(*out)
+
+
 def metric_query(star: Star, metrics: list[str], dimensions: list[str] | None = None,
                  window: TimeWindow | None = None, filters: dict[str, object] | None = None,
-                 limit: int | None = None, order_by_metric: bool = True) -> DataFrame:
-    """Metrics x dimensions x window x filters, ordered by the first metric (A-11)."""
+                 limit: int | None = None, order_by_metric: bool = True, use_marts: bool = False) -> DataFrame:
+    """Metrics x dimensions x window x filters, ordered by the first metric (A-11).
+
+    With ``use_marts`` the query is answered from a monthly mart when the
+    routing rule allows it (a plain Python rule, not an optimizer rule).
+    """
     dimensions = list(dimensions or [])
+    route = _mart_route(metrics, dimensions, window, filters) if use_marts else None
+    if route is not None:
+        out = _from_mart(star, route, metrics, dimensions, window, filters)
+        if order_by_metric and metrics:
+            out = out.orderBy(F.col(metrics[0]).desc(), *[F.col(d).asc_nulls_last() for d in dimensions])
+        return out.limit(limit) if limit is not None else out
     grain = choose_grain(metrics, dimensions)
     fact = star.wide_orders if grain == "order" else star.wide_lines
     if window is not None:

@@ -471,3 +471,19 @@ FROM (SELECT city, month_key, CAST(COALESCE(SUM(net_before_tax), 0) AS DOUBLE) A
 def city_month_over_month(star, spark, sf_dir):
     """Previous month and month-over-month % on the city mart (W-02, W-03)."""
     return A.month_over_month(star, "city")
+
+
+@register("metric_by_city_from_mart", _metric_sql(["revenue", "orders", "units", "aov", "units_per_order"],
+                                                   ["city"], "order"))
+def metric_by_city_from_mart(star, spark, sf_dir):
+    """Metric query routed to the city x month mart (whole-month window, additive metrics) (A-11, A-21)."""
+    return metric_query(star, ["revenue", "orders", "units", "aov", "units_per_order"], ["city"],
+                        window=star.profile.window(), use_marts=True)
+
+
+@register("metric_by_channel_month_from_mart", _metric_sql(["revenue", "gross_revenue", "orders"],
+                                                            ["channel", "month_key"], "order"))
+def metric_by_channel_month_from_mart(star, spark, sf_dir):
+    """Metric query routed to the channel x month mart (A-11, A-22)."""
+    return metric_query(star, ["revenue", "gross_revenue", "orders"], ["channel", "month_key"],
+                        window=star.profile.window(), use_marts=True)
