@@ -1,4 +1,4 @@
-"""Monthly marts (A-20 ... A-22).
+"""Monthly marts (A-20 ... A-22, S-11), built over an INNER order-store join (J-02).
 
 One group-by per mart over the order fact joined (inner) to the store
 dimension. ``orders`` is COUNT(*) per group as in the source system; it sums

@@ -55,7 +55,7 @@ def in_months(df: DataFrame, first_month: str, last_month: str) -> DataFrame:
 
 
 def apply_filters(df: DataFrame, filters: dict[str, object] | None) -> DataFrame:
-    """Equality / multi-value filters (P-08): a conjunction of == and IN."""
+    """Equality / multi-value filters (P-08): a conjunction of == and IN (P-06), NULL tests (P-05)."""
     for col, val in (filters or {}).items():
         if isinstance(val, (list, tuple, set, frozenset)):
             df = df.filter(F.col(col).isin(list(val)))
@@ -243,7 +243,8 @@ def _from_mart(star: Star, mart_name: str, metrics, dimensions, window, filters)
 def metric_query(star: Star, metrics: list[str], dimensions: list[str] | None = None,
                  window: TimeWindow | None = None, filters: dict[str, object] | None = None,
                  limit: int | None = None, order_by_metric: bool = True, use_marts: bool = False) -> DataFrame:
-    """Metrics x dimensions x window x filters, ordered by the first metric (A-11).
+    """Metrics x dimensions x window x filters, ordered by the first metric (A-11); filtering
+    before ranking (P-09); dimension attributes by LEFT joins (J-01).
 
     With ``use_marts`` the query is answered from a monthly mart when the
     routing rule allows it (a plain Python rule, not an optimizer rule).

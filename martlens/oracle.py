@@ -1,4 +1,4 @@
-"""DuckDB renderings of the star binding and of each registered query.
+"""DuckDB renderings of the star binding and of each registered query (S-14).
 
 These strings are the independent second implementation every registered
 Spark query is checked against: the same role binding written as SQL over the

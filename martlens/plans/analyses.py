@@ -184,6 +184,7 @@ def grain_variance(star: Star, w: TimeWindow | None = None) -> DataFrame:
 
 # --- A-28: Q6 day-type comparison ------------------------------------------------
 def day_type_breakdown(star: Star, start: date, end: date, scope: str) -> DataFrame:
+    """Per day type over a window; calendar days per type joined as a small lookup (A-28, J-07)."""
     wo = in_window(star.wide_orders, start, end)
     days = (calendar_days(star.dim_calendar, start, end).groupBy("day_type")
             .agg(F.countDistinct("date").alias("distinct_days")))

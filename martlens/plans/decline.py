@@ -74,7 +74,7 @@ def trend_table(star: Star, index: list[str], w: TimeWindow | None = None) -> Da
 # --- A-26 / A-27: baseline comparison, in the same pass as the trend ---------------
 def decline_vs_baseline(star: Star, index: list[str], w: TimeWindow | None = None,
                         baseline: TimeWindow | None = None) -> DataFrame:
-    """Strict-decline flag and baseline comparison on one row per entity (A-26, A-27).
+    """Strict-decline flag and baseline comparison on one row per entity (A-26, A-27, P-10).
 
     One scan over [baseline start, window end] with conditional sums; members
     are the entities with an order in the window (as for the trend table).
@@ -105,7 +105,7 @@ def decline_vs_baseline(star: Star, index: list[str], w: TimeWindow | None = Non
 
 
 def consecutive_decline_by_window(star: Star, dim: str, w: TimeWindow | None = None) -> DataFrame:
-    """The same strict-decline test written with LAG (W-04); must agree with A-24.
+    """The same strict-decline test written with LAG over a month spine (W-04, J-06); must agree with A-24.
 
     Runs over a member x month spine (cross join of members and the window's
     months), so a missing month is a 0 and breaks or continues the run exactly

@@ -1,6 +1,6 @@
 """Entity resolution of free text against dimension values, as a batch job (E-01 ... E-13).
 
-Texts are the large side; the catalogue (distinct dimension values) is joined
+Mention-to-catalogue joins (J-10). Texts are the large side; the catalogue (distinct dimension values) is joined
 to them by the planner: broadcast when its size is checked to be small, a
 shuffle join otherwise (an identifier dimension such as SKU can be as large as
 the product table).
@@ -131,7 +131,7 @@ MATCH_SCHEMA = ("text_id long, text string, dimension string, column string, val
 
 # --- E-01: catalogue ----------------------------------------------------------------------
 def catalogue(star: Star) -> DataFrame:
-    """Distinct non-blank values of the 16 dimensions (E-01)."""
+    """Distinct non-blank values of the 16 dimensions (E-01, P-11)."""
     tables = star.tables()
     parts = []
     for dim, table, col, ident in DIMENSIONS:

@@ -10,6 +10,10 @@ they are cross-joined into a single stats row and exploded into report rows.
 
 Severity is data, not code: the line-to-header check is a warning while the
 variance stays within 2% of orders and 1% of revenue and an error beyond.
+
+Predicates used: NULL tests (P-05), vocabulary membership (P-06), the month-key
+pattern (P-07); joins: order-line INNER/FULL at order grain (J-03), NOT EXISTS
+(J-04) and orphans (J-05).
 """
 
 from __future__ import annotations

@@ -44,7 +44,7 @@ SELECT month_key, CAST(SUM(net_before_tax) AS DOUBLE) AS revenue, COUNT(order_id
        {O.safe_ratio('COALESCE(SUM(total_qty), 0)', 'COUNT(order_id)')} AS units_per_order
 FROM wide_orders WHERE {W} GROUP BY month_key"""))
 def q1_monthly(star, spark, sf_dir):
-    """Q1 monthly series (A-13)."""
+    """Q1 monthly series (A-13, F-01, F-06)."""
     return A.monthly(star)
 
 
@@ -131,7 +131,7 @@ prm AS (SELECT *, {O.pct_of('gross_margin', 'line_revenue')} AS margin_pct FROM
 
 @register("q4_product_ranking", O.with_star("SELECT * FROM prm", extra_ctes=Q4_BASE))
 def q4_product_ranking(star, spark, sf_dir):
-    """Q4 product table at line grain: quantity, revenue, orders, cogs, margin (A-18)."""
+    """Q4 product table at line grain: quantity, revenue, orders, cogs, margin (A-18, J-03)."""
     return A.product_ranking(star)
 
 
@@ -180,7 +180,7 @@ Q6_SQL = (f"SELECT * FROM ({_q6_scope('full_range', P.data_start, P.as_of)}) UNI
 
 @register("q6_day_type", O.with_star(Q6_SQL))
 def q6_day_type(star, spark, sf_dir):
-    """Q6 weekend vs weekday per calendar day, full range and window (A-28)."""
+    """Q6 weekend vs weekday per calendar day, full range and window (A-28, J-07, P-02)."""
     return A.day_type_comparison(star)
 
 
@@ -256,19 +256,19 @@ GROUP BY {cols}""")
 
 @register("mart_store_month", _mart_sql(M.MART_KEYS["mart_store_month"]))
 def mart_store_month(star, spark, sf_dir):
-    """Store x month mart (A-20)."""
+    """Store x month mart (A-20, S-11, J-02)."""
     return M.mart_store_month(star)
 
 
 @register("mart_city_month", _mart_sql(M.MART_KEYS["mart_city_month"]))
 def mart_city_month(star, spark, sf_dir):
-    """City x month mart (A-21)."""
+    """City x month mart (A-21, S-11, J-02)."""
     return M.mart_city_month(star)
 
 
 @register("mart_channel_month", _mart_sql(M.MART_KEYS["mart_channel_month"]))
 def mart_channel_month(star, spark, sf_dir):
-    """Channel x month mart (A-22)."""
+    """Channel x month mart (A-22, S-11, J-02)."""
     return M.mart_channel_month(star)
 
 
@@ -342,6 +342,8 @@ METRIC_CASES = {
 
 def _metric_fn(metrics, dims, filters, limit):
     def fn(star, spark, sf_dir):
+        """Metric query (A-01 ... A-11): window (P-01), equality/IN filters (P-05, P-06, P-08), filter then
+        rank (P-09), dimension LEFT joins (J-01), daypart/weekday/veg/category breakdowns (A-44), F-18."""
         return metric_query(star, metrics, dims, window=star.profile.window(), filters=filters, limit=limit)
     return fn
 
@@ -476,7 +478,7 @@ def city_month_over_month(star, spark, sf_dir):
 @register("metric_by_city_from_mart", _metric_sql(["revenue", "orders", "units", "aov", "units_per_order"],
                                                    ["city"], "order"))
 def metric_by_city_from_mart(star, spark, sf_dir):
-    """Metric query routed to the city x month mart (whole-month window, additive metrics) (A-11, A-21)."""
+    """Metric query routed to the city x month mart, month-key range (A-11, A-21, P-03)."""
     return metric_query(star, ["revenue", "orders", "units", "aov", "units_per_order"], ["city"],
                         window=star.profile.window(), use_marts=True)
 

@@ -77,7 +77,7 @@ def dvb_sql(index: list[str], name: str = "dvb") -> str:
 
 @register("decline_vs_baseline_store", O.with_star("SELECT * FROM dvb", extra_ctes=dvb_sql(["store_id"])))
 def decline_vs_baseline_store(star, spark, sf_dir):
-    """Strict decline and baseline comparison on one row per store, one pass (A-26, A-27)."""
+    """Strict decline and baseline comparison on one row per store, one pass (A-26, A-27, P-10)."""
     return D.decline_vs_baseline(star, ["store_id"])
 
 
@@ -100,7 +100,7 @@ FROM (SELECT s.city, s.month_key, COALESCE(g.rev, 0) AS rev,
                  GROUP BY city, month_key) g ON s.city = g.city AND s.month_key = g.month_key) x
 GROUP BY city"""))
 def w04_city_decline_by_lag(star, spark, sf_dir):
-    """Consecutive-month decline via LAG over a city x month spine (W-04)."""
+    """Consecutive-month decline via LAG over a city x month spine (W-04, J-06)."""
     return D.consecutive_decline_by_window(star, "city")
 
 
@@ -194,7 +194,9 @@ FROM j"""
 
 @register("q8_store_diagnosis", O.with_star(DIAGNOSIS_SELECT, extra_ctes=DIAGNOSIS))
 def q8_store_diagnosis(star, spark, sf_dir):
-    """Q8 flagship: one row per declining store with volume/basket, channel, trend and market readings."""
+    """Q8 flagship: one row per declining store (A-30 ... A-36): change percentages (A-32, F-05), volume/basket
+    decomposition (A-33), channel attribution (A-34), prior window (A-35), market context (A-36), sorted by change
+    (L-03)."""
     return D.store_diagnosis(star)
 
 

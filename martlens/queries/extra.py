@@ -252,7 +252,8 @@ UNION ALL SELECT 'dim_calendar', COUNT(*) FROM dim_calendar
 UNION ALL SELECT 'fact_orders', COUNT(*) FROM fact_orders
 UNION ALL SELECT 'fact_order_lines', COUNT(*) FROM fact_order_lines"""))
 def s12_star_row_counts(star, spark, sf_dir):
-    """Row count of every star table after the build (S-12)."""
+    """Row count of every star table after the build: scans and normalisation (S-01 ... S-04), load and
+    rebuild (S-05, S-06), builders (S-07 ... S-12); S-14 is the SQL twin."""
     from martlens.sources.star import row_counts
     return row_counts(star)
 
@@ -293,3 +294,39 @@ def s13_golden_payload(star, spark, sf_dir):
     from martlens.sources.sinks import golden_payload
     return golden_payload("What was our total revenue, order count and AOV in the last 3 months?",
                           {"headline": A.headline(star), "monthly": A.monthly(star)})
+
+
+# --- A-40 / A-41: HAVING and two-level aggregation; P-04 / P-13: resolved window vs data range -------------
+@register("a41_line_variance_by_month", O.with_star("""
+SELECT month_key, COUNT(*) AS orders, CAST(SUM(v) AS DOUBLE) AS variance
+FROM (SELECT o.order_id, o.month_key, abs(SUM(l.line_net_value) - o.net_before_tax) AS v
+      FROM fact_orders o JOIN fact_order_lines l ON l.order_id = o.order_id
+      GROUP BY o.order_id, o.month_key, o.net_before_tax
+      HAVING abs(SUM(l.line_net_value) - o.net_before_tax) > 1.00) x
+GROUP BY month_key"""))
+def a41_line_variance_by_month(star, spark, sf_dir):
+    """Orders whose lines miss the header by more than the tolerance (HAVING, A-40), per month (A-41)."""
+    lines = star.fact_order_lines.groupBy("order_id").agg(F.sum("line_net_value").alias("_ln"))
+    per_order = (star.fact_orders.select("order_id", "month_key", "net_before_tax").join(lines, "order_id")
+                 .groupBy("order_id", "month_key", "net_before_tax").agg(F.sum("_ln").alias("_ln"))
+                 .withColumn("_v", F.abs(F.col("_ln") - F.col("net_before_tax")))
+                 .filter(F.col("_v") > F.lit(P.line_reconcile_tolerance)))
+    return per_order.groupBy("month_key").agg(F.count(F.lit(1)).alias("orders"),
+                                             F.sum("_v").cast("double").alias("variance"))
+
+
+_RES = P.resolve("last 3 months")
+
+
+@register("p04_p13_window_coverage", O.with_star(f"""
+SELECT '{_RES.label}' AS label, '{_RES.start}' AS window_start, '{_RES.end}' AS window_end,
+       CAST(MIN(order_date) AS VARCHAR) AS data_min, CAST(MAX(order_date) AS VARCHAR) AS data_max,
+       (DATE '{_RES.start}' >= MIN(order_date) AND DATE '{_RES.end}' <= MAX(order_date)) AS covered
+FROM fact_orders"""))
+def p04_p13_window_coverage(star, spark, sf_dir):
+    """'Last 3 months' resolved against the as-of date (P-04) and checked against the data range (P-13)."""
+    w = P.resolve("last 3 months")
+    return star.fact_orders.agg(F.min("order_date").alias("_lo"), F.max("order_date").alias("_hi")).select(
+        F.lit(w.label).alias("label"), F.lit(str(w.start)).alias("window_start"), F.lit(str(w.end)).alias("window_end"),
+        F.col("_lo").cast("string").alias("data_min"), F.col("_hi").cast("string").alias("data_max"),
+        ((F.lit(w.start) >= F.col("_lo")) & (F.lit(w.end) <= F.col("_hi"))).alias("covered"))

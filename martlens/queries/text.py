@@ -131,7 +131,7 @@ def _resolve(star, fuzzy: bool):
 
 @register("entity_resolution_exact_tiers", O.with_star("SELECT * FROM matches", extra_ctes=RESOLVE))
 def entity_resolution_exact_tiers(star, spark, sf_dir):
-    """Resolve mentions to dimension values by the exact, alias, identifier and substring tiers (E-01 ... E-09)."""
+    """Resolve mentions by the exact, alias, identifier and substring tiers (E-01 ... E-09, J-10, F-11, F-12)."""
     return _resolve(star, fuzzy=False)
 
 
@@ -165,7 +165,7 @@ def entity_by_dimension(star, spark, sf_dir):
     "SELECT dimension, \"column\", is_identifier, COUNT(*) AS n_values FROM cat GROUP BY ALL",
     extra_ctes=catalogue_sql()))
 def entity_catalogue_counts(star, spark, sf_dir):
-    """Size of the catalogue per dimension (E-01)."""
+    """Size of the catalogue per dimension (E-01, P-11)."""
     return E.lookup_tables(star)[0].groupBy("dimension", "column", "is_identifier").agg(F.count(F.lit(1)).alias("n_values"))
 
 
@@ -289,7 +289,7 @@ def claim_figures(star, spark, sf_dir):
 
 @register("claim_unsupported_figures", O.with_star("SELECT * FROM unsup", extra_ctes=CLAIM_CTES))
 def claim_unsupported_figures(star, spark, sf_dir):
-    """Figures no value (at any scale) and no within-column difference supports (N-03 ... N-05)."""
+    """Figures no value (at any scale, range join J-08) and no within-column difference supports (N-03 ... N-05)."""
     answers, cells = claim_inputs(star)
     return C.unsupported_figures(answers, cells, P)
 

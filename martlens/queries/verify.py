@@ -40,6 +40,8 @@ CASES = {
 
 def _spark_report(question, rids, metrics):
     def fn(star, spark, sf_dir):
+        """Verification report (V-01 ... V-13) with roles from names (C-01 ... C-07), date-like parsing (F-09)
+        and the top-N expectation (F-15)."""
         results = []
         for rid in rids:
             df = _BUILDERS[rid](star)

@@ -100,6 +100,8 @@ def promotions(spark: SparkSession, profile: Profile) -> DataFrame:
 
 
 def bind_star(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) -> Star:
+    """Lazy star over the sources: dimension builders (S-07), calendar (S-08), order fact (S-09),
+    line fact (S-10); fact-to-dimension attributes through LEFT joins (J-01)."""
     geo = broadcast_if_small(geography(spark, sf_dir), 10_000, key=f"{sf_dir}/geo")
     customer = _read(spark, sf_dir, "customer")
     part = _read(spark, sf_dir, "part")
