@@ -314,3 +314,13 @@ def claim_confidence(star, spark, sf_dir):
     """Confidence x0.7 on an unsupported figure, capped at 0.4 when verification failed (N-07)."""
     answers, cells = claim_inputs(star)
     return C.adjusted_confidence(answers, C.unsupported_figures(answers, cells, P))
+
+
+@register("entity_unresolved_identifiers", O.with_star(f"""
+SELECT t.text_id, t.token FROM (SELECT DISTINCT text_id, unnest(regexp_extract_all(text, '{E.TOKEN_RE.replace("'", "''")}'))
+                                  AS token FROM texts) t
+WHERE regexp_matches(t.token, '{IDENT}')
+  AND NOT EXISTS (SELECT 1 FROM matches m WHERE m.text_id = t.text_id AND m.text = t.token)""", extra_ctes=RESOLVE))
+def entity_unresolved_identifiers(star, spark, sf_dir):
+    """Identifier-shaped tokens that resolved to nothing (E-12)."""
+    return E.unresolved_identifiers(mention_texts(star), _resolve(star, fuzzy=False))

@@ -219,3 +219,27 @@ LEFT JOIN (SELECT * FROM ({' UNION ALL '.join(brks)}) ORDER BY idx LIMIT 1) b ON
 
 for _name, (_qn, _rids, _metrics) in CASES.items():
     register(_name, verify_sql(_qn, _rids, _metrics))(_spark_report(_qn, _rids, _metrics))
+
+
+_Q5, _R5, _M5 = CASES["verify_top5_question"]
+
+
+@register("verify_verdict_top5", f"""
+SELECT CASE WHEN errors > 0 THEN 'failed' WHEN warnings > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status,
+       errors, warnings
+FROM (SELECT COUNT(CASE WHEN severity = 'error' AND NOT passed THEN 1 END) AS errors,
+             COUNT(CASE WHEN severity = 'warning' AND NOT passed THEN 1 END) AS warnings
+      FROM ({verify_sql(_Q5, _R5, _M5)}) r) x""")
+def verify_verdict_top5(star, spark, sf_dir):
+    """Verification verdict: failed / passed_with_warnings / passed (V-14)."""
+    results = [(rid, _BUILDERS[rid](star)) for rid in _R5]
+    return V.verdict(V.verify(results, V.Plan(_Q5, P.window(), tuple(_M5)), P))
+
+
+@register("verify_blame_top5", f"""
+SELECT DISTINCT unnest(string_split(result_ids, ',')) AS result_id
+FROM ({verify_sql(_Q5, _R5, _M5)}) r WHERE severity = 'error' AND NOT passed AND result_ids <> ''""")
+def verify_blame_top5(star, spark, sf_dir):
+    """Result ids blamed by failed error checks (V-15)."""
+    results = [(rid, _BUILDERS[rid](star)) for rid in _R5]
+    return V.blame(V.verify(results, V.Plan(_Q5, P.window(), tuple(_M5)), P))
