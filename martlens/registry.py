@@ -29,10 +29,23 @@ def to_output(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+class _LazyStar:
+    """The star of a folder, bound (and written) only when a query first touches it;
+    event-log and raw-text queries never pay for the build."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._args, self._star = (spark, sf_dir), None
+
+    def __getattr__(self, item):
+        if self._star is None:
+            self._star = star_for(*self._args)
+        return getattr(self._star, item)
+
+
 def register(name: str, sql: str | None):
     def deco(fn: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return to_output(fn(star_for(spark, sf_dir), spark, sf_dir))
+            return to_output(fn(_LazyStar(spark, sf_dir), spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = (run, sql)
