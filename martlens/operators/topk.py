@@ -48,4 +48,4 @@ def first_k_categories(df: DataFrame, key: str, order_col: str, k: int) -> DataF
     """
     firsts = df.groupBy(key).agg(F.min(order_col).alias("__first"))
     return firsts.orderBy("__first", key).limit(k).withColumn(
-        "series_rank", F.row_number().over(Window.orderBy("__first", key))).drop("__first")
+        "series_rank", F.row_number().over(Window.orderBy("__first", key)).cast("long")).drop("__first")

@@ -68,7 +68,7 @@ dim_promotion AS (
 line_qty AS (SELECT l_orderkey, SUM(l_quantity) AS q FROM lineitem GROUP BY l_orderkey),
 o_base AS (
   SELECT o.o_orderkey AS order_id, o.o_orderdate AS order_datetime, CAST(o.o_orderdate AS DATE) AS order_date,
-         hour(o.o_orderdate) AS order_hour, cg.store_id,
+         CAST(hour(o.o_orderdate) AS INTEGER) AS order_hour, cg.store_id,
          CASE WHEN o.o_orderkey % 25 < 7 THEN NULL ELSE o.o_custkey END AS customer_id,
          o.o_orderpriority AS channel,
          CASE WHEN o.o_orderkey % 25 = 24 THEN 'PR' || lpad(CAST(o.o_orderkey % 6 + 1 AS VARCHAR), 3, '0') END

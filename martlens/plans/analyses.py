@@ -122,7 +122,7 @@ def store_ranking(star: Star, w: TimeWindow | None = None) -> DataFrame:
     ranked = _with_share(grouped, "revenue", "revenue_share_pct", total, "_total")
     # global rank on the aggregated frame (one row per store)
     rank_w = Window.orderBy(F.col("revenue").desc(), F.col("store_id").asc())
-    return ranked.withColumn("rank", F.row_number().over(rank_w))
+    return ranked.withColumn("rank", F.row_number().over(rank_w).cast("long"))
 
 
 def top_stores(star: Star, n: int = TOP_N, w: TimeWindow | None = None) -> DataFrame:
@@ -367,7 +367,7 @@ def top_k_per_month(star: Star, entity: str = "store_id", k: int = 3, w: TimeWin
     """Top-k entities inside every month (L-05)."""
     g = window_orders(star, w).groupBy("month_key", entity).agg(_money(F.sum("net_before_tax")).alias("revenue"))
     rk = Window.partitionBy("month_key").orderBy(F.col("revenue").desc(), F.col(entity))
-    return g.withColumn("rank_in_month", F.row_number().over(rk)).filter(F.col("rank_in_month") <= k)
+    return g.withColumn("rank_in_month", F.row_number().over(rk).cast("long")).filter(F.col("rank_in_month") <= k)
 
 
 def month_over_month(star: Star, dim: str = "city") -> DataFrame:

@@ -72,7 +72,7 @@ def figures(answers: DataFrame, profile: Profile) -> DataFrame:
     return (df.select("answer_id", "_i", "token", trailing.alias("_trail"), value.alias("value"))
             .filter((F.col("_trail") != "%") & ~F.col("token").isin(list(profile.data_years()))
                     & (F.col("value") >= profile.min_checked_magnitude))
-            .select("answer_id", F.col("_i").alias("position"), "token", "value"))
+            .select("answer_id", F.col("_i").cast("long").alias("position"), "token", "value"))
 
 
 def _bucket(x: Column) -> Column:

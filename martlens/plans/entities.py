@@ -311,7 +311,7 @@ def _finish_per_text(cands: DataFrame, max_matches: int) -> DataFrame:
         "text_id", F.col("_x.phrase").alias("text"), F.col("_x.dimension").alias("dimension"),
         F.col("_x.column").alias("column"), F.col("_x.value").alias("value"),
         F.col("_x.confidence").alias("confidence"), F.col("_x.method").alias("method"),
-        (F.col("_r") + 1).alias("match_rank"))
+        (F.col("_r") + 1).cast("long").alias("match_rank"))
 
 
 _LOOKUP_MEMO: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}

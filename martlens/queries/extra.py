@@ -93,7 +93,7 @@ rj AS (SELECT rl.revenue AS lr, rr.revenue AS rrv, rl.orders AS lo, rr.orders AS
 
 def _rec_sql(name: str, lc: str, rc: str, tol: float) -> str:
     both = "NOT ml AND NOT mr"
-    return (f"SELECT '{name}' AS \"column\", {tol} AS tolerance, COUNT(CASE WHEN ml THEN 1 END) AS missing_left, "
+    return (f"SELECT '{name}' AS \"column\", CAST({tol} AS DOUBLE) AS tolerance, COUNT(CASE WHEN ml THEN 1 END) AS missing_left, "
             f"COUNT(CASE WHEN mr THEN 1 END) AS missing_right, "
             f"COUNT(CASE WHEN {both} AND {lc} IS DISTINCT FROM {rc} AND (abs({lc} - {rc}) IS NULL "
             f"OR abs({lc} - {rc}) > {tol}) THEN 1 END) AS out_of_tolerance, "
@@ -220,8 +220,8 @@ FROM documents""")
 def f13_f14_document_figures(star, spark, sf_dir):
     """Figure and identifier tokens per document, over the whole documents table (F-13, F-14)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.size(X.figure_tokens("text")).alias("n_figures"),
-                       F.size(X.identifier_tokens("text")).alias("n_identifiers"))
+    return docs.select("doc_id", F.size(X.figure_tokens("text")).cast("long").alias("n_figures"),
+                       F.size(X.identifier_tokens("text")).cast("long").alias("n_identifiers"))
 
 
 @register("e02_conversation_phrases", f"""
@@ -239,7 +239,7 @@ def e02_conversation_phrases(star, spark, sf_dir):
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     texts = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
     return E.phrases(texts).groupBy("text_id").agg(F.count(F.lit(1)).alias("n_phrases"),
-                                                   F.max("n_tokens").alias("max_tokens"))
+                                                   F.max("n_tokens").cast("long").alias("max_tokens"))
 
 
 # --- S-12 / L-06 / C-08 / S-13 ----------------------------------------------------------------------

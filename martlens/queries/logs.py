@@ -86,7 +86,7 @@ WITH o AS (SELECT 'p' || CAST(user_id % 4 AS VARCHAR) AS provider, epoch_us(ts)
 i AS (SELECT *, SUM(CAST(success AS BIGINT)) OVER (PARTITION BY provider ORDER BY us, seq
                                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM o),
 f AS (SELECT *, row_number() OVER (PARTITION BY provider, island ORDER BY us, seq) AS k FROM i WHERE NOT success)
-SELECT provider, island, us AS open_start_us, us + {120 * L.US} AS open_end_us FROM f WHERE k = 2""")
+SELECT provider, CAST(island AS BIGINT) AS island, us AS open_start_us, us + {120 * L.US} AS open_end_us FROM f WHERE k = 2""")
 def t02_breaker_intervals(star, spark, sf_dir):
     """Breaker open intervals: opens at the 2nd consecutive failure for 120 s, reset only by success (T-02)."""
     return L.breaker_intervals(outcomes(spark, sf_dir), threshold=2, cooldown_s=120)
