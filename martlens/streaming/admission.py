@@ -5,7 +5,9 @@ events by time, drops events older than the last one already decided for that
 user (late arrivals, reason ``late``), and runs the same admission rule as the
 batch job with the user's admitted timestamps of the last day as state. The
 state holds at most ``per_day`` timestamps per user and expires with the
-event-time watermark once a user has been idle for a day.
+event-time watermark once a user has been idle for a day. Arrivals behind the
+watermark (one day) never reach the operator: Spark drops them, so a decision
+is never revised by data that comes too late.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ def _admit_group(per_minute: int, per_day: int):
             out = pd.concat([out, pd.DataFrame({"event_id": dropped["event_id"].values,
                                                 "user_id": dropped["user_id"].values, "admitted": False,
                                                 "reason": "late", "retry_after": 0})], ignore_index=True)
+        out = out.astype({"event_id": "int64", "user_id": "int64", "admitted": "bool", "reason": "object",
+                          "retry_after": "int64"})
         newest = int(on_time["__us"].max()) if len(on_time) else last
         keep = [h for h in hits if newest is None or newest - h <= SECONDS_PER_DAY * US]
         state.update((keep, newest))
