@@ -78,3 +78,14 @@ def test_breaker_matches_simulation(spark, pdf):
     outcomes = spark.createDataFrame(p[["provider", "ts", "event_id", "success"]].rename(columns={"event_id": "seq"}))
     got = {(r.provider, r.open_start_us) for r in L.breaker_intervals(outcomes, 2, 120, chunk_s=600).collect()}
     assert got == expected
+
+
+def test_admission_state_carries_across_arrow_batches(spark, events, pdf):
+    """A user's events split over several Arrow batches give the same decisions."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.event_id: (r.admitted, r.reason) for r in L.admission(events, 1, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == reference_admission(pdf, 1, 5)
