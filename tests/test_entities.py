@@ -78,3 +78,25 @@ def test_topic_first_rule_wins(spark):
                                   "text_id long, text string")
     got = {r.text_id: r.topic for r in E.topic_tag(texts).collect()}
     assert got == {1: "competitors", 2: "answerable"}
+
+
+def test_fuzzy_length_band_blocking_loses_nothing(spark, star):
+    """Every (token, value) pair at or above the threshold by brute force is found by the blocked join."""
+    from pyspark.sql import functions as F
+
+    from .conftest import SF
+
+    conv = spark.read.parquet(f"{SF}/conversations.parquet")
+    cat, _kt = E.lookup_tables(star)
+    typos = (cat.filter(~F.col("is_identifier") & (F.length("value") >= 6))
+             .select(F.concat(F.substring("value", 1, 3), F.expr("substring(value, 5)")).alias("text"))
+             .withColumn("text_id", F.monotonically_increasing_id() + 10**9))
+    texts = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text").unionByName(typos)
+    ph = E.phrases(texts)
+    got = {(r.tok, r.vl) for r in E._fuzzy_candidates(ph, cat).collect()}
+    toks = {r.tok for r in ph.filter((F.col("n_tokens") == 1) & (F.length("phrase") >= E.MIN_FUZZY_LENGTH))
+            .select(F.lower("phrase").alias("tok")).distinct().collect()}
+    vals = {r.vl for r in cat.filter(~F.col("is_identifier")).select(F.lower("value").alias("vl")).distinct().collect()}
+    want = {(t, v) for t in toks for v in vals
+            if difflib.SequenceMatcher(None, t, v).ratio() >= E.FUZZY_THRESHOLD}
+    assert want and got == want
