@@ -213,7 +213,15 @@ def claim_inputs(star):
         (F.col("rank") > 20).alias("verification_failed"))
     cells = C.long_cells(aid, "ranking", rank).unionByName(
         C.long_cells(aid, "monthly", monthly.select("store_id", "month_key", "revenue")))
-    return answers, cells
+    # the audit reads both inputs in several branches (value support, difference support,
+    # identifiers): materialise them once in the shared checkpoint folder to cut the lineage
+    from martlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark_of(answers))
+    return answers.checkpoint(eager=True), cells.checkpoint(eager=True)
+
+
+def spark_of(df):
+    return df.sparkSession
 
 
 CLAIM_CTES = Q2_BASE + f""",
