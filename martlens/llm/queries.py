@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import bpe, records
+from martlens.llm import bpe, jaccard, records
 from martlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = records.write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return records.read_records(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates (five words, similarity 0.8) of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
