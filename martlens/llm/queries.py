@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import bpe, jaccard, records
+from martlens.llm import bpe, jaccard, pii, records
 from martlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,13 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near duplicates (five words, similarity 0.8) of every document."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every whole text."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = pii.of_kinds(F.col("pii"), *pii.BASE_KINDS)
+    counts = [F.size(pii.of_kinds(F.col("pii"), k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
+                        pii.joined(F.col("pii")).alias("spans"))
