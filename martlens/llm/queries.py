@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import bpe, jaccard, pii, records
+from martlens.llm import bpe, jaccard, multiset, pii, records
 from martlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(pii.of_kinds(F.col("pii"), k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
                         pii.joined(F.col("pii")).alias("spans"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every whole text and of its edited text, with their likenesses."""
+    rows = multiset.edit_report(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("own"), F.col("edited"), F.col("next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", multiset.text_of(own).alias("fingerprint"),
+                       multiset.text_of(edited).alias("edited_fingerprint"),
+                       multiset.likeness(own, edited).alias("near_edited"),
+                       multiset.likeness(own, after).alias("near_next"))
