@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import bpe, jaccard, multiset, pii, records
+from martlens.llm import bpe, jaccard, multiset, pii, records, winnow
 from martlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        multiset.text_of(edited).alias("edited_fingerprint"),
                        multiset.likeness(own, edited).alias("near_edited"),
                        multiset.likeness(own, after).alias("near_next"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside an occurrence of a benchmark window, and the items."""
+    found = winnow.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
