@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import bpe, jaccard, multiset, pii, records, winnow
+from martlens.llm import bpe, hmm, jaccard, multiset, pii, records, winnow
 from martlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every whole text under the hidden Markov model and the unigram base."""
+    return hmm.language_model(table(spark, sf_dir, "documents"))
