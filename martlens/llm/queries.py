@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import bpe, hmm, jaccard, multiset, pii, records, winnow
-from martlens.llm.common import table
+from martlens.llm import bpe, hmm, jaccard, mixture, multiset, ordinal, pii, records, winnow
+from martlens.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every whole text under the hidden Markov model and the unigram base."""
     return hmm.language_model(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and decision of the ordinal regression for every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grades = labels.select("doc_id", ordinal.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    fitted = ordinal.fit(ordinal.sample(docs, grades))
+    return ordinal.grade_texts(docs.select("doc_id", "text"), fitted).drop("text")
+
+
+@query
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the other two folds."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), mixture.FOLDS) == mixture.HELD_OUT
+    names, probabilities = mixture.train(docs.where(~held_out))
+    found = mixture.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), names, probabilities)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
