@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text features.
 
-A grade rises from 0 to ``GRADES - 1``. One weight vector over hashed words and hashed
-runs of marks gives a text's level, and ordered thresholds cut the level into grades:
+A grade rises from 0 to ``GRADES - 1``. One weight vector over hashed words, beginnings of
+words, runs of marks and two shares (repeated words, runs of marks) gives a text's level, and ordered thresholds cut the level into grades:
 
     P(grade >= j) = 1 / (1 + exp(threshold_j - level))
 
@@ -28,14 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlens.llm.textkit import ALNUM, NON_SPACE, Words, buffer_of, row_slices
+from martlens.llm.textkit import ALNUM, NON_SPACE, Words, buffer_of, mix, row_slices
 
 GRADES = 3
 BITS = 18
 #: Bound of the labelled sample.
 MAX_LABELLED = 20_000
-#: A feature of fewer labelled documents has no weight.
-LEAST_DOCS = 5
+#: A feature has a weight if so many labelled documents have it, and if their mean grade
+#: differs from that of all by so many standard errors.
+LEAST_DOCS, LEAST_ERRORS = 5, 4.5
+PREFIX_BYTES = 4
 STEPS = 150
 RATE = 0.3
 DECAY = 2e-4
@@ -52,6 +54,30 @@ class Fitted:
     usable: bool
 
 
+def _beginnings(words: Words) -> np.ndarray:
+    """Hash of the first bytes of every word."""
+    h = np.zeros(len(words.start), dtype=np.uint64)
+    for k in range(PREFIX_BYTES):
+        at = words.start + k
+        here = np.where(at < words.end, words.data[np.minimum(at, len(words.data) - 1)], 0) if len(at) else h
+        h = h * np.uint64(257) + here.astype(np.uint64) + np.uint64(1)
+    return mix(h)
+
+
+def _shape(words: Words, marks: Words) -> np.ndarray:
+    """Per text the tenth that its share of words equal to the word before is in, and that of runs
+    of several marks per word, as numbers of features."""
+    n = np.maximum(np.diff(words.first), 1)
+    same = np.zeros(len(words.start), dtype=bool)
+    same[1:] = words.hash[1:] == words.hash[:-1]
+    inner = words.first[:-1][words.first[:-1] < len(same)]
+    same[inner] = False
+    long = marks.end - marks.start > 1
+    found = [np.bincount(np.repeat(np.arange(len(n)), np.diff(w.first)), weights=x, minlength=len(n))
+             for w, x in ((words, same), (marks, long))]
+    return np.stack([16 * k + np.minimum(9, np.floor(10 * x / n)).astype(np.int64) for k, x in enumerate(found)], axis=1)
+
+
 def _features(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, row of each feature, feature, value) of slices of a batch."""
     column = batch.column(text)
@@ -60,11 +86,13 @@ def _features(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.n
     data, offsets = buffer_of(column)
     for i, j in row_slices(column):
         part, cut, keys = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], []
-        for family, kind in enumerate((ALNUM, _LOWER_MARKS)):
-            w = Words(part, cut, kind)
-            at = (w.hash >> np.uint64(63 - BITS)) & np.uint64((1 << (BITS - 1)) - 1)
+        words, marks = Words(part, cut, ALNUM), Words(part, cut, _LOWER_MARKS)
+        for family, (w, h) in enumerate(((words, words.hash), (words, _beginnings(words)), (marks, marks.hash))):
+            at = (h >> np.uint64(40)) & np.uint64((1 << (BITS - 2)) - 1)
             keys.append((np.repeat(np.arange(j - i), np.diff(w.first)) << BITS)
-                        + at.astype(np.int64) + (family << (BITS - 1)))
+                        + at.astype(np.int64) + (family << (BITS - 2)))
+        shape = (3 << (BITS - 2)) + _shape(words, marks)
+        keys += [(np.arange(j - i) << BITS) + shape[:, k] for k in range(shape.shape[1])]
         key, n = np.unique(np.concatenate(keys), return_counts=True)
         yield i, j, key >> BITS, key & ((1 << BITS) - 1), np.log1p(n).astype(np.float32)
 
@@ -100,8 +128,10 @@ def fit(rows: DataFrame) -> Fitted:
     feature = np.frombuffer(b"".join(got["features"]), dtype="<u4").astype(np.int64)
     value = np.frombuffer(b"".join(got["vals"]), dtype="<f4").astype(np.float64)
     row = np.repeat(np.arange(len(got)), [len(x) // 4 for x in got["features"]])
-    often = np.bincount(feature, minlength=1 << BITS) >= LEAST_DOCS
-    keep = often[feature]
+    docs_with = np.bincount(feature, minlength=1 << BITS)
+    mean = np.bincount(feature, weights=grade[row], minlength=1 << BITS) / np.maximum(docs_with, 1)
+    errors = np.abs(mean - grade.mean()) * np.sqrt(docs_with) / grade.std()
+    keep = ((docs_with >= LEAST_DOCS) & (errors >= LEAST_ERRORS))[feature]
     used, col = np.unique(feature[keep], return_inverse=True)
     value, row = value[keep], row[keep]
     n, w = len(grade), np.zeros(len(used))
