@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import bpe, hmm, jaccard, mixture, multiset, ordinal, pii, records, winnow
+from martlens.llm import bpe, hmm, jaccard, mixture, multiset, ordinal, pii, records, urls, winnow
 from martlens.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,8 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near duplicates (five words, similarity 0.8) of every document."""
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query
@@ -103,3 +104,80 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, probabilities = mixture.train(docs.where(~held_out))
     found = mixture.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), names, probabilities)
     return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+def _digits(text: Column, n: int) -> Column:
+    """A number of 0 to 9999 that follows from a text: four hexadecimal digits of its md5."""
+    return F.conv(F.substring(F.md5(text), 4 * n + 1, 4), 16, 10).cast("int") % 10000
+
+
+def _derived_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts and first path steps of the pages. By their md5, a third of the
+    hosts is blocked for some time, some of them twice, and an eighth of the steps is allowed."""
+    hosts = pages.select(urls.host_of(F.col("url")).alias("key")).where("key is not null").distinct()
+    steps = pages.select(F.regexp_extract(F.concat(urls.host_of(F.col("url")), urls.path_of(F.col("url"))),
+                                          "^[^/]+/[^/]+", 0).alias("key")).where("key <> ''").distinct()
+    start = F.lit("2024-01-01").cast("date")
+    added = F.date_add(start, _digits(F.col("key"), 1) % 200)
+    removed = F.date_add(added, 20 + _digits(F.col("key"), 2) % 100)
+    again = F.date_add(removed, 10 + _digits(F.col("key"), 3) % 60)
+
+    def dated(df: DataFrame, verdict: str, at: Column, action: str, every: int) -> DataFrame:
+        return df.where(_digits(F.col("key"), 0) % every == 0).select(
+            "key", F.lit(verdict).alias("verdict"), F.lit(action).alias("action"), at.alias("at"))
+
+    return (dated(hosts, "block", added, "add", 3).unionByName(dated(hosts, "block", removed, "remove", 3))
+            .unionByName(dated(hosts, "block", again, "add", 6)).unionByName(dated(steps, "allow", added, "add", 8)))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by the list entries that held when it was fetched. The tables have no
+    fetch times and no list: a page is fetched on day page_id * 37 modulo 365 of 2024, and the list
+    is derived from the pages' own hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"),
+                                                         F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")))
+    return urls.judge(captures, _derived_list(pages)).select(
+        "page_id", "host", "fetched_at", "verdict", "listed_key", "listed_from", "n_active")
+
+
+SQL["op9_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(((page_id * 37) % 365 + 365) % 365 AS INT) AS fetched_at,
+    nullif(regexp_replace(lower(regexp_replace(regexp_replace(
+      regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '^[^@]*@', ''), ':[0-9]*$', '')),
+      '\.+$', ''), '') AS host,
+    regexp_replace(regexp_replace(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1),
+      '/+', '/', 'g'), '/$', '') AS path
+  FROM pages),
+keys AS (
+  SELECT DISTINCT host AS key, 'host' AS kind FROM p WHERE host IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT regexp_extract(host || path, '^[^/]+/[^/]+'), 'prefix' FROM p
+  WHERE host IS NOT NULL AND regexp_matches(path, '^/[^/]')),
+d AS (
+  SELECT key, kind, CAST('0x' || substr(md5(key), 1, 4) AS INT) % 10000 AS d0,
+    CAST('0x' || substr(md5(key), 5, 4) AS INT) % 10000 AS d1, CAST('0x' || substr(md5(key), 9, 4) AS INT) % 10000 AS d2,
+    CAST('0x' || substr(md5(key), 13, 4) AS INT) % 10000 AS d3 FROM keys),
+dates AS (
+  SELECT *, DATE '2024-01-01' + CAST(d1 % 200 AS INT) AS added,
+    DATE '2024-01-01' + CAST(d1 % 200 + 20 + d2 % 100 AS INT) AS removed,
+    DATE '2024-01-01' + CAST(d1 % 200 + 20 + d2 % 100 + 10 + d3 % 60 AS INT) AS again FROM d),
+valid AS (
+  SELECT key, 'block' AS verdict, added AS valid_from, removed AS valid_to FROM dates WHERE kind = 'host' AND d0 % 3 = 0
+  UNION ALL SELECT key, 'block', again, NULL FROM dates WHERE kind = 'host' AND d0 % 6 = 0
+  UNION ALL SELECT key, 'allow', added, NULL FROM dates WHERE kind = 'prefix' AND d0 % 8 = 0),
+active AS (
+  SELECT p.page_id, p.url, v.*, length(v.key) - length(replace(replace(v.key, '.', ''), '/', '')) AS depth
+  FROM p JOIN valid v ON p.fetched_at >= v.valid_from AND (v.valid_to IS NULL OR p.fetched_at < v.valid_to)
+    AND (p.host = v.key OR p.host LIKE '%.' || v.key
+         OR p.host || p.path = v.key OR starts_with(p.host || p.path, v.key || '/'))),
+best AS (
+  SELECT page_id, url, count(*) AS n_active,
+    max(struct_pack(depth := depth, allowed := verdict = 'allow', f := valid_from, k := key, v := verdict)) AS b
+  FROM active GROUP BY page_id, url)
+SELECT p.page_id, p.host, p.fetched_at, coalesce(b.b.v, 'unlisted') AS verdict, b.b.k AS listed_key,
+  b.b.f AS listed_from, coalesce(b.n_active, 0) AS n_active
+FROM p LEFT JOIN best b ON p.page_id = b.page_id AND p.url IS NOT DISTINCT FROM b.url
+"""
