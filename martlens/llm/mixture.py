@@ -102,7 +102,7 @@ def train(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     if names:
         n[rows["bucket"], rows["lang"].map({x: i for i, x in enumerate(names)})] = rows["n"]
     parts = n.reshape(len(GRAM_SIZES), BUCKETS, len(names)) + _ADD
-    return names, np.log(parts / parts.sum(axis=1, keepdims=True)).reshape(-1, len(names)).astype(np.float32)
+    return names, np.log(parts / parts.sum(axis=1, keepdims=True)).reshape(n.shape).astype(np.float32)
 
 
 def _word_likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
