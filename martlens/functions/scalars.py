@@ -68,12 +68,13 @@ def safe_pct_change(old: ColumnOrName, new: ColumnOrName) -> Column:
 def percentage(part: ColumnOrName, whole: ColumnOrName, digits: int = 4) -> Column:
     """part / whole * 100 rounded, 0.0 on a zero whole (F-07).
 
-    Counts are integers, so the rounding is done exactly in integer arithmetic
-    (half-up), which gives bit-identical results in any engine.
+    Counts are integers, so the rounding is done exactly (half-up), which gives
+    bit-identical results in any engine. The products are 38-digit decimals: a
+    long overflows at 100 TB of cents.
     """
-    p, w = _c(part).cast("long"), _c(whole).cast("long")
-    scale = 10 ** (digits + 2)
-    rounded = F.call_function("div", p * (2 * scale) + w, w * 2)
+    p, w = _c(part).cast("decimal(20,0)"), _c(whole).cast("decimal(20,0)")
+    scale = F.lit(Decimal(2 * 10 ** (digits + 2)))
+    rounded = F.call_function("div", (p * scale).cast("decimal(38,0)") + w, w * F.lit(Decimal(2)))
     return F.when(w == 0, F.lit(0.0)).otherwise(rounded.cast("double") / float(10 ** digits))
 
 

@@ -32,7 +32,8 @@ def star_ctes(p: Profile = TESTDATA) -> str:
     return f"""
 geo AS (
   SELECT n.n_nationkey,
-         'ST' || lpad(CAST(n.n_nationkey AS VARCHAR), 3, '0') AS store_id,
+         'ST' || lpad(CAST(n.n_nationkey AS VARCHAR), CAST(greatest(3, length(CAST(n.n_nationkey AS VARCHAR))) AS INTEGER), '0')
+           AS store_id,
          n.n_name AS store_name, r.r_name AS city, n.n_name AS state, r.r_name AS region,
          (['Mall', 'High Street', 'Food Court'])[CAST(n.n_nationkey % 3 + 1 AS INTEGER)] AS store_format
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
@@ -150,8 +151,8 @@ def pct_change(old: str, new: str) -> str:
 
 def percentage4(part: str, whole: str) -> str:
     """Half-up rounding to 4 decimals of 100*part/whole in exact integer arithmetic."""
-    return (f"(CASE WHEN {whole} = 0 THEN 0.0 ELSE CAST((CAST({part} AS BIGINT) * 2000000 + {whole}) "
-            f"// ({whole} * 2) AS DOUBLE) / 10000.0 END)")
+    return (f"(CASE WHEN {whole} = 0 THEN 0.0 ELSE CAST((CAST({part} AS HUGEINT) * 2000000 + {whole}) "
+            f"// (CAST({whole} AS HUGEINT) * 2) AS DOUBLE) / 10000.0 END)")
 
 
 def window_pred(p: Profile = TESTDATA, col: str = "order_date", start=None, end=None) -> str:

@@ -98,15 +98,14 @@ def seasonality_monthly(star: Star) -> DataFrame:
 def seasonality_summary(star: Star) -> DataFrame:
     """Peak month, trough month and their ratio; ties go to the earlier month."""
     s = monthly(star, star.profile.full_range()).select("month_key", "revenue")
-    peak = s.agg(F.max_by("month_key", F.struct(F.col("revenue"), F.lit(0) - F.unix_date(
-        F.to_date(F.concat("month_key", F.lit("-01")))))).alias("peak_month"))
-    trough = s.agg(F.min_by("month_key", F.struct(F.col("revenue"), F.unix_date(
-        F.to_date(F.concat("month_key", F.lit("-01")))))).alias("trough_month"))
-    pk = peak.join(s.withColumnRenamed("month_key", "peak_month"), "peak_month").withColumnRenamed(
-        "revenue", "peak_revenue")
-    tr = trough.join(s.withColumnRenamed("month_key", "trough_month"), "trough_month").withColumnRenamed(
-        "revenue", "trough_revenue")
-    return pk.crossJoin(tr).withColumn("peak_to_trough_ratio", S.safe_ratio("peak_revenue", "trough_revenue"))
+    month = F.unix_date(F.to_date(F.concat("month_key", F.lit("-01"))))
+    row = F.struct("month_key", "revenue")
+    return (s.agg(F.max_by(row, F.struct(F.col("revenue"), F.lit(0) - month)).alias("p"),
+                  F.min_by(row, F.struct(F.col("revenue"), month)).alias("t"))
+            .where("p is not null")
+            .select(F.col("p.month_key").alias("peak_month"), F.col("p.revenue").alias("peak_revenue"),
+                    F.col("t.month_key").alias("trough_month"), F.col("t.revenue").alias("trough_revenue"))
+            .withColumn("peak_to_trough_ratio", S.safe_ratio("peak_revenue", "trough_revenue")))
 
 
 # --- A-16: Q2 store ranking -------------------------------------------------

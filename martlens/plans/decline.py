@@ -245,7 +245,7 @@ def store_diagnosis(star: Star, w: TimeWindow | None = None) -> DataFrame:
         "city_change_pct", "city_strictly_declining",
         F.when(F.col("city_strictly_declining") == 1, F.lit("market-wide"))
         .otherwise(F.lit("store-specific")).alias("market_context"),
-    )
+    ).orderBy(F.col("change_pct").asc_nulls_last(), "store_id")
 
 
 def _prior_of(w: TimeWindow):
@@ -257,7 +257,8 @@ def _prior_of(w: TimeWindow):
 
 # --- A-48: flag membership lists -----------------------------------------------------
 def flag_membership(df: DataFrame, label: str, flags: list[str], cap: int = 50) -> DataFrame:
-    """Per flag column, the labels with 1 and with 0; both groups always present (A-48).
+    """Per flag column, the labels with 1 and with 0 (both groups always present), and those
+    without a flag under NULL (A-48).
 
     Labels are sorted for determinism and capped at ``cap`` per group; the full
     count is kept alongside. The aggregation is per (flag, value) group and
@@ -270,11 +271,14 @@ def flag_membership(df: DataFrame, label: str, flags: list[str], cap: int = 50)
                                                for f in flags])).alias("_fv")).select(
         F.col(label).cast("string").alias("_label"), "_fv.flag", "_fv.value")
     counts = long.groupBy("flag", "value").agg(F.count(F.lit(1)).alias("n_members"))
-    firsts = top_k_per_group(long.distinct(), ["flag", "value"], [F.col("_label")], cap, salt_on=["_label"])
+    keyed = long.distinct().withColumn("_v", F.coalesce("value", F.lit(-1)))
+    firsts = top_k_per_group(keyed, ["flag", "_v"], [F.col("_label")], cap, salt_on=["_label"])
     lists = firsts.groupBy("flag", "value").agg(
         F.array_join(F.array_sort(F.collect_list("_label")), ",").alias("labels"))
-    grouped = counts.join(lists, ["flag", "value"], "left")
-    vocab = broadcast_literal(spark.createDataFrame([(f, v) for f in flags for v in (1, 0)], "flag string, value int"))
-    return (vocab.join(grouped, ["flag", "value"], "left")
-            .select("flag", "value", F.coalesce("n_members", F.lit(0)).alias("n_members"),
-                    F.coalesce("labels", F.lit("")).alias("labels")))
+    grouped = counts.join(lists.withColumnsRenamed({"flag": "_f", "value": "_val"}),
+                          (F.col("flag") == F.col("_f")) & F.col("value").eqNullSafe(F.col("_val")), "left")
+    empty = spark.createDataFrame([(f, v, 0, "") for f in flags for v in (1, 0)],
+                                  "flag string, value int, n_members long, labels string")
+    return (grouped.select("flag", "value", "n_members", F.coalesce("labels", F.lit("")).alias("labels"))
+            .unionByName(empty).groupBy("flag", "value")
+            .agg(F.sum("n_members").alias("n_members"), F.max("labels").alias("labels")))

@@ -278,7 +278,7 @@ def _fuzzy_candidates(ph: DataFrame, cat: DataFrame) -> DataFrame:
 _MATCH_FIELDS = ("start", "end", "n_tokens", "tier", "confidence", "dimension", "column", "value", "method", "phrase")
 
 
-def _finish_per_text(cands: DataFrame, max_matches: int) -> DataFrame:
+def _finish_per_text(cands: DataFrame, max_matches: int | None) -> DataFrame:
     """Per text, in one row: first tier per span, greedy span claiming, order and cap (E-04, E-08, E-09)."""
     g = cands.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(*_MATCH_FIELDS))).alias("_m"))
     # 1. keep the lowest tier of every span (array sorted by start, end, n_tokens, tier)
@@ -306,7 +306,7 @@ def _finish_per_text(cands: DataFrame, max_matches: int) -> DataFrame:
         (-m["confidence"]).alias("nc"), m["dimension"].alias("dimension"), m["value"].alias("value"),
         m["start"].alias("start"), m["column"].alias("column"), m["method"].alias("method"),
         m["phrase"].alias("phrase"), m["confidence"].alias("confidence"))))
-    capped = F.slice(ordered, 1, max_matches)
+    capped = F.slice(ordered, 1, max_matches) if max_matches is not None else ordered
     return g.select("text_id", F.posexplode(capped).alias("_r", "_x")).select(
         "text_id", F.col("_x.phrase").alias("text"), F.col("_x.dimension").alias("dimension"),
         F.col("_x.column").alias("column"), F.col("_x.value").alias("value"),
@@ -337,7 +337,7 @@ def lookup_tables(star: Star) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve(texts: DataFrame, cat: DataFrame, delivery_channels: tuple[str, ...], fuzzy: bool = True,
-            max_matches: int = MAX_MATCHES, cat_key: str | None = None, kt: DataFrame | None = None) -> DataFrame:
+            max_matches: int | None = None, cat_key: str | None = None, kt: DataFrame | None = None) -> DataFrame:
     """Matches per text: (text_id, text, dimension, column, value, confidence, method, match_rank) (E-04 ... E-09).
 
     Phrases and their keys are produced row-locally; tiers 1-4 are one
@@ -410,4 +410,5 @@ def topic_tag(texts: DataFrame) -> DataFrame:
         expr = (F.when(cond, F.struct(F.lit(i + 1).alias("rule"), F.lit(label).alias("topic"))) if expr is None
                 else expr.when(cond, F.struct(F.lit(i + 1).alias("rule"), F.lit(label).alias("topic"))))
     tag = expr.otherwise(F.struct(F.lit(0).alias("rule"), F.lit(DEFAULT_TOPIC).alias("topic")))
-    return texts.select("text_id", tag.alias("_t")).select("text_id", "_t.rule", "_t.topic")
+    keys = [c for c in texts.columns if c != "text"]
+    return texts.select(*keys, tag.alias("_t")).select(*keys, "_t.rule", "_t.topic")

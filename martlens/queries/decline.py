@@ -205,13 +205,13 @@ _FLAG_VOCAB = ", ".join(f"('{f}', {v})" for f in _FLAGS for v in (1, 0))
 
 
 @register("flag_membership_store", O.with_star(f"""
-SELECT v.flag, v.value, COALESCE(g.n_members, 0) AS n_members, COALESCE(g.labels, '') AS labels
-FROM (VALUES {_FLAG_VOCAB}) v(flag, value)
-LEFT JOIN (SELECT flag, value, COUNT(*) AS n_members,
+SELECT flag, value, CAST(SUM(n_members) AS BIGINT) AS n_members, MAX(labels) AS labels
+FROM (SELECT v.flag, v.value, 0 AS n_members, '' AS labels FROM (VALUES {_FLAG_VOCAB}) v(flag, value)
+UNION ALL (SELECT flag, value, COUNT(*) AS n_members,
                   array_to_string(list_slice(list_sort(list(DISTINCT label)), 1, 50), ',') AS labels
            FROM ({" UNION ALL ".join(f"SELECT CAST(store_id AS VARCHAR) AS label, '{f}' AS flag, {f} AS value FROM dvb"
                                      for f in _FLAGS)}) x
-           GROUP BY flag, value) g ON v.flag = g.flag AND v.value = g.value""", extra_ctes=dvb_sql(["store_id"])))
+           GROUP BY flag, value)) g GROUP BY flag, value""", extra_ctes=dvb_sql(["store_id"])))
 def flag_membership_store(star, spark, sf_dir):
     """Labels per flag value (decliners / above baseline), both groups always present (A-48)."""
     return D.flag_membership(D.decline_vs_baseline(star, ["store_id"]), "store_id", _FLAGS)

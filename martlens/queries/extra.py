@@ -225,21 +225,21 @@ def f13_f14_document_figures(star, spark, sf_dir):
 
 
 @register("e02_conversation_phrases", f"""
-WITH tk AS (SELECT conv_id * 1000 + turn AS text_id,
+WITH tk AS (SELECT conv_id, turn,
                    list_filter(p, lambda x: regexp_full_match(x, '[A-Za-z0-9&''\\-]+')) AS toks
             FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9&''\\-]+|[^A-Za-z0-9&''\\-]+') AS p
                   FROM conversations) x),
-ph AS (SELECT text_id, s, unnest(range(1, least(4, len(toks) - s) + 1)) AS n, toks
-       FROM (SELECT text_id, toks, unnest(range(0, len(toks))) AS s FROM tk WHERE len(toks) > 0) y)
-SELECT text_id, COUNT(*) AS n_phrases, MAX(n) AS max_tokens FROM ph
+ph AS (SELECT conv_id, turn, s, unnest(range(1, least(4, len(toks) - s) + 1)) AS n, toks
+       FROM (SELECT conv_id, turn, toks, unnest(range(0, len(toks))) AS s FROM tk WHERE len(toks) > 0) y)
+SELECT conv_id, turn, COUNT(*) AS n_phrases, MAX(n) AS max_tokens FROM ph
 WHERE NOT (n = 1 AND lower(toks[s + 1]) IN ({", ".join("'" + w + "'" for w in E.STOPWORDS)}))
-GROUP BY text_id""")
+GROUP BY conv_id, turn""")
 def e02_conversation_phrases(star, spark, sf_dir):
     """Candidate phrases (1-4 tokens, stop-word singles removed) per conversation turn (E-02, E-03)."""
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    texts = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
-    return E.phrases(texts).groupBy("text_id").agg(F.count(F.lit(1)).alias("n_phrases"),
-                                                   F.max("n_tokens").cast("long").alias("max_tokens"))
+    texts = conv.select(F.struct("conv_id", "turn").alias("text_id"), "text")
+    return E.phrases(texts).groupBy("text_id.conv_id", "text_id.turn").agg(
+        F.count(F.lit(1)).alias("n_phrases"), F.max("n_tokens").cast("long").alias("max_tokens"))
 
 
 # --- S-12 / L-06 / C-08 / S-13 ----------------------------------------------------------------------

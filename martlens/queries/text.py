@@ -14,13 +14,16 @@ W = O.window_pred(P)
 
 # --- mention texts, derived from the window's orders (same rule in Spark and SQL) -----------
 def mention_texts(star):
-    """One question per order in the window, naming its store, geography and attributes."""
-    wo = star.wide_orders.filter(F.col("order_date").between(F.lit(P.window_start), F.lit(P.window_end)))
+    """One question per order, naming its store, geography and attributes; every eighth also
+    names an identifier that the catalogue does not know."""
+    wo = star.wide_orders
     k = F.col("order_id") % 4
     seg = F.coalesce(F.lower("customer_segment"), F.lit("walk-in"))
-    num = F.substring("store_id", 3, 3).cast("int").cast("string")
-    text = (F.when(k == 0, F.concat(F.lit("How is ST"), num, F.lit(" doing in "), F.col("city"), F.lit(" for "), seg,
-                                    F.lit("s?")))
+    num = F.substring("store_id", 3, 18).cast("int").cast("string")
+    unknown = F.when(F.col("order_id") % 8 == 0, F.concat(F.lit(" against QX"), (F.col("order_id") % 97).cast("string"))
+                     ).otherwise(F.lit(""))
+    text = (F.when(k == 0, F.concat(F.lit("How is ST"), num, F.lit(" doing in "), F.col("city"), F.lit(" for "), seg, F.lit("s"), unknown,
+                                    F.lit("?")))
             .when(k == 1, F.concat(F.lit("Compare "), F.col("store_name"), F.lit(" and "), F.col("day_name"),
                                    F.lit(" sales on "), F.lower("day_type"), F.lit("s")))
             .when(k == 2, F.concat(F.lit("Were delivery orders at "), F.col("store_format"), F.lit(" stores up on "),
@@ -33,12 +36,13 @@ def mention_texts(star):
 TEXTS_SQL = f"""texts AS (
   SELECT order_id AS text_id,
     CASE order_id % 4
-      WHEN 0 THEN 'How is ST' || CAST(CAST(substr(store_id, 3, 3) AS INTEGER) AS VARCHAR) || ' doing in ' || city
-                  || ' for ' || COALESCE(lower(customer_segment), 'walk-in') || 's?'
+      WHEN 0 THEN 'How is ST' || CAST(CAST(substr(store_id, 3) AS INTEGER) AS VARCHAR) || ' doing in ' || city
+                  || ' for ' || COALESCE(lower(customer_segment), 'walk-in') || 's'
+                  || CASE WHEN order_id % 8 = 0 THEN ' against QX' || CAST(order_id % 97 AS VARCHAR) ELSE '' END || '?'
       WHEN 1 THEN 'Compare ' || store_name || ' and ' || day_name || ' sales on ' || lower(day_type) || 's'
       WHEN 2 THEN 'Were delivery orders at ' || store_format || ' stores up on ' || channel || '?'
       ELSE 'Show ' || lower(region) || ' ' || festive_period || ' margin in ' || month_key END AS text
-  FROM wide_orders WHERE {W})"""
+  FROM wide_orders)"""
 
 
 def _lit_list(vals) -> str:
@@ -117,28 +121,30 @@ kept AS (SELECT w.* FROM won w JOIN acc a ON w.text_id = a.text_id AND w.start =
 ranked AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY confidence DESC, dimension, value, start)
              AS match_rank FROM kept),
 matches AS (SELECT text_id, phrase AS text, dimension, "column", value, CAST(confidence AS DOUBLE) AS confidence,
-                   method, match_rank FROM ranked WHERE match_rank <= {E.MAX_MATCHES})"""
+                   method, match_rank FROM ranked)"""
 
 
 RESOLVE = resolve_sql(TEXTS_SQL)
 
 
-def _resolve(star, fuzzy: bool):
+def _resolve(star, fuzzy: bool, max_matches: int | None = None):
+    """All matches of the mention texts; only the ordered list of E-09 has a cap."""
     cat, kt = E.lookup_tables(star)
-    return E.resolve(mention_texts(star), cat, P.delivery_channels, fuzzy=fuzzy, kt=kt,
+    return E.resolve(mention_texts(star), cat, P.delivery_channels, fuzzy=fuzzy, kt=kt, max_matches=max_matches,
                      cat_key=f"{star.source}/keytable")
 
 
-@register("entity_resolution_exact_tiers", O.with_star("SELECT * FROM matches", extra_ctes=RESOLVE))
+@register("entity_resolution_exact_tiers", O.with_star(
+    f"SELECT * FROM matches WHERE match_rank <= {E.MAX_MATCHES}", extra_ctes=RESOLVE))
 def entity_resolution_exact_tiers(star, spark, sf_dir):
     """Resolve mentions by the exact, alias, identifier and substring tiers (E-01 ... E-09, J-10, F-11, F-12)."""
-    return _resolve(star, fuzzy=False)
+    return _resolve(star, fuzzy=False, max_matches=E.MAX_MATCHES)
 
 
 @register("entity_resolution_full", None)
 def entity_resolution_full(star, spark, sf_dir):
     """All five tiers including the similarity ratio (E-06); rows-only: the ratio has no SQL equivalent."""
-    return _resolve(star, fuzzy=True)
+    return _resolve(star, fuzzy=True, max_matches=E.MAX_MATCHES)
 
 
 @register("entity_ambiguity", O.with_star(f"""
@@ -170,7 +176,7 @@ def entity_catalogue_counts(star, spark, sf_dir):
 
 
 @register("topic_tags_conversations", f"""
-SELECT conv_id * 1000 + turn AS text_id, {" ".join(
+SELECT conv_id, turn, {" ".join(
     f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN {i + 1} ELSE"
     for i, (words, _l) in enumerate(E.TOPIC_RULES))} 0 {"END " * len(E.TOPIC_RULES)}AS rule,
   {" ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{label}' ELSE"
@@ -179,8 +185,7 @@ FROM conversations""")
 def topic_tags_conversations(star, spark, sf_dir):
     """First matching topic rule per conversation turn, over the whole conversations table (E-13)."""
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    texts = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
-    return E.topic_tag(texts)
+    return E.topic_tag(conv.select("conv_id", "turn", "text"))
 
 
 # --- claim audit (N-01 ... N-07) ---------------------------------------------------------------
@@ -199,14 +204,14 @@ def claim_inputs(star):
     ends = monthly.groupBy("store_id").agg(
         F.coalesce(F.max(F.when(F.col("month_key") == _M1, F.col("revenue"))), F.lit(0.0)).alias("_m1"),
         F.coalesce(F.max(F.when(F.col("month_key") == _M3, F.col("revenue"))), F.lit(0.0)).alias("_m3"))
-    aid = F.substring("store_id", 3, 3).cast("long")
+    aid = F.substring("store_id", 3, 18).cast("long")
     fmt = lambda c: F.format_number(F.floor(c).cast("long"), 0)
     text = F.concat(
         F.col("store_id"), F.lit(" ("), F.col("store_name"), F.lit(") earned "), fmt(F.col("revenue")),
         F.lit(" INR from "), F.col("orders").cast("string"), F.lit(" orders, about "),
         fmt(F.col("revenue") / 1000.0), F.lit(" thousand; AOV "), fmt(F.col("aov")), F.lit(". A rival claim of "),
         fmt(F.col("revenue") * 1.37), F.lit(" INR ("), F.floor("revenue_share_pct").cast("long").cast("string"),
-        F.lit("% share) in 2001-06 for 2001 lists ST0"), F.substring("store_id", 3, 3),
+        F.lit("% share) in 2001-06 for 2001 lists ST0"), F.substring("store_id", 3, 18),
         F.lit(". May to July moved by "), fmt(F.abs(F.col("_m3") - F.col("_m1"))), F.lit(" INR."))
     answers = rank.join(ends, "store_id", "left").select(
         aid.alias("answer_id"), text.alias("text"), F.lit(0.85).alias("confidence"),
@@ -230,19 +235,19 @@ mon AS (SELECT store_id, month_key, CAST(SUM(net_before_tax) AS DOUBLE) AS reven
 ends AS (SELECT store_id, COALESCE(MAX(CASE WHEN month_key = '{_M1}' THEN revenue END), 0.0) AS m1,
                 COALESCE(MAX(CASE WHEN month_key = '{_M3}' THEN revenue END), 0.0) AS m3 FROM mon GROUP BY store_id),
 answers AS (
-  SELECT CAST(substr(r.store_id, 3, 3) AS BIGINT) AS answer_id,
+  SELECT CAST(substr(r.store_id, 3) AS BIGINT) AS answer_id,
     r.store_id || ' (' || r.store_name || ') earned ' || format('{{:,}}', CAST(floor(r.revenue) AS BIGINT))
     || ' INR from ' || CAST(r.orders AS VARCHAR) || ' orders, about '
     || format('{{:,}}', CAST(floor(r.revenue / 1000.0) AS BIGINT)) || ' thousand; AOV '
     || format('{{:,}}', CAST(floor(r.aov) AS BIGINT)) || '. A rival claim of '
     || format('{{:,}}', CAST(floor(r.revenue * 1.37) AS BIGINT)) || ' INR ('
     || CAST(CAST(floor(r.revenue_share_pct) AS BIGINT) AS VARCHAR) || '% share) in 2001-06 for 2001 lists ST0'
-    || substr(r.store_id, 3, 3) || '. May to July moved by '
+    || substr(r.store_id, 3) || '. May to July moved by '
     || format('{{:,}}', CAST(floor(abs(e.m3 - e.m1)) AS BIGINT)) || ' INR.' AS text,
     0.85 AS confidence, r.rank > 20 AS verification_failed
   FROM ranked r LEFT JOIN ends e ON r.store_id = e.store_id),
 cells AS (
-  SELECT CAST(substr(store_id, 3, 3) AS BIGINT) AS answer_id, 'ranking' AS result_id, u.col AS "column",
+  SELECT CAST(substr(store_id, 3) AS BIGINT) AS answer_id, 'ranking' AS result_id, u.col AS "column",
          u.num, u.str
   FROM ranked, (SELECT 1) d,
   LATERAL (VALUES ('store_id', NULL, store_id), ('store_name', NULL, store_name), ('city', NULL, city),
@@ -251,7 +256,7 @@ cells AS (
                   ('units_per_order', units_per_order, NULL), ('revenue_share_pct', revenue_share_pct, NULL),
                   ('rank', CAST(rank AS DOUBLE), NULL)) u(col, num, str)
   UNION ALL
-  SELECT CAST(substr(store_id, 3, 3) AS BIGINT), 'monthly', u.col, u.num, u.str
+  SELECT CAST(substr(store_id, 3) AS BIGINT), 'monthly', u.col, u.num, u.str
   FROM mon, LATERAL (VALUES ('store_id', NULL, store_id), ('month_key', NULL, month_key),
                             ('revenue', revenue, NULL)) u(col, num, str)),
 fa AS (SELECT answer_id, regexp_replace(text, '{C.DATE_LIKE_RE}', ' ', 'g') AS m FROM answers),

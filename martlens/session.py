@@ -60,8 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared filesystem folder and is
-    used as is. Only a session without one (a test, a local bench) gets a fresh
-    temporary folder.
+    used as is; a cluster session without it is refused. Only a local session (a
+    test, a local bench) gets a fresh temporary folder.
     """
     sc = _context(spark)
     current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
@@ -69,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    if sc is not None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="martlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:

@@ -26,7 +26,7 @@ from __future__ import annotations
 import os
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.functions import scalars as S
@@ -53,12 +53,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_source(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def store_id_of(key: Column) -> Column:
+    """'ST' and the key with at least three digits; longer keys stay whole."""
+    digits = key.cast("string")
+    return F.concat(F.lit("ST"), F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")))
+
+
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation")
     region = broadcast_if_small(_read(spark, sf_dir, "region"), 10_000, key=f"{sf_dir}/region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey",
-        F.concat(F.lit("ST"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("store_id"),
+        store_id_of(F.col("n_nationkey")).alias("store_id"),
         F.col("n_name").alias("store_name"),
         F.col("r_name").alias("city"),
         F.col("n_name").alias("state"),

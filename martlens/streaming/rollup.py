@@ -1,11 +1,9 @@
 """Streaming run-log rollup (T-03): per user-day run, tokens, steps, failures, providers by first use.
 
-The stream aggregates at (user, one-day event-time window, provider) grain
-with a watermark, so the state per run is bounded by the number of providers
-(never the number of events). Each micro-batch's updated rows are appended to
-the sink with their batch id; reading keeps each (run, provider)'s latest row
-and rolls the providers up to the run, ordering them by first use.
-(Append mode would hold back the runs the watermark has not yet closed.)
+All measures add up, so no state is kept: every micro-batch is rolled up to
+(user, day, provider) rows and written under its batch id, a retried batch
+replacing its own rows. Reading sums the batches. An event counts however late
+it arrives, and nothing waits for a watermark.
 """
 
 from __future__ import annotations
@@ -20,19 +18,16 @@ from martlens.plans.logs import SECONDS_PER_DAY, US, epoch_us
 from martlens.session import ensure_checkpoint_dir
 
 
-def rollup_stream(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    ev = stream.select("user_id", "event_id", "event_type", "value", epoch_us("ts").alias("__us")).withColumn(
-        "ts", F.timestamp_micros("__us"))
+def per_provider(events: DataFrame) -> DataFrame:
+    """(run, provider) totals of a batch of events."""
+    ev = events.select("user_id", "event_id", "event_type", "value", epoch_us("ts").alias("__us"))
     tokens = F.when(F.col("event_type") != "view", F.floor(F.col("value") * 100).cast("long"))
-    g = (ev.withWatermark("ts", watermark)
-         .groupBy("user_id", F.window("ts", "1 day").alias("day"), F.col("event_type").alias("provider"))
-         .agg(F.sum(F.coalesce(tokens, F.lit(0))).cast("long").alias("tokens"),
-              F.count(F.lit(1)).alias("steps"),
-              F.count(F.when(F.col("event_type") == "error", 1)).alias("failed_steps"),
-              F.min(F.struct("__us", "event_id")).alias("first_use")))
-    day_no = F.floor(F.unix_micros(F.col("day.start")) / US / SECONDS_PER_DAY).cast("long")
-    return g.select((F.col("user_id") * 100000 + day_no).alias("run_id"), "provider", "tokens", "steps",
-                    "failed_steps", "first_use")
+    day_no = F.floor(F.col("__us") / US / SECONDS_PER_DAY).cast("long")
+    return (ev.groupBy((F.col("user_id") * 100000 + day_no).alias("run_id"), F.col("event_type").alias("provider"))
+            .agg(F.sum(F.coalesce(tokens, F.lit(0))).cast("long").alias("tokens"),
+                 F.count(F.lit(1)).alias("steps"),
+                 F.count(F.when(F.col("event_type") == "error", 1)).alias("failed_steps"),
+                 F.min(F.struct("__us", "event_id")).alias("first_use")))
 
 
 def rollup_runs(per_provider: DataFrame) -> DataFrame:
@@ -51,15 +46,15 @@ def run_once(spark: SparkSession, source_dir: str, schema, root: str | None = No
     sink, ckpt = os.path.join(root, "sink"), os.path.join(root, "checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        per_provider(batch).write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
 
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    stream = reader.parquet(source_dir)
-    q = (rollup_stream(stream).writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-         .outputMode("update").trigger(availableNow=True).start())
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    out = spark.read.parquet(sink)
-    latest = out.groupBy("run_id", "provider").agg(F.max("batch_id").alias("batch_id"))
-    return rollup_runs(out.join(latest, ["run_id", "provider", "batch_id"]).drop("batch_id"))
+    parts = spark.read.parquet(sink)
+    return rollup_runs(parts.groupBy("run_id", "provider").agg(
+        *(F.sum(c).cast("long").alias(c) for c in ("tokens", "steps", "failed_steps")),
+        F.min("first_use").alias("first_use")))
