@@ -25,7 +25,8 @@ the work only, never the result.
 Defined cases: null or blank texts have empty sets and link with nothing; a text of
 fewer words than a shingle has one shingle, its whole sequence; repeated rows are
 copies of each other; a component's id is its least non-null doc_id, null if it has
-none; an empty table gives an empty result; other columns are not looked at.
+none; an empty table gives an empty result; other columns pass through, and input
+columns named like result columns are replaced.
 """
 
 from __future__ import annotations
@@ -36,16 +37,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martlens.llm.common import saved
 from martlens.llm.graph import components
-from martlens.llm.textkit import NON_SPACE, mix, shingle_sets, slices
+from martlens.llm.textkit import NON_SPACE, mix, row_slices, shingle_sets, slices
 
 SHINGLE_WORDS = 5
 #: Shingles that skip the counting shuffle; bounds the broadcast list (8 bytes each).
 HOT_SHINGLES = 1 << 17
-#: A shingle counts towards the hot ones from so many records of one batch on.
-HOT_IN_BATCH = 8
+#: Bytes of text whose records are packed together.
+PACKED_TEXT = 8 << 20
+#: A shingle counts towards the hot ones from so many records of one pack on.
+HOT_IN_BATCH = 4
 #: Counting groups, and one more for so many documents.
 LEAST_BUCKETS, DOCS_PER_BUCKET = 64, 4096
 #: Shingles of a block in one task.
@@ -65,6 +69,14 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose records are handled together, of fewer than 2**16 rows."""
+    for batch in batches:
+        for i, j in row_slices(batch.column("text"), PACKED_TEXT):
+            for at in range(i, j, 1 << 14):
+                yield batch.slice(at, min(1 << 14, j - at))
+
+
 def _distinct(batch: pa.RecordBatch, seen: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
     """(signature, set) of the non-empty sets of a batch that it has not seen before."""
     for _, _, words in slices(batch.column("text"), NON_SPACE):
@@ -87,7 +99,7 @@ def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and order keys of the shingles found in most records."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _packs(batches):
             sets = [s for _, s in _distinct(batch, {})]
             if sets:
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -111,7 +123,10 @@ def _is_hot(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, keys: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, sig, and the order keys of the hot shingles of the set."""
+    """Input columns but text, n_shingles, sig, and the order keys of the hot shingles of the set."""
+    keep = [f for f in docs.schema.fields if f.name not in ("text", "n_shingles", "sig", "hot")]
+    schema = T.StructType([*keep, T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.LongType()),
+                           T.StructField("hot", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,11 +134,10 @@ def signatures(docs: DataFrame, hot: np.ndarray, keys: np.ndarray) -> DataFrame:
                 sets = shingle_sets(words, SHINGLE_WORDS)
                 own = [np.sort(keys[np.searchsorted(hot, s[_is_hot(s, hot)])]).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(_signatures(sets)), pa.array(own, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "sig", "hot"])
+                    [*(batch.column(f.name).slice(i, j - i) for f in keep), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array(_signatures(sets)), pa.array(own, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long, hot array<long>")
+    return docs.select(*(f.name for f in keep), "text").mapInArrow(run, schema)
 
 
 def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -131,34 +145,31 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame
     low = np.uint64((1 << 16) - 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1 << 14):
-                batch = whole.slice(at, 1 << 14)
-                seen: dict[int, int] = {}
-                found = [(sig, s[~_is_hot(s, hot)]) for sig, s in _distinct(batch, seen)]
-                if not found:
-                    continue
-                sigs = np.array([sig for sig, _ in found], dtype=np.int64)
-                h = np.concatenate([s for _, s in found])
-                local = np.repeat(np.arange(len(found), dtype=np.uint64), [len(s) for _, s in found])
-                bucket = (h & low) % np.uint64(min(buckets, 1 << 16))
-                if buckets > 1 << 16:  # more bits are taken from the other end of the hash
-                    bucket += np.uint64(1 << 16) * ((h >> np.uint64(40)) % np.uint64(-(-buckets >> 16)))
-                order = np.argsort(bucket.astype(np.int64), kind="stable")
-                bucket, entry = bucket[order].astype(np.int64), ((h & ~low) | local)[order]
-                low6 = (h & np.uint64(63))[order].astype(np.uint8)
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                rows = []
-                for b, e, six in zip(bucket[np.r_[0, cuts]] if len(bucket) else [], np.split(entry, cuts),
-                                     np.split(low6, cuts), strict=False):
-                    used, place = np.unique(e & low, return_inverse=True)
-                    rows.append((int(b), sigs[used.astype(np.int64)].tobytes(),
-                                 ((e & ~low) | place.astype(np.uint64)).tobytes(), six.tobytes()))
-                if rows:
-                    b, s, e, six = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(b, pa.int64()), *(pa.array(x, pa.binary()) for x in (s, e, six))],
-                        names=["bucket", "sigs", "entries", "low6"])
+        for batch in _packs(batches):
+            found = [(sig, s[~_is_hot(s, hot)]) for sig, s in _distinct(batch, {})]
+            if not found:
+                continue
+            sigs = np.array([sig for sig, _ in found], dtype=np.int64)
+            h = np.concatenate([s for _, s in found])
+            local = np.repeat(np.arange(len(found), dtype=np.uint64), [len(s) for _, s in found])
+            bucket = (h & low) % np.uint64(min(buckets, 1 << 16))
+            if buckets > 1 << 16:  # more bits are taken from the other end of the hash
+                bucket += np.uint64(1 << 16) * ((h >> np.uint64(40)) % np.uint64(-(-buckets >> 16)))
+            order = np.argsort(bucket.astype(np.int64), kind="stable")
+            bucket, entry = bucket[order].astype(np.int64), ((h & ~low) | local)[order]
+            low6 = (h & np.uint64(63))[order].astype(np.uint8)
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            rows = []
+            for b, e, six in zip(bucket[np.r_[0, cuts]] if len(bucket) else [], np.split(entry, cuts),
+                                 np.split(low6, cuts), strict=False):
+                used, place = np.unique(e & low, return_inverse=True)
+                rows.append((int(b), sigs[used.astype(np.int64)].tobytes(),
+                             ((e & ~low) | place.astype(np.uint64)).tobytes(), six.tobytes()))
+            if rows:
+                b, s, e, six = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b, pa.int64()), *(pa.array(x, pa.binary()) for x in (s, e, six))],
+                    names=["bucket", "sigs", "entries", "low6"])
 
     def shared(group: pa.Table) -> pa.Table:
         h, sig = [], []
@@ -256,8 +267,10 @@ def _search_block(key: tuple, group: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """Input columns but text, n_shingles, component_id (the least doc_id of the component) and
+    component (the same number for all of a component, null for empty sets)."""
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    names = [c for c in docs.columns if c not in ("text", "n_shingles", "sig", "hot", "component_id", "component")]
     hot, hot_keys = hot_shingles(docs)
     owners = saved(signatures(docs, hot, hot_keys), "jaccard-signatures")
     buckets = max(LEAST_BUCKETS, owners.count() // DOCS_PER_BUCKET)
@@ -290,7 +303,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = records.select("sig", "first_id").join(
         found.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(ids, "root").select("sig", "component_id")
-    return (owners.join(labels, "sig", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id"))
-                    .otherwise(F.col("doc_id")).alias("component_id")))
+    labels = named.join(ids, "root").select("sig", "component_id", F.col("root").alias("component"))
+    some = F.col("n_shingles") > 0
+    return owners.join(labels, "sig", "left").select(
+        *names, "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("component")).alias("component"))
