@@ -3,8 +3,7 @@
 One group-by per mart over the order fact joined (inner) to the store
 dimension. ``orders`` is COUNT(*) per group as in the source system; it sums
 across groups only because an order has exactly one store, city, channel and
-month. Marts are small (entities x months) and are written partitioned by
-``month_key``.
+month. Marts are small (entities x months) and are stored with the star.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ def _orders_with_store(star: Star) -> DataFrame:
 def _mart(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("orders"),
-        F.sum("net_before_tax").cast("decimal(18,2)").alias("revenue_net"),
-        F.sum("gross_bill_value").cast("decimal(18,2)").alias("revenue_gross"),
+        F.sum("net_before_tax").alias("revenue_net"),
+        F.sum("gross_bill_value").alias("revenue_gross"),
         F.sum("total_qty").cast("long").alias("units"),
     ).withColumn("aov", S.safe_ratio("revenue_net", "orders"))
 
@@ -52,6 +51,11 @@ def mart_channel_month(star: Star) -> DataFrame:
     return _mart(_orders_with_store(star), MART_KEYS["mart_channel_month"])
 
 
+def mart_builders() -> dict:
+    return {"mart_store_month": mart_store_month, "mart_city_month": mart_city_month,
+            "mart_channel_month": mart_channel_month}
+
+
 def build_marts(star: Star) -> dict[str, DataFrame]:
-    return {"mart_store_month": mart_store_month(star), "mart_city_month": mart_city_month(star),
-            "mart_channel_month": mart_channel_month(star)}
+    """The stored marts of a written star; built from the facts where there are none."""
+    return star.marts or {name: build(star) for name, build in mart_builders().items()}

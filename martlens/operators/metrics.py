@@ -222,7 +222,7 @@ def _from_mart(star: Star, mart_name: str, metrics, dimensions, window, filters)
     from martlens.operators.marts import build_marts
     m = build_marts(star)[mart_name]
     if window is not None:
-        m = m.filter(F.col("month_key").between(window.start_month, window.end_month))
+        m = in_months(m, window.start_month, window.end_month)
     m = apply_filters(m, filters)
     sums = {k: F.sum(v) for k, v in MART_METRICS.items()}
     out = []
@@ -250,6 +250,8 @@ def metric_query(star: Star, metrics: list[str], dimensions: list[str] | None =
     routing rule allows it (a plain Python rule, not an optimizer rule).
     """
     dimensions = list(dimensions or [])
+    if window is not None:  # a window outside the data is refused (P-13)
+        star.profile.check_coverage(window, star.profile.data_start, star.profile.last_day)
     route = _mart_route(metrics, dimensions, window, filters) if use_marts else None
     if route is not None:
         out = _from_mart(star, route, metrics, dimensions, window, filters)

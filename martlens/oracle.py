@@ -52,7 +52,7 @@ dim_product AS (
          CAST(p_retailprice AS DECIMAL(18,2)) AS base_price_inr,
          CAST(p_size + 20 AS DOUBLE) / 100.0 AS est_cogs_pct, 'Active' AS status FROM part),
 cal_days AS (
-  SELECT CAST(d AS DATE) AS d FROM range(DATE '{p.data_start}', DATE '{p.as_of}' + INTERVAL 1 DAY,
+  SELECT CAST(d AS DATE) AS d FROM range(DATE '{p.data_start}', DATE '{p.last_day}' + INTERVAL 1 DAY,
                                          INTERVAL 1 DAY) t(d)),
 dim_calendar AS (
   SELECT d AS date, year(d) AS year, monthname(d) AS month, month(d) AS month_no, dayname(d) AS day_name,

@@ -85,7 +85,7 @@ def seasonality_monthly(star: Star) -> DataFrame:
     """Full-range monthly series with the festive periods each month contains."""
     p = star.profile
     series = monthly(star, p.full_range()).select("month_key", "revenue", "orders", "units", "aov")
-    cal = calendar_days(star.dim_calendar, p.data_start, p.as_of)
+    cal = calendar_days(star.dim_calendar, p.data_start, p.last_day)
     fest = (cal.filter(F.col("festive_period") != p.non_festive_label)
             .groupBy("month_key")
             .agg(F.array_join(F.array_sort(F.collect_set("festive_period")), ",").alias("festive_periods")))
@@ -197,7 +197,7 @@ def day_type_breakdown(star: Star, start: date, end: date, scope: str) -> DataFr
 
 def day_type_comparison(star: Star) -> DataFrame:
     p = star.profile
-    return (day_type_breakdown(star, p.data_start, p.as_of, "full_range")
+    return (day_type_breakdown(star, p.data_start, p.last_day, "full_range")
             .unionByName(day_type_breakdown(star, p.window_start, p.window_end, "window")))
 
 
@@ -236,9 +236,9 @@ def festive_uplift(star: Star) -> DataFrame:
     vocab = broadcast_literal(spark.createDataFrame(
         [(p.non_festive_label, 0)] + [(n, i + 1) for i, n in enumerate(names)] + [(ALL_FESTIVE, len(names) + 1)],
         "period string, period_order int"))
-    orders = in_window(star.wide_orders, p.data_start, p.as_of)
+    orders = in_window(star.wide_orders, p.data_start, p.last_day)
     per_period = orders.groupBy(F.col("festive_period").alias("period")).agg(*_order_aggs())
-    cal = calendar_days(star.dim_calendar, p.data_start, p.as_of)
+    cal = calendar_days(star.dim_calendar, p.data_start, p.last_day)
     days = cal.groupBy(F.col("festive_period").alias("period")).agg(F.countDistinct("date").alias("_days"))
     blocks = per_period.join(days, "period", "full_outer")
     combined = (blocks.filter(F.col("period").isin(names))

@@ -199,7 +199,7 @@ def _profile(rid: str, idx: int, df: DataFrame, profile: Profile, w: TimeWindow)
     for d in dims_present:
         a += [F.countDistinct(F.col(f"`{d}`").cast("string")).alias(f"dist::{d}"),
               F.max(F.col(f"`{d}`").isNull().cast("int")).alias(f"hasnull::{d}")]
-    lo, hi = S.lit_date(profile.data_start), S.lit_date(profile.as_of)
+    lo, hi = S.lit_date(profile.data_start), S.lit_date(profile.last_day)
     for c in date_cols:
         parsed = (F.to_date(F.col(f"`{c}`")) if not isinstance(types[c], T.StringType)
                   else S.parse_date_like(F.col(f"`{c}`")))

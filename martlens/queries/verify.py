@@ -106,7 +106,7 @@ def _profile_sql(rid: str, cols: list[tuple[str, str]]) -> tuple[str, dict]:
               f"MAX(CAST({_q(d)} IS NULL AS INTEGER)) AS {_q('hasnull::' + d)}"]
     for c in date_cols:
         p = _parse(c, kinds[c])
-        a += [f"COUNT(CASE WHEN {p} < DATE '{P.data_start}' OR {p} > DATE '{P.as_of}' THEN 1 END) "
+        a += [f"COUNT(CASE WHEN {p} < DATE '{P.data_start}' OR {p} > DATE '{P.last_day}' THEN 1 END) "
               f"AS {_q('datebad::' + c)}"]
     for c in month_cols:
         p = _parse(c, kinds[c])

@@ -76,7 +76,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calendar(spark: SparkSession, profile: Profile) -> DataFrame:
     """One row per day of the profile's range, attributes by rule (S-08)."""
-    n_days = (profile.as_of - profile.data_start).days + 1
+    n_days = (profile.last_day - profile.data_start).days + 1
     d = F.date_add(F.lit(profile.data_start), F.col("id").cast("int"))
     base = spark.range(n_days).select(d.alias("date"))
     return base.select(
@@ -95,7 +95,7 @@ def calendar(spark: SparkSession, profile: Profile) -> DataFrame:
 
 
 def promotions(spark: SparkSession, profile: Profile) -> DataFrame:
-    rows = [(pid, name, ptype, profile.data_start, profile.as_of, "All", "All orders", 10.0, 0.0, 0.0)
+    rows = [(pid, name, ptype, profile.data_start, profile.last_day, "All", "All orders", 10.0, 0.0, 0.0)
             for pid, name, ptype in PROMOTIONS]
     df = spark.createDataFrame(
         rows, "promo_id string, promo_name string, promo_type string, start_date date, end_date date, "
@@ -210,14 +210,16 @@ _STAR_MEMO: dict[tuple[str, str, str], Star] = {}
 def star_for(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) -> Star:
     """The star for a testdata folder, built once per session.
 
-    The first call binds the star over the source tables, writes it under the
-    session's checkpoint directory (see :func:`write_star`) and reads it back;
+    The first call binds the star over the source tables, builds it under the
+    session's checkpoint directory behind the quality gate (see
+    :func:`build_star`) and reads it back;
     later calls in the same application reuse it, so every query runs over the
     written star (partition pruning by month, no replay of the source joins).
     A folder named in ``martlens.star.<abs path>`` is read as is. With
     ``martlens.materialize=false`` the lazy binding is returned instead.
     """
-    from martlens.sources.star import read_star, write_star
+    from martlens.plans.quality import expected_counts_from_sources
+    from martlens.sources.star import build_star, read_star
 
     path = os.path.abspath(sf_dir)
     from martlens.session import app_key
@@ -228,7 +230,8 @@ def star_for(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) -> S
     if written:
         star = read_star(spark, written, profile)
     elif spark.conf.get("martlens.materialize", "true").lower() == "true":
-        root = write_star(bind_star(spark, sf_dir, profile))
+        star = bind_star(spark, sf_dir, profile)
+        root = build_star(star, expected_counts_from_sources(spark, sf_dir, star))
         spark.conf.set(f"martlens.star.{path}", root)
         star = read_star(spark, root, profile)
     else:

@@ -69,6 +69,8 @@ class Star:
     # line fact with product attributes, before the order attributes are attached
     # (lets the writer join lines to the *written* order fact instead of re-deriving it)
     lines_base: DataFrame | None = None
+    # stored monthly marts of a written star
+    marts: dict[str, DataFrame] | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in DIMENSIONS + FACTS}
@@ -91,13 +93,16 @@ def write_star(star: Star, path: str | None = None) -> str:
 
     Only the dimensions and the two *wide* facts are written; the narrow facts
     are projections of the wide ones (column pruning makes them free on read).
+    The three monthly marts are then built from the written facts and stored too.
     Facts are written partitioned by ``month_key`` behind a REBALANCE hint: AQE
     hash-distributes rows by month and splits oversized months into
     advisory-sized partitions, so files stay evenly sized however skewed the
     months are. The folder lives under the shared checkpoint directory unless
-    ``path`` is given; a rebuild goes to a new folder, and readers are switched
-    to it only after the quality gate passed.
+    ``path`` is given. A rebuild goes to a new folder; ``build_star`` switches
+    readers to it once the quality gate has passed.
     """
+    from martlens.operators.marts import mart_builders
+
     spark = star.fact_orders.sparkSession
     root = path or os.path.join(ensure_checkpoint_dir(spark), f"star-{uuid.uuid4().hex[:12]}")
     for name in DIMENSIONS:
@@ -114,6 +119,24 @@ def write_star(star: Star, path: str | None = None) -> str:
                       .select(*star.wide_lines.columns))
     wide_lines.hint("rebalance", "month_key").write.mode("overwrite").partitionBy("month_key").parquet(
         os.path.join(root, "wide_lines"))
+    written_star = read_star(spark, root, star.profile)
+    for name, build in mart_builders().items():
+        build(written_star).write.mode("overwrite").parquet(os.path.join(root, name))
+    return root
+
+
+def build_star(star: Star, expected: DataFrame, path: str | None = None) -> str:
+    """Full build (S-12, S-06, Q-22): write the star to a staging folder, run the gate on what was
+    written, store its report beside the tables, and raise unless every error check passes (but
+    those the profile knows to fail). Returns the folder; readers are pointed to it only then, so
+    a failed build leaves them on the last good one."""
+    from martlens.plans import quality
+
+    spark = star.fact_orders.sparkSession
+    root = write_star(star, path)
+    report = os.path.join(root, "quality_report")
+    quality.full_report(read_star(spark, root, star.profile), expected).write.mode("overwrite").parquet(report)
+    quality.enforce(spark.read.parquet(report), star.profile.known_failures)
     return root
 
 
@@ -121,9 +144,23 @@ def read_star(spark: SparkSession, root: str, profile: Profile) -> Star:
     frames = {n: spark.read.parquet(os.path.join(root, n)) for n in DIMENSIONS + ("wide_orders", "wide_lines")}
     frames["fact_orders"] = frames["wide_orders"].select(*COLUMNS["fact_orders"])
     frames["fact_order_lines"] = frames["wide_lines"].select(*COLUMNS["fact_order_lines"], "month_key")
+    marts = {n: os.path.join(root, n) for n in PRIMARY_KEYS if n.startswith("mart_")}
+    if _has(spark, marts["mart_store_month"]):
+        return Star(profile=profile, source=root, marts={n: spark.read.parquet(p) for n, p in marts.items()}, **frames)
     return Star(profile=profile, source=root, **frames)
 
 
+def _has(spark: SparkSession, path: str) -> bool:
+    """Whether a table exists (it does not yet while the marts themselves are built)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException:
+        return False
+
+
 def row_counts(star: Star) -> DataFrame:
     """Row count per table as one frame (S-12 report), one job for all tables."""
     spark = star.fact_orders.sparkSession
