@@ -7,9 +7,11 @@ comparison, figure presence, ordered-run containment and partition identities.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.operators.joins import broadcast_literal
+
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], tolerances: dict[str, float]) -> DataFrame:
     """Per compared column: rows missing left, missing right, out of tolerance, worst gap (D-01, J-09)."""
@@ -50,20 +52,23 @@ def figure_presence(targets: DataFrame, cells: DataFrame, tol: float = 1.0) -> D
 def contains_run(ranking: DataFrame, label: str, order: str, expected: list[str]) -> DataFrame:
     """Does the ranking contain ``expected`` as a consecutive run, forwards or reversed (D-03)?
 
-    The ranking is a result table (bounded by the row cap); the run test is one
-    aggregation producing the ordered label list.
+    Places in the ranking less places in the expected list are the same for all labels of a
+    run (their sum, for a reversed one), so the run is a group of as many places.
     """
-    seq = ranking.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(label).cast("string")
-                                                          .alias("l")))).alias("_s"))
-    labels = F.transform("_s", lambda s: s["l"])
-    k = len(expected)
-    exp = F.array(*[F.lit(x) for x in expected])
-    rev = F.array(*[F.lit(x) for x in reversed(expected)])
-    starts = F.sequence(F.lit(1), F.greatest(F.size(labels) - k + 1, F.lit(1)))
-    fwd = F.exists(starts, lambda i: F.slice(labels, i, k) == exp)
-    bwd = F.exists(starts, lambda i: F.slice(labels, i, k) == rev)
-    return seq.select((F.size(labels) >= k).alias("_long_enough"), fwd.alias("forward"), bwd.alias("reversed")).select(
-        (F.col("_long_enough") & (F.col("forward") | F.col("reversed"))).alias("contains_run"), "forward", "reversed")
+    spark, k = ranking.sparkSession, len(expected)
+    wanted = broadcast_literal(spark.createDataFrame(list(enumerate(expected)), "__at int, __label string"))
+    placed = ranking.select(F.col(label).cast("string").alias("__label"),
+                            F.row_number().over(Window.orderBy(order, label)).alias("__place"))
+    both = placed.join(wanted, "__label").select("__at", F.explode(F.array(
+        F.struct(F.lit(True).alias("ahead"), (F.col("__place") - F.col("__at")).alias("offset")),
+        F.struct(F.lit(False).alias("ahead"), (F.col("__place") + F.col("__at")).alias("offset")))).alias("__d"))
+    runs = both.groupBy("__d").agg((F.countDistinct("__at") == k).alias("__whole"))
+
+    def any_whole(ahead: bool) -> Column:
+        return F.coalesce(F.max((F.col("__d.ahead") == ahead) & F.col("__whole")), F.lit(False))
+
+    return runs.agg(any_whole(True).alias("forward"), any_whole(False).alias("reversed")).select(
+        (F.col("forward") | F.col("reversed")).alias("contains_run"), "forward", "reversed")
 
 
 def identity(name: str, lhs: Column, rhs: Column, tol: float) -> Column:

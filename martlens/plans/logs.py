@@ -42,32 +42,21 @@ def epoch_us(c: Column | str) -> Column:
 
 
 # --- W-07 ----------------------------------------------------------------------------------
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str, order_tiebreak: str,
-                   bucket_seconds: int | None = None) -> DataFrame:
-    """Count of the key's rows with timestamp in [t - seconds, t] (inclusive), per row.
-
-    Buckets are at least ``seconds`` wide, so a row's window lies inside its
-    own bucket and the previous one.
-    """
-    b = (bucket_seconds or max(seconds, 3600)) * US
-    if b < seconds * US:
-        raise ValueError("bucket must be at least as wide as the window")
-    base = df.withColumn("__us", epoch_us(ts)).withColumn("__b", F.floor(F.col("__us") / b).cast("long"))
-    own = base.withColumn("__own", F.lit(True))
-    ctx = base.withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False))
-    both = own.unionByName(ctx)
-    w = Window.partitionBy(key, "__b").orderBy("__us").rangeBetween(-seconds * US, 0)
-    return (both.withColumn(out, F.count(F.lit(1)).over(w)).filter("__own")
-            .drop("__us", "__b", "__own"))
-
-
 def trailing_counts(events: DataFrame, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Trailing 60 s and 86 400 s counts per event (W-07)."""
-    m = trailing_count(events.select("event_id", key, ts), key, ts, SECONDS_PER_MINUTE, "n_last_minute",
-                       "event_id", bucket_seconds=3600)
-    d = trailing_count(events.select("event_id", key, ts), key, ts, SECONDS_PER_DAY, "n_last_day",
-                       "event_id", bucket_seconds=SECONDS_PER_DAY)
-    return m.join(d.select("event_id", "n_last_day"), "event_id")
+    """Trailing 60 s and 86 400 s counts per event (W-07), in one pass: both windows share the
+    day buckets, their order and the previous day as context."""
+    day = SECONDS_PER_DAY * US
+    base = (events.select("event_id", key, ts).withColumn("__us", epoch_us(ts))
+            .withColumn("__b", F.floor(F.col("__us") / day).cast("long")))
+    both = base.select("*", F.explode(F.array(F.struct(F.col("__b").alias("to"), F.lit(True).alias("own")),
+                                              F.struct((F.col("__b") + 1).alias("to"), F.lit(False).alias("own"))))
+                       .alias("__c")).select("event_id", key, ts, "__us", F.col("__c.to").alias("__to"),
+                                             F.col("__c.own").alias("__own"))
+    w = Window.partitionBy(key, "__to").orderBy("__us")
+    return (both.select("event_id", key, ts, "__own",
+                        F.count(F.lit(1)).over(w.rangeBetween(-SECONDS_PER_MINUTE * US, 0)).alias("n_last_minute"),
+                        F.count(F.lit(1)).over(w.rangeBetween(-day, 0)).alias("n_last_day"))
+            .where("__own").drop("__own"))
 
 
 # --- T-01 ----------------------------------------------------------------------------------

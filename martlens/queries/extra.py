@@ -387,3 +387,25 @@ def q32_mart_grain(star, spark, sf_dir):
              .select(F.lit(name).alias("mart"), "n", (F.col("e") * F.col("m")).alias("full_grain"))
              for (name, m), k in zip(build_marts(star).items(), ("store_id", "city", "channel"), strict=True)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("d03_ranking_runs", O.with_star("""
+SELECT forward OR reversed AS contains_run, forward, reversed FROM (
+  SELECT len(list_filter(range(1, len(labels) - 3), lambda i: labels[i:i + 4] = wanted)) > 0 AS forward,
+         len(list_filter(range(1, len(labels) - 3), lambda i: labels[i:i + 4] = list_reverse(wanted))) > 0 AS reversed
+  FROM (SELECT list(store_id ORDER BY rank) AS labels FROM ranked) l,
+       (SELECT list(store_id ORDER BY rank DESC) AS wanted FROM ranked WHERE rank <= 5) e) x""", extra_ctes=Q2_BASE))
+def d03_ranking_runs(star, spark, sf_dir):
+    """The top stores listed worst first are found as a reversed run of the ranking (D-03)."""
+    top = [r.store_id for r in A.top_stores(star).orderBy("rank").collect()]  # five labels
+    return D.contains_run(A.store_ranking(star), "store_id", "rank", top[::-1])
+
+
+@register("l06_first_categories", O.with_star("""
+SELECT category, row_number() OVER (ORDER BY first_day, category) AS series_rank
+FROM (SELECT category, MIN(order_date) AS first_day FROM wide_lines WHERE category IS NOT NULL GROUP BY category) x
+ORDER BY first_day, category LIMIT 24"""))
+def l06_first_categories(star, spark, sf_dir):
+    """The first 24 categories by first appearance (L-06)."""
+    from martlens.operators.topk import first_k_categories
+    return first_k_categories(star.wide_lines.where("category is not null"), "category", "order_date", 24)
