@@ -32,6 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def most_frequent(counts: DataFrame, n: str, bound: int) -> DataFrame:
+    """The rows of the largest counts in column n, at most ``bound`` of them: those above a count
+    that a histogram over sixteenths of powers of two gives, so no sorted lists reach the driver."""
+    step = F.floor(16 * F.log2(F.col(n))).cast("int")
+    bins = sorted(((r.step, r.rows) for r in counts.where(F.col(n) > 0).groupBy(step.alias("step"))
+                   .agg(F.count("*").alias("rows")).collect()), reverse=True)
+    least, total = None, 0
+    for at, rows in bins:
+        total += rows
+        if total > bound:
+            break
+        least = at
+    return counts.where((F.col(n) > 0) & (step >= least)) if least is not None else counts.limit(0)
+
+
 def crc_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id is in fold 0 as the text ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlens.llm.common import crc_fold, saved
+from martlens.llm.common import crc_fold, most_frequent, saved
 from martlens.llm.textkit import NON_SPACE, slices
 
 FOLDS = 10
@@ -92,7 +92,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 def corpus_counts(vocabulary: DataFrame, ends: int) -> Counts:
     """Totals, frequent words and class totals of a vocabulary table."""
     total = vocabulary.agg(F.sum("c"), F.count("*")).first()
-    top = vocabulary.orderBy(F.desc("c"), "h").limit(HOT_WORDS).toPandas()
+    top = most_frequent(vocabulary, "c", HOT_WORDS).toPandas().sort_values(["c", "h"], ascending=[False, True])
     h = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
     c = top["c"].to_numpy(dtype=np.float64)
     by_hash, own = np.argsort(h), np.argsort(h[:OWN_CLASSES])

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martlens.llm.common import saved
+from martlens.llm.common import most_frequent, saved
 from martlens.llm.graph import components
 from martlens.llm.textkit import NON_SPACE, mix, row_slices, shingle_sets, slices
 
@@ -107,8 +107,9 @@ def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
                                                  names=["h", "n"])
 
-    rows = (docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).collect())
+    counts = saved(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")),
+                   "hot-shingles")
+    rows = most_frequent(counts, "n", HOT_SHINGLES).collect()
     h = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
     n = np.array([r.n for r in rows], dtype=np.float64)
     order = np.argsort(h)
