@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martlens.llm.common import saved
 from martlens.llm.textkit import ALNUM, NON_SPACE, Words, buffer_of, mix, row_slices
 
 GRADES = 3
@@ -118,22 +119,58 @@ def sample(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED) -> Dat
         run, "grade int, features binary, vals binary").limit(bound)
 
 
+def _screened(rows: DataFrame) -> np.ndarray:
+    """Features that enough documents have and whose mean grade differs enough, found by Spark."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for batch in batches:
+            feature = [np.frombuffer(x, dtype="<u4") for x in batch.column("features").to_pylist()]
+            grade = np.repeat(batch.column("grade").to_numpy(), [len(x) for x in feature])
+            feature = np.concatenate(feature)
+            n += np.bincount(feature, minlength=1 << BITS)
+            total += np.bincount(feature, weights=grade, minlength=1 << BITS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(total[some])],
+                                         names=["feature", "n", "total"])
+
+    whole = rows.agg(F.avg("grade"), F.stddev_pop("grade")).first()
+    features = (rows.select("grade", "features").mapInArrow(count, "feature long, n double, total double")
+                .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where(F.col("n") >= LEAST_DOCS))
+    errors = F.abs(F.col("total") / F.col("n") - F.lit(whole[0])) * F.sqrt("n") / F.lit(whole[1])
+    return np.sort(np.array([r.feature for r in features.where(errors >= LEAST_ERRORS).select("feature").collect()],
+                            dtype=np.int64))
+
+
+def _only(rows: DataFrame, used: np.ndarray) -> DataFrame:
+    """The rows with these features alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, dtype=bool)
+        wanted[used] = True
+        for batch in batches:
+            out = []
+            for f, v in zip(batch.column("features").to_pylist(), batch.column("vals").to_pylist(), strict=True):
+                keep = wanted[np.frombuffer(f, dtype="<u4")]
+                out.append((np.frombuffer(f, dtype="<u4")[keep].tobytes(), np.frombuffer(v, dtype="<f4")[keep].tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("grade"), *(pa.array([x[k] for x in out], pa.binary()) for k in range(2))],
+                names=["grade", "features", "vals"])
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def fit(rows: DataFrame) -> Fitted:
-    """Fit weights and thresholds to the bounded sample by full-gradient steps of adaptive size."""
-    got = rows.toPandas()
-    grade = got["grade"].to_numpy(dtype=np.int64) if len(got) else np.empty(0, dtype=np.int64)
+    """Fit weights and thresholds to the bounded sample by full-gradient steps of adaptive size.
+    Spark screens the features; the driver holds the sample's screened features only."""
+    rows = saved(rows, "labelled-sample")
     weights, thresholds = np.zeros(1 << BITS), np.arange(GRADES - 1, dtype=np.float64)
-    if len(np.unique(grade)) < 2:
+    if rows.select("grade").distinct().count() < 2:
         return Fitted(weights.astype(np.float32), thresholds, False)
+    got = _only(rows, _screened(rows)).toPandas()
+    grade = got["grade"].to_numpy(dtype=np.int64)
     feature = np.frombuffer(b"".join(got["features"]), dtype="<u4").astype(np.int64)
     value = np.frombuffer(b"".join(got["vals"]), dtype="<f4").astype(np.float64)
     row = np.repeat(np.arange(len(got)), [len(x) // 4 for x in got["features"]])
-    docs_with = np.bincount(feature, minlength=1 << BITS)
-    mean = np.bincount(feature, weights=grade[row], minlength=1 << BITS) / np.maximum(docs_with, 1)
-    errors = np.abs(mean - grade.mean()) * np.sqrt(docs_with) / grade.std()
-    keep = ((docs_with >= LEAST_DOCS) & (errors >= LEAST_ERRORS))[feature]
-    used, col = np.unique(feature[keep], return_inverse=True)
-    value, row = value[keep], row[keep]
+    used, col = np.unique(feature, return_inverse=True)
     n, w = len(grade), np.zeros(len(used))
     share = np.array([np.mean(grade >= j) for j in range(1, GRADES)]).clip(0.01, 0.99)
     cuts = np.maximum.accumulate(np.log(1 / share - 1) + 1e-3 * np.arange(GRADES - 1))
