@@ -47,7 +47,7 @@ SHINGLE_WORDS = 5
 #: Shingles that skip the counting shuffle; bounds the broadcast list (8 bytes each).
 HOT_SHINGLES = 1 << 17
 #: Bytes of text whose records are packed together.
-PACKED_TEXT = 8 << 20
+PACKED_TEXT = 4 << 20
 #: A shingle counts towards the hot ones from so many records of one pack on.
 HOT_IN_BATCH = 4
 #: Counting groups, and one more for so many documents.

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _HASH_WORDS = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
