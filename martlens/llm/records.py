@@ -23,6 +23,7 @@ empty index; other columns are not written.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -89,6 +90,68 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+# A piece begins where white space follows something else, so no match of the byte-level
+# pattern crosses its border. Texts with other white space are encoded in larger parts.
+_PIECE = re.compile(r"[ \t\r\n]+[^ \t\r\n]*|[^ \t\r\n]+")
+_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+_SPACE = " \t\r\n"
+
+
+class PieceEncoder:
+    """Ids of whole texts as bytes. Pieces between safe cuts are encoded by the tokenizer once
+    and remembered in two generations of up to ``limit`` pieces per Python worker: when the
+    young one is full it becomes the old one, and pieces met again move back into the young."""
+
+    def __init__(self, tok, width: int, limit: int = 250_000) -> None:
+        self.tok, self.kind, self.limit = tok, f"<u{width}", limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # a token is written with one character for each of its bytes
+        self.bytes = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())])
+
+    def _learn(self, pieces: list[str]) -> None:
+        # pieces that begin with white space and end without it can be encoded as one text
+        joined = [p for p in pieces if p[0] in _SPACE and p[-1] not in _SPACE]
+        alone = [p for p in pieces if p[0] not in _SPACE or p[-1] in _SPACE]
+        texts = ["".join(joined), *alone]
+        first, *rest = (np.asarray(e.ids, dtype=self.kind)
+                        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))
+        ends = np.cumsum([len(p.encode()) for p in joined])
+        upto = np.cumsum(self.bytes[first])
+        cuts = np.searchsorted(upto, ends) + 1
+        if len(joined) and not np.array_equal(upto[cuts - 1], ends):
+            raise RuntimeError("a token crosses the border of a piece")
+        raw, at, size = first.tobytes(), 0, first.itemsize
+        for p, cut in zip(joined, (cuts * size).tolist(), strict=True):
+            self.young[p], at = raw[at:cut], cut
+        for p, ids in zip(alone, rest, strict=True):
+            self.young[p] = ids.tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [safe_parts(t) if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        missing = set().union(*cut) - self.young.keys() - {""}
+        self.young[""] = b""
+        known = missing & self.old.keys()
+        self.young.update((p, self.old[p]) for p in known)
+        if missing := list(missing - known):
+            self._learn(missing)
+        return [b"".join(map(self.young.__getitem__, pieces)) for pieces in cut]
+
+
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def piece_encoder(path: str, end_id: int) -> tuple[PieceEncoder, int]:
+    """The encoder of a file, kept per Python worker, and the bytes per id."""
+    tok = tokenizer(path)
+    width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    return _encoders.setdefault((path, width), PieceEncoder(tok, width)), width
+
+
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, root: str | None = None,
                   text: str = "text") -> DataFrame:
     """Encode and write all documents; returns the index read back from its table, one
@@ -98,8 +161,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, root: str |
     root = root or folder(spark, "records")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_path)
-        width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        encoder, width = piece_encoder(tokenizer_path, end_id)
+        end = end_id.to_bytes(width, "little")
         no, out, at, before = TaskContext.get().partitionId(), None, 0, 0
         shard = f"{root}/{no:06d}-{uuid.uuid4().hex}.rec"
         for whole in batches:
@@ -109,16 +172,12 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, root: str |
                     system, path = _file_system(shard)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path)
-                texts = [safe_parts(t or "") for t in batch.column(1).to_pylist()]
-                coded = iter(tok.encode_batch_fast([p for ps in texts for p in ps], add_special_tokens=False))
                 rows = []
-                for parts in texts:
-                    ids = [x for _ in parts for x in next(coded).ids]
-                    ids.append(end_id)
-                    record = frame(np.asarray(ids, dtype=f"<u{width}").tobytes())
+                for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
+                    record, n_ids = frame(ids + end), len(ids) // width + 1
                     out.write(record)
-                    rows.append((at, len(record), len(ids), before))
-                    at, before = at + len(record), before + len(ids)
+                    rows.append((at, len(record), n_ids, before))
+                    at, before = at + len(record), before + n_ids
                 offset, length, n, prior = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
                 fill = [pa.repeat(pa.scalar(shard), len(rows)), pa.repeat(pa.scalar(no, pa.int64()), len(rows))]
                 yield pa.RecordBatch.from_arrays(
