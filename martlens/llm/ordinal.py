@@ -1,4 +1,4 @@
-"""Quality classifier: ordinal cumulative-link regression on hashed text features.
+"""Quality classifier: ordinal cumulative-link regression on text features.
 
 A grade rises from 0 to ``GRADES - 1``. One weight vector over hashed words, beginnings of
 words, runs of marks and two shares (repeated words, runs of marks) gives a text's level, and ordered thresholds cut the level into grades:
@@ -8,7 +8,10 @@ words, runs of marks and two shares (repeated words, runs of marks) gives a text
 so one set of weights serves all grades, and the expected grade and every tail
 probability come from the same level. The fit uses at most ``MAX_LABELLED`` labelled
 documents, those of the least hashed ids; it runs on their sparse features alone, while
-scoring is one map over all documents with the weights (``2 ** BITS`` numbers).
+scoring is one map over all documents with the weights. A feature is the 64-bit hash of its
+bytes with its family in the two low bits, so no other word stands for a screened one, and
+in a text above ``STRETCH`` words it counts by its average in so many: a long text is judged
+like its average stretch, whatever its length, and a short bad passage weighs less in it.
 
 Defined cases: a null or empty text has no features and the level 0; labels with a null
 id or grade are not used; the lowest of several grades of a document counts; without
@@ -32,13 +35,14 @@ from martlens.llm.common import saved
 from martlens.llm.textkit import ALNUM, NON_SPACE, Words, buffer_of, mix, row_slices
 
 GRADES = 3
-BITS = 18
 #: Bound of the labelled sample.
 MAX_LABELLED = 20_000
 #: A feature has a weight if so many labelled documents have it, and if their mean grade
 #: differs from that of all by so many standard errors.
 LEAST_DOCS, LEAST_ERRORS = 5, 4.5
 PREFIX_BYTES = 4
+#: In a text of more words and runs of marks than these, a feature counts by its average in so many.
+STRETCH = 1000
 STEPS = 150
 RATE = 0.3
 DECAY = 2e-4
@@ -46,11 +50,14 @@ DECAY = 2e-4
 KEEP_TOP = 0.5
 
 _LOWER_MARKS = ~ALNUM & NON_SPACE
+_SHAPE = 3  # family of the shares, in the two low bits of a feature
+_SCREEN_ROWS = 500
 
 
 @dataclass
 class Fitted:
-    weights: np.ndarray  # float32, 2 ** BITS
+    features: np.ndarray  # uint64, rising
+    weights: np.ndarray  # float32, one for each feature
     thresholds: np.ndarray  # GRADES - 1, rising
     usable: bool
 
@@ -79,23 +86,45 @@ def _shape(words: Words, marks: Words) -> np.ndarray:
     return np.stack([16 * k + np.minimum(9, np.floor(10 * x / n)).astype(np.int64) for k, x in enumerate(found)], axis=1)
 
 
-def _features(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, row of each feature, feature, value) of slices of a batch."""
+def _features(batch: pa.RecordBatch, text: str, used: np.ndarray | None = None,
+              ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, row of each feature, feature, value) of slices of a batch, by row and
+    feature; of all features or of the sorted ``used`` alone."""
     column = batch.column(text)
     if not batch.num_rows:
         return
     data, offsets = buffer_of(column)
     for i, j in row_slices(column):
-        part, cut, keys = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], []
+        part, cut, rows, keys = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], [], []
         words, marks = Words(part, cut, ALNUM), Words(part, cut, _LOWER_MARKS)
         for family, (w, h) in enumerate(((words, words.hash), (words, _beginnings(words)), (marks, marks.hash))):
-            at = (h >> np.uint64(40)) & np.uint64((1 << (BITS - 2)) - 1)
-            keys.append((np.repeat(np.arange(j - i), np.diff(w.first)) << BITS)
-                        + at.astype(np.int64) + (family << (BITS - 2)))
-        shape = (3 << (BITS - 2)) + _shape(words, marks)
-        keys += [(np.arange(j - i) << BITS) + shape[:, k] for k in range(shape.shape[1])]
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
-        yield i, j, key >> BITS, key & ((1 << BITS) - 1), np.log1p(n).astype(np.float32)
+            row, key = np.repeat(np.arange(j - i), np.diff(w.first)), h & ~np.uint64(3) | np.uint64(family)
+            if used is not None:
+                some = _among(key, used)
+                row, key = row[some], key[some]
+            rows.append(row)
+            keys.append(key)
+        shape = _shape(words, marks)
+        rows.append(np.repeat(np.arange(j - i), shape.shape[1]))
+        keys.append(shape.astype(np.uint64).ravel() << np.uint64(2) | np.uint64(_SHAPE))
+        if used is not None:
+            some = _among(keys[-1], used)
+            rows[-1], keys[-1] = rows[-1][some], keys[-1][some]
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        order = np.lexsort((key, row))
+        row, key = row[order], key[order]
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])][:len(row)])
+        n, row, key = np.diff(np.r_[new, len(row)]), row[new], key[new]
+        size = np.diff(words.first) + np.diff(marks.first)
+        per = np.where(key & np.uint64(3) == _SHAPE, 1.0, np.minimum(1.0, STRETCH / np.maximum(size, 1))[row])
+        yield i, j, row, key, np.log1p(n * per).astype(np.float32)
+
+
+def _among(key: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``used``."""
+    if not len(used):
+        return np.zeros(len(key), dtype=bool)
+    return used[np.minimum(np.searchsorted(used, key), len(used) - 1)] == key
 
 
 def sample(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
@@ -109,7 +138,7 @@ def sample(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED) -> Dat
             grade = batch.column("grade").to_numpy()
             for i, j, row, feature, value in _features(batch, "text"):
                 cut = np.searchsorted(row, np.arange(j - i + 1))
-                feature, value = feature.astype("<u4"), value.astype("<f4")
+                feature, value = feature.astype("<u8"), value.astype("<f4")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grade[i:j], pa.int32()),
                      *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
@@ -122,35 +151,34 @@ def sample(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED) -> Dat
 def _screened(rows: DataFrame) -> np.ndarray:
     """Features that enough documents have and whose mean grade differs enough, found by Spark."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
         for batch in batches:
-            feature = [np.frombuffer(x, dtype="<u4") for x in batch.column("features").to_pylist()]
-            grade = np.repeat(batch.column("grade").to_numpy(), [len(x) for x in feature])
-            feature = np.concatenate(feature)
-            n += np.bincount(feature, minlength=1 << BITS)
-            total += np.bincount(feature, weights=grade, minlength=1 << BITS)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(total[some])],
-                                         names=["feature", "n", "total"])
+            for i in range(0, batch.num_rows, _SCREEN_ROWS):
+                part = batch.slice(i, _SCREEN_ROWS)
+                feature = [np.frombuffer(x, dtype="<u8") for x in part.column("features").to_pylist()]
+                grade = np.repeat(part.column("grade").to_numpy(), [len(x) for x in feature])
+                feature, at = np.unique(np.concatenate(feature), return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(feature.view(np.int64)), pa.array(np.bincount(at, minlength=len(feature)).astype(np.float64)),
+                     pa.array(np.bincount(at, weights=grade, minlength=len(feature)).astype(np.float64))],
+                    names=["feature", "n", "total"])
 
     whole = rows.agg(F.avg("grade"), F.stddev_pop("grade")).first()
     features = (rows.select("grade", "features").mapInArrow(count, "feature long, n double, total double")
                 .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where(F.col("n") >= LEAST_DOCS))
     errors = F.abs(F.col("total") / F.col("n") - F.lit(whole[0])) * F.sqrt("n") / F.lit(whole[1])
     return np.sort(np.array([r.feature for r in features.where(errors >= LEAST_ERRORS).select("feature").collect()],
-                            dtype=np.int64))
+                            dtype=np.int64).view(np.uint64))
 
 
 def _only(rows: DataFrame, used: np.ndarray) -> DataFrame:
     """The rows with these features alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << BITS, dtype=bool)
-        wanted[used] = True
         for batch in batches:
             out = []
             for f, v in zip(batch.column("features").to_pylist(), batch.column("vals").to_pylist(), strict=True):
-                keep = wanted[np.frombuffer(f, dtype="<u4")]
-                out.append((np.frombuffer(f, dtype="<u4")[keep].tobytes(), np.frombuffer(v, dtype="<f4")[keep].tobytes()))
+                feature = np.frombuffer(f, dtype="<u8")
+                keep = _among(feature, used)
+                out.append((feature[keep].tobytes(), np.frombuffer(v, dtype="<f4")[keep].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("grade"), *(pa.array([x[k] for x in out], pa.binary()) for k in range(2))],
                 names=["grade", "features", "vals"])
@@ -162,14 +190,14 @@ def fit(rows: DataFrame) -> Fitted:
     """Fit weights and thresholds to the bounded sample by full-gradient steps of adaptive size.
     Spark screens the features; the driver holds the sample's screened features only."""
     rows = saved(rows, "labelled-sample")
-    weights, thresholds = np.zeros(1 << BITS), np.arange(GRADES - 1, dtype=np.float64)
     if rows.select("grade").distinct().count() < 2:
-        return Fitted(weights.astype(np.float32), thresholds, False)
+        return Fitted(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.float32),
+                      np.arange(GRADES - 1, dtype=np.float64), False)
     got = _only(rows, _screened(rows)).toPandas()
     grade = got["grade"].to_numpy(dtype=np.int64)
-    feature = np.frombuffer(b"".join(got["features"]), dtype="<u4").astype(np.int64)
+    feature = np.frombuffer(b"".join(got["features"]), dtype="<u8")
     value = np.frombuffer(b"".join(got["vals"]), dtype="<f4").astype(np.float64)
-    row = np.repeat(np.arange(len(got)), [len(x) // 4 for x in got["features"]])
+    row = np.repeat(np.arange(len(got)), [len(x) // 8 for x in got["features"]])
     used, col = np.unique(feature, return_inverse=True)
     n, w = len(grade), np.zeros(len(used))
     share = np.array([np.mean(grade >= j) for j in range(1, GRADES)]).clip(0.01, 0.99)
@@ -195,8 +223,7 @@ def fit(rows: DataFrame) -> Fitted:
         pace = RATE * (1 - step / STEPS)
         w -= pace * grad_w / (np.sqrt(size_w) + 1e-6)
         free -= 0.2 * pace * grad_f / (np.sqrt(size_f) + 1e-6)
-    weights[used] = w
-    return Fitted(weights.astype(np.float32), free[0] + np.r_[0.0, np.cumsum(np.exp(free[1:]))], True)
+    return Fitted(used, w.astype(np.float32), free[0] + np.r_[0.0, np.cumsum(np.exp(free[1:]))], True)
 
 
 def grade_texts(docs: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame:
@@ -210,8 +237,9 @@ def grade_texts(docs: DataFrame, fitted: Fitted, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, row, feature, value in _features(batch, text):
-                level = np.bincount(row, weights=value * fitted.weights[feature], minlength=j - i)
+            for i, j, row, feature, value in _features(batch, text, fitted.features):
+                level = np.bincount(row, weights=value * fitted.weights[np.searchsorted(fitted.features, feature)],
+                                    minlength=j - i)
                 tail = 1 / (1 + np.exp(np.clip(fitted.thresholds[None, :] - level[:, None], -40, 40)))
                 each = -np.diff(np.c_[np.ones(j - i), tail, np.zeros(j - i)], axis=1)
                 kept = (tail[:, -1] >= KEEP_TOP) | (not fitted.usable)

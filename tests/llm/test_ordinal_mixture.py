@@ -29,6 +29,25 @@ def test_ordinal_gradient_recovers_thresholds(spark):
     assert [r.grade for r in ordinal.grade_texts(docs, fitted).orderBy("doc_id").limit(6).collect()] == [0, 1, 2] * 2
 
 
+def test_long_texts_are_graded_like_their_parts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    grades = spark.read.parquet(f"{SF}/labels.parquet").select(
+        "doc_id", ordinal.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    fitted = ordinal.fit(ordinal.sample(docs, grades.where("doc_id % 4 <> 1")))
+    held = docs.join(grades.where("doc_id % 4 = 1"), "doc_id").orderBy("doc_id").select("grade", "text").toPandas()
+    rows = []
+    for size in (100_000, 400_000, 1_000_000, 5_000_000):
+        for grade in range(3):
+            pool, text, n = held.text[held.grade == grade].tolist(), [], 0
+            while n < size:
+                text.append(pool[len(text) % len(pool)])
+                n += len(text[-1])
+            rows.append((grade, size, "\n".join(text)))
+    long = spark.createDataFrame(rows, "want int, size int, text string")
+    got = ordinal.grade_texts(long, fitted).select("want", "size", "keep").collect()
+    assert len(got) == 12 and all(r.keep == (r.want == 2) for r in got), got
+
+
 def test_ordinal_cases(spark, case_docs, cases, no_docs):
     none = ordinal.fit(ordinal.sample(case_docs, spark.createDataFrame([], "doc_id long, grade int")))
     out = ordinal.grade_texts(case_docs, none)
