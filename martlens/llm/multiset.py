@@ -7,10 +7,11 @@ the same paragraphs in any order, and kept up to date by adding the vector of an
 inserted paragraph or subtracting that of a deleted one. The vector has two parts:
 
 * ``EQUAL_LANES`` sums modulo 2**32 of hashes of the whole paragraph, for equality;
-* ``SKETCH_LANES`` sums modulo 2**16 of +1/-1, one for each word of the paragraph with
+* ``SKETCH_LANES`` sums modulo 2**32, as signed numbers, of +1/-1, one for each word of the paragraph with
   its neighbours there, hashed to signs. The squared distance of two such sums estimates
   how many words with their neighbours differ (a tug-of-war sketch), which gives the
-  likeness of two documents from their fingerprints alone.
+  likeness of two documents from their fingerprints alone. A lane holds sums from -2**31
+  to 2**31 - 1, so no text that fits a string can wrap it.
 
 All of it is column expressions and sums. Bits of a 64-bit hash are summed two lanes at
 a time, as ``(hash >>> j) & 0x100000001``.
@@ -70,9 +71,9 @@ def lanes(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
 def fingerprint(n: Column, equal: Column, packed: Column) -> Column:
     """The lanes modulo their powers: struct(equal: EQUAL_LANES x 32 bits, sketch: SKETCH_LANES x
-    16 bits)."""
-    low = F.transform(packed, lambda s: F.pmod(2 * s.bitwiseAND(F.lit(0xFFFFFFFF)) - n, F.lit(65536)).cast("int"))
-    high = F.transform(packed, lambda s: F.pmod(2 * F.shiftrightunsigned(s, 32) - n, F.lit(65536)).cast("int"))
+    32 bits, signed)."""
+    low = F.transform(packed, lambda s: _signed(2 * s.bitwiseAND(F.lit(0xFFFFFFFF)) - n).cast("int"))
+    high = F.transform(packed, lambda s: _signed(2 * F.shiftrightunsigned(s, 32) - n).cast("int"))
     return F.struct(F.transform(equal, lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF))).alias("equal"),
                     F.concat(low, high).alias("sketch"))
 
@@ -86,7 +87,7 @@ def fingerprints(docs: DataFrame, key: list[str], text: str = "text") -> DataFra
 def _each(a: Column, b: Column, sign: int) -> Column:
     return F.struct(
         F.zip_with(a["equal"], b["equal"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32))).alias("equal"),
-        F.zip_with(a["sketch"], b["sketch"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 16))).alias("sketch"))
+        F.zip_with(a["sketch"], b["sketch"], lambda x, y: _signed(x.cast("long") + sign * y.cast("long")).cast("int")).alias("sketch"))
 
 
 def insert(a: Column, b: Column) -> Column:
@@ -103,23 +104,23 @@ def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints: 1 - |a-b|^2 / (|a|^2 + |b|^2) of the sketch lanes; 1 where all
     lanes agree."""
     def square(lanes_: Column) -> Column:
-        return F.aggregate(lanes_, F.lit(0.0), lambda s, x: s + _signed(x) * _signed(x))
+        return F.aggregate(lanes_, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
-    apart = square(F.zip_with(a["sketch"], b["sketch"], lambda x, y: x - y))
+    apart = square(F.zip_with(a["sketch"], b["sketch"], lambda x, y: _signed(x.cast("long") - y.cast("long"))))
     sizes = square(a["sketch"]) + square(b["sketch"])
     return F.when((a["equal"] == b["equal"]) & (a["sketch"] == b["sketch"]), F.lit(1.0)) \
         .when(sizes > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / sizes))).otherwise(F.lit(0.0))
 
 
 def _signed(x: Column) -> Column:
-    r = F.pmod(x, F.lit(65536))
-    return F.when(r >= 32768, r - 65536).otherwise(r).cast("double")
+    """A number modulo 2**32, from -2**31 on."""
+    return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
 
 
 def text_of(fp: Column) -> Column:
     """The fingerprint as text: hexadecimal lanes."""
     return F.concat_ws(":", F.array_join(F.transform(fp["equal"], lambda x: F.lpad(F.hex(x), 8, "0")), ""),
-                       F.array_join(F.transform(fp["sketch"], lambda x: F.lpad(F.hex(x), 4, "0")), ""))
+                       F.array_join(F.transform(fp["sketch"], lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 32))), 8, "0")), ""))
 
 
 def _successors(docs: DataFrame) -> DataFrame:

@@ -48,6 +48,15 @@ def test_query_edits_and_likeness(spark):
     assert sum(r.near_edited for r in long) / len(long) > 0.65 > 0.3 > sum(r.near_next for r in long) / len(long)
 
 
+def test_words_repeated_many_times(spark):
+    texts = [t for n in (4_000, 40_000, 65_536, 87_000) for t in ("0 " * n, "0 " * (n * 3 // 4) + "1 " * (n // 4))]
+    rows = _prints(spark, texts)
+    a, b = (rows.where(f"k % 2 = {x}").select(F.expr("k div 2").alias("at"), F.col("fingerprint").alias(f"f{x}")) for x in (0, 1))
+    got = a.join(b, "at").select("at", multiset.likeness(F.col("f0"), F.col("f1")).alias("near"), (multiset.insert(
+        multiset.delete(F.col("f0"), F.col("f1")), F.col("f1")) == F.col("f0")).alias("back")).orderBy("at").collect()
+    assert got[0].near > 0.8 and all(abs(r.near - got[0].near) < 0.01 and r.back for r in got), got
+
+
 def test_cases(spark, case_docs, cases, no_docs):
     rows = multiset.edit_report(case_docs).select("doc_id", "n_chars", "edited_sha256").collect()
     assert len(rows) == len(cases)
