@@ -7,14 +7,15 @@ never deep in the stack, but match what the plain patterns in the comments match
 
 Four kinds are certain by their form (base spans, score 1): email, ip (parts at most
 255), card (12 to 19 digits, Luhn) and phone (international, 9 to 15 digits). The others
-start from a score and need more: iban is confirmed by its mod-97 checksum; secret,
+start from a score and need more: iban is confirmed by its mod-97 checksum, at the last
+of its possible ends where that holds, so words after it do not hide it; secret,
 national (a national phone number) and ssn gain by a word of their context close before
 them and are kept from ``KEEP_SCORE`` on.
 
 Defined cases: a null or empty text has no spans; positions are code points, end
-exclusive; spans of different kinds may overlap and all stay in the list, while
-redaction joins overlapping ones and names the first; other columns pass through, and
-an input column named ``pii`` is replaced.
+exclusive; spans of different kinds, and account numbers of which one begins inside the
+other, may overlap and all stay in the list, while redaction joins overlapping ones and
+names the first; other columns pass through, and an input column named ``pii`` is replaced.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}+(?![A-Za-z0-9+/_-])",
+    # takes the first four characters only, so another one may begin in the rest; group 1 is all
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])))"
+            r"[A-Z]{2}[0-9]{2}",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
     "national": r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
@@ -51,6 +54,9 @@ CONTEXT = {
     "national": r"(?i)\b(?:call|cell|contact|fax|mobile|phone|tel|telephone)\b",
     "ssn": r"(?i)\b(?:ssn|social security|tax id|taxpayer)\b",
 }
+#: Group of the match and characters that it takes, where not all of it.
+GROUPS, TAKEN = {"iban": 1}, {"iban": 4}
+IBAN_LEAST = 12
 #: What a text must contain before a pattern is tried at all.
 HINTS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
@@ -97,6 +103,15 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step) == 1
 
 
+def _iban(found: Column) -> Column:
+    """The longest stretch of a match, up to one of its spaces or its end, that the checksum
+    confirms; null without one."""
+    words = F.split(found, " ")
+    ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)),
+                       lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    return F.get(F.filter(ends, lambda v: (F.length(F.replace(v, F.lit(" "), F.lit(""))) >= IBAN_LEAST) & mod97(v)), 0)
+
+
 def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     n = F.length(digits)
@@ -108,7 +123,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "phone":
         return n.between(9, 15)
     if kind == "iban":
-        return mod97(value)
+        return value.isNotNull()
     if kind == "secret":  # mixed letters and digits
         return (n >= 4) & F.regexp_replace(value, "[^A-Za-z]", "").rlike("[A-Za-z]{4}")
     if kind == "ssn":
@@ -135,28 +150,36 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def matches(kind: str) -> Column:
         hint = F.contains(t, F.lit(HINTS[kind])) if kind in HINTS else t.rlike("[0-9]")
-        return F.when(hint, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none)
+        return F.when(hint, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(GROUPS.get(kind, 0)))).otherwise(none)
 
     out = docs.select(*keep, *(matches(k).alias(f"_m_{k}") for k in KINDS))
 
+    def taken(kind: str, m: Column) -> Column:
+        return F.lit(TAKEN[kind]) if kind in TAKEN else F.length(m)
+
     def steps(kind: str) -> Column:
         """Lengths of the stretch before each match and of the match together."""
         found = F.col(f"_m_{kind}")
         between = F.transform(F.split(t, PATTERNS[kind], -1), lambda p: F.length(p))
-        return F.when(F.size(found) > 0, F.transform(found, lambda m, i: F.get(between, i) + F.length(m))) \
+        return F.when(F.size(found) > 0, F.transform(found, lambda m, i: F.get(between, i) + taken(kind, m))) \
             .otherwise(F.array().cast("array<int>"))
 
     out = out.select(*keep, *(f"_m_{k}" for k in KINDS), *(steps(k).alias(f"_s_{k}") for k in KINDS))
     out = out.select(*keep, *(f"_m_{k}" for k in KINDS), *(_running(F.col(f"_s_{k}")).alias(f"_e_{k}") for k in KINDS))
 
     def spans(kind: str) -> Column:
-        rows = F.transform(F.arrays_zip(F.col(f"_m_{kind}").alias("m"), F.col(f"_e_{kind}").alias("e")),
-                           lambda r: F.struct((r["e"] - F.length(r["m"])).alias("start"), r["e"].alias("end"),
-                                              F.lit(KINDS.index(kind)).alias("rank"),
-                                              _score(kind, t, r["e"] - F.length(r["m"])).alias("score"),
-                                              r["m"].alias("value")))
-        return F.when(F.size(f"_m_{kind}") > 0,
-                      F.filter(rows, lambda r: (r["score"] >= KEEP_SCORE) & _valid(kind, r["value"])))
+        zipped = F.arrays_zip(F.col(f"_m_{kind}").alias("m"), F.col(f"_e_{kind}").alias("e"))
+        if kind == "iban":
+            zipped = F.transform(zipped, lambda r: F.struct(_iban(r["m"]).alias("m"), r["e"].alias("e")))
+
+        def span(r: Column) -> Column:
+            start = r["e"] - taken(kind, r["m"])
+            return F.struct(start.alias("start"), (start + F.length(r["m"])).alias("end"),
+                            F.lit(KINDS.index(kind)).alias("rank"), _score(kind, t, start).alias("score"),
+                            r["m"].alias("value"))
+
+        rows = F.filter(F.transform(zipped, span), lambda r: (r["score"] >= KEEP_SCORE) & _valid(kind, r["value"]))
+        return F.when(F.size(f"_m_{kind}") > 0, rows)
 
     nothing = F.array().cast("array<struct<start:int,end:int,rank:int,score:double,value:string>>")
     found = F.array_sort(F.concat(*(F.coalesce(spans(k), nothing) for k in KINDS)),

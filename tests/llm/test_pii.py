@@ -67,6 +67,22 @@ def test_checksums_and_context(spark):
     assert kinds == [["iban"], [], ["secret"], [], ["national"], [], ["ssn"], []]
 
 
+def test_account_numbers_before_words_and_long_secrets(spark):
+    es, de, no = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    key = "04dbebab91ab85687d33eeaaf9" * 200
+    texts = [("IBAN ES9121000418450200051332 BIC: CAIXESBB", ["ES9121000418450200051332"]), (f"{es} EUR 500", [es]),
+             (f"{es} {de} {no} ABCD", [es, de, no]), (f"É AB12 {es} REF1 XY, {no}", [es, no]), (f"{es}0 {de}x", []),
+             (f"{es[:-1]}3 EUR 500", []), (f"{es} 1332 AND MORE WORDS", [es]),
+             *((f"token={key[:n]} x", [key[:n]]) for n in (128, 129, 200, 5000)), (f"hash {key[:200]}", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        text, want = texts[r.doc_id]
+        spans = [s for s in r.pii if s.kind in ("iban", "secret")]
+        assert [s.value for s in spans] == want and [text[s.start:s.end] for s in spans] == want, text
+    clean = [r.text for r in pii.redact(pii.find_pii(df)).orderBy("doc_id").collect()]
+    assert clean[1] == "[IBAN] EUR 500" and clean[2] == "[IBAN] [IBAN] [IBAN] ABCD" and clean[8] == "token=[SECRET] x"
+
+
 def test_redaction(spark, found):
     texts = [r.text for r in pii.redact(found).orderBy("doc_id").collect()]
     assert texts[0] == "[EMAIL][EMAIL] x@y" and texts[3] == "é€😀 [EMAIL] 😀 [PHONE]"
