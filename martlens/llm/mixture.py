@@ -3,8 +3,9 @@
 Each language has a distribution of hashed letter n-grams, counted over all training
 texts by Spark. A word's likelihood in a language is the product of its n-grams'; a
 document is a mixture of languages with unknown proportions, found by expectation-
-maximisation over its words. Sets of 1 to ``MOST_LANGUAGES`` languages are compared by
-log-likelihood less a penalty per language that grows with the log of the words; the
+maximisation over its words. Sets of one language up to all, nested by first proportion,
+are compared by log-likelihood less a penalty per language that grows with the log of the
+words; a set whose penalty alone is worse than the best so far is not tried. The
 prediction is the language with the largest proportion in the chosen set.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and no
@@ -29,7 +30,6 @@ from martlens.llm.textkit import buffer_of, mix, row_slices
 FOLDS, HELD_OUT = 3, 1
 GRAM_SIZES = (2, 3, 4)  # bytes, with a space at each end of a word
 BUCKETS = 1 << 15
-MOST_LANGUAGES = 3
 ROUNDS = 8
 PENALTY = 4.0
 UNKNOWN = "und"
@@ -126,30 +126,38 @@ def mixtures(owner: np.ndarray, likelihood: np.ndarray, n_docs: int) -> tuple[np
     p, first = np.exp(likelihood - best), np.searchsorted(owner, np.arange(n_docs + 1))
     words = np.diff(first)
     some = np.flatnonzero(words)
-    cuts = first[:-1][some]  # texts without words add nothing between the cuts
 
-    def rounds(shares: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rounds(shares: np.ndarray, allowed: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihood of the texts ``mine``, which have words, from first shares."""
+        inside = np.zeros(n_docs, dtype=bool)
+        inside[mine] = True
+        q, of = p[inside[owner]], np.repeat(np.arange(len(mine)), words[mine])
+        cuts = np.r_[0, np.cumsum(words[mine])[:-1]]
         shares = np.where(allowed, shares, 0.0) + np.where(allowed, 1e-6, 0.0)
         shares /= shares.sum(axis=1, keepdims=True)
-        log = np.zeros(n_docs)
+        log = np.zeros(len(mine))
         for _ in range(ROUNDS):
-            joint = shares[owner] * p
+            joint = shares[of] * q
             whole = np.maximum(joint.sum(axis=1), 1e-300)
-            shares[some] = np.add.reduceat(joint / whole[:, None], cuts, axis=0) / words[some, None]
-            log[some] = np.add.reduceat(np.log(whole), cuts)
+            shares = np.add.reduceat(joint / whole[:, None], cuts, axis=0) / words[mine, None]
+            log = np.add.reduceat(np.log(whole), cuts)
         return shares, log
 
+    chosen, size, value = np.zeros((n_docs, n_langs)), np.zeros(n_docs, dtype=np.int64), np.full(n_docs, -np.inf)
     if not len(some):
-        return np.zeros((n_docs, n_langs)), np.zeros(n_docs, dtype=np.int64)
-    shares, _ = rounds(np.full((n_docs, n_langs), 1 / n_langs), np.ones((n_docs, n_langs), dtype=bool))
+        return chosen, size
+    shares = np.zeros((n_docs, n_langs))
+    shares[some], _ = rounds(np.full((len(some), n_langs), 1 / n_langs), np.ones((len(some), n_langs), dtype=bool), some)
     rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1, kind="stable")
-    chosen, size, value = np.zeros((n_docs, n_langs)), np.zeros(n_docs, dtype=np.int64), np.full(n_docs, -np.inf)
-    for m in range(1, min(MOST_LANGUAGES, n_langs) + 1):
-        got, log = rounds(shares.copy(), rank < m)
-        log = log - PENALTY * m * np.log(np.maximum(words, 2))
-        better = log > value
-        chosen[better], size[better], value[better] = got[better], m, log[better]
-    chosen[words == 0], size[words == 0] = 0.0, 0
+    price = PENALTY * np.log(np.maximum(words, 2))
+    for m in range(1, n_langs + 1):
+        mine = some[value[some] < -m * price[some]]  # a log-likelihood is at most 0
+        if not len(mine):
+            break
+        got, log = rounds(shares[mine], rank[mine] < m, mine)
+        log -= m * price[mine]
+        better = log > value[mine]
+        chosen[mine[better]], size[mine[better]], value[mine[better]] = got[better], m, log[better]
     return chosen, size
 
 

@@ -90,6 +90,18 @@ def test_mixture_of_two_languages_and_cases(spark, no_docs):
     assert mixture.identify(no_docs, names, table).count() == 0
 
 
+def test_mixture_of_many_languages(spark):
+    said = {"de": "der hund und die katze sind nicht hier", "en": "the cat and the dog are here with them",
+            "es": "el perro y los gatos pequeños están muy lejos", "fr": "le chien et la chatte ne sont pas avec nous",
+            "pl": "pies oraz kotka bardzo chcą wyjść przed dom"}
+    names, table = mixture.train(spark.createDataFrame([(t, x) for x, t in said.items()] * 20, "text string, lang string"))
+    texts = [" ".join(" ".join([said[x]] * 12) for x in names[:m]) for m in range(1, 6)]
+    rows = mixture.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), names, table)
+    for r in rows.orderBy("doc_id").collect():
+        m = r.doc_id + 1
+        assert sorted(r.languages) == names[:m] and abs(r.score - 1 / m) < 0.1, r
+
+
 def test_word_likelihoods_equal_a_plain_sum():
     r = np.random.default_rng(1)
     table = r.normal(size=(mixture.BUCKETS * len(mixture.GRAM_SIZES), 2)).astype(np.float32)
