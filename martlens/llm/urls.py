@@ -44,17 +44,17 @@ def path_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """array of (key, depth): host levels of two labels or more, then path levels of the host."""
+    """array of (key, depth): host levels from the top-level label on, then path levels of the host."""
     host, path = host_of(url), path_of(url)
     labels, steps = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda s: s != "")
     n = F.size(labels)
-    hosts = F.when(n >= 2, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.struct(
-        F.array_join(F.slice(labels, n - i + 1, i), ".").alias("key"), i.alias("depth"))))
+    hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+        F.array_join(F.slice(labels, n - i + 1, i), ".").alias("key"), i.alias("depth")))
     paths = F.when(F.size(steps) >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), lambda i: F.struct(
         F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")).alias("key"),
         (n + i).alias("depth"))))
     none = F.array().cast("array<struct<key:string,depth:int>>")
-    return F.when(host.isNotNull(), F.concat(F.coalesce(hosts, none), F.coalesce(paths, none))).otherwise(none)
+    return F.when(host.isNotNull(), F.concat(hosts, F.coalesce(paths, none))).otherwise(none)
 
 
 def intervals(entries: DataFrame) -> DataFrame:

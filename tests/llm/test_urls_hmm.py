@@ -54,6 +54,31 @@ def test_url_list_in_time(spark, no_docs):
     assert urls.judge(df.limit(0), listed).count() == 0
 
 
+def test_one_label_hosts_and_top_level_labels(spark, tmp_path):
+    import duckdb
+
+    day = date(2024, 1, 2)
+    listed = spark.createDataFrame([(k, "block", "add", day) for k in ("localhost", "zip")]
+                                   + [("intranet/wiki", "allow", "add", day), ("good.zip", "allow", "add", day)],
+                                   "key string, verdict string, action string, at date")
+    asked = [("http://localhost:80/a", "block"), ("http://x.localhost", "block"), ("http://notlocalhost/", "unlisted"),
+             ("http://a.b.ZIP/x", "block"), ("http://zip.org/", "unlisted"), ("http://zip", "block"),
+             ("http://intranet/wiki/x", "allow"), ("http://intranet/", "unlisted"), ("http://www.good.zip", "allow")]
+    df = spark.createDataFrame([(i, u, day) for i, (u, _) in enumerate(asked)], "page_id long, url string, fetched_at date")
+    assert [r.verdict for r in urls.judge(df, listed).orderBy("page_id").collect()] == [v for _, v in asked]
+    # one-label hosts of the derived list, as its SQL has them
+    pages = [(7 * k + j, u) for k in range(40) for j, u in enumerate((
+        f"http://host{k}/a/b", f"http://www.host{k}/", f"http://site.tld{k}/x", f"http://tld{k}"))]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(SQL["op9_url_filter"])
+    names, want = [d[0] for d in want.description], want.fetchall()
+    got = [tuple(r[n] for n in names) for r in QUERIES["op9_url_filter"](spark, str(tmp_path)).collect()]
+    plain = lambda rows: sorted((tuple(str(x)[:40] for x in r) for r in rows))
+    assert plain(got) == plain(want) and "block" in {r[3] for r in got}
+
+
 def tokens(t):
     return [*re.findall("[^\x20\x09-\x0D]+", (t or "").translate(LOW)), None]
 
