@@ -55,3 +55,18 @@ def crc_fold(doc_id: Column, n: int) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows of the facts that ``join_by_count`` may broadcast: no more can each have this share of all rows.
+HOT_SHARE = 4096
+_HOT_ROWS = 1000
+
+
+def join_by_count(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of rows with facts that has one row per key. ``count`` says in how many of the ``total``
+    rows a key occurs, so at most HOT_SHARE keys can have a HOT_SHARE-th of them: those are broadcast,
+    and every other key is small enough for one task of a shuffle join. Keys must not be null."""
+    hot = F.col(count) >= max(_HOT_ROWS, -(-total // HOT_SHARE))
+    few = F.broadcast(facts.where(hot).drop(count))
+    return rows.join(few, key).unionByName(
+        rows.join(few.select(key), key, "left_anti").join(facts.where(~hot).drop(count), key))

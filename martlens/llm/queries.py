@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlens.llm import bpe, hmm, jaccard, mixture, multiset, ordinal, pii, records, urls, winnow
-from martlens.llm.common import crc_fold, table
+from martlens.llm import (bpe, codes, hmm, jaccard, mixture, multiset, ordinal, pii, records, resample, simhash, urls,
+                          winnow)
+from martlens.llm.common import crc_fold, join_by_count, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,6 +107,38 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by eight codebooks of 16 entries, with their errors per vector and label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    points = codes.integer_vectors(vectors)
+    books = codes.fit(points)
+    if books is None:
+        return points.select("vec_id", F.lit("").alias("code"), *(F.lit(0).cast("long").alias(c) for c in ("error", "label_error")),
+                             F.lit("").alias("codebooks_sha256"))
+    coded = saved(codes.encode(points, books).withColumn(
+        "group", F.struct(F.col("label").isNull().alias("none"), F.coalesce("label", F.lit(0)).alias("label"))), "vector-codes")
+    by_label = coded.groupBy("group").agg(F.sum(F.col("error").cast("decimal(20,0)")).cast("long").alias("label_error"),
+                                          F.count("*").alias("n"))
+    return join_by_count(coded, by_label, "group", "n", coded.count()).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-equal fingerprints (at most two differing bits) of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark texts and the five percent drawn by them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def _digits(text: Column, n: int) -> Column:
     """A number of 0 to 9999 that follows from a text: four hexadecimal digits of its md5."""
     return F.conv(F.substring(F.md5(text), 4 * n + 1, 4), 16, 10).cast("int") % 10000
