@@ -7,10 +7,10 @@ comparison, figure presence, ordered-run containment and partition identities.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.operators.joins import broadcast_literal
+from martlens.operators.numbering import numbered
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], tolerances: dict[str, float]) -> DataFrame:
@@ -49,26 +49,34 @@ def figure_presence(targets: DataFrame, cells: DataFrame, tol: float = 1.0) -> D
         "target_id", "target", F.coalesce("present", F.lit(False)).alias("present"))
 
 
-def contains_run(ranking: DataFrame, label: str, order: str, expected: list[str]) -> DataFrame:
-    """Does the ranking contain ``expected`` as a consecutive run, forwards or reversed (D-03)?
+def contains_runs(placed: DataFrame, label: str, place: str, runs: DataFrame) -> DataFrame:
+    """Per run: does the ranking contain its labels as consecutive places, forwards or reversed (D-03)?
 
-    Places in the ranking less places in the expected list are the same for all labels of a
-    run (their sum, for a reversed one), so the run is a group of as many places.
+    ``placed`` is a ranking with its places (``numbering.numbered``), ``runs`` has (run_id, at, label) with
+    ``at`` from 0. Places less places in the run are the same for all labels of a contained run (their sum,
+    for a reversed one), so a contained run is a group of as many places: one equi-join and one
+    aggregation for any number of runs.
     """
-    spark, k = ranking.sparkSession, len(expected)
-    wanted = broadcast_literal(spark.createDataFrame(list(enumerate(expected)), "__at int, __label string"))
-    placed = ranking.select(F.col(label).cast("string").alias("__label"),
-                            F.row_number().over(Window.orderBy(order, label)).alias("__place"))
-    both = placed.join(wanted, "__label").select("__at", F.explode(F.array(
-        F.struct(F.lit(True).alias("ahead"), (F.col("__place") - F.col("__at")).alias("offset")),
-        F.struct(F.lit(False).alias("ahead"), (F.col("__place") + F.col("__at")).alias("offset")))).alias("__d"))
-    runs = both.groupBy("__d").agg((F.countDistinct("__at") == k).alias("__whole"))
-
-    def any_whole(ahead: bool) -> Column:
-        return F.coalesce(F.max((F.col("__d.ahead") == ahead) & F.col("__whole")), F.lit(False))
-
-    return runs.agg(any_whole(True).alias("forward"), any_whole(False).alias("reversed")).select(
-        (F.col("forward") | F.col("reversed")).alias("contains_run"), "forward", "reversed")
+    wanted = runs.select("run_id", F.col("at").cast("long").alias("__at"), F.col("label").cast("string").alias("__label"))
+    sizes = wanted.groupBy("run_id").agg(F.countDistinct("__at").alias("__k"))
+    both = placed.select(F.col(label).cast("string").alias("__label"), F.col(place).alias("__place")) \
+        .join(wanted, "__label").select("run_id", "__at", F.explode(F.array(
+            F.struct(F.lit(True).alias("ahead"), (F.col("__place") - F.col("__at")).alias("offset")),
+            F.struct(F.lit(False).alias("ahead"), (F.col("__place") + F.col("__at")).alias("offset")))).alias("__d"))
+    groups = both.groupBy("run_id", "__d").agg(F.countDistinct("__at").alias("__n"))
+    best = groups.groupBy("run_id").agg(*(F.max(F.when(F.col("__d.ahead") == way, F.col("__n"))).alias(name)
+                                          for name, way in (("__f", True), ("__r", False))))
+    found = sizes.join(best, "run_id", "left").select(
+        "run_id", *(F.coalesce(F.col(c) == F.col("__k"), F.lit(False)).alias(n) for c, n in (("__f", "forward"), ("__r", "reversed"))))
+    return found.select("run_id", (F.col("forward") | F.col("reversed")).alias("contains_run"), "forward", "reversed")
+
+
+def contains_run(ranking: DataFrame, label: str, order: str, expected: list[str]) -> DataFrame:
+    """``contains_runs`` for one literal run, over a ranking that is numbered here by range partitions."""
+    spark = ranking.sparkSession
+    runs = spark.createDataFrame([(0, k, x) for k, x in enumerate(expected)], "run_id int, at int, label string")
+    placed = numbered(ranking.select(F.col(label), F.col(order)), [F.col(order), F.col(label)], "__place")
+    return contains_runs(placed, label, "__place", runs).drop("run_id")
 
 
 def identity(name: str, lhs: Column, rhs: Column, tol: float) -> Column:

@@ -8,6 +8,8 @@ join is left to the planner (sort-merge, or AQE's runtime conversion).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,20 +59,53 @@ def without_match(left: DataFrame, right: DataFrame, on: str | list[str]) -> Dat
     return left.join(right, on, "left_anti")
 
 
-def tolerance_join(figures: DataFrame, values: DataFrame, key: str, x: str, v: str,
+#: Rows of one key in one task of ``spread_join``; a fuller key is dealt to more.
+HOT_BUCKET = 20_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``many`` and ``few`` where single keys may hold a large share of ``many``: a key with more than
+    HOT_BUCKET rows is dealt to parts of about as many, and the rows of ``few`` visit each part."""
+    full = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_BUCKET) \
+        .select(*keys, F.ceil(F.col("__n") / HOT_BUCKET).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = many.join(full, keys, "left").withColumn(
+        "__p", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
+    visits = few.join(full, keys, "left").withColumn("__p", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(visits, [*keys, "__p"]).drop("__p")
+
+
+def tolerance_bucket(v: Column, rel_tol: float, abs_floor: float) -> Column:
+    """A never falling function of v to whole numbers, whose steps are about as wide as the tolerance at v: steps
+    of 2 * abs_floor up to where rel_tol * v reaches it, then steps of the ratio 1 + rel_tol."""
+    edge, wide = abs_floor / rel_tol, 2 * abs_floor
+    x = F.abs(v)
+    step = F.when(x <= edge, F.floor(x / wide)).otherwise(
+        F.lit(math.floor(edge / wide) + 1) + F.floor(F.log(F.greatest(x, F.lit(edge)) / edge) / math.log1p(rel_tol)))
+    return F.when(v >= 0, step).otherwise(-1 - step).cast("long")
+
+
+def tolerance_join(figures: DataFrame, values: DataFrame, key: str | list[str], x: str, v: str,
                    scales=(1.0,), rel_tol: float = 0.01, abs_floor: float = 0.5) -> DataFrame:
-    """Range join (J-08): figure matches value when
+    """Range join (J-08): the figures' columns and ``scale`` with the values' other columns, where
     ``abs(x*scale - v) <= max(rel_tol*abs(v), abs_floor)`` within the same key.
 
-    Equi part on ``key`` (shuffled/broadcast by the planner), residual range
-    predicate evaluated per pair within a key.
+    An equi-join on (key, bucket of v): a figure visits the three or four buckets that its tolerance reaches, a
+    value lies in one, so no key is a group of all pairs, and a full (key, bucket) is spread
+    (``spread_join``). Null figures and values match nothing.
     """
-    sc = F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("__scale")
-    f = figures.select("*", sc)
-    cond = (F.col(f"f.{key}") == F.col(f"v.{key}")) & (
-        F.abs(F.col(f"f.{x}") * F.col("f.__scale") - F.col(f"v.{v}"))
-        <= F.greatest(F.abs(F.col(f"v.{v}")) * rel_tol, F.lit(abs_floor)))
-    return f.alias("f").join(values.alias("v"), cond, "inner")
+    keys = [key] if isinstance(key, str) else list(key)
+    s = figures.where(F.col(x).isNotNull()).withColumn("scale", F.explode(F.array(*[F.lit(float(c)) for c in scales])))
+    at, slack = F.col(x).cast("double") * F.col("scale"), 1e-9
+    # v lies between these: x*scale -+ the floor, or divided by 1 +- rel_tol, whichever is further
+    low = F.least(at - abs_floor, F.when(at > 0, at / (1 + rel_tol)).otherwise(at / (1 - rel_tol)))
+    high = F.greatest(at + abs_floor, F.when(at > 0, at / (1 - rel_tol)).otherwise(at / (1 + rel_tol)))
+    low, high = low - F.abs(low) * slack, high + F.abs(high) * slack
+    visits = s.withColumn("__b", F.explode(F.sequence(tolerance_bucket(low, rel_tol, abs_floor),
+                                                      tolerance_bucket(high, rel_tol, abs_floor))))
+    held = values.where(F.col(v).isNotNull()).withColumn("__b", tolerance_bucket(F.col(v).cast("double"), rel_tol, abs_floor))
+    near = F.abs(F.col(x).cast("double") * F.col("scale") - F.col(v)) <= F.greatest(F.abs(F.col(v)) * rel_tol, F.lit(abs_floor))
+    return spread_join(held, visits, [*keys, "__b"]).where(near).drop("__b")
 
 
 def first_non_null(*cols: Column) -> Column:
