@@ -8,13 +8,11 @@ column, num, str)``.
   month keys are masked first; a figure directly followed by '%' is a rate and
   is skipped, as are the data's own years and anything below 100.
 * A figure is supported by a value when, at some writer's scale (1, thousand,
-  lakh, million, crore), ``|x*s - v| <= max(1% |v|, 0.5)``. This range join is
-  blocked exactly on (answer, log-bucket of the value): the band around x*s is
-  about 2% wide in log space, so a figure only visits the 3-4 buckets its band
-  touches, however many cells the answer has.
-* Or by a difference of two values of one column: for every v1 the smallest v2
-  at or above ``v1 + x - t`` is found with a running window over the sorted
-  union of targets and values, and compared with ``v1 + x + t``.
+  lakh, million, crore), ``|x*s - v| <= max(1% |v|, 0.5)``: the tolerance join
+  of ``operators.joins``, an equi-join on (answer, bucket as wide as the
+  tolerance) whatever the number of cells.
+* Or by a difference of two values of one column: a join of v1 + x with v2 on
+  steps as wide as the figure's tolerance.
 * Identifiers (two to five capitals, two to six digits) are supported when
   contained in some string cell of the answer; containment is an equi-join on
   every identifier-shaped substring of the cells (suffixes of the capital run x
@@ -23,12 +21,11 @@ column, num, str)``.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martlens.operators.joins import spread_join, tolerance_join
 from martlens.profile import Profile
 
 # Fixed values of the figure audit (must equal the source system's).
@@ -37,7 +34,7 @@ DATE_LIKE_RE = r"\d{4}-\d{2}(?:-\d{2})?"
 IDENTIFIER_RE = r"\b[A-Z]{2,5}\d{2,6}\b"
 UNSUPPORTED_PENALTY = 0.7
 UNVERIFIED_CEILING = 0.4
-LOG_BUCKET = 0.01
+ABS_FLOOR = 0.5
 
 
 # --- N-01 -------------------------------------------------------------------------------------------
@@ -75,56 +72,44 @@ def figures(answers: DataFrame, profile: Profile) -> DataFrame:
             .select("answer_id", F.col("_i").cast("long").alias("position"), "token", "value"))
 
 
-def _bucket(x: Column) -> Column:
-    return F.floor(F.log(x) / math.log1p(LOG_BUCKET)).cast("long")
-
-
 # --- N-03 -------------------------------------------------------------------------------------------
 def supported_by_value(figs: DataFrame, cells: DataFrame, profile: Profile) -> DataFrame:
     """(answer_id, position) of figures some cell value supports at some scale (N-03, J-08)."""
-    tol, floor_ = profile.number_match_tolerance, 0.5
-    scales = F.array(*[F.lit(float(s)) for s in profile.scale_factors])
-    f = figs.select("answer_id", "position", "value", F.explode(scales).alias("scale")).withColumn(
-        "xs", F.col("value") * F.col("scale"))
-    # a supporting v lies in [xs - max(tol*v, .5), xs + max(tol*v, .5)]; since xs >= 100 it is positive and
-    # inside [min(xs/(1+tol), xs-.5), max(xs/(1-tol), xs+.5)]: visit the log buckets of that interval
-    lo = F.least(F.col("xs") / (1 + tol), F.col("xs") - floor_)
-    hi = F.greatest(F.col("xs") / (1 - tol), F.col("xs") + floor_)
-    f = f.select("answer_id", "position", "xs", F.explode(F.sequence(_bucket(lo), _bucket(hi))).alias("_b"))
-    v = (cells.filter(F.col("num").isNotNull() & (F.col("num") > 0))
-         .select("answer_id", F.col("num").alias("v"), _bucket(F.col("num")).alias("_b")).distinct())
-    j = f.join(v, ["answer_id", "_b"]).filter(
-        F.abs(F.col("xs") - F.col("v")) <= F.greatest(F.abs(F.col("v")) * tol, F.lit(floor_)))
-    return j.select("answer_id", "position").distinct()
+    values = cells.filter(F.col("num").isNotNull()).select("answer_id", F.col("num").alias("v")).distinct()
+    found = tolerance_join(figs.select("answer_id", "position", "value"), values, "answer_id", "value", "v",
+                           profile.scale_factors, profile.number_match_tolerance, ABS_FLOOR)
+    return found.select("answer_id", "position").distinct()
 
 
 # --- N-04 -------------------------------------------------------------------------------------------
 def supported_by_difference(figs: DataFrame, cells: DataFrame, profile: Profile) -> DataFrame:
-    """(answer_id, position) of figures equal to v2 - v1 within one column (N-04).
+    """(answer_id, position) of figures x with v2 - v1 within t of x for two values of one column (N-04).
 
-    Per (answer, result, column, figure): targets a = v1 + x - t are merged with
-    the column's values; a running minimum over the following values (ordered
-    by position on the number line) gives the smallest v2 >= a, which supports
-    the figure when it is <= v1 + x + t.
+    A difference join: with steps w of a power of two above 2t, v1 + x lies within t of v2 only if
+    v2's step floor(v2 / w) is one of the two that v1 + x - t and v1 + x + t fall into. Values of a column are made
+    distinct and enter once per step width that the answer's figures need; the join is an equi-join on
+    (answer, result, column, width, step), so a long column is spread by its steps, and no window or
+    list holds its values.
     """
-    tol = profile.number_match_tolerance
-    col_vals = cells.filter(F.col("num").isNotNull()).select("answer_id", "result_id", "column", F.col("num").alias("v"))
-    counts = col_vals.groupBy("answer_id", "result_id", "column").agg(F.count(F.lit(1)).alias("_n"))
-    multi = col_vals.join(counts.filter(F.col("_n") > 1), ["answer_id", "result_id", "column"]).drop("_n")
-    fig = figs.select("answer_id", "position", F.col("value").alias("x"),
-                      F.greatest(F.abs(F.col("value")) * tol, F.lit(0.5)).alias("t"))
-    per = multi.join(fig, "answer_id")
-    targets = per.select("answer_id", "result_id", "column", "position",
-                         (F.col("v") + F.col("x") - F.col("t")).alias("pt"),
-                         (F.col("v") + F.col("x") + F.col("t")).alias("hi"), F.lit(0).alias("kind"))
-    values = per.select("answer_id", "result_id", "column", "position", F.col("v").alias("pt"),
-                        F.lit(None).cast("double").alias("hi"), F.lit(1).alias("kind"))
-    u = targets.unionByName(values)
-    w = (Window.partitionBy("answer_id", "result_id", "column", "position")
-         .orderBy("pt", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    nxt = F.min(F.when(F.col("kind") == 1, F.col("pt"))).over(w)
-    hits = u.withColumn("_next", nxt).filter((F.col("kind") == 0) & (F.col("_next") <= F.col("hi")))
-    return hits.select("answer_id", "position").distinct()
+    tol, own = profile.number_match_tolerance, ["answer_id", "result_id", "column"]
+    col_vals = cells.filter(F.col("num").isNotNull()).select(*own, F.col("num").alias("v"))
+    several = col_vals.groupBy(*own).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count(F.lit(1)).alias("_n")) \
+        .where("_n > 1")
+    x = F.col("value")
+    fig = figs.select("answer_id", "position", x.alias("x"), F.greatest(F.abs(x) * tol, F.lit(ABS_FLOOR)).alias("t")) \
+        .withColumn("w", F.pow(F.lit(2.0), F.ceil(F.log2(2 * F.col("t")) + 0.01)))
+    # a figure beyond the column's spread is no difference of it
+    asked = fig.join(several, "answer_id").where(F.col("x") - F.col("t") <= (F.col("_hi") - F.col("_lo")) * (1 + 1e-9) + 1e-9)
+    values = col_vals.distinct()
+    step = lambda c: F.floor(c / F.col("w")).cast("long")
+    near = F.col("x") + F.col("v")
+    targets = spread_join(values, asked.select(*own, "position", "x", "t", "w"), own).select(
+        *own, "position", "w", (near - F.col("t")).alias("lo"), (near + F.col("t")).alias("hi")) \
+        .withColumn("s", F.explode(F.array_distinct(F.array(step(F.col("lo")), step(F.col("hi"))))))
+    widths = asked.select(*own, "w").distinct()
+    held = spread_join(values, widths, own).select(*own, "w", step(F.col("v")).alias("s"), "v")
+    found = spread_join(held, targets, [*own, "w", "s"]).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    return found.select("answer_id", "position").distinct()
 
 
 # --- N-05 / N-06 ---------------------------------------------------------------------------------

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martlens.functions.arrays import covered, let, picked
 from martlens.operators.joins import broadcast_if_small, broadcast_literal
 from martlens.sources.star import Star
 
@@ -214,38 +215,51 @@ def _value_suffixes(cat: DataFrame) -> DataFrame:
             .filter(F.length("suffix") >= MIN_SUBSTRING_LENGTH))
 
 
+def _value_prefixes(cat: DataFrame) -> DataFrame:
+    """Every prefix, from 4 characters on, of every word-start suffix: what a contained needle can be (E-05, J-10)."""
+    sfx = _value_suffixes(cat)
+    n = F.explode(F.sequence(F.lit(MIN_SUBSTRING_LENGTH), F.length("suffix"))).alias("_n")
+    return sfx.select("dimension", "column", "value", "suffix", n).select(
+        "dimension", "column", "value", F.col("suffix").substr(F.lit(1), F.col("_n")).alias("prefix"))
+
+
+#: Values in one row of the dictionary; a key of more values has more rows.
+POSTINGS = 256
+
+
 def key_table(cat: DataFrame, delivery_channels: tuple[str, ...]) -> DataFrame:
-    """One lookup table for tiers 1-4: (key, tier, dimension, column, value, suffix).
+    """The dictionary of tiers 1-4: (key, tier, entries), entries being the (dimension, column, value) of a key.
 
-    exact: ``x:`` + lower(value); alias: ``x:`` + alias; identifier: ``i:`` +
-    prefix + ``:`` + number; substring: ``s:`` + first 4 characters of a
-    word-start suffix (the full suffix is kept for the residual startswith).
+    exact: ``x:`` + lower(value); alias: ``x:`` + alias; identifier: ``i:`` + prefix + ``:`` + number; substring:
+    ``s:`` + every prefix of a word-start suffix. Every tier is decided by the key alone, so the join with
+    phrases has no residual test and its output is no larger than the matches. The values of a key
+    are dealt to rows of about POSTINGS, so no row or task grows with the values that share a key.
     """
-    exact = cat.select(F.concat(F.lit("x:"), F.lower("value")).alias("key"), F.lit(1).alias("tier"),
-                       "dimension", "column", "value", F.lit(None).cast("string").alias("suffix"))
+    own = ("dimension", "column", "value")
+    exact = cat.select(F.concat(F.lit("x:"), F.lower("value")).alias("key"), F.lit(1).alias("tier"), *own)
     al = alias_table(cat, delivery_channels).select(
-        F.concat(F.lit("x:"), F.col("alias")).alias("key"), F.lit(2).alias("tier"), "dimension", "column", "value",
-        F.lit(None).cast("string").alias("suffix"))
+        F.concat(F.lit("x:"), F.col("alias")).alias("key"), F.lit(2).alias("tier"), *own)
     ids = cat.filter("is_identifier").select(
         F.concat(F.lit("i:"), ident_prefix(F.col("value")), F.lit(":"),
                  ident_number(F.col("value")).cast("string")).alias("key"),
-        F.lit(3).alias("tier"), "dimension", "column", "value", F.lit(None).cast("string").alias("suffix")
-    ).filter(F.col("key").isNotNull())
-    sub = _value_suffixes(cat).select(F.concat(F.lit("s:"), F.substring("suffix", 1, 4)).alias("key"),
-                                      F.lit(4).alias("tier"), "dimension", "column", "value", "suffix")
-    return exact.unionByName(al).unionByName(ids).unionByName(sub)
+        F.lit(3).alias("tier"), *own).filter(F.col("key").isNotNull())
+    sub = _value_prefixes(cat).select(F.concat(F.lit("s:"), F.col("prefix")).alias("key"), F.lit(4).alias("tier"), *own)
+    rows = exact.unionByName(al).unionByName(ids).unionByName(sub)
+    sizes = rows.groupBy("key", "tier").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = rows.join(sizes, ["key", "tier"]).withColumn(
+        "_row", F.pmod(F.xxhash64(*own), F.ceil(F.col("_n") / POSTINGS)))
+    return dealt.groupBy("key", "tier", "_row").agg(F.collect_set(F.struct(*own)).alias("entries")).drop("_row")
 
 
 def phrase_keys(ph: DataFrame) -> DataFrame:
-    """The lookup keys a phrase may hit: its lower form, its identifier key, its needle prefix."""
+    """The lookup keys a phrase may hit: its lower form, its identifier key, its needle."""
     low = F.lower("phrase")
     needle = singular(F.col("phrase"))
     idk = F.when(F.col("n_tokens") == 1, F.concat(F.lit("i:"), ident_prefix(F.col("phrase")), F.lit(":"),
                                                   ident_number(F.col("phrase")).cast("string")))
-    sk = F.when(F.length(needle) >= MIN_SUBSTRING_LENGTH, F.concat(F.lit("s:"), F.substring(needle, 1, 4)))
+    sk = F.when(F.length(needle) >= MIN_SUBSTRING_LENGTH, F.concat(F.lit("s:"), needle))
     keys = F.filter(F.array(F.concat(F.lit("x:"), low), idk, sk), lambda k: k.isNotNull())
-    return ph.select("text_id", "start", "end", "n_tokens", "phrase", needle.alias("_needle"),
-                     F.explode(keys).alias("key"))
+    return ph.select("text_id", "start", "end", "n_tokens", "phrase", F.explode(keys).alias("key"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -254,60 +268,96 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def _least_shared(la: Column, lb: Column) -> Column:
+    """Pairs of neighbouring characters that strings of these lengths share at least if their ratio reaches the
+    threshold. The ratio is 2M / (la + lb) for M characters matched in blocks; between two blocks a character
+    of either string is unmatched, so there are at most 1 + la + lb - 2M of them, and a block of k
+    characters holds k - 1 pairs."""
+    m = F.ceil(F.lit(FUZZY_THRESHOLD) * (la + lb) / 2 - 1e-9)
+    return (3 * m - 1 - (la + lb)).cast("int")
+
+
+def _with_pairs(df: DataFrame, name: str) -> DataFrame:
+    """The strings in ``name`` with their length, their pairs of neighbouring characters (each with its
+    occurrence number, by hash) and the first of these, of which one is shared with any string whose ratio
+    reaches the threshold: all but so many as the two must share, less one."""
+    s, n = F.col(name), F.length(name)
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: s.substr(i, F.lit(2)))
+    counted = let(pairs, lambda p: F.transform(p, lambda g, i: F.concat(
+        g, F.size(F.filter(F.slice(p, F.lit(1), i + 1), lambda x: x == g)).cast("string"))))
+    by_hash = F.transform(F.array_sort(F.transform(counted, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))),
+                          lambda x: x["g"])
+    other = F.sequence(F.greatest(F.lit(1), F.floor(n * FUZZY_THRESHOLD / (2 - FUZZY_THRESHOLD)).cast("int")),
+                       F.ceil(n * (2 - FUZZY_THRESHOLD) / FUZZY_THRESHOLD).cast("int"))
+    least = F.array_min(F.transform(other, lambda m: _least_shared(n, m)))
+    out = df.where(n >= 2).select(name, n.alias(f"_n_{name}"), by_hash.alias(f"_g_{name}"), F.greatest(F.lit(1), least).alias("_t"))
+    return out.select("*", F.slice(f"_g_{name}", F.lit(1), F.greatest(F.lit(1), F.col(f"_n_{name}") - F.col("_t"))).alias("_first")).drop("_t")
+
+
 def _fuzzy_candidates(ph: DataFrame, cat: DataFrame) -> DataFrame:
-    """Tier 5 on distinct (token, value) pairs inside the length band (E-06).
+    """Tier 5 on distinct (token, value) pairs (E-06).
 
-    ratio = 2M / (la + lb) <= 2 min(la, lb) / (la + lb), so a pair outside that
-    band can never reach the threshold: the band join is exact blocking.
+    Candidates are an equi-join on shared pairs of characters: strings that reach the threshold share at
+    least ``_least_shared`` pairs, so one of the first few of each in one fixed order. The exact
+    count of shared pairs leaves few for the similarity itself. Nothing that reaches the threshold is lost.
     """
     tokens = (ph.filter((F.col("n_tokens") == 1) & (F.length("phrase") >= MIN_FUZZY_LENGTH))
               .select(F.lower("phrase").alias("tok")).distinct())
     vals = cat.filter(~F.col("is_identifier")).select(F.lower("value").alias("vl")).distinct()
-    la, lb = F.length("tok"), F.length("vl")
-    band = (F.least(la, lb) * 2.0 >= FUZZY_THRESHOLD * (la + lb))
-    # equi part on the value length: each token names the lengths its band admits
-    lens = tokens.select("tok", F.explode(F.sequence(F.floor(F.length("tok") * FUZZY_THRESHOLD / (2 - FUZZY_THRESHOLD))
-                                                     .cast("int"),
-                                                     F.ceil(F.length("tok") * (2 - FUZZY_THRESHOLD) / FUZZY_THRESHOLD)
-                                                     .cast("int"))).alias("_lb"))
-    pairs = lens.join(vals.withColumn("_lb", F.length("vl")), "_lb").filter(band).select("tok", "vl").distinct()
-    return (pairs.withColumn("ratio", similarity_ratio("tok", "vl"))
-            .filter(F.col("ratio") >= FUZZY_THRESHOLD))
+    one, two = (_with_pairs(df, c).withColumn("_key", F.explode("_first")).drop("_first") for df, c in ((tokens, "tok"), (vals, "vl")))
+    la, lb = F.col("_n_tok"), F.col("_n_vl")
+    pairs = one.join(two, "_key").where(F.least(la, lb) * 2.0 >= FUZZY_THRESHOLD * (la + lb)).dropDuplicates(["tok", "vl"])
+    near = pairs.where(F.size(F.array_intersect("_g_tok", "_g_vl")) >= _least_shared(la, lb)).select("tok", "vl")
+    return near.withColumn("ratio", similarity_ratio("tok", "vl")).filter(F.col("ratio") >= FUZZY_THRESHOLD)
+
 
+_SPAN = ("array<struct<n_tokens:int,start:int,end:int,phrase:string,matches:array<struct<dimension:string,column:string,"
+         "value:string,confidence:double,method:string>>>>")
 
-_MATCH_FIELDS = ("start", "end", "n_tokens", "tier", "confidence", "dimension", "column", "value", "method", "phrase")
+
+def claimed(spans: Column) -> Column:
+    """The spans that a text keeps: the longest first, left to right among equal ones, none that shares a
+    token with one before (E-08). spans: array of (n_tokens, start, end, ...) sorted by start.
+
+    One pass per length class: a class drops the spans with a token that a longer class has taken, found in an
+    array of taken tokens, and picks among the rest left to right. Linear in tokens and spans.
+    """
+    def longer_first(kept: Column, n: int) -> Column:
+        def pick(taken: Column) -> Column:
+            free = F.filter(spans, lambda x: (x["n_tokens"] == n) & ~F.exists(
+                F.sequence(x["start"], x["end"]), lambda i: F.coalesce(F.get(taken, i), F.lit(False))))
+            return picked(free, "start", "end", _SPAN)
+
+        return let(covered(kept, "start", "end"), lambda taken: let(pick(taken), lambda new: F.array_sort(
+            F.concat(kept, new), lambda a, b: a["start"] - b["start"])))
+
+    def step(kept: Column, n: int) -> Column:
+        return kept if n == 0 else let(longer_first(kept, n), lambda k: step(k, n - 1))
+
+    return step(F.array().cast(_SPAN), MAX_WORDS)
 
 
 def _finish_per_text(cands: DataFrame, max_matches: int | None) -> DataFrame:
     """Per text, in one row: first tier per span, greedy span claiming, order and cap (E-04, E-08, E-09)."""
-    g = cands.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct(*_MATCH_FIELDS))).alias("_m"))
-    # 1. keep the lowest tier of every span (array sorted by start, end, n_tokens, tier)
-    acc0 = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(0).alias("t"),
-                    F.array().cast(g.schema["_m"].dataType).alias("k"))
-    won = F.aggregate("_m", acc0, lambda a, x: F.when(
-        (a["s"] != x["start"]) | (a["e"] != x["end"]),
-        F.struct(x["start"].alias("s"), x["end"].alias("e"), x["tier"].alias("t"),
-                 F.concat(a["k"], F.array(x)).alias("k")))
-        .otherwise(F.struct(a["s"].alias("s"), a["e"].alias("e"), a["t"].alias("t"),
-                            F.when(x["tier"] == a["t"], F.concat(a["k"], F.array(x))).otherwise(a["k"]).alias("k"))),
-        lambda a: a["k"])
-    g = g.select("text_id", won.alias("_w"))
-    # 2. greedy: spans by size descending, then left to right; overlapping spans are skipped
-    spans = F.array_sort(F.array_distinct(F.transform("_w", lambda x: F.struct(
-        (-x["n_tokens"]).alias("neg"), x["start"].alias("start"), x["end"].alias("end")))))
-    empty = F.array().cast("array<struct<neg:int,start:int,end:int>>")
-    accepted = F.aggregate(spans, empty, lambda acc, x: F.when(
-        F.exists(acc, lambda a: (a["start"] <= x["end"]) & (x["start"] <= a["end"])), acc)
-        .otherwise(F.concat(acc, F.array(x))))
-    g = g.select("text_id", "_w", accepted.alias("_a"))
-    kept = F.filter("_w", lambda m: F.exists("_a", lambda a: (a["start"] == m["start"]) & (a["end"] == m["end"])))
-    # 3. order by confidence desc, dimension, value (then position) and cap
-    ordered = F.array_sort(F.transform(kept, lambda m: F.struct(
+    match = F.struct("dimension", "column", "value", "confidence", "method")
+    # both aggregations below stay within the partitioning by text
+    by_span = cands.repartition("text_id").groupBy("text_id", "start", "end", "n_tokens").agg(
+        F.min("tier").alias("_tier"), F.first("phrase").alias("phrase"),
+        F.collect_set(F.struct("tier", match.alias("match"))).alias("_m"))
+    won = F.transform(F.filter("_m", lambda m: m["tier"] == F.col("_tier")), lambda m: m["match"])
+    spans = by_span.groupBy("text_id").agg(F.array_sort(
+        F.collect_list(F.struct("start", "end", "n_tokens", "phrase", won.alias("matches")))).alias("_s"))
+    span = F.transform("_s", lambda x: F.struct(
+        *(x[c].alias(c) for c in ("n_tokens", "start", "end", "phrase", "matches"))))
+    kept = spans.select("text_id", let(span.cast(_SPAN), claimed).alias("_k"))
+    # order by confidence desc, dimension, value (then position) and cap
+    flat = F.flatten(F.transform("_k", lambda s: F.transform(s["matches"], lambda m: F.struct(
         (-m["confidence"]).alias("nc"), m["dimension"].alias("dimension"), m["value"].alias("value"),
-        m["start"].alias("start"), m["column"].alias("column"), m["method"].alias("method"),
-        m["phrase"].alias("phrase"), m["confidence"].alias("confidence"))))
+        s["start"].alias("start"), m["column"].alias("column"), m["method"].alias("method"),
+        s["phrase"].alias("phrase"), m["confidence"].alias("confidence")))))
+    ordered = F.array_sort(flat)
     capped = F.slice(ordered, 1, max_matches) if max_matches is not None else ordered
-    return g.select("text_id", F.posexplode(capped).alias("_r", "_x")).select(
+    return kept.select("text_id", F.posexplode(capped).alias("_r", "_x")).select(
         "text_id", F.col("_x.phrase").alias("text"), F.col("_x.dimension").alias("dimension"),
         F.col("_x.column").alias("column"), F.col("_x.value").alias("value"),
         F.col("_x.confidence").alias("confidence"), F.col("_x.method").alias("method"),
@@ -315,6 +365,22 @@ def _finish_per_text(cands: DataFrame, max_matches: int | None) -> DataFrame:
 
 
 _LOOKUP_MEMO: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_MATCH_MEMO: dict[tuple[str, str, bool], DataFrame] = {}
+
+
+def resolved(star: Star, texts: DataFrame, name: str, fuzzy: bool = False) -> DataFrame:
+    """All matches of a text table of the star, resolved once per application and stored like the
+    dictionary; a cap is a filter on match_rank. ``name`` tells the text tables of a star apart."""
+    from martlens.operators.numbering import stored
+    from martlens.session import app_key
+
+    spark = star.fact_orders.sparkSession
+    key = (app_key(spark), f"{star.source}|{star.profile.name}|{name}", fuzzy)
+    if key not in _MATCH_MEMO:
+        cat, kt = lookup_tables(star)
+        _MATCH_MEMO[key] = stored(resolve(texts, cat, star.profile.delivery_channels, fuzzy=fuzzy, kt=kt,
+                                          cat_key=f"{star.source}/keytable"), f"matches-{name}")
+    return _MATCH_MEMO[key]
 
 
 def lookup_tables(star: Star) -> tuple[DataFrame, DataFrame]:
@@ -341,12 +407,12 @@ def resolve(texts: DataFrame, cat: DataFrame, delivery_channels: tuple[str, ...]
     """Matches per text: (text_id, text, dimension, column, value, confidence, method, match_rank) (E-04 ... E-09).
 
     Phrases and their keys are produced row-locally; tiers 1-4 are one
-    equi-join with the key table (broadcast behind a size check); everything
-    after is one aggregation per text.
+    equi-join with the dictionary (broadcast behind a size check); everything
+    after stays within one partitioning by text.
     """
     kt = broadcast_if_small(kt if kt is not None else key_table(cat, delivery_channels), 1_000_000, key=cat_key)
     ph = phrases(texts)
-    j = phrase_keys(ph).join(kt, "key").filter((F.col("tier") != 4) | F.col("suffix").startswith(F.col("_needle")))
+    j = phrase_keys(ph).join(kt, "key").select("text_id", "start", "end", "n_tokens", "phrase", "tier", F.inline("entries"))
     conf = (F.when(F.col("tier") == 1, F.when(F.col("phrase") == F.col("value"), F.lit(CONFIDENCE_EXACT))
                    .otherwise(F.lit(CONFIDENCE_CASE_INSENSITIVE)))
             .when(F.col("tier") == 2, F.lit(CONFIDENCE_ALIAS))
@@ -355,7 +421,7 @@ def resolve(texts: DataFrame, cat: DataFrame, delivery_channels: tuple[str, ...]
             .otherwise(F.lit(CONFIDENCE_SUBSTRING)))
     method = F.element_at(F.array(*[F.lit(m) for m in ("exact", "alias", "identifier", "substring")]), F.col("tier"))
     cands = j.select("text_id", "start", "end", "n_tokens", "tier", conf.alias("confidence"), "dimension", "column",
-                     "value", method.alias("method"), "phrase").distinct()
+                     "value", method.alias("method"), "phrase")
     if fuzzy:
         fz = _fuzzy_candidates(ph, cat)
         vals = cat.filter(~F.col("is_identifier")).select("dimension", "column", "value", F.lower("value").alias("vl"))
