@@ -3,19 +3,16 @@
 Timestamps are handled as microseconds since the epoch computed from the
 zone-less timestamp (no session time zone involved).
 
-* W-07 trailing counts: rows are split into (key, time bucket) partitions, each
-  bucket receiving the previous bucket's rows as read-only context, so the
-  range window never needs a whole key in one task (a key holding a third of
-  all events is spread over its buckets).
+* W-07 trailing counts: differences of one running count over all events and
+  window begins, which is cut into ranges of rows, never by key or day.
 * T-01 admission: each decision depends on the earlier *admitted* events, so
   a key is inherently sequential. Rows are hash-partitioned by key and sorted
   within partitions; a per-partition iterator (Arrow batches) carries only the
   current key's admitted timestamps of the last day (at most ``per_day``), so
   memory stays bounded however large a key is and no group is materialised.
-* T-02 breaker: islands between successes are numbered by a prefix sum that is
-  computed in parallel over (provider, hour) chunks plus a small per-chunk
-  offset table; the open time is the threshold-th failure of an island, found
-  by two combinable min-aggregations.
+* T-02 breaker: islands between successes and the failures in them are numbered
+  by running counts over ranges of rows; the open time is the failure whose
+  count is threshold - 1 above the first one of its island.
 * T-03 run rollup: sums and counts per run, providers ordered by first use
   from a (run, provider) first-seen aggregate.
 """
@@ -30,6 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlens.operators.joins import broadcast_if_small
+from martlens.operators.numbering import running
+
 SECONDS_PER_MINUTE = 60
 SECONDS_PER_DAY = 86_400
 US = 1_000_000
@@ -43,20 +43,27 @@ def epoch_us(c: Column | str) -> Column:
 
 # --- W-07 ----------------------------------------------------------------------------------
 def trailing_counts(events: DataFrame, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Trailing 60 s and 86 400 s counts per event (W-07), in one pass: both windows share the
-    day buckets, their order and the previous day as context."""
-    day = SECONDS_PER_DAY * US
-    base = (events.select("event_id", key, ts).withColumn("__us", epoch_us(ts))
-            .withColumn("__b", F.floor(F.col("__us") / day).cast("long")))
-    both = base.select("*", F.explode(F.array(F.struct(F.col("__b").alias("to"), F.lit(True).alias("own")),
-                                              F.struct((F.col("__b") + 1).alias("to"), F.lit(False).alias("own"))))
-                       .alias("__c")).select("event_id", key, ts, "__us", F.col("__c.to").alias("__to"),
-                                             F.col("__c.own").alias("__own"))
-    w = Window.partitionBy(key, "__to").orderBy("__us")
-    return (both.select("event_id", key, ts, "__own",
-                        F.count(F.lit(1)).over(w.rangeBetween(-SECONDS_PER_MINUTE * US, 0)).alias("n_last_minute"),
-                        F.count(F.lit(1)).over(w.rangeBetween(-day, 0)).alias("n_last_day"))
-            .where("__own").drop("__own"))
+    """Trailing 60 s and 86 400 s counts per event, window edges and events of the same instant included (W-07).
+
+    Counted by ranks: the events up to an instant less those before the window's begin, both read off one
+    running count over all (key, instant) rows and window begins. That order is cut into ranges of
+    equal size, so a key with most of the events in one day or minute is spread like any other.
+    """
+    windows = {"n_last_minute": SECONDS_PER_MINUTE * US, "n_last_day": SECONDS_PER_DAY * US}
+    base = events.select("event_id", F.col(key), ts, epoch_us(ts).alias("__us"))
+    at = base.groupBy(key, "__us").agg(F.count(F.lit(1)).alias("__n"))
+    # an instant counts its events; a window's begin asks for those before it, so it comes first
+    marks = F.array(F.struct(F.col("__us").alias("at"), F.lit("own").alias("asks"), F.col("__n").alias("n")),
+                    *(F.struct((F.col("__us") - w).alias("at"), F.lit(name).alias("asks"), F.lit(0).cast("long").alias("n"))
+                      for name, w in windows.items()))
+    rows = at.select(key, "__us", F.explode(marks).alias("__m")).select(key, "__us", "__m.*")
+    counted = running(rows, [F.col(key), F.col("at"), F.col("asks") == "own"], {"__c": F.col("n")})
+    per = counted.groupBy(key, "__us").agg(*(F.max(F.when(F.col("asks") == x, F.col("__c"))).alias(f"__{x}")
+                                             for x in ("own", *windows)))
+    per = per.select(F.col(key).alias("__k"), F.col("__us").alias("__t"),
+                     *((F.col("__own") - F.col(f"__{x}")).alias(x) for x in windows))
+    return base.join(per, F.col(key).eqNullSafe(F.col("__k")) & F.col("__us").eqNullSafe(F.col("__t"))) \
+        .select("event_id", key, ts, *windows)
 
 
 # --- T-01 ----------------------------------------------------------------------------------
@@ -120,29 +127,25 @@ def admission(events: DataFrame, per_minute: int, per_day: int, partitions: int
 
 
 # --- T-02 ----------------------------------------------------------------------------------
-def breaker_intervals(outcomes: DataFrame, threshold: int = 2, cooldown_s: int = 120,
-                      chunk_s: int = 3600) -> DataFrame:
+def breaker_intervals(outcomes: DataFrame, threshold: int = 2, cooldown_s: int = 120) -> DataFrame:
     """Open intervals of a consecutive-failure breaker per provider (T-02).
 
-    ``outcomes(provider, ts, seq, success)``; ``seq`` breaks ties in time.
+    ``outcomes(provider, ts, seq, success)``; ``seq`` breaks ties in time. Running counts of successes and
+    failures over all outcomes, ordered by provider and time, are merged from ranges of rows, whatever
+    their size. The successes so far number the islands of failures; the first failure of an island has
+    its least failure count f, so the one that opens the breaker is the failure with count f + threshold - 1
+    of the same island, one equi-join for any threshold.
     """
-    o = outcomes.select("provider", "seq", "success", epoch_us("ts").alias("us")).withColumn(
-        "chunk", F.floor(F.col("us") / (chunk_s * US)).cast("long"))
-    per_chunk = o.groupBy("provider", "chunk").agg(F.sum(F.col("success").cast("long")).alias("_s"))
-    offsets = per_chunk.withColumn("offset", F.coalesce(F.sum("_s").over(
-        Window.partitionBy("provider").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = Window.partitionBy("provider", "chunk").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    o = (o.withColumn("_local", F.sum(F.col("success").cast("long")).over(local))
-         .join(offsets.select("provider", "chunk", "offset"), ["provider", "chunk"])
-         .withColumn("island", F.col("offset") + F.col("_local")))
-    fails = o.filter(~F.col("success")).select("provider", "island", "us", "seq")
-    k = F.struct("us", "seq")
-    nth = fails.groupBy("provider", "island").agg(F.min(k).alias("_m1"))
-    for _ in range(threshold - 1):
-        rest = fails.join(nth, ["provider", "island"]).filter(F.struct("us", "seq") > F.col("_m1"))
-        nth = rest.groupBy("provider", "island").agg(F.min(F.struct("us", "seq")).alias("_m1"))
-    return nth.select("provider", "island", F.col("_m1.us").alias("open_start_us"),
-                      (F.col("_m1.us") + cooldown_s * US).alias("open_end_us"))
+    o = outcomes.select("provider", "seq", "success", epoch_us("ts").alias("us"))
+    won = F.col("success").cast("long")
+    counted = running(o, [F.col("provider"), F.col("us"), F.col("seq")], {"_s": won, "_f": 1 - won})
+    base = counted.groupBy("provider").agg(F.min(F.col("_s") - won).alias("_before"))  # successes of other providers
+    fails = counted.where(~F.col("success")).select("provider", "_s", "_f", "us")
+    first = fails.groupBy("provider", "_s").agg(F.min("_f").alias("_first"))
+    opened = first.select("provider", "_s", (F.col("_first") + threshold - 1).alias("_f")).join(fails, ["provider", "_s", "_f"])
+    return opened.join(broadcast_if_small(base), "provider").select(
+        "provider", (F.col("_s") - F.col("_before")).alias("island"), F.col("us").alias("open_start_us"),
+        (F.col("us") + cooldown_s * US).alias("open_end_us"))
 
 
 # --- T-03 ----------------------------------------------------------------------------------
