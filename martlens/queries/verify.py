@@ -243,3 +243,146 @@ def verify_blame_top5(star, spark, sf_dir):
     """Result ids blamed by failed error checks (V-15)."""
     results = [(rid, _BUILDERS[rid](star)) for rid in _R5]
     return V.blame(V.verify(results, V.Plan(_Q5, P.window(), tuple(_M5)), P))
+
+
+# --- many answers at once ---------------------------------------------------------------------
+from martlens import oracle as O  # noqa: E402
+from martlens.functions import scalars as S  # noqa: E402
+from martlens.plans import verify_batch as B  # noqa: E402
+
+BATCH_COLUMNS = {
+    "total": [("revenue", "num"), ("orders", "num"), ("aov", "num"), ("units", "num")],
+    "by_channel": [("channel", "str"), ("revenue", "num"), ("orders", "num"), ("aov", "num"), ("units", "num"),
+                   ("revenue_share_pct", "num")],
+    "daily": [("order_date", "date"), ("revenue", "num"), ("orders", "num")]}
+#: Faults are put into answers by their number modulo this, so that every check has something to find.
+FAULTS = 23
+
+
+def batch_inputs(star):
+    """One answer per store and month of all orders: its total, its channels and its days; every 23 answers eight
+    have a fault (wrong total, AOV, sign, share, a missing channel, a date out of range, an empty column or
+    result), and every 17th a sub-query that failed."""
+    month = F.col("month_key")
+    number = (F.substring("store_id", 3, 18).cast("long") * 10000
+              + (F.substring(month, 1, 4).cast("long") - 1990) * 12 + F.substring(month, 6, 2).cast("long"))
+    o = star.wide_orders.select(number.alias("a"), "month_key", "channel", "order_date", "net_before_tax", "order_id", "total_qty")
+    money = F.sum("net_before_tax").cast("double").alias("revenue")
+    n, units = F.count("order_id").alias("orders"), F.sum("total_qty").cast("long").alias("units")
+    k = F.col("a") % FAULTS
+    aov = S.safe_ratio("revenue", "orders")
+    plain = o.groupBy("a", "month_key").agg(money, n, units).withColumn("aov", aov)
+    total = plain.withColumns({"revenue": F.when(k == 1, F.col("revenue") + 5000).otherwise(F.col("revenue")),
+                               "units": F.when(k == 3, -F.col("units")).otherwise(F.col("units"))})
+    channels = o.groupBy("a", "channel").agg(money, n, units).withColumn("aov", aov).join(
+        plain.select("a", F.col("revenue").alias("_all")), "a").withColumn(
+        "revenue_share_pct", S.pct_of("revenue", "_all") * F.when(k == 4, 0.9).otherwise(1.0))
+    channels = channels.where((k != 5) | (F.col("channel") != "5-LOW")).withColumns({
+        "aov": F.when(k == 2, F.col("aov") + 1).otherwise(F.col("aov")), "revenue": F.when(k != 7, F.col("revenue"))})
+    days = o.groupBy("a", "order_date").agg(money, n).where(k != 8).withColumn(
+        "order_date", F.when(k == 6, F.add_months("order_date", 1200)).otherwise(F.col("order_date")))
+    rows = {"total": (total, F.lit("0")), "by_channel": (channels, F.col("channel")), "daily": (days, F.col("order_date"))}
+    cells = None
+    for idx, (rid, (df, row)) in enumerate(rows.items()):
+        part = B.long_form(F.col("a"), idx, df, BATCH_COLUMNS[rid], row)
+        cells = part if cells is None else cells.unionByName(part)
+    keys = plain.select("a", "month_key")
+    following = F.date_format(F.add_months(F.to_date(F.concat(month, F.lit("-01"))), 1), "yyyy-MM")
+    answers = keys.select(
+        F.col("a").alias("answer_id"),
+        F.when(F.col("a") % 3 == 0, "Which are the top 2 channels of the month?").otherwise("How did the channels do?").alias("question"),
+        F.when(F.col("a") % 4 == 0, F.array(F.lit("revenue"), F.lit("margin_pct"))).otherwise(
+            F.array(F.lit("revenue"), F.lit("orders"))).alias("metrics"),
+        F.when(F.col("a") % 5 == 0, F.array(month, following)).otherwise(F.array(month)).alias("months"))
+    columns = lambda rid: F.array(*(F.struct(F.lit(c).alias("name"), F.lit(t).alias("kind")) for c, t in BATCH_COLUMNS[rid]))
+    specs = [F.struct(F.lit(i).alias("idx"), F.lit(rid).alias("result_id"), F.lit(False).alias("failed"),
+                      columns(rid).alias("columns")) for i, rid in enumerate(BATCH_COLUMNS)]
+    lost = F.struct(F.lit(3).alias("idx"), F.lit("margins").alias("result_id"), F.lit(True).alias("failed"),
+                    columns("total").alias("columns"))
+    listed = F.when(F.col("a") % 17 == 0, F.array(*specs, lost)).otherwise(F.array(*specs))
+    results = keys.select(F.col("a").alias("answer_id"), F.explode(listed).alias("r")).select("answer_id", "r.*")
+    return answers, results, cells
+
+
+_months = "list_distinct(list(strftime(order_date, '%Y-%m')))"
+_out = f"order_date < DATE '{P.data_start}' OR order_date > DATE '{P.last_day}'"
+BATCH_CTES = f"""o AS (
+  SELECT CAST(substr(store_id, 3) AS BIGINT) * 10000 + (CAST(substr(month_key, 1, 4) AS BIGINT) - 1990) * 12
+         + CAST(substr(month_key, 6, 2) AS BIGINT) AS a, month_key, channel, order_date, net_before_tax, order_id, total_qty
+  FROM wide_orders),
+pl AS (SELECT *, {O.safe_ratio('revenue', 'orders')} AS aov FROM (
+  SELECT a, month_key, CAST(SUM(net_before_tax) AS DOUBLE) AS revenue, COUNT(order_id) AS orders, CAST(SUM(total_qty) AS BIGINT) AS units
+  FROM o GROUP BY a, month_key) x),
+an AS (SELECT a, CASE WHEN a % 3 = 0 THEN 2 END AS top_n, CASE WHEN a % 4 = 0 THEN 1 ELSE 0 END AS no_margin,
+         CASE WHEN a % 5 = 0 THEN [month_key, strftime(CAST(month_key || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m')]
+              ELSE [month_key] END AS months FROM pl),
+tt AS (SELECT a, CASE WHEN a % {FAULTS} = 1 THEN revenue + 5000 ELSE revenue END AS revenue, orders, aov,
+         CASE WHEN a % {FAULTS} = 3 THEN -units ELSE units END AS units FROM pl),
+ch0 AS (SELECT *, {O.safe_ratio('revenue', 'orders')} AS aov FROM (
+  SELECT a, channel, CAST(SUM(net_before_tax) AS DOUBLE) AS revenue, COUNT(order_id) AS orders, CAST(SUM(total_qty) AS BIGINT) AS units
+  FROM o GROUP BY a, channel) x),
+ch AS (SELECT c.a, c.channel, CASE WHEN c.a % {FAULTS} <> 7 THEN c.revenue END AS revenue, c.orders, c.units,
+         c.aov + CASE WHEN c.a % {FAULTS} = 2 THEN 1 ELSE 0 END AS aov,
+         c.sh * CASE WHEN c.a % {FAULTS} = 4 THEN 0.9 ELSE 1.0 END AS share
+       FROM (SELECT c.*, {O.pct_of('c.revenue', 'p.revenue')} AS sh FROM ch0 c JOIN pl p ON c.a = p.a) c
+       WHERE NOT (c.a % {FAULTS} = 5 AND c.channel = '5-LOW')),
+da AS (SELECT a, CASE WHEN a % {FAULTS} = 6 THEN CAST(order_date + INTERVAL 1200 MONTH AS DATE) ELSE order_date END AS order_date,
+         revenue, orders FROM (
+  SELECT a, order_date, CAST(SUM(net_before_tax) AS DOUBLE) AS revenue, COUNT(order_id) AS orders FROM o GROUP BY a, order_date) x
+  WHERE a % {FAULTS} <> 8),
+cf AS (SELECT a, COUNT(*) AS n, COUNT(revenue) AS nr, COUNT(share) AS ns, SUM(share) AS ss, SUM(COALESCE(revenue, 0)) AS parts,
+         COUNT(DISTINCT channel) AS nc, MAX(CAST(channel IS NULL AS INT)) AS hn,
+         bool_or(revenue < 0 OR orders < 0 OR units < 0) AS neg, bool_or(revenue > {P.max_plausible_revenue}) AS big,
+         bool_or(orders <> 0 AND abs(revenue / orders - aov) > {P.aov_tolerance}) AS aov_off FROM ch GROUP BY a),
+df AS (SELECT a, COUNT(*) AS n, bool_or({_out}) AS bad, bool_or(revenue < 0 OR orders < 0) AS neg,
+         bool_or(revenue > {P.max_plausible_revenue}) AS big, {_months} AS seen FROM da GROUP BY a),
+every AS (SELECT an.*, COALESCE(cf.n, 0) AS cn, COALESCE(df.n, 0) AS dn, tt.revenue AS t_rev, tt.orders AS t_orders, tt.aov AS t_aov,
+            tt.units AS t_units, cf.nr, cf.ns, cf.ss, cf.parts, cf.nc, cf.hn, cf.neg AS c_neg, cf.big AS c_big, cf.aov_off AS c_aov,
+            df.bad, df.neg AS d_neg, df.big AS d_big, COALESCE(len(list_intersect(df.seen, an.months)), 0) AS ov
+          FROM an JOIN tt ON tt.a = an.a LEFT JOIN cf ON cf.a = an.a LEFT JOIN df ON df.a = an.a),
+offs AS (SELECT a, u.name, u.severity, list_filter(u.ids, lambda x: x IS NOT NULL) AS ids FROM every, LATERAL (VALUES
+  ('all_sub_queries_executed', 'warning', [CASE WHEN a % 17 = 0 THEN 'margins' END]),
+  ('results_non_empty', 'warning', [CASE WHEN cn = 0 THEN 'by_channel' END, CASE WHEN dn = 0 THEN 'daily' END]),
+  ('no_all_null_columns', 'warning', [CASE WHEN cn > 0 AND (nr = 0 OR ns = 0) THEN 'by_channel' END]),
+  ('no_negative_measures', 'error', [CASE WHEN t_rev < 0 OR t_orders < 0 OR t_units < 0 THEN 'total' END,
+                                     CASE WHEN c_neg THEN 'by_channel' END, CASE WHEN d_neg THEN 'daily' END]),
+  ('aov_reconciles', 'error', [CASE WHEN t_orders <> 0 AND abs(t_rev / t_orders - t_aov) > {P.aov_tolerance} THEN 'total' END,
+                               CASE WHEN c_aov THEN 'by_channel' END]),
+  ('parts_sum_to_total', 'error', CASE WHEN nc + hn = {dict(P.exhaustive_dimensions)['channel']} AND abs(parts - t_rev) > {P.total_tolerance}
+                                       THEN ['by_channel', 'total'] ELSE [NULL] END),
+  ('shares_sum_to_100', 'warning', [CASE WHEN cn >= 2 AND ns = cn AND abs(ss - 100.0) > {P.share_tolerance} THEN 'by_channel' END]),
+  ('revenue_within_plausible_bound', 'error', [CASE WHEN t_rev > {P.max_plausible_revenue} THEN 'total' END,
+                                               CASE WHEN c_big THEN 'by_channel' END, CASE WHEN d_big THEN 'daily' END]),
+  ('row_count_matches_expectation', 'warning', [CASE WHEN cn > top_n * len(months) AND cn >= 2 THEN 'by_channel' END,
+                                                CASE WHEN dn > top_n * len(months) AND dn >= 2 THEN 'daily' END]),
+  ('planned_metrics_present', 'warning', [CASE WHEN no_margin = 1 THEN 'margin_pct' END]),
+  ('dates_within_data_range', 'error', [CASE WHEN bad THEN 'daily' END]),
+  ('results_cover_the_window', 'warning', [CASE WHEN ov > 0 AND ov < len(months) THEN 'daily' END]),
+  ('dimension_coverage', 'warning', [CASE WHEN top_n IS NULL AND cn > 0 AND nc > 0
+                                          AND nc < {dict(P.exhaustive_dimensions)['channel']} THEN 'by_channel' END])
+  ) u(name, severity, ids))"""
+
+
+@register("verify_batch_report", O.with_star("""
+SELECT a AS answer_id, name, severity, len(ids) = 0 AS passed,
+  CASE WHEN name = 'parts_sum_to_total' THEN least(1, len(ids)) ELSE len(ids) END AS n_offenders,
+  array_to_string(ids, ',') AS result_ids FROM offs""", extra_ctes=BATCH_CTES))
+def verify_batch_report(star, spark, sf_dir):
+    """The thirteen checks for one answer per store and month, in one plan (V-01 ... V-13, C-01 ... C-06)."""
+    answers, results, cells = batch_inputs(star)
+    rep = B.verify_batch(answers, results, cells, F.col("months"), P)
+    return rep.withColumn("result_ids", F.array_join("result_ids", ","))
+
+
+@register("verify_batch_verdicts", O.with_star("""
+SELECT a AS answer_id, CASE WHEN e > 0 THEN 'failed' WHEN w > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status,
+  e AS errors, w AS warnings, array_to_string(list_sort(list_distinct(b)), ',') AS blamed
+FROM (SELECT a, COUNT(CASE WHEN severity = 'error' AND len(ids) > 0 THEN 1 END) AS e,
+             COUNT(CASE WHEN severity = 'warning' AND len(ids) > 0 THEN 1 END) AS w,
+             flatten(list(CASE WHEN severity = 'error' THEN ids ELSE [] END)) AS b FROM offs GROUP BY a) x""",
+                                             extra_ctes=BATCH_CTES))
+def verify_batch_verdicts(star, spark, sf_dir):
+    """Status and blamed results of every answer (V-14, V-15)."""
+    answers, results, cells = batch_inputs(star)
+    out = B.verdicts(B.verify_batch(answers, results, cells, F.col("months"), P))
+    return out.withColumn("blamed", F.array_join("blamed", ","))
