@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from martlens import oracle as O
 from martlens.functions import scalars as S
 from martlens.functions import text as X
 from martlens.operators import compare as D
+from martlens.operators import distinct as X2
 from martlens.operators import sets as U
 from martlens.operators.marts import build_marts
 from martlens.operators.metrics import in_window
+from martlens.operators.numbering import numbered
 from martlens.plans import analyses as A
 from martlens.plans import decline as DC
 from martlens.plans import entities as E
 from martlens.profile import TESTDATA as P
-from martlens.queries.core import Q2_BASE
+from martlens.queries.core import Q2_BASE, Q4_BASE
 from martlens.queries.decline import dvb_sql, trend_sql
 from martlens.queries.quality import _mart_cte
 from martlens.registry import register
@@ -298,6 +301,32 @@ def s13_golden_payload(star, spark, sf_dir):
                           {"headline": A.headline(star), "monthly": A.monthly(star)})
 
 
+@register("s13_golden_monthly", O.with_star(f"""
+SELECT month_key, CAST(round(SUM(net_before_tax), 2) AS DOUBLE) AS revenue, COUNT(order_id) AS orders,
+  CAST(COALESCE(SUM(total_qty), 0) AS BIGINT) AS units,
+  CAST(round(CAST(SUM(net_before_tax) AS DECIMAL(38,2)) / COUNT(order_id), 2) AS DOUBLE) AS aov
+FROM wide_orders WHERE {W} GROUP BY month_key"""))
+def s13_golden_monthly(star, spark, sf_dir):
+    """The monthly rows of the golden payload, parsed back from its JSON: what a reader of the stored answer gets (S-13)."""
+    from martlens.sources.sinks import golden_payload
+    payload = golden_payload("monthly", {"monthly": A.monthly(star)})
+    rows = F.from_json("payload", "monthly array<struct<month_key:string,revenue:double,orders:long,units:long,aov:double>>")
+    return payload.select(F.inline(rows["monthly"]))
+
+
+@register("f08_orders_by_clock", """
+SELECT CAST(hour(o_orderdate) AS INTEGER) AS order_hour, dayname(o_orderdate) AS day_name,
+  CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 'Weekend' ELSE 'Weekday' END AS day_type,
+  COUNT(*) AS orders, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+FROM orders GROUP BY ALL""")
+def f08_orders_by_clock(star, spark, sf_dir):
+    """Orders and revenue by hour, day name and day type of the order's timestamp (F-08)."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    return o.groupBy(F.hour(at).cast("int").alias("order_hour"), S.day_name(at).alias("day_name"), S.day_type(at).alias("day_type")) \
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum(S.money("o_totalprice")).cast("double").alias("revenue"))
+
+
 # --- A-40 / A-41: HAVING and two-level aggregation; P-04 / P-13: resolved window vs data range -------------
 @register("a41_line_variance_by_month", O.with_star("""
 SELECT month_key, COUNT(*) AS orders, CAST(SUM(v) AS DOUBLE) AS variance
@@ -401,6 +430,111 @@ def d03_ranking_runs(star, spark, sf_dir):
     return D.contains_run(A.store_ranking(star), "store_id", "rank", top[::-1])
 
 
+#: Of every hundred places of the product ranking: labels as they stand, reversed, with a gap, or out of order.
+RUN_KINDS = {0: (1, 2, 3, 4), 1: (4, 3, 2, 1), 2: (1, 2, 4, 5), 3: (1, 3, 2, 4)}
+
+
+RUNS_CTES = Q4_BASE + f""",
+pl AS (SELECT sku_id, row_number() OVER (ORDER BY line_revenue DESC, sku_id) AS place FROM prm),
+ru AS (SELECT (place - 1) // 100 AS run_id, list_position(k.places, (place - 1) % 100 + 1) - 1 AS "at", sku_id AS label, place
+       FROM pl JOIN (VALUES {", ".join(f"({k}, {list(v)})" for k, v in RUN_KINDS.items())}) k(kind, places)
+         ON ((place - 1) // 100) % 4 = k.kind AND list_contains(k.places, (place - 1) % 100 + 1)),
+rl AS (SELECT run_id, list(label ORDER BY "at") AS wanted, MIN(place) AS lo, MAX(place) AS hi FROM ru GROUP BY run_id),
+st AS (SELECT r.run_id, r.wanted, list(p.sku_id ORDER BY p.place) AS there
+       FROM rl r JOIN pl p ON p.place BETWEEN r.lo AND r.hi GROUP BY r.run_id, r.wanted)"""
+
+
+@register("d03_product_runs", O.with_star("""
+SELECT run_id, wanted = there OR list_reverse(wanted) = there AS contains_run, wanted = there AS forward,
+  list_reverse(wanted) = there AS reversed FROM st""", extra_ctes=RUNS_CTES))
+def d03_product_runs(star, spark, sf_dir):
+    """Runs of four products, of every hundred places of the revenue ranking: contained, reversed, broken or
+    out of order (D-03), over places numbered by range partitions."""
+    ranking = A.product_ranking(star).select("sku_id", "line_revenue")
+    placed = numbered(ranking, [F.col("line_revenue").desc(), F.col("sku_id")], "place")
+    block, inside = F.floor((F.col("place") - 1) / 100), ((F.col("place") - 1) % 100 + 1).cast("int")
+    at = None
+    for kind, places in RUN_KINDS.items():
+        here = F.array_position(F.array(*map(F.lit, places)), inside) - 1
+        at = F.when(block % 4 == kind, here) if at is None else at.when(block % 4 == kind, here)
+    runs = placed.select(block.cast("long").alias("run_id"), at.alias("at"), F.col("sku_id").alias("label")).where("at >= 0")
+    return D.contains_runs(placed, "sku_id", "place", runs)
+
+
+@register("a31_distinct_customers_by_window", O.with_star(f"""
+SELECT store_id, n_months, COUNT(DISTINCT customer_id) AS customers
+FROM wide_orders, (VALUES {", ".join(f"({n})" for n in (1, 2, 3, 6, 12))}) w(n_months)
+WHERE month_key IN (SELECT m FROM (SELECT DISTINCT month_key AS m FROM wide_orders WHERE month_key <= '{P.window().months()[-1]}')
+                    ORDER BY m DESC LIMIT 12)
+  AND (SELECT COUNT(*) FROM (SELECT DISTINCT month_key AS m FROM wide_orders
+                             WHERE month_key <= '{P.window().months()[-1]}') x WHERE x.m > wide_orders.month_key) < n_months
+  AND customer_id IS NOT NULL
+GROUP BY store_id, n_months"""))
+def a31_distinct_customers_by_window(star, spark, sf_dir):
+    """Distinct customers of every store over the last 1, 2, 3, 6 and 12 months, from stored bitmaps of store and month
+    alone (A-31, A-37)."""
+    months, _ = customer_bitmaps(star)
+    last = P.window().months()[-1]
+    keys = months.where(F.col("month_key") <= last).select("month_key").distinct()
+    # months are few: their place from the last one back
+    back = keys.select("month_key", F.row_number().over(Window.orderBy(F.desc("month_key"))).alias("back"))
+    spans = F.explode(F.filter(F.array(*map(F.lit, (1, 2, 3, 6, 12))), lambda n: n >= F.col("back"))).alias("n_months")
+    held = months.join(F.broadcast(back.where("back <= 12")), "month_key").select("store_id", "bucket", "bitmap", spans)
+    return X2.distinct_over(held, ["store_id", "n_months"], "customers")
+
+
+@register("a37_distinct_customers_by_level", O.with_star(f"""
+SELECT 'store' AS level, store_id AS name, COUNT(DISTINCT customer_id) AS customers FROM wide_orders
+WHERE {W} AND customer_id IS NOT NULL GROUP BY store_id
+UNION ALL SELECT 'city', city, COUNT(DISTINCT customer_id) FROM wide_orders WHERE {W} AND customer_id IS NOT NULL GROUP BY city
+UNION ALL SELECT 'all', 'all', COUNT(DISTINCT customer_id) FROM wide_orders WHERE {W} AND customer_id IS NOT NULL"""))
+def a37_distinct_customers_by_level(star, spark, sf_dir):
+    """Distinct customers of the window by store, by city and in all: unions of the same stored bitmaps (A-37)."""
+    months, _ = customer_bitmaps(star)
+    held = months.where(F.col("month_key").isin(P.window().months())).join(
+        F.broadcast(star.dim_store.select("store_id", "city")), "store_id")  # one row per store
+    levels = F.explode(F.array(*(F.struct(F.lit(x).alias("level"), c.alias("name")) for x, c in (
+        ("store", F.col("store_id")), ("city", F.col("city")), ("all", F.lit("all")))))).alias("l")
+    return X2.distinct_over(held.select("bucket", "bitmap", levels).select("bucket", "bitmap", "l.*"), ["level", "name"], "customers")
+
+
+_BITMAPS: dict[tuple[str, str], tuple] = {}
+
+
+def customer_bitmaps(star):
+    """Bitmaps of customers per store and month, and the dense ids, stored once per application."""
+    from martlens.session import app_key
+    key = (app_key(star.fact_orders.sparkSession), f"{star.source}|{star.profile.name}")
+    if key not in _BITMAPS:
+        ids = X2.dense_ids(star.fact_orders, "customer_id")
+        _BITMAPS[key] = (X2.distinct_bitmaps(star.fact_orders, ["store_id", "month_key"], "customer_id", ids), ids)
+    return _BITMAPS[key]
+
+
+_CHANGED = P.window().months()[-1]
+
+
+@register("s06_refreshed_channel_mart", O.with_star(f"""
+SELECT CASE WHEN month_key = '{_CHANGED}' AND order_id % 10 = 0 THEN '5-LOW' ELSE channel END AS channel, month_key,
+  month_key = '{_CHANGED}' AS rewritten, COUNT(*) AS orders, CAST(SUM(net_before_tax) AS DOUBLE) AS revenue,
+  CAST(SUM(total_qty) AS BIGINT) AS units
+FROM wide_orders WHERE store_name IS NOT NULL GROUP BY 1, month_key"""))
+def s06_refreshed_channel_mart(star, spark, sf_dir):
+    """The channel mart after an incremental rebuild in which a tenth of the orders of one month changed their
+    channel: only that month is written, behind the gate (S-06, S-11, S-12)."""
+    from martlens.plans.quality import expected_counts_from_sources
+    from martlens.sources.star import COLUMNS, read_star, refresh_star
+    changed = (F.col("month_key") == _CHANGED) & (F.col("order_id") % 10 == 0)
+    channel = F.when(changed, F.lit("5-LOW")).otherwise(F.col("channel"))
+    wide = star.wide_orders.withColumn("channel", channel)
+    source = star.with_tables(wide_orders=wide, fact_orders=wide.select(*COLUMNS["fact_orders"]),
+                              wide_lines=star.wide_lines.withColumn("channel", channel))
+    root, months = refresh_star(source, star.source, expected_counts_from_sources(spark, sf_dir, star))
+    mart = read_star(spark, root, star.profile).marts["mart_channel_month"]
+    return mart.select("channel", "month_key", F.col("month_key").isin(months).alias("rewritten"), "orders",
+                       F.col("revenue_net").cast("double").alias("revenue"), "units")
+
+
 @register("l06_first_categories", O.with_star("""
 SELECT category, row_number() OVER (ORDER BY first_day, category) AS series_rank
 FROM (SELECT category, MIN(order_date) AS first_day FROM wide_lines WHERE category IS NOT NULL GROUP BY category) x

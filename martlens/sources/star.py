@@ -13,7 +13,7 @@ import os
 import uuid
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.profile import Profile
@@ -141,7 +141,8 @@ def build_star(star: Star, expected: DataFrame, path: str | None = None) -> str:
 
 
 def read_star(spark: SparkSession, root: str, profile: Profile) -> Star:
-    frames = {n: spark.read.parquet(os.path.join(root, n)) for n in DIMENSIONS + ("wide_orders", "wide_lines")}
+    frames = {n: spark.read.parquet(os.path.join(root, n)) for n in DIMENSIONS}
+    frames |= {n: _facts(spark, root, n) for n in ("wide_orders", "wide_lines")}
     frames["fact_orders"] = frames["wide_orders"].select(*COLUMNS["fact_orders"])
     frames["fact_order_lines"] = frames["wide_lines"].select(*COLUMNS["fact_order_lines"], "month_key")
     marts = {n: os.path.join(root, n) for n in PRIMARY_KEYS if n.startswith("mart_")}
@@ -150,6 +151,76 @@ def read_star(spark: SparkSession, root: str, profile: Profile) -> Star:
     return Star(profile=profile, source=root, **frames)
 
 
+def _facts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A fact of a written star. A refreshed one holds its changed months, the others stay where they were
+    written: reading takes them from there, by month folder."""
+    refreshed = os.path.join(root, "refreshed_months")
+    if not _has(spark, refreshed):
+        return spark.read.parquet(os.path.join(root, name))
+    rows = spark.read.parquet(refreshed).collect()  # one row per changed month
+    base, months = rows[0].base, [r.month_key for r in rows]
+    old = _facts(spark, base, name)
+    new = spark.read.schema(old.schema).parquet(os.path.join(root, name))
+    return old.where(~_in_months(months)).select(*new.columns).unionByName(new)
+
+
+def _in_months(months: list) -> Column:
+    """Whether a row's month is one of them; None stands for rows without a month."""
+    known = [m for m in months if m is not None]
+    hit = F.col("month_key").isin(known) if known else F.lit(False)
+    return F.coalesce(hit, F.lit(None in months))
+
+
+def month_digests(star: Star) -> DataFrame:
+    """(fact, month_key, rows, digest): a digest of every month's rows, whatever their order; one aggregation per fact."""
+    parts = []
+    for name in ("wide_orders", "wide_lines"):
+        df = getattr(star, name)
+        h = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns))).cast("decimal(20,0)")
+        parts.append(df.groupBy("month_key").agg(F.count(F.lit(1)).alias("rows"), F.sum(h).alias("digest"))
+                     .select(F.lit(name).alias("fact"), "month_key", "rows", "digest"))
+    return parts[0].unionByName(parts[1])
+
+
+def refresh_star(star: Star, root: str, expected: DataFrame) -> tuple[str, list]:
+    """Incremental rebuild (S-06, S-11, S-12): a star that differs from the written one in ``root`` in some months.
+
+    Months whose digests differ are written to a new folder with the dimensions; marts take their rows
+    anew and keep the others. The other months stay in the files of ``root``, which is never
+    touched. The gate runs on the whole refreshed star; (new folder, months) is returned, to which readers
+    switch by one path, or the gate's error is raised and they stay on the last good star.
+    """
+    from martlens.operators.marts import mart_builders
+    from martlens.plans import quality
+
+    spark = star.fact_orders.sparkSession
+    before = month_digests(read_star(spark, root, star.profile)).withColumnsRenamed({"rows": "_r", "digest": "_d"})
+    after, old = month_digests(star).alias("a"), before.alias("b")
+    differs = after.join(old, (F.col("a.fact") == F.col("b.fact")) & F.col("a.month_key").eqNullSafe(F.col("b.month_key")), "full_outer") \
+        .where(~(F.col("a.rows").eqNullSafe(F.col("b._r")) & F.col("a.digest").eqNullSafe(F.col("b._d"))))
+    months = sorted({r.m for r in differs.select(F.coalesce("a.month_key", "b.month_key").alias("m")).collect()},
+                    key=lambda m: (m is not None, m))
+    if not months:
+        return root, []
+    new = os.path.join(ensure_checkpoint_dir(spark), f"star-{uuid.uuid4().hex[:12]}")
+    for name in DIMENSIONS:
+        getattr(star, name).write.parquet(os.path.join(new, name))
+    for name in ("wide_orders", "wide_lines"):
+        getattr(star, name).where(_in_months(months)).hint("rebalance", "month_key").write.partitionBy("month_key").parquet(
+            os.path.join(new, name))
+    spark.createDataFrame([(root, m) for m in months], "base string, month_key string").coalesce(1).write.parquet(
+        os.path.join(new, "refreshed_months"))
+    whole = read_star(spark, new, star.profile)
+    part = whole.with_tables(fact_orders=whole.fact_orders.where(_in_months(months)))
+    for name, build in mart_builders().items():
+        kept = spark.read.parquet(os.path.join(root, name)).where(~_in_months(months))
+        build(part).unionByName(kept).write.parquet(os.path.join(new, name))
+    report = os.path.join(new, "quality_report")
+    quality.full_report(read_star(spark, new, star.profile), expected).write.parquet(report)
+    quality.enforce(spark.read.parquet(report), star.profile.known_failures)
+    return new, months
+
+
 def _has(spark: SparkSession, path: str) -> bool:
     """Whether a table exists (it does not yet while the marts themselves are built)."""
     from pyspark.errors import AnalysisException

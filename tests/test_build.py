@@ -13,7 +13,7 @@ from martlens.plans import quality as Q
 from martlens.plans.decline import flag_membership
 from martlens.profile import TESTDATA, TimeWindow
 from martlens.sources.bind_tpch import bind_star, store_id_of
-from martlens.sources.star import build_star
+from martlens.sources.star import COLUMNS, build_star, read_star, refresh_star
 
 from .conftest import SF
 
@@ -56,3 +56,45 @@ def test_members_without_a_flag_are_kept(spark):
     assert got == {("up", 1): (1, "a"), ("up", 0): (1, "b"), ("up", None): (2, "c,d")}
     none = flag_membership(df.where("up is null"), "name", ["up"]).collect()
     assert {(r.value, r.n_members) for r in none} == {(1, 0), (0, 0), (None, 2)}
+
+
+def _changed(star, orders=None, lines=None):
+    wide = star.wide_orders if orders is None else orders
+    return star.with_tables(wide_orders=wide, fact_orders=wide.select(*COLUMNS["fact_orders"]),
+                            wide_lines=star.wide_lines if lines is None else lines)
+
+
+def test_one_changed_month_rewrites_one_month(spark, star):
+    month = TESTDATA.window().months()[0]
+    expected = Q.expected_counts_from_sources(spark, SF, star)
+    assert refresh_star(star, star.source, expected) == (star.source, [])
+    wide = star.wide_orders.withColumn("channel", F.when(F.col("month_key") == month, "5-LOW").otherwise(F.col("channel")))
+    root, months = refresh_star(_changed(star, wide), star.source, expected)
+    assert months == [month] and root != star.source
+    new = read_star(spark, root, star.profile)
+    assert spark.read.parquet(f"{root}/wide_orders").select("month_key").distinct().count() == 1
+    assert sorted(map(str, new.wide_orders.select(*wide.columns).collect())) == sorted(map(str, wide.collect()))
+    assert new.wide_lines.count() == star.wide_lines.count()
+    full = build_star(_changed(star, wide), expected)
+    for name, mart in build_marts(read_star(spark, full, star.profile)).items():
+        assert sorted(map(str, mart.select(*sorted(mart.columns)).collect())) == \
+            sorted(map(str, new.marts[name].select(*sorted(mart.columns)).collect()))
+    # a second refresh upon the first, of another month
+    other = TESTDATA.window().months()[1]
+    twice = new.wide_orders.withColumn("channel", F.when(F.col("month_key") == other, "1-URGENT").otherwise(F.col("channel")))
+    root2, months2 = refresh_star(_changed(new, twice), root, expected)
+    again = read_star(spark, root2, star.profile)
+    assert months2 == [other]
+    assert sorted(map(str, again.wide_orders.groupBy("month_key", "channel").count().collect())) == \
+        sorted(map(str, twice.groupBy("month_key", "channel").count().collect()))
+
+
+def test_a_failed_gate_leaves_the_old_months(spark, star):
+    month = TESTDATA.window().months()[0]
+    expected = Q.expected_counts_from_sources(spark, SF, star)
+    bad = star.wide_orders.withColumn("net_before_tax", F.when(F.col("month_key") == month, -F.col("net_before_tax"))
+                                      .otherwise(F.col("net_before_tax")).cast("decimal(18,2)"))
+    before = star.fact_orders.agg(F.sum("net_before_tax")).first()[0]
+    with pytest.raises(Q.QualityGateError):
+        refresh_star(_changed(star, bad), star.source, expected)
+    assert read_star(spark, star.source, star.profile).fact_orders.agg(F.sum("net_before_tax")).first()[0] == before
