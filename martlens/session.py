@@ -27,13 +27,19 @@ DEFAULT_CONF: dict[str, str] = {
 }
 
 
+def _heap() -> str:
+    """A heap for a local session: 40 % of the machine's memory, so Python workers have room beside it."""
+    whole = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 20
+    return f"{min(12_288, max(1024, whole * 2 // 5))}m"
+
+
 def get_spark(app: str = "martlens", cpus: int | str = "*", shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the launcher's session."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or (8 if cpus == "*" else int(cpus)))
-    conf.setdefault("spark.driver.memory", os.environ.get("MARTLENS_DRIVER_MEMORY", "16g"))
+    conf.setdefault("spark.driver.memory", os.environ.get("MARTLENS_DRIVER_MEMORY", _heap()))
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
