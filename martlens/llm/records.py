@@ -15,8 +15,8 @@ writes a file of its own name, and only the files of committed attempts are in t
 index, so retried or speculative tasks leave no wrong record behind. Files go
 through pyarrow's file systems (local or mounted, s3, gs, hdfs).
 
-Defined cases: a null or empty text is a record with the end id alone; null ids come
-first; rows that repeat an id follow each other by text; an empty table gives an
+Defined cases: a null or empty text is a record with the end id alone; the string of a
+special token in a text is that token, as the library has it; null ids come first; rows that repeat an id follow each other by text; an empty table gives an
 empty index; other columns are not written.
 """
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from martlens.llm.bpe import safe_parts
 from martlens.llm.common import folder, saved
-from martlens.llm.textkit import row_slices
+from martlens.llm.textkit import buffer_of, row_slices, span_hashes
 
 _MASK = 0xA282EAD8  # fixed value of the record format
 _OPEN_SHARDS = 8
@@ -78,68 +78,123 @@ _tokenizers: dict[str, object] = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer of a file, loaded once per Python worker; strings of special
-    tokens in a text are ordinary text."""
+    """The tokenizer of a file as the library loads it, once per Python worker."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _tokenizers[path] = t
+        _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
 
-# A piece begins where white space follows something else, so no match of the byte-level
-# pattern crosses its border. Texts with other white space are encoded in larger parts.
-_PIECE = re.compile(r"[ \t\r\n]+[^ \t\r\n]*|[^ \t\r\n]+")
-_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-_SPACE = " \t\r\n"
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
+# White space of the pattern beside these four, in UTF-8.
+_OTHER_SPACE = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]"
+                          rb"|\xe2\x81\x9f|\xe3\x80\x80")
+#: Bytes of text that are cut into pieces together.
+SLICE_BYTES = 2 << 20
 
 
 class PieceEncoder:
-    """Ids of whole texts as bytes. Pieces between safe cuts are encoded by the tokenizer once
-    and remembered in two generations of up to ``limit`` pieces per Python worker: when the
-    young one is full it becomes the old one, and pieces met again move back into the young."""
-
-    def __init__(self, tok, width: int, limit: int = 250_000) -> None:
+    """Ids of whole texts. A piece begins where white space follows something else, so no match of the
+    byte-level pattern crosses its border: ids of a text are those of its pieces. Pieces of a slice are
+    told apart by their 64-bit hashes, each distinct one is encoded once and its ids are remembered (up to
+    ``limit`` pieces per Python worker; then those not in the slice at hand are forgotten), and the ids
+    of the slice are gathered from the remembered ones. Texts with other white space are encoded in
+    larger parts, those with the string of a special token whole."""
+
+    def __init__(self, tok, width: int, limit: int = 500_000) -> None:
         self.tok, self.kind, self.limit = tok, f"<u{width}", limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = np.empty(0, dtype=np.uint64)  # hashes, rising
+        self.first = np.empty(0, dtype=np.int64)  # place of the first id
+        self.size = np.empty(0, dtype=np.int64)  # number of ids
+        self.ids = np.empty(0, dtype=self.kind)
         # a token is written with one character for each of its bytes
         self.bytes = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())])
+        special = [re.escape(t.content.encode()) for t in tok.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special)) if special else None
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids)."""
         # pieces that begin with white space and end without it can be encoded as one text
-        joined = [p for p in pieces if p[0] in _SPACE and p[-1] not in _SPACE]
-        alone = [p for p in pieces if p[0] not in _SPACE or p[-1] in _SPACE]
-        texts = ["".join(joined), *alone]
-        first, *rest = (np.asarray(e.ids, dtype=self.kind)
-                        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))
+        inner = np.array([p[0] in " \t\r\n" and p[-1] not in " \t\r\n" for p in pieces])
+        joined = [p for p, j in zip(pieces, inner, strict=True) if j]
+        alone = [p for p, j in zip(pieces, inner, strict=True) if not j]
+        whole, *rest = (np.asarray(e.ids, dtype=self.kind)
+                        for e in self.tok.encode_batch_fast(["".join(joined), *alone], add_special_tokens=False))
         ends = np.cumsum([len(p.encode()) for p in joined])
-        upto = np.cumsum(self.bytes[first])
+        upto = np.cumsum(self.bytes[whole])
         cuts = np.searchsorted(upto, ends) + 1
         if len(joined) and not np.array_equal(upto[cuts - 1], ends):
             raise RuntimeError("a token crosses the border of a piece")
-        raw, at, size = first.tobytes(), 0, first.itemsize
-        for p, cut in zip(joined, (cuts * size).tolist(), strict=True):
-            self.young[p], at = raw[at:cut], cut
-        for p, ids in zip(alone, rest, strict=True):
-            self.young[p] = ids.tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [safe_parts(t) if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        missing = set().union(*cut) - self.young.keys() - {""}
-        self.young[""] = b""
-        known = missing & self.old.keys()
-        self.young.update((p, self.old[p]) for p in known)
-        if missing := list(missing - known):
-            self._learn(missing)
-        return [b"".join(map(self.young.__getitem__, pieces)) for pieces in cut]
+        size = np.empty(len(pieces), dtype=np.int64)
+        size[inner], size[~inner] = np.diff(np.r_[0, cuts])[:len(joined)], [len(x) for x in rest]
+        ids, place = np.empty(size.sum(), dtype=self.kind), np.repeat(inner, size)
+        ids[place] = whole
+        if rest:
+            ids[~place] = np.concatenate(rest)
+        return size, ids
+
+    def _learn(self, new: np.ndarray, pieces: list[str], used: np.ndarray) -> None:
+        """Remember the ids of new pieces; ``used`` are the places of the known ones in use."""
+        size, ids = self._encoded(pieces)
+        if len(self.known) + len(new) > self.limit:
+            at, self.known, self.size = _ragged(self.first[used], self.size[used]), self.known[used], self.size[used]
+            self.ids = self.ids[at]
+            self.first = np.cumsum(self.size) - self.size
+        first = len(self.ids) + np.cumsum(size) - size
+        order = np.argsort(known := np.concatenate([self.known, new]), kind="stable")
+        self.known, self.ids = known[order], np.concatenate([self.ids, ids])
+        self.first = np.concatenate([self.first, first])[order]
+        self.size = np.concatenate([self.size, size])[order]
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        space = _SPACE[data]
+        begins = np.empty(len(data) + 1, dtype=bool)
+        begins[:-1] = space
+        begins[1:-1] &= ~space[:-1]
+        begins[offsets] = True
+        start = np.flatnonzero(begins[:-1])
+        end = np.r_[start[1:], len(data)][:len(start)]
+        piece, at, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.known, piece), max(0, len(self.known) - 1))
+        new = self.known[place] != piece if len(self.known) else np.ones(len(piece), dtype=bool)
+        if new.any():
+            raw = data.tobytes()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            self._learn(piece[new], texts, place[~new])
+            place = np.searchsorted(self.known, piece)
+        size = self.size[place][which]
+        ids = self.ids[_ragged(self.first[place][which], size)]
+        upto = np.r_[0, np.cumsum(size)][np.searchsorted(start, offsets)] * ids.itemsize
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(upto.tolist(), upto.tolist()[1:], strict=False)]
+
+    def _apart(self, text: bytes) -> bytes:
+        whole = self.special is not None and self.special.search(text)
+        text = text.decode()
+        parts = [text] if whole else safe_parts(text)
+        return b"".join(np.asarray(e.ids, dtype=self.kind).tobytes()
+                        for e in self.tok.encode_batch_fast(parts, add_special_tokens=False))
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of every text of a column, a null as an empty one, little-endian."""
+        data, offsets = buffer_of(column)
+        raw = data.tobytes()
+        odd = [p for p in (_OTHER_SPACE, self.special) if p is not None and p.search(raw)]
+        if not odd:
+            return self._slice(data, offsets)
+        texts = [raw[a:b] for a, b in zip(offsets.tolist(), offsets.tolist()[1:], strict=False)]
+        apart = {i: self._apart(t) for i, t in enumerate(texts) if any(p.search(t) for p in odd)}
+        left = [b"" if i in apart else t for i, t in enumerate(texts)]
+        plain = self._slice(np.frombuffer(b"".join(left), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in left])])
+        return [apart.get(i, ids) for i, ids in enumerate(plain)]
+
+
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every run, one run after another."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
@@ -166,14 +221,14 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, root: str |
         no, out, at, before = TaskContext.get().partitionId(), None, 0, 0
         shard = f"{root}/{no:06d}-{uuid.uuid4().hex}.rec"
         for whole in batches:
-            for i, j in row_slices(whole.column(1)):
+            for i, j in row_slices(whole.column(1), SLICE_BYTES):
                 batch = whole.slice(i, j - i)
                 if out is None:
                     system, path = _file_system(shard)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path)
                 rows = []
-                for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
+                for ids in encoder.encode(batch.column(1)):
                     record, n_ids = frame(ids + end), len(ids) // width + 1
                     out.write(record)
                     rows.append((at, len(record), n_ids, before))

@@ -62,6 +62,19 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of every span; spans are in order and do not overlap."""
+    out = np.empty(len(start), dtype=np.uint64)
+    for i in range(0, len(out), _HASH_WORDS):
+        s, e = start[i:i + _HASH_WORDS], end[i:i + _HASH_WORDS]
+        lo, hi = int(s[0]), int(e[-1])
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _power(_BASE, hi - lo), out=sums[1:], dtype=np.uint64)
+        back = _power(_INV, hi - lo + 1)
+        out[i:i + _HASH_WORDS] = mix((sums[e - lo] - sums[s - lo]) * back[s - lo] + (e - s).astype(np.uint64))
+    return out
+
+
 class Words:
     """Words of consecutive texts: byte spans, the text each belongs to, and hashes."""
 
@@ -89,17 +102,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            out = np.empty(len(self.start), dtype=np.uint64)
-            for i in range(0, len(out), _HASH_WORDS):
-                s, e = self.start[i:i + _HASH_WORDS], self.end[i:i + _HASH_WORDS]
-                lo, hi = int(s[0]), int(e[-1])
-                sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-                np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * _power(_BASE, hi - lo),
-                          out=sums[1:], dtype=np.uint64)
-                back = _power(_INV, hi - lo + 1)
-                out[i:i + _HASH_WORDS] = mix((sums[e - lo] - sums[s - lo]) * back[s - lo]
-                                             + (e - s).astype(np.uint64))
-            self._hash = out
+            self._hash = span_hashes(self.data, self.start, self.end)
         return self._hash
 
     def grams(self, k: int) -> np.ndarray:

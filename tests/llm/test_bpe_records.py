@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,12 +26,26 @@ def test_cut_texts_give_the_ids_of_whole_texts():
         assert bpe.encode_text(enc, t, 3).tolist() == enc.encode_ordinary(t)
 
 
-def test_remembered_pieces_give_the_ids_of_whole_texts():
-    tok = records.tokenizer(TOKENIZER)
-    enc = records.PieceEncoder(tok, 2, limit=50)
-    for t in _random_texts(1500, 40):
-        want = tok.encode(t, add_special_tokens=False).ids
-        assert enc.encode([t])[0] == np.array(want, dtype="<u2").tobytes()
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(TOKENIZER)
+
+
+@pytest.mark.parametrize("limit", [5, 50, 10_000])
+def test_gathered_pieces_give_the_ids_of_whole_texts(limit):
+    tok, enc = plain_tokenizer(), records.PieceEncoder(records.tokenizer(TOKENIZER), 2, limit=limit)
+    texts = [*_random_texts(1500, 40), "a <|endoftext|> b", "x<|endoftext|>", " \n a", "a \n ", "<|endoftext", "x " * 300_000, None]
+    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    for k in (1, 7, 400):
+        for i in range(0, len(texts), k):
+            assert enc.encode(pa.array(texts[i:i + k], pa.string())) == want[i:i + k]
+
+
+def test_special_strings_are_special_tokens():
+    enc = records.PieceEncoder(records.tokenizer(TOKENIZER), 2)
+    got, = enc.encode(pa.array(["a <|endoftext|> b"]))
+    assert len(got) == 2 * 4 and np.frombuffer(got, dtype="<u2").tolist().count(50256) == 1
 
 
 def test_encode_round_trip_and_cases(case_docs, cases):
@@ -53,7 +68,7 @@ def test_encode_empty_table(no_docs):
 
 def test_records_read_back_in_any_order(case_docs, cases):
     index = records.write_records(case_docs, TOKENIZER, 2)
-    tok = records.tokenizer(TOKENIZER)
+    tok = plain_tokenizer()
     got = records.read_records(index.orderBy(F.rand(3))).collect()
     assert len(got) == len(cases)
     start = 0
