@@ -15,7 +15,8 @@ fingerprints are dealt by a salt of the document on one side and repeated on the
 
 Defined cases: null or wordless texts have no words and no hits; null or wordless items
 never occur; repeated rows are judged each on its own; repeated item ids count once per
-id; an empty table on either side gives no hits; other columns are not looked at.
+id; an empty table on either side gives no hits; other columns pass through, and input columns
+named like result columns (or ``_row`` and ``hits``) are replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ WINDOW = 10
 K = 6
 BITMAP_BITS = 1 << 24
 SALTS = 16
+RESULT = ("n_words", "n_hit", "n_items", "items", "spans")
 
 _HIT = "struct<hash:long,span:string,from:int,gram:int,positions:array<int>>"
 
@@ -115,7 +117,7 @@ def _bitmap(prints: DataFrame) -> np.ndarray:
 
 def _candidates(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFrame:
     """Input columns without the text, n_words, and the fingerprints that pass the bitmap."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+    keep = [f for f in docs.schema.fields if f.name not in ("text", "_row", "hits", *RESULT)]
     names = [f.name for f in keep] + ["n_words", "hits"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_words long",
                         f"hits array<{_HIT}>"])
@@ -152,7 +154,7 @@ def _candidates(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFram
                     [*(batch.column(f.name).slice(i, j - i) for f in keep),
                      pa.array(np.diff(words.first), pa.int64()), pa.array(hits, kind)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in keep), "text").mapInArrow(run, schema)
 
 
 def _runs(mine: Column, at: Column, theirs: Column, place: Column) -> tuple[Column, Column]:
@@ -207,7 +209,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     per_doc = per_doc.select("_row", union.cast("long").alias("n_hit"), "items", "spans")
     out = base.drop("hits").join(per_doc, "_row", "left")
     return out.select(
-        *(c for c in docs.columns if c != "text"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        *(F.col(f"`{c}`") for c in base.columns if c not in ("_row", "hits", "n_words")), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"))

@@ -73,3 +73,14 @@ def test_query(spark):
                   for r in QUERIES["op4_decontamination"](spark, sf).collect()), key=str)
     assert got == sorted(((i, n, h, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), h > 0)
                           for i, n, h, ids in brute(docs, items)), key=str)
+
+
+def test_clashing_columns_are_replaced_and_long_texts_with_many_hits(spark):
+    long = " ".join(f"w{i % 40}" for i in range(120_000))
+    docs = [(1, "a b c d e f g h i j k", "x", 5, 6, 7), (2, long, "y", 5, 6, 7), (3, None, "z", 5, 6, 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, items string, n_words int, hits int, n_hit int") \
+        .selectExpr("*", "1 as n_items", "'s' as spans", "3 as _row", "9 as other")
+    items = spark.createDataFrame([(7, "b c d e f g h i j k"), (8, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
+    got = {r.doc_id: r for r in winnow.contamination(df, items).collect()}
+    assert {i: (r.n_words, r.n_hit, r["items"], r.other) for i, r in got.items()} == {
+        1: (11, 10, ["7"], 9), 2: (120_000, 36_000, ["8"], 9), 3: (0, 0, [], 9)}
