@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions import scalars as S
+from martlens.operators.numbering import stored
 from martlens.plans import verify as V
 from martlens.profile import Profile, TimeWindow
 
@@ -80,7 +81,8 @@ def _columns(results: DataFrame, exhaustive: dict[str, int]) -> DataFrame:
 def _result_facts(columns: DataFrame, cells: DataFrame, profile: Profile) -> DataFrame:
     """One row per executed result with every measure the checks need."""
     p, exhaustive = profile, dict(profile.exhaustive_dimensions)
-    held = columns.join(cells, [*_RESULT, "column"], "left")
+    # three aggregations read the cells with their roles: written once
+    held = stored(columns.join(cells, [*_RESULT, "column"], "left"), "verified-cells")
     here = F.col("row").isNotNull()
     day = S.parse_date_like(F.col("str"))
     measure = F.col("is_num") & (F.col("revenue") | F.col("orders") | F.col("quantity"))

@@ -31,7 +31,7 @@ def test_every_answer_has_the_report_of_its_own_verification(spark):
     r = random.Random(12)
     questions = ["Top 2 channels?", "How are we doing?", "the best 3 months"]
     answers, results, cells, want = [], [], None, {}
-    for a in range(14):
+    for a in range(5):
         q, metrics, made = r.choice(questions), r.sample(["revenue", "aov", "margin_pct", "zeal"], 2), results_of(r)
         answers.append((a, q, metrics))
         given = []
@@ -53,7 +53,7 @@ def test_every_answer_has_the_report_of_its_own_verification(spark):
         spark.createDataFrame(results, "answer_id long, idx int, result_id string, failed boolean, "
                                        "columns array<struct<name:string,kind:string>>"), cells, W, P)
     got = {(x.answer_id, x.name): (x.severity, x.passed, x.n_offenders, sorted(x.result_ids)) for x in rep.collect()}
-    assert got == want and len({k for k, v in got.items() if not v[1]}) > 20
+    assert got == want and len({k for k, v in got.items() if not v[1]}) > 8
     for x in B.verdicts(rep).collect():
         bad = {k: v for k, v in got.items() if k[0] == x.answer_id and not v[1]}
         assert x.errors == sum(v[0] == "error" for v in bad.values())
