@@ -7,14 +7,14 @@ words, runs of marks and two shares (repeated words, runs of marks) gives a text
 
 so one set of weights serves all grades, and the expected grade and every tail
 probability come from the same level. The fit uses at most ``MAX_LABELLED`` labelled
-documents, those of the least hashed ids; it runs on their sparse features alone, while
-scoring is one map over all documents with the weights. A feature is the 64-bit hash of its
+documents, those of the least hashed ids; it takes quasi-Newton steps on gradients that Spark
+sums over their sparse features, while scoring is one map over all documents with the weights. A feature is the 64-bit hash of its
 bytes with its family in the two low bits, so no other word stands for a screened one, and
 in a text above ``STRETCH`` words it counts by its average in so many: a long text is judged
 like its average stretch, whatever its length, and a short bad passage weighs less in it.
 
 Defined cases: a null or empty text has no features and the level 0; labels with a null
-id or grade are not used; the lowest of several grades of a document counts; without
+id or grade are not used; the lowest of several grades of a document counts, and the least of several texts; without
 labels of two grades nothing is rejected; repeated rows are scored each on its own; an
 empty table gives an empty result; other columns pass through, and input columns named
 like result columns are replaced.
@@ -27,6 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +45,16 @@ LEAST_DOCS, LEAST_ERRORS = 5, 4.5
 PREFIX_BYTES = 4
 #: In a text of more words and runs of marks than these, a feature counts by its average in so many.
 STRETCH = 1000
-STEPS = 150
-RATE = 0.3
 DECAY = 2e-4
+#: Quasi-Newton steps at most, those remembered, halvings of one at most, and the relative gain that ends them.
+STEPS, MEMORY, BACKTRACKS, TOLERANCE = 40, 8, 8, 1e-4
 #: Kept are documents whose chance of the highest grade is at least this.
 KEEP_TOP = 0.5
 
 _LOWER_MARKS = ~ALNUM & NON_SPACE
 _SHAPE = 3  # family of the shares, in the two low bits of a feature
 _SCREEN_ROWS = 500
+_SUMS = 8  # tasks of a gradient; the sample is bounded
 
 
 @dataclass
@@ -131,7 +134,8 @@ def sample(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED) -> Dat
     """(grade, features, values) of the labelled sample. grades: doc_id, grade."""
     labels = (grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # at most `bound` narrow rows
+    rows = (docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # at most `bound` narrow rows
+            .groupBy("doc_id", "grade").agg(F.min("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +148,7 @@ def sample(docs: DataFrame, grades: DataFrame, bound: int = MAX_LABELLED) -> Dat
                      *(pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
                        for x in (feature, value))], names=["grade", "features", "vals"])
 
-    return rows.select("text", F.col("grade").cast("int")).mapInArrow(
-        run, "grade int, features binary, vals binary").limit(bound)
+    return rows.select("text", F.col("grade").cast("int")).mapInArrow(run, "grade int, features binary, vals binary")
 
 
 def _screened(rows: DataFrame) -> np.ndarray:
@@ -170,60 +173,110 @@ def _screened(rows: DataFrame) -> np.ndarray:
                             dtype=np.int64).view(np.uint64))
 
 
-def _only(rows: DataFrame, used: np.ndarray) -> DataFrame:
-    """The rows with these features alone."""
+def _matrix(rows: DataFrame, used: np.ndarray) -> DataFrame:
+    """(grade, columns, vals): the places of the used features of every row, and their values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for f, v in zip(batch.column("features").to_pylist(), batch.column("vals").to_pylist(), strict=True):
                 feature = np.frombuffer(f, dtype="<u8")
                 keep = _among(feature, used)
-                out.append((feature[keep].tobytes(), np.frombuffer(v, dtype="<f4")[keep].tobytes()))
+                out.append((np.searchsorted(used, feature[keep]).astype("<i4").tobytes(),
+                            np.frombuffer(v, dtype="<f4")[keep].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("grade"), *(pa.array([x[k] for x in out], pa.binary()) for k in range(2))],
-                names=["grade", "features", "vals"])
+                names=["grade", "columns", "vals"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return saved(rows.mapInArrow(run, "grade int, columns binary, vals binary").coalesce(_SUMS), "labelled-matrix")
+
+
+def _cuts(free: np.ndarray) -> np.ndarray:
+    """Rising thresholds of free parameters: the first one, and the logarithms of the gaps."""
+    return free[0] + np.r_[0.0, np.cumsum(np.exp(free[1:]))]
+
+
+def partial_loss(grade: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, w: np.ndarray,
+                 free: np.ndarray) -> np.ndarray:
+    """Sum of -log P(grade) over rows, and its gradient by the free parameters and the weights."""
+    n, cuts = len(grade), _cuts(free)
+    level = np.bincount(row, weights=value * w[col], minlength=n)
+    tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - level[:, None], -40, 40)))  # P(grade >= j)
+    full = np.c_[np.ones(n), tail, np.zeros(n)]
+    mine = np.maximum(full[np.arange(n), grade] - full[np.arange(n), grade + 1], 1e-9)
+    slope, j = tail * (1 - tail) / mine[:, None], np.arange(1, GRADES)[None, :]
+    # derivative of -log P(grade) by each tail's own level
+    part = np.where(j == grade[:, None] + 1, slope, 0.0) - np.where(j == grade[:, None], slope, 0.0)
+    by_cut = -part.sum(axis=0)
+    by_free = [by_cut.sum(), *(by_cut[k + 1:].sum() * np.exp(free[k + 1]) for k in range(GRADES - 2))]
+    by_weight = np.bincount(col, weights=value * part.sum(axis=1)[row], minlength=len(w))
+    return np.r_[-np.log(mine).sum(), by_free, by_weight]
+
+
+def _loss(matrix: DataFrame, n: int, at: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean loss with the decay of the weights, and its gradient. Every task sends one vector of the
+    gradient's length; there are at most _SUMS tasks."""
+    free, w = at[:GRADES - 1], at[GRADES - 1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + len(at))
+        for batch in batches:
+            size = np.asarray(pc.binary_length(batch.column("columns"))) // 4
+            col, value = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=t) for c, t in (("columns", "<i4"), ("vals", "<f4")))
+            total += partial_loss(batch.column("grade").to_numpy(), np.repeat(np.arange(len(size)), size), col, value, w, free)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                          pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
+
+    parts = sorted(matrix.mapInArrow(run, "part int, total binary").collect())  # in order, so a rerun adds up the same
+    total = np.sum([np.frombuffer(r.total) for r in parts], axis=0) / n
+    total[GRADES:] += DECAY * w
+    return float(total[0] + DECAY / 2 * w @ w), total[1:]
+
+
+def _minimum(loss, at: np.ndarray) -> np.ndarray:
+    """A point of least loss by limited-memory quasi-Newton steps with backtracking."""
+    value, slope = loss(at)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        step, back = slope.copy(), []
+        for s, y in reversed(moves):
+            back.append(s @ step / (s @ y))
+            step -= back[-1] * y
+        step *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, np.linalg.norm(slope))
+        for (s, y), a in zip(moves, reversed(back), strict=True):
+            step += (a - y @ step / (s @ y)) * s
+        pace = 1.0
+        for _ in range(BACKTRACKS):
+            new = at - pace * step
+            found, ahead = loss(new)
+            if found <= value - 1e-4 * pace * (slope @ step):
+                break
+            pace /= 4
+        else:
+            return at
+        if (new - at) @ (ahead - slope) > 1e-12:
+            moves = [*moves[-MEMORY + 1:], (new - at, ahead - slope)]
+        done = value - found < TOLERANCE * value
+        at, value, slope = new, found, ahead
+        if done:
+            break
+    return at
 
 
 def fit(rows: DataFrame) -> Fitted:
-    """Fit weights and thresholds to the bounded sample by full-gradient steps of adaptive size.
-    Spark screens the features; the driver holds the sample's screened features only."""
+    """Fit weights and thresholds to the bounded sample. Spark screens the features and sums the
+    gradients; the driver holds the screened features, their weights and a few gradients."""
     rows = saved(rows, "labelled-sample")
-    if rows.select("grade").distinct().count() < 2:
+    counts = {r.grade: r["count"] for r in rows.groupBy("grade").count().collect()}
+    if len(counts) < 2:
         return Fitted(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.float32),
                       np.arange(GRADES - 1, dtype=np.float64), False)
-    got = _only(rows, _screened(rows)).toPandas()
-    grade = got["grade"].to_numpy(dtype=np.int64)
-    feature = np.frombuffer(b"".join(got["features"]), dtype="<u8")
-    value = np.frombuffer(b"".join(got["vals"]), dtype="<f4").astype(np.float64)
-    row = np.repeat(np.arange(len(got)), [len(x) // 8 for x in got["features"]])
-    used, col = np.unique(feature, return_inverse=True)
-    n, w = len(grade), np.zeros(len(used))
-    share = np.array([np.mean(grade >= j) for j in range(1, GRADES)]).clip(0.01, 0.99)
+    used, n = _screened(rows), sum(counts.values())
+    matrix = _matrix(rows, used)
+    share = np.array([sum(c for g, c in counts.items() if g >= j) / n for j in range(1, GRADES)]).clip(0.01, 0.99)
     cuts = np.maximum.accumulate(np.log(1 / share - 1) + 1e-3 * np.arange(GRADES - 1))
-    free = np.r_[cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2))]  # first threshold, log gaps
-    size_w, size_f = np.full(len(used), 1e-8), np.full(len(free), 1e-8)
-    above = (grade[:, None] >= np.arange(1, GRADES)[None, :])
-    for step in range(STEPS):
-        cuts = free[0] + np.r_[0.0, np.cumsum(np.exp(free[1:]))]
-        level = np.bincount(row, weights=value * w[col], minlength=n)
-        tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - level[:, None], -40, 40)))  # P(grade >= j)
-        full = np.c_[np.ones(n), tail, np.zeros(n)]
-        mine = np.maximum(full[np.arange(n), grade] - full[np.arange(n), grade + 1], 1e-9)
-        slope = tail * (1 - tail)
-        # derivative of -log P(grade) by each tail's own level
-        part = np.where(above & (np.arange(1, GRADES)[None, :] == grade[:, None]), -slope / mine[:, None], 0.0)
-        part += np.where(np.arange(1, GRADES)[None, :] == grade[:, None] + 1, slope / mine[:, None], 0.0)
-        by_level = part.sum(axis=1)
-        grad_w = np.bincount(col, weights=value * by_level[row], minlength=len(used)) / n + DECAY * w
-        by_cut = -part.sum(axis=0) / n
-        grad_f = np.r_[by_cut.sum(), [by_cut[k + 1:].sum() * np.exp(free[k + 1]) for k in range(GRADES - 2)]]
-        size_w, size_f = 0.95 * size_w + 0.05 * grad_w ** 2, 0.95 * size_f + 0.05 * grad_f ** 2
-        pace = RATE * (1 - step / STEPS)
-        w -= pace * grad_w / (np.sqrt(size_w) + 1e-6)
-        free -= 0.2 * pace * grad_f / (np.sqrt(size_f) + 1e-6)
-    return Fitted(used, w.astype(np.float32), free[0] + np.r_[0.0, np.cumsum(np.exp(free[1:]))], True)
+    first = np.r_[cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2)), np.zeros(len(used))]
+    best = _minimum(lambda at: _loss(matrix, n, at), first)
+    return Fitted(used, best[GRADES - 1:].astype(np.float32), _cuts(best[:GRADES - 1]), True)
 
 
 def grade_texts(docs: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame:

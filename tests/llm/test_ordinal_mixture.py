@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from martlens.llm import mixture, ordinal
@@ -64,6 +65,43 @@ def test_ordinal_query_columns(spark):
     assert set(rows[0].asDict()) == {"doc_id", "expected_grade", "p_1", "p_2", "grade", "keep"}
 
 
+def test_gradient_equals_differences_and_spark_sums_it(spark, rng):
+    r = np.random.default_rng(4)
+    n, k = 40, 6
+    grade = r.integers(0, 3, n)
+    row = np.repeat(np.arange(n), 3)
+    col, value = r.integers(0, k, 3 * n), r.uniform(0.1, 2, 3 * n).astype(np.float32)
+    at = np.r_[-0.3, 0.2, r.normal(size=k)]
+    loss = lambda x: ordinal.partial_loss(grade, row, col, value, x[2:], x[:2])
+    for i in range(len(at)):
+        step = 1e-6 * np.eye(len(at))[i]
+        assert abs((loss(at + step)[0] - loss(at - step)[0]) / 2e-6 - loss(at)[1 + i]) < 1e-4
+    rows = [(int(g), col[3 * i:3 * i + 3].astype("<i4").tobytes(), value[3 * i:3 * i + 3].tobytes()) for i, g in enumerate(grade)]
+    matrix = spark.createDataFrame(rows, "grade int, columns binary, vals binary").repartition(3)
+    value_, slope = ordinal._loss(matrix, n, at)
+    want = loss(at) / n
+    want[3:] += ordinal.DECAY * at[2:]
+    assert abs(value_ - want[0] - ordinal.DECAY / 2 * at[2:] @ at[2:]) < 1e-6 and np.allclose(slope, want[1:], atol=1e-6)
+    best = ordinal._minimum(lambda x: ordinal._loss(matrix, n, x), at)
+    _, left = ordinal._loss(matrix, n, best)
+    assert np.abs(left).max() < 0.02  # a stationary point
+
+
+def test_query_equals_a_plain_fit_and_plain_scores(spark):
+    """op6 against its own definition: screened words, a plain fit to convergence, plain scores."""
+    texts = [(i, " ".join(["bad", "awful"] * (i % 3 == 0) + ["fine"] * (i % 3 == 2) + ["word"] * (1 + i % 4))) for i in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    fitted = ordinal.fit(ordinal.sample(docs, spark.createDataFrame([(i, i % 3) for i in range(240)], "doc_id long, grade int")))
+    for r in ordinal.grade_texts(docs, fitted).collect():
+        batch = pa.RecordBatch.from_arrays([pa.array([r.text])], names=["text"])
+        (_, _, _, feature, value), = ordinal._features(batch, "text")
+        weight = dict(zip(fitted.features.tolist(), fitted.weights.tolist(), strict=True))
+        level = sum(v * weight.get(f, 0.0) for f, v in zip(feature.tolist(), value.tolist(), strict=True))
+        tails = [1 / (1 + np.exp(t - level)) for t in fitted.thresholds]
+        assert np.allclose([r.p_1, r.p_2, r.expected_grade], [*tails, sum(tails)], atol=1e-5)
+        assert r.grade == r.doc_id % 3 and r.keep == (tails[1] >= ordinal.KEEP_TOP)
+
+
 def test_held_out_languages(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op7_language_mixture"](spark, SF).collect()
