@@ -3,7 +3,9 @@
 Everything is a column expression. A pattern's matches and the text between them come
 from ``regexp_extract_all`` and ``split``; a span's start is the running sum of both.
 Patterns use possessive repeats and fixed starts, so they are linear in the text and
-never deep in the stack, but match what the plain patterns in the comments match.
+never deep in the stack, but match what the plain patterns in the comments match. Work is
+linear in the text and its matches: arrays are computed once per text, never per match, and a
+place in a text is reached by way of pieces of _CHUNK characters.
 
 Four kinds are certain by their form (base spans, score 1): email, ip (parts at most
 255), card (12 to 19 digits, Luhn) and phone (international, 9 to 15 digits). The others
@@ -23,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martlens.functions.arrays import let, scanned
+
 KEEP_SCORE = 0.6
 CONTEXT_CHARS = 40
-_BLOCK = 256  # positions are summed in blocks, so many spans of a text stay cheap
+_CHUNK = 1024  # characters of a text that are walked through to reach a place in it
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "secret", "national", "ssn")
@@ -61,19 +65,16 @@ IBAN_LEAST = 12
 HINTS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
 
-def _running(lengths: Column) -> Column:
-    """Inclusive running sums of an array of ints."""
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")),
-                         lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0),
-                                               lambda a, x: a + x))
-    before = F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    flat = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.element_at(before, F.floor(i / _BLOCK).cast("int") + 1) + F.aggregate(
-            F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK + 1), F.lit(0),
-            lambda a, x: a + x))
-    return F.when(n > 0, flat).otherwise(F.array().cast("array<int>"))
+def _chunks(text: Column) -> Column:
+    """The text in pieces of _CHUNK characters, so a place in it is found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (exclusive) of a text in chunks."""
+    first, last = F.floor(start / _CHUNK).cast("int"), F.floor((end - 1) / _CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(held, start - first * _CHUNK + 1, end - start)).otherwise("")
 
 
 def luhn(digits: Column) -> Column:
@@ -131,13 +132,12 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, text: Column, start: Column) -> Column:
+def _score(kind: str, chunks: Column, start: Column) -> Column:
     if kind in BASE_KINDS:
         return F.lit(1.0)
     if kind == "iban":  # the checksum alone confirms it
         return F.lit(SCORES[kind] + 0.5)
-    from_ = F.greatest(F.lit(1), start + 1 - CONTEXT_CHARS)
-    near = F.substring(text, from_, start + 1 - from_)
+    near = _between(chunks, F.greatest(F.lit(0), start - CONTEXT_CHARS), start)
     return F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), 0.5).otherwise(0.0)
 
 
@@ -157,34 +157,28 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     def taken(kind: str, m: Column) -> Column:
         return F.lit(TAKEN[kind]) if kind in TAKEN else F.length(m)
 
-    def steps(kind: str) -> Column:
-        """Lengths of the stretch before each match and of the match together."""
-        found = F.col(f"_m_{kind}")
-        between = F.transform(F.split(t, PATTERNS[kind], -1), lambda p: F.length(p))
-        return F.when(F.size(found) > 0, F.transform(found, lambda m, i: F.get(between, i) + taken(kind, m))) \
-            .otherwise(F.array().cast("array<int>"))
-
-    out = out.select(*keep, *(f"_m_{k}" for k in KINDS), *(steps(k).alias(f"_s_{k}") for k in KINDS))
-    out = out.select(*keep, *(f"_m_{k}" for k in KINDS), *(_running(F.col(f"_s_{k}")).alias(f"_e_{k}") for k in KINDS))
+    def ends(kind: str, found: Column) -> Column:
+        """Where each match ends: running sums of the stretches before the matches and the matches."""
+        steps = F.zip_with(F.slice(F.split(t, PATTERNS[kind], -1), F.lit(1), F.size(found)), found,
+                           lambda before, m: F.length(before) + taken(kind, m))
+        return scanned(steps, lambda a, x: a + x)
 
     def spans(kind: str) -> Column:
-        zipped = F.arrays_zip(F.col(f"_m_{kind}").alias("m"), F.col(f"_e_{kind}").alias("e"))
-        if kind == "iban":
-            zipped = F.transform(zipped, lambda r: F.struct(_iban(r["m"]).alias("m"), r["e"].alias("e")))
-
-        def span(r: Column) -> Column:
-            start = r["e"] - taken(kind, r["m"])
-            return F.struct(start.alias("start"), (start + F.length(r["m"])).alias("end"),
-                            F.lit(KINDS.index(kind)).alias("rank"), _score(kind, t, start).alias("score"),
-                            r["m"].alias("value"))
-
-        rows = F.filter(F.transform(zipped, span), lambda r: (r["score"] >= KEEP_SCORE) & _valid(kind, r["value"]))
-        return F.when(F.size(f"_m_{kind}") > 0, rows)
-
-    nothing = F.array().cast("array<struct<start:int,end:int,rank:int,score:double,value:string>>")
-    found = F.array_sort(F.concat(*(F.coalesce(spans(k), nothing) for k in KINDS)),
-                         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
-                         .otherwise(a["rank"] - b["rank"]))
+        def span(m: Column, end: Column, chunks: Column) -> Column:
+            start = end - taken(kind, m)
+            return let(_iban(m) if kind == "iban" else m, lambda value: F.struct(
+                start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(value)).alias("end"),
+                _score(kind, chunks, start).alias("score"), value.alias("value")))
+
+        def rows(found: Column, chunks: Column) -> Column:
+            return F.filter(F.zip_with(found, ends(kind, found), lambda m, e: span(m, e, chunks)),
+                            lambda r: (r["score"] >= KEEP_SCORE) & _valid(kind, r["value"]))
+
+        chunks = _chunks(t) if kind in CONTEXT else none
+        return F.when(F.size(f"_m_{kind}") > 0, let(F.col(f"_m_{kind}"), lambda m: let(chunks, lambda c: rows(m, c))))
+
+    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,score:double,value:string>>")
+    found = F.array_sort(F.concat(*(F.coalesce(spans(k), nothing) for k in KINDS)))  # by start, then kind
     names = F.array(*(F.lit(k) for k in KINDS))
     return out.select(*keep, F.transform(found, lambda r: F.struct(
         r["start"], r["end"], F.get(names, r["rank"]).alias("kind"), r["score"], r["value"])).alias("pii"))
@@ -203,21 +197,31 @@ def joined(spans: Column) -> Column:
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """The result of ``find_pii`` with every span in the text replaced by its kind in
     brackets, without ``pii``. Texts without spans, nulls too, stay as they are."""
-    merged = F.aggregate(
-        F.col("pii"), F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda acc, r: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > r["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
-                F.element_at(acc, -1)["start"].alias("start"),
-                F.greatest(F.element_at(acc, -1)["end"], r["end"]).alias("end"),
-                F.element_at(acc, -1)["kind"].alias("kind")))))
-        .otherwise(F.concat(acc, F.array(F.struct(r["start"], r["end"], r["kind"])))))
-    out = found.withColumn("_cut", F.when(F.size("pii") > 0, merged))
-    t, cut = F.col(text), F.col("_cut")
-    pieces = F.transform(cut, lambda r, i: F.concat(
-        F.substring(t, F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)) + 1,
-                    r["start"] - F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))),
-        F.lit("["), F.upper(r["kind"]), F.lit("]")))
-    rest = F.substring(t, F.element_at(cut, -1)["end"] + 1, F.length(t))
-    return out.withColumn(text, F.when(cut.isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(t)) \
-        .drop("pii", "_cut")
+    def cut(spans: Column) -> Column:
+        """(start, end, kind) of overlapping spans joined: a span opens a new one if it starts where all before ended."""
+        upto = scanned(F.transform(spans, lambda r: r["end"]), F.greatest)
+
+        def joined_spans(upto: Column) -> Column:
+            opens = F.filter(F.sequence(F.lit(0), F.size(spans) - 1),
+                             lambda i: (i == 0) | (F.get(upto, i - 1) <= F.get(spans, i)["start"]))
+            return let(opens, lambda first: F.transform(first, lambda i, k: F.struct(
+                F.get(spans, i)["start"].alias("start"),
+                F.get(upto, F.coalesce(F.get(first, k + 1), F.size(spans)) - 1).alias("end"),
+                F.get(spans, i)["kind"].alias("kind"))))
+
+        return let(upto, joined_spans)
+
+    def redacted(spans: Column, chunks: Column) -> Column:
+        def text_of(cuts: Column) -> Column:
+            pieces = F.transform(cuts, lambda r, i: F.concat(
+                _between(chunks, F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0)), r["start"]),
+                F.lit("["), F.upper(r["kind"]), F.lit("]")))
+            rest = _between(chunks, F.element_at(cuts, -1)["end"],
+                            (F.size(chunks) - 1) * _CHUNK + F.length(F.element_at(chunks, -1)))
+            return F.concat(F.array_join(pieces, ""), rest)
+
+        return let(cut(spans), text_of)
+
+    t = F.col(text)
+    return found.withColumn(text, F.when(F.size("pii") > 0, let(F.col("pii"), lambda s: let(
+        _chunks(t), lambda c: redacted(s, c)))).otherwise(t)).drop("pii")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,52 @@ def test_query_and_empty_table(spark, no_docs):
 def test_plan_is_native(found):
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def redacted(text, spans):
+    """Overlapping spans joined under the first kind, each replaced by it."""
+    out, at, cut = [], 0, []
+    for s, e, k in spans:  # by start, then kind as listed
+        if cut and cut[-1][1] > s:
+            cut[-1][1] = max(cut[-1][1], e)
+        else:
+            cut.append([s, e, k])
+    for s, e, k in cut:
+        out += [text[at:s], f"[{k.upper()}]"]
+        at = e
+    return "".join(out) + text[at:]
+
+
+def test_long_texts_with_many_matches_of_each_kind(spark):
+    each = {"email": "a{0}@b.cd", "ip": "10.0.{0}.7", "card": "4111 1111 1111 1111", "phone": "+49 30 123456{0}",
+            "secret": "token=abcdEFGH0123456789{0}", "national": "call 555-123-{0:04d}", "ssn": "ssn 123-45-{0:04d}", "none": "12 34"}
+    took = {}
+    for n in (4_000, 40_000):
+        texts = [" é ".join(p.format(i % 250 + 1) for i in range(n)) for p in each.values()]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+        began = time.time()
+        rows = pii.find_pii(df).select("doc_id", pii.joined(pii.of_kinds(F.col("pii"), *pii.BASE_KINDS)).alias("s"), F.size("pii").alias("n")).collect()
+        clean = pii.redact(pii.find_pii(df)).collect()
+        took[n] = time.time() - began
+        for r in rows:
+            assert r.s == base_spans(texts[r.doc_id]), list(each)[r.doc_id]
+            assert r.n >= (n if r.doc_id < 7 else 0), list(each)[r.doc_id]
+        assert [c for c in clean if base_spans(c.text)] == []
+    assert took[40_000] < 20 * took[4_000] + 5  # work in proportion to the text; per pair of matches it would be a hundredfold
+
+
+def test_redaction_equals_plain_cutting(spark, rng):
+    texts = ["".join(rng.choice(["4111111111111111", "+1 234 567 890", "a@b.cd", "1.2.3.4", " ", "é😀", "x ", "-", "+", "."])
+                     for _ in range(rng.choice([0, 3, 30, 400]))) for _ in range(300)]
+    found = pii.find_pii(spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, plain string")).cache()
+    spans = {r.doc_id: [(x.start, x.end, x.kind) for x in r.pii] for r in found.collect()}
+    assert max(map(len, spans.values())) > 50
+    for r in pii.redact(found).collect():
+        assert r.text == redacted(r.plain, spans[r.doc_id])
+
+
+def test_context_far_into_a_text(spark):
+    texts = ["x" * n + " call 555-123-4567 " + "y" * 10 for n in (0, 900, 1000, 1017, 1018, 1019, 1023, 1024, 1030, 5000)]
+    texts += ["call " + "z" * 50 + " 555-123-4567", " call" + " " * 34 + "555-123-4567", " call" + " " * 40 + "555-123-4567"]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [len(r.pii) for r in rows] == [1] * 10 + [0, 1, 0]
