@@ -1,8 +1,9 @@
 """Hidden Markov language model: Baum-Welch over partitions, exact scaled forward scores.
 
 Words are emitted in two steps: a latent state emits the word's class, and the class emits
-the word by its count in training. The most frequent words are classes of their own; all
-others fall into hashed classes. Training is Baum-Welch over every training document:
+the word by its count in training. The most frequent words are classes of their own, their number in proportion
+to the root of the number of distinct words, so the states learn of more words the larger the corpus
+is (up to HOT_WORDS); all others fall into hashed classes. Training is Baum-Welch over every training document:
 each task runs forward-backward over its documents, cut into segments of ``SEGMENT``
 words, and the expected counts of all tasks are summed by Spark before the next step.
 Scores use the whole text: a scaled forward recursion without cuts, so the score is the
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,11 @@ ITERATIONS = 6
 SEGMENT = 128
 #: Words looked up inside tasks (16 bytes each).
 HOT_WORDS = 1 << 18
-#: Classes of a single frequent word, and hashed classes of all others.
-OWN_CLASSES, HASHED_CLASSES = 4096, 4096
-CLASSES = OWN_CLASSES + HASHED_CLASSES
-END = CLASSES  # the end token's class
+#: Classes of several words each, told by their hash.
+HASHED_CLASSES = 4096
+#: Words with a class of their own: so many at least, and so many times the root of the number of distinct words,
+#: of those looked up. What a task sends for every step grows with the classes, so they grow slower than the words.
+LEAST_OWN, OWN_PER_ROOT = 4096, 4
 ADD = 0.1
 _PRIOR = 20.0  # weight of the class frequencies in each state's emissions
 _TOKENS_AT_ONCE = 500_000
@@ -57,11 +60,17 @@ class Counts:
     hot_count: np.ndarray
     own: np.ndarray  # hashes of the words with a class of their own, sorted
     own_class: np.ndarray
+    n_own: int  # classes of a single word; hashed classes follow
     class_tokens: np.ndarray | None = None
     class_words: np.ndarray | None = None
 
+    @property
+    def end(self) -> int:
+        """The end token's class, which is the last one."""
+        return self.n_own + HASHED_CLASSES
+
     def classes(self, h: np.ndarray) -> np.ndarray:
-        out = (OWN_CLASSES + (h % np.uint64(HASHED_CLASSES)).astype(np.int64)).astype(np.int32)
+        out = (self.n_own + (h % np.uint64(HASHED_CLASSES)).astype(np.int64)).astype(np.int32)
         if len(self.own):
             at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
             mine = self.own[at] == h
@@ -70,7 +79,7 @@ class Counts:
 
     def log_class(self) -> np.ndarray:
         """log10 of what a word's count plus ADD is divided by, given its class."""
-        unseen = np.r_[np.zeros(OWN_CLASSES), np.ones(HASHED_CLASSES)]
+        unseen = np.r_[np.zeros(self.n_own), np.ones(HASHED_CLASSES)]
         whole = self.class_tokens + ADD * (self.class_words + unseen)
         return np.r_[np.log10(np.where(whole > 0, whole, 1.0)), np.log10(self.ends + ADD)]
 
@@ -95,22 +104,25 @@ def corpus_counts(vocabulary: DataFrame, ends: int) -> Counts:
     top = most_frequent(vocabulary, "c", HOT_WORDS).toPandas().sort_values(["c", "h"], ascending=[False, True])
     h = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
     c = top["c"].to_numpy(dtype=np.float64)
-    by_hash, own = np.argsort(h), np.argsort(h[:OWN_CLASSES])
+    n_own = max(LEAST_OWN, min(HOT_WORDS, OWN_PER_ROOT * isqrt(total[1])))
+    mine = h[:n_own]
+    by_hash, own = np.argsort(h), np.argsort(mine)
     counts = Counts(int(total[0] or 0) + ends, total[1] + (1 if ends else 0), ends, h[by_hash], c[by_hash],
-                    h[:OWN_CLASSES][own], own.astype(np.int32))
+                    mine[own], own.astype(np.int32), n_own)
+    n_classes = counts.end
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+        n, v = np.zeros(n_classes), np.zeros(n_classes)
         for batch in batches:
             k = counts.classes(batch.column("h").to_numpy().view(np.uint64))
-            n += np.bincount(k, weights=batch.column("c").to_numpy(), minlength=CLASSES)
-            v += np.bincount(k, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)],
+            n += np.bincount(k, weights=batch.column("c").to_numpy(), minlength=n_classes)
+            v += np.bincount(k, minlength=n_classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_classes)), pa.array(n), pa.array(v)],
                                          names=["k", "n", "v"])
 
     rows = (vocabulary.mapInArrow(by_class, "k long, n double, v double").groupBy("k")
             .agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas())
-    counts.class_tokens, counts.class_words = np.zeros(CLASSES), np.zeros(CLASSES)
+    counts.class_tokens, counts.class_words = np.zeros(n_classes), np.zeros(n_classes)
     counts.class_tokens[rows["k"]], counts.class_words[rows["k"]] = rows["n"], rows["v"]
     return counts
 
@@ -139,9 +151,9 @@ def _sequences(docs: DataFrame, counts: Counts) -> DataFrame:
                 first = np.flatnonzero(new)
                 times = np.diff(np.r_[first, len(rest)])
                 cut = np.searchsorted(whose[first], np.arange(n + 1)).astype(np.int32)
-                seq = np.full(len(h) + n, END, dtype="<u2")
+                seq = np.full(len(h) + n, counts.end, dtype="<u4")
                 seq[np.arange(len(h)) + owner] = counts.classes(h)
-                raw, at_seq = seq.tobytes(), 2 * (words.first + np.arange(n + 1))
+                raw, at_seq = seq.tobytes(), 4 * (words.first + np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i),
                      pa.array(size + 1, pa.int64()), pa.array(log_hot + end_log), pa.array(known + end_known, pa.int64()),
@@ -159,7 +171,7 @@ class Model:
     start: np.ndarray  # states at the first word
     inside: np.ndarray  # states at any word, for segments that begin inside a text
     move: np.ndarray  # states x states
-    emit: np.ndarray  # states x (CLASSES + 1)
+    emit: np.ndarray  # states x classes, the end token's last
 
 
 def _class_share(counts: Counts) -> np.ndarray:
@@ -170,7 +182,7 @@ def _class_share(counts: Counts) -> np.ndarray:
 def first_model(counts: Counts, states: int = STATES) -> Model:
     """Class frequencies with a fixed random tilt per state, and states that tend to stay."""
     share, r = _class_share(counts), np.random.default_rng(7)
-    emit = share * r.uniform(0.25, 1.75, (states, CLASSES + 1))
+    emit = share * r.uniform(0.25, 1.75, (states, len(share)))
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
     even = np.full(states, 1 / states)
     return Model(even, even, move, emit / emit.sum(axis=1, keepdims=True))
@@ -178,8 +190,8 @@ def first_model(counts: Counts, states: int = STATES) -> Model:
 
 def _segments(sequences: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(matrix of classes, lengths, begins a text) for segments of about equal number of words."""
-    flat = np.frombuffer(b"".join(sequences), dtype="<u2").astype(np.int32)
-    size = np.array([len(s) // 2 for s in sequences])
+    flat = np.frombuffer(b"".join(sequences), dtype="<u4").astype(np.int32)
+    size = np.array([len(s) // 4 for s in sequences])
     begin = np.cumsum(size) - size
     pieces = -(-size // SEGMENT)
     first = np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -219,25 +231,25 @@ def expected_counts(model: Model, classes: np.ndarray, length: np.ndarray, begin
     forward[0] *= backward
     valid = np.arange(most)[:, None] < length[None, :]
     words, weight = classes.T[valid], forward[valid]
-    emits = np.stack([np.bincount(words, weights=weight[:, s], minlength=CLASSES + 1) for s in range(k)], axis=1)
+    emits = np.stack([np.bincount(words, weights=weight[:, s], minlength=model.emit.shape[1]) for s in range(k)], axis=1)
     return float(np.log10(scale[valid]).sum()), forward[0][begins].sum(axis=0), moves * model.move, emits
 
 
 def baum_welch_step(texts: DataFrame, model: Model, counts: Counts) -> tuple[Model, float]:
     """One step over all texts. Each task sends one row per class; Spark sums them."""
-    k = len(model.start)
+    k, n = model.emit.shape  # states, classes
     columns = [f"s{s}" for s in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # classes, then a row of moves per state, then first states, then the log-likelihood
-        total = np.zeros((CLASSES + 1 + k + 2, k))
+        total = np.zeros((n + k + 2, k))
         for batch in batches:
             raw = batch.column("classes").to_pylist()
             for i in range(0, len(raw), 2000):
                 for classes, length, begins in _segments(raw[i:i + 2000]):
                     log, first, moves, emits = expected_counts(model, classes, length, begins)
-                    total[:CLASSES + 1] += emits
-                    total[CLASSES + 1:CLASSES + 1 + k] += moves
+                    total[:n] += emits
+                    total[n:n + k] += moves
                     total[-2] += first
                     total[-1, 0] += log
         some = np.flatnonzero(total.any(axis=1))
@@ -247,9 +259,9 @@ def baum_welch_step(texts: DataFrame, model: Model, counts: Counts) -> tuple[Mod
     schema = "row int, " + ", ".join(f"{c} double" for c in columns)
     rows = texts.select("classes").mapInArrow(run, schema).groupBy("row").agg(
         *(F.sum(c).alias(c) for c in columns)).toPandas()
-    total = np.zeros((CLASSES + 1 + k + 2, k))
+    total = np.zeros((n + k + 2, k))
     total[rows["row"]] = rows[columns]
-    emits, moves, first = total[:CLASSES + 1].T, total[CLASSES + 1:-2], total[-2]
+    emits, moves, first = total[:n].T, total[n:-2], total[-2]
     emit = (emits + _PRIOR * _class_share(counts)) / (emits.sum(axis=1, keepdims=True) + _PRIOR)
     moves, first, inside = moves + 1 / k, first + 1 / k, emits.sum(axis=1) + 1 / k
     return Model(first / first.sum(), inside / inside.sum(), moves / moves.sum(axis=1, keepdims=True), emit), \
@@ -265,8 +277,8 @@ def train(texts: DataFrame, counts: Counts, states: int = STATES, iterations: in
 
 def log_likelihoods(model: Model, sequences: list[bytes]) -> np.ndarray:
     """log10 probability of whole class sequences by the scaled forward recursion."""
-    flat = np.frombuffer(b"".join(sequences), dtype="<u2").astype(np.int32)
-    size = np.array([len(s) // 2 for s in sequences], dtype=np.int64)
+    flat = np.frombuffer(b"".join(sequences), dtype="<u4").astype(np.int32)
+    size = np.array([len(s) // 4 for s in sequences], dtype=np.int64)
     begin = np.cumsum(size) - size
     order = np.argsort(-size, kind="stable")
     size, begin = size[order], begin[order]
@@ -291,8 +303,8 @@ def _model_scores(texts: DataFrame, model: Model, counts: Counts) -> DataFrame:
             raw = batch.column("classes").to_pylist()
             if not raw:
                 continue
-            whole = np.concatenate([[0.0], np.cumsum(log_class[np.frombuffer(b"".join(raw), dtype="<u2")])])
-            ends = np.cumsum([len(r) // 2 for r in raw])
+            whole = np.concatenate([[0.0], np.cumsum(log_class[np.frombuffer(b"".join(raw), dtype="<u4")])])
+            ends = np.cumsum([len(r) // 4 for r in raw])
             given = np.diff(whole[np.r_[0, ends]])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(log_likelihoods(model, raw) - given)],
                                              names=["row", "log_model"])

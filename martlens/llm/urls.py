@@ -6,9 +6,11 @@ A list holds dated entries: at ``at`` an ``action`` (add or remove) for a ``kind
 the next entry of the same key and verdict. Every capture is judged by the intervals that
 hold when it was fetched: at ``fetched_at``, from included, until excluded.
 
-A capture has one key for each level of its host and each level of its path. The as-of
-join is an equi-join on the key with the time condition beside it. Captures carry a salt
-and intervals are repeated for each, so a host that holds a third of all captures is
+A capture has one key for each level of its host and each level of its path; hosts have no
+case, paths do, and an IPv4 address is one level. The as-of join sorts entries and captures
+of a key together by time, and the last entry of each verdict before a capture tells
+whether it is listed: one pass, however many dated entries a key has. Captures carry a salt
+and entries are repeated for each, so a host that holds a third of all captures is
 dealt to ``SALTS`` tasks; captures of one key at one time are judged once. The most
 specific key decides, allow before block among equal ones.
 
@@ -46,7 +48,8 @@ def path_of(url: Column) -> Column:
 def keys_of(url: Column) -> Column:
     """array of (key, depth): host levels from the top-level label on, then path levels of the host."""
     host, path = host_of(url), path_of(url)
-    labels, steps = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda s: s != "")
+    labels = F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(F.split(host, r"\."))
+    steps = F.filter(F.split(path, "/"), lambda s: s != "")
     n = F.size(labels)
     hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
         F.array_join(F.slice(labels, n - i + 1, i), ".").alias("key"), i.alias("depth")))
@@ -57,33 +60,56 @@ def keys_of(url: Column) -> Column:
     return F.when(host.isNotNull(), F.concat(hosts, F.coalesce(paths, none))).otherwise(none)
 
 
+def _entries(entries: DataFrame) -> DataFrame:
+    """(key, verdict, action, at) of the list entries that count, each once."""
+    key = F.concat(F.lower(F.substring_index("key", "/", 1)), F.regexp_extract("key", "/.*$", 0))
+    return entries.where("key is not null and at is not null and action in ('add', 'remove') "
+                         "and verdict in ('block', 'allow')") \
+        .select(key.alias("key"), "verdict", "action", "at").distinct()
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, verdict, valid_from, valid_to) of a list; valid_to is null while an entry holds."""
-    rows = entries.where("key is not null and at is not null and action in ('add', 'remove') "
-                         "and verdict in ('block', 'allow')") \
-        .select(F.lower("key").alias("key"), "verdict", "action", "at").distinct()
     order = Window.partitionBy("key", "verdict").orderBy("at", F.desc("action"))
-    return (rows.withColumn("valid_to", F.lead("at").over(order)).where("action = 'add'")
+    return (_entries(entries).withColumn("valid_to", F.lead("at").over(order)).where("action = 'add'")
             .where("valid_to is null or valid_to > at")
             .select("key", "verdict", F.col("at").alias("valid_from"), "valid_to"))
 
 
+def _as_of(keys: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows of keys (key, salt, __at, ...) with verdict and valid_from of every listing of the key that
+    holds at __at: the last entry of a verdict up to then, if it is an add."""
+    listed = _entries(entries)
+    # of one time: removals, then adds, then captures
+    events = listed.select(
+        "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("at").cast("timestamp").alias("__time"),
+        F.when(F.col("action") == "add", 1).otherwise(0).alias("__turn"),
+        *(F.when(F.col("verdict") == v, F.struct(F.when(F.col("action") == "add", F.col("at")).alias("valid_from"))).alias(v)
+          for v in ("block", "allow")))
+    both = events.unionByName(keys.withColumns({"__time": F.col("__at").cast("timestamp"), "__turn": F.lit(2)}),
+                              allowMissingColumns=True)
+    before = Window.partitionBy("key", "salt").orderBy("__time", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    state = both.withColumns({v: F.last(v, ignorenulls=True).over(before) for v in ("block", "allow")}).where("__turn = 2")
+    listings = F.array(*(F.struct(F.lit(v).alias("verdict"), F.col(v)["valid_from"].alias("valid_from")) for v in ("block", "allow")))
+    held = state.withColumn("l", F.explode(F.filter(listings, lambda x: x["valid_from"].isNotNull())))
+    return held.select(*keys.columns, "l.verdict", "l.valid_from")
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """Input columns plus host, verdict (block, allow or unlisted), listed_key and listed_from (of the
     deciding entry) and n_active (intervals that held)."""
-    keep = [c for c in captures.columns if c not in RESULT]
-    seen = captures.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("_path"),
-                           F.col(fetched_at).alias("_at"))
+    keep = [c for c in captures.columns if c not in (*RESULT, "__path", "__at")]
+    seen = captures.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("__path"),
+                           F.col(fetched_at).alias("__at"))
     # each address at each time once
-    asked = seen.where("host is not null and _at is not null").select("host", "_path", "_at").distinct()
-    keys = (asked.select("host", "_path", "_at", F.explode(keys_of(F.concat(F.lit("//"), "host", "_path"))).alias("k"))
-            .select("host", "_path", "_at", F.lower("k.key").alias("key"), F.col("k.depth").alias("depth"),
-                    F.pmod(F.xxhash64("host", "_path", "_at"), F.lit(SALTS)).cast("int").alias("salt")))
-    valid = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    active = keys.join(valid, ["key", "salt"]).where("valid_from <= _at and (valid_to is null or _at < valid_to)")
+    asked = seen.where("host is not null and __at is not null").select("host", "__path", "__at").distinct()
+    keys = (asked.select("host", "__path", "__at", F.explode(keys_of(F.concat(F.lit("//"), "host", "__path"))).alias("k"))
+            .select("host", "__path", "__at", "k.key", "k.depth",
+                    F.pmod(F.xxhash64("host", "__path", "__at"), F.lit(SALTS)).cast("int").alias("salt")))
+    active = _as_of(keys, entries)
     best = F.struct("depth", (F.col("verdict") == "allow").alias("allowed"), "valid_from", "key", "verdict")
-    judged = active.groupBy("host", "_path", "_at").agg(F.max(best).alias("best"), F.count("*").alias("n_active"))
-    return (seen.join(judged, ["host", "_path", "_at"], "left")
+    judged = active.groupBy("host", "__path", "__at").agg(F.max(best).alias("best"), F.count("*").alias("n_active"))
+    return (seen.join(judged, ["host", "__path", "__at"], "left")
             .select(*keep, "host", F.coalesce("best.verdict", F.lit("unlisted")).alias("verdict"),
                     F.col("best.key").alias("listed_key"), F.col("best.valid_from").alias("listed_from"),
                     F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active")))

@@ -79,6 +79,53 @@ def test_one_label_hosts_and_top_level_labels(spark, tmp_path):
     assert plain(got) == plain(want) and "block" in {r[3] for r in got}
 
 
+def test_paths_keep_their_case_and_addresses_are_one_level(spark, tmp_path):
+    import duckdb
+
+    day = date(2024, 1, 2)
+    listed = spark.createDataFrame([("Bad.org/AbC1", "block", "add", day), ("BAD.net", "block", "add", day), ("0.1", "block", "add", day),
+                                    ("10.0.0.1", "block", "add", day), ("10.0.0.1/ok", "allow", "add", day)],
+                                   "key string, verdict string, action string, at date")
+    asked = [("http://bad.org/AbC1/x", "block"), ("http://BAD.ORG/AbC1", "block"), ("http://bad.org/abc1", "unlisted"),
+             ("http://x.bad.net/", "block"), ("http://10.0.0.1/", "block"), ("http://10.0.0.1/ok/z", "allow"),
+             ("http://9.9.0.1/", "unlisted"), ("http://a.0.1/", "block"), ("http://x/" + "a/" * 3000, "unlisted")]
+    df = spark.createDataFrame([(i, u, day, "p", 1) for i, (u, _) in enumerate(asked)],
+                               "page_id long, url string, fetched_at date, _path string, _at int")
+    assert [r.verdict for r in urls.judge(df, listed).orderBy("page_id").collect()] == [v for _, v in asked]
+    # the derived list over paths that differ in case, as its SQL has them
+    pages = [(13 * k + j, f"http://Host{k % 9}.org/{p}/x") for k in range(100) for j, p in enumerate((f"AbC{k}", f"abc{k}", f"ABC{k}"))]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(SQL["op9_url_filter"])
+    names, want = [d[0] for d in want.description], want.fetchall()
+    got = [tuple(r[n] for n in names) for r in QUERIES["op9_url_filter"](spark, str(tmp_path)).collect()]
+    plain = lambda rows: sorted((tuple(str(x)[:40] for x in r) for r in rows))
+    assert plain(got) == plain(want)
+
+
+def test_many_dated_entries_of_one_key(spark, rng):
+    days = [date.fromordinal(738_000 + d) for d in range(400)]
+    entries = [(k, v, rng.choice(["add", "remove"]), rng.choice(days)) for k in ("a.org", "a.org/p", "org") for v in ("block", "allow")
+               for _ in range(150)]
+    asked = [(i, rng.choice(["http://a.org/p/q", "http://a.org/", "http://b.org"]), rng.choice(days)) for i in range(500)]
+    got = urls.judge(spark.createDataFrame(asked, "page_id long, url string, fetched_at date"),
+                     spark.createDataFrame(entries, "key string, verdict string, action string, at date")).collect()
+    last = {}
+    for k, v, a, d in sorted(set(entries), key=lambda e: (e[3], e[2] == "add")):
+        last.setdefault((k, v), []).append((d, a))
+    for r in got:
+        keys = {"http://a.org/p/q": ["org", "a.org", "a.org/p"], "http://a.org/": ["org", "a.org"], "http://b.org": ["org"]}[r.url]
+        active = []
+        for depth, k in enumerate(keys):
+            for v in ("block", "allow"):
+                before = [(d, a) for d, a in last[k, v] if d <= r.fetched_at]
+                if before and before[-1][1] == "add":
+                    active.append((depth, v == "allow", before[-1][0], k, v))
+        want = max(active, default=(None, None, None, None, "unlisted"))
+        assert (r.verdict, r.listed_key, r.listed_from, r.n_active) == (want[4], want[3], want[2], len(active))
+
+
 def tokens(t):
     return [*re.findall("[^\x20\x09-\x0D]+", (t or "").translate(LOW)), None]
 
@@ -114,9 +161,12 @@ def test_hmm_cases(spark, case_docs, cases, no_docs):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in untrained)
 
 
+N_CLASSES = 8192
+
+
 def _small_model():
     r = np.random.default_rng(3)
-    emit = r.uniform(0.1, 1, (2, hmm.CLASSES + 1))
+    emit = r.uniform(0.1, 1, (2, N_CLASSES + 1))
     move, start = r.uniform(0.1, 1, (2, 2)), r.uniform(0.1, 1, 2)
     return hmm.Model(start / start.sum(), np.array([0.5, 0.5]), move / move.sum(axis=1, keepdims=True),
                      emit / emit.sum(axis=1, keepdims=True))
@@ -133,15 +183,15 @@ def _paths(model, seq):
 def test_forward_is_exact():
     model = _small_model()
     seqs = [[1, 2, 3, 2], [5], [7, 7, 8192], [0, 4095, 4096, 8191, 1]]
-    got = hmm.log_likelihoods(model, [np.array(s, dtype="<u2").tobytes() for s in seqs])
+    got = hmm.log_likelihoods(model, [np.array(s, dtype="<u4").tobytes() for s in seqs])
     assert np.allclose(got, [math.log10(sum(p for _, p in _paths(model, s))) for s in seqs])
 
 
 def test_forward_backward_counts_equal_enumeration():
     model, seqs = _small_model(), [[1, 2, 1, 3], [2, 2], [9]]
-    (classes, length, begins), = hmm._segments([np.array(s, dtype="<u2").tobytes() for s in seqs])
+    (classes, length, begins), = hmm._segments([np.array(s, dtype="<u4").tobytes() for s in seqs])
     log, first, moves, emits = hmm.expected_counts(model, classes, length, begins)
-    want_first, want_moves, want_emits, want_log = np.zeros(2), np.zeros((2, 2)), np.zeros((hmm.CLASSES + 1, 2)), 0.0
+    want_first, want_moves, want_emits, want_log = np.zeros(2), np.zeros((2, 2)), np.zeros((N_CLASSES + 1, 2)), 0.0
     for s in seqs:
         total = sum(p for _, p in _paths(model, s))
         want_log += math.log10(total)
@@ -156,6 +206,6 @@ def test_forward_backward_counts_equal_enumeration():
 
 
 def test_long_texts_are_cut_for_training_only():
-    seq = np.arange(1000, dtype="<u2").tobytes()
-    parts = list(hmm._segments([seq, seq[:20]]))
+    seq = np.arange(1000, dtype="<u4").tobytes()
+    parts = list(hmm._segments([seq, seq[:40]]))
     assert sum(int(x[1].sum()) for x in parts) == 1010 and sum(int(x[2].sum()) for x in parts) == 2
