@@ -14,7 +14,7 @@ exact on 64-bit hashes of which 54 bits stay in lists:
 4. A block is searched in one task with inverted lists: short lists are merged by
    counting, the longest ones are only probed, by binary search, for records that
    the short ones leave within reach of the required overlap. A block above
-   ``BLOCK_SHINGLES`` is dealt in chunks, one task for each pair of chunks.
+   ``BLOCK_SHINGLES`` or ``BLOCK_RECORDS`` is dealt in chunks, one task for each pair of chunks.
 5. Components of the links found.
 
 Shingles of very many records (found by exact counts within batches, at most
@@ -50,10 +50,10 @@ HOT_SHINGLES = 1 << 17
 PACKED_TEXT = 4 << 20
 #: A shingle counts towards the hot ones from so many records of one pack on.
 HOT_IN_BATCH = 4
-#: Counting groups, and one more for so many documents.
-LEAST_BUCKETS, DOCS_PER_BUCKET = 64, 4096
-#: Shingles of a block in one task.
-BLOCK_SHINGLES = 4_000_000
+#: Counting groups, and one more for so many shingles of all documents.
+LEAST_BUCKETS, SHINGLES_PER_BUCKET = 8, 1 << 20
+#: Shingles of a block in one chunk; a block of many records is dealt in chunks of so many too, up to a number of chunks.
+BLOCK_SHINGLES, BLOCK_RECORDS, RECORD_CHUNKS = 4_000_000, 512, 16
 #: Weight of a binary probe against a merge step when the number of long lists is chosen.
 PROBE_WEIGHT = 1.0
 
@@ -109,9 +109,8 @@ def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     counts = saved(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")),
                    "hot-shingles")
-    rows = most_frequent(counts, "n", HOT_SHINGLES).collect()
-    h = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
-    n = np.array([r.n for r in rows], dtype=np.float64)
+    rows = most_frequent(counts, "n", HOT_SHINGLES).toArrow()
+    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float64)
     order = np.argsort(h)
     h, n = h[order], n[order]
     return h, ((np.uint64(64) + _order_class(np.maximum(n, 1))) << _HASH_BITS) | _short_hash(h)
@@ -274,7 +273,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("text", "n_shingles", "sig", "hot", "component_id", "component")]
     hot, hot_keys = hot_shingles(docs)
     owners = saved(signatures(docs, hot, hot_keys), "jaccard-signatures")
-    buckets = max(LEAST_BUCKETS, owners.count() // DOCS_PER_BUCKET)
+    buckets = max(LEAST_BUCKETS, (owners.agg(F.sum("n_shingles")).first()[0] or 0) // SHINGLES_PER_BUCKET)
     records = (owners.where("n_shingles > 0").groupBy("sig")
                .agg(F.first("n_shingles").alias("n"), F.first("hot").alias("hot"), F.min("doc_id").alias("first_id")))
     shared = (shared_shingles(docs, hot, buckets).groupBy("sig")
@@ -292,13 +291,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     members = nodes.join(blocks.withColumnRenamed("node", "sig"), "sig")
     spread = blocks.join(nodes.select(F.col("sig").alias("node"), F.size("keys").alias("k")), "node") \
-        .groupBy("root").agg(F.ceil(F.sum("k") / BLOCK_SHINGLES).cast("int").alias("chunks"))
+        .groupBy("root").agg(F.greatest(
+            F.ceil(F.sum("k") / BLOCK_SHINGLES),
+            F.least(F.ceil(F.count("*") / BLOCK_RECORDS), F.lit(RECORD_CHUNKS))).cast("int").alias("chunks"))
     dealt = (members.join(spread, "root")
              .withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
                      "chunk", "sig", "n", "keys"))
-    links = dealt.groupBy("root", "i", "j").applyInArrow(_search_block, "u long, v long")
+    # dealt anew: without this, the partitioning by root of the joins before would keep all chunks of a block together
+    links = dealt.repartition("root", "i", "j").groupBy("root", "i", "j").applyInArrow(_search_block, "u long, v long")
     found = components(links)
 
     named = records.select("sig", "first_id").join(

@@ -80,7 +80,7 @@ def test_components_equal_brute_force(spark, docs):
     assert rows(jaccard.near_duplicates(df)) == brute(docs)
 
 
-@pytest.mark.parametrize("name, value", [("BLOCK_SHINGLES", 1500), ("HOT_SHINGLES", 1), ("HOT_IN_BATCH", 2),
+@pytest.mark.parametrize("name, value", [("BLOCK_SHINGLES", 1500), ("BLOCK_RECORDS", 6), ("SHINGLES_PER_BUCKET", 300), ("HOT_SHINGLES", 1), ("HOT_IN_BATCH", 2),
                                          ("PACKED_TEXT", 4000)])
 def test_parameters_change_the_work_only(spark, docs, monkeypatch, name, value):
     monkeypatch.setattr(jaccard, name, value)
