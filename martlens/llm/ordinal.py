@@ -46,8 +46,8 @@ PREFIX_BYTES = 4
 #: In a text of more words and runs of marks than these, a feature counts by its average in so many.
 STRETCH = 1000
 DECAY = 2e-4
-#: Quasi-Newton steps at most, those remembered, halvings of one at most, and the relative gain that ends them.
-STEPS, MEMORY, BACKTRACKS, TOLERANCE = 40, 8, 8, 1e-4
+#: Quasi-Newton steps at most, those remembered, shorter tries of one at most, and the relative gain that ends them.
+STEPS, MEMORY, BACKTRACKS, TOLERANCE = 60, 20, 8, 3e-5
 #: Kept are documents whose chance of the highest grade is at least this.
 KEEP_TOP = 0.5
 
@@ -232,6 +232,20 @@ def _loss(matrix: DataFrame, n: int, at: np.ndarray) -> tuple[float, np.ndarray]
     return float(total[0] + DECAY / 2 * w @ w), total[1:]
 
 
+def _squares(matrix: DataFrame, n: int, columns: int) -> np.ndarray:
+    """Mean square of every column's values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(columns)
+        for batch in batches:
+            col, value = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=t) for c, t in (("columns", "<i4"), ("vals", "<f4")))
+            total += np.bincount(col, weights=value.astype(np.float64) ** 2, minlength=columns)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                          pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
+
+    parts = sorted(matrix.mapInArrow(run, "part int, total binary").collect())
+    return np.sum([np.frombuffer(r.total) for r in parts], axis=0) / n
+
+
 def _minimum(loss, at: np.ndarray) -> np.ndarray:
     """A point of least loss by limited-memory quasi-Newton steps with backtracking."""
     value, slope = loss(at)
@@ -275,7 +289,14 @@ def fit(rows: DataFrame) -> Fitted:
     share = np.array([sum(c for g, c in counts.items() if g >= j) / n for j in range(1, GRADES)]).clip(0.01, 0.99)
     cuts = np.maximum.accumulate(np.log(1 / share - 1) + 1e-3 * np.arange(GRADES - 1))
     first = np.r_[cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2)), np.zeros(len(used))]
-    best = _minimum(lambda at: _loss(matrix, n, at), first)
+    # weights are fitted in units in which all columns are about as steep, which takes fewer steps
+    unit = np.r_[np.ones(GRADES - 1), 1 / np.sqrt(_squares(matrix, n, len(used)) + 1e-3)]
+
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope = _loss(matrix, n, at * unit)
+        return value, slope * unit
+
+    best = _minimum(loss, first / unit) * unit
     return Fitted(used, best[GRADES - 1:].astype(np.float32), _cuts(best[:GRADES - 1]), True)
 
 
