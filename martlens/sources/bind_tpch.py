@@ -18,7 +18,8 @@ DuckDB rendering in :mod:`martlens.oracle`):
 Plan shape: the two small geography tables (nation, region) are broadcast
 behind a row-count check; customer, part and lineitem are joined by shuffle
 (AQE turns a join into a broadcast at run time when a side is small). Lines are
-pre-aggregated to order grain before they meet orders.
+pre-aggregated to order grain before they meet orders. Every shuffle moves
+source columns; what is derived from them is added after the last one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.functions import scalars as S
-from martlens.operators.joins import broadcast_if_small
+from martlens.operators.joins import broadcast_if_small, is_small
 from martlens.profile import TESTDATA, Profile
 from martlens.sources.raw import read_source
 from martlens.sources.star import COLUMNS, LINE_ORDER_ATTRS, Star
@@ -144,10 +145,21 @@ def bind_star(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) ->
     discount = F.when(promo_id.isNotNull(), S.round_money(net * S.dec(PROMO_RATE))).otherwise(S.dec("0.00"))
     tax = S.round_money(net * S.dec(f"{profile.tax_rate:.2f}"))
     od = F.to_date("o_orderdate")
-    wide = (orders.join(cust_geo, F.col("o_custkey") == F.col("c_custkey"), "left")
-            .join(qty, key == F.col("l_orderkey"), "left"))
+    place = ["store_id", "store_name", "city", "region", "store_format"]
+    months = S.month_key_of(od)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(geo.select("n_nationkey", *place), F.col("c_nationkey") == F.col("n_nationkey"), "left").drop("n_nationkey")
+
+    # a small geography is attached where it is needed, after the shuffles
+    late = is_small(geo, 10_000, key=f"{sf_dir}/geo")
+    buyer = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    orders_base = (orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+                   .join(buyer if late else placed(buyer), F.col("o_custkey") == F.col("c_custkey"), "left").drop("c_custkey")
+                   .join(qty, key == F.col("l_orderkey"), "left").drop("l_orderkey")
+                   .withColumn("month_key", months))
     customer_id = F.when(key % ANON_MOD < ANON_BELOW, F.lit(None).cast("long")).otherwise(F.col("o_custkey"))
-    wide_orders = wide.select(
+    wide_columns = [
         key.alias("order_id"),
         F.col("o_orderdate").cast("timestamp").alias("order_datetime"),
         od.alias("order_date"),
@@ -162,25 +174,36 @@ def bind_star(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) ->
         net.alias("net_before_tax"),
         tax.alias("tax_amount"),
         (net + tax).cast("decimal(18,2)").alias("net_revenue"),
-        S.month_key_of(od).alias("month_key"),
+        F.col("month_key"),
         S.day_name(od).alias("day_name"),
         S.day_type(od).alias("day_type"),
         S.is_weekend_flag(od).alias("is_weekend"),
         S.festive_period(od, profile.festive_periods, profile.non_festive_label).alias("festive_period"),
         (S.festive_period(od, profile.festive_periods, profile.non_festive_label)
          != F.lit(profile.non_festive_label)).cast("int").alias("is_festive"),
-        "store_name", "city", "region", "store_format",
+        *(F.col(c) for c in place[1:]),
         F.when(customer_id.isNotNull(), F.col("c_mktsegment")).alias("customer_segment"),
-    )
+    ]
+
+    def widen_orders(df: DataFrame) -> DataFrame:
+        return (placed(df) if late else df).select(*wide_columns)
+
+    wide_orders = widen_orders(orders_base)
     fact_orders = wide_orders.select(*COLUMNS["fact_orders"])
 
     # --- line fact (S-10) ---------------------------------------------------
-    li = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    sold = lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    item = part.select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+
+    def lines_base(order_attrs: DataFrame) -> DataFrame:
+        return (sold.join(order_attrs, F.col("l_orderkey") == F.col("__oid"), "left").drop("__oid")
+                .join(item, F.col("l_partkey") == F.col("p_partkey"), "left").drop("p_partkey"))
+
     gross = S.money("l_extendedprice")
     line_disc = S.round_money(gross * S.money("l_discount"))
     line_net = (gross - line_disc).cast("decimal(18,2)")
     cogs = S.round_money(line_net * ((F.col("p_size") + 20).cast("decimal(10,0)") * S.dec("0.01")))
-    fact_order_lines = li.select(
+    line_columns = [
         F.col("l_orderkey").alias("order_id"),
         F.concat(F.lit("SKU"), F.col("l_partkey").cast("string")).alias("sku_id"),
         F.col("l_quantity").cast("long").alias("quantity"),
@@ -193,15 +216,19 @@ def bind_star(spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA) ->
         F.col("p_name").alias("sku_name"),
         F.col("p_type").alias("category"),
         F.when(F.col("p_size") % 2 == 0, F.lit("Veg")).otherwise(F.lit("Non-Veg")).alias("veg_nonveg"),
-    )
-    order_attrs = fact_orders.select(F.col("order_id").alias("__oid"), *LINE_ORDER_ATTRS)
-    wide_lines = (fact_order_lines.join(order_attrs, F.col("order_id") == F.col("__oid"), "left")
-                  .drop("__oid"))
+    ]
+
+    def widen_lines(df: DataFrame) -> DataFrame:
+        return df.select(*line_columns, *LINE_ORDER_ATTRS)
+
+    fact_order_lines = sold.join(item, F.col("l_partkey") == F.col("p_partkey"), "left").select(*line_columns)
+    wide_lines = widen_lines(lines_base(fact_orders.select(F.col("order_id").alias("__oid"), *LINE_ORDER_ATTRS)))
     return Star(
         profile=profile, dim_store=dim_store, dim_product=dim_product, dim_customer=dim_customer,
         dim_promotion=dim_promotion, dim_calendar=dim_calendar, fact_orders=fact_orders,
         fact_order_lines=fact_order_lines.select(*COLUMNS["fact_order_lines"]),
-        wide_orders=wide_orders, wide_lines=wide_lines, source=sf_dir, lines_base=fact_order_lines)
+        wide_orders=wide_orders, wide_lines=wide_lines, source=sf_dir,
+        orders_base=orders_base, widen_orders=widen_orders, lines_base=lines_base, widen_lines=widen_lines)
 
 
 _STAR_MEMO: dict[tuple[str, str, str], Star] = {}

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,9 +68,14 @@ class Star:
     # line fact with order date/month/store/channel and product attributes (LEFT)
     wide_lines: DataFrame
     source: str = "lazy"
-    # line fact with product attributes, before the order attributes are attached
-    # (lets the writer join lines to the *written* order fact instead of re-deriving it)
-    lines_base: DataFrame | None = None
+    # the wide order fact in two steps: the source columns it is derived from with their month_key, and the
+    # derivation, row by row (lets the writer shuffle source columns only)
+    orders_base: DataFrame | None = None
+    widen_orders: Callable[[DataFrame], DataFrame] | None = None
+    # the same for lines; the first step takes the order attributes of the *written* order
+    # fact, which is not derived again
+    lines_base: Callable[[DataFrame], DataFrame] | None = None
+    widen_lines: Callable[[DataFrame], DataFrame] | None = None
     # stored monthly marts of a written star
     marts: dict[str, DataFrame] | None = None
 
@@ -76,7 +83,10 @@ class Star:
         return {n: getattr(self, n) for n in DIMENSIONS + FACTS}
 
     def with_tables(self, **frames: DataFrame) -> "Star":
-        return replace(self, **frames)
+        # a replaced fact is written as given
+        steps = {"wide_orders": ("orders_base", "widen_orders"), "wide_lines": ("lines_base", "widen_lines")}
+        cut = {step: None for name in frames for step in steps.get(name, ())}
+        return replace(self, **frames, **cut)
 
     def register_views(self, prefix: str = "") -> None:
         """Ad hoc SQL over the star (U-05): one temp view per role."""
@@ -88,6 +98,29 @@ class Star:
             df.createOrReplaceTempView(prefix + name)
 
 
+#: Months that a task writes side by side; a task with more of them sorts the rest.
+OPEN_MONTHS = 32
+
+
+@contextmanager
+def _open_months(spark: SparkSession) -> Iterator[None]:
+    """Tasks write their months side by side instead of sorting (and spilling) their rows by month first."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, OPEN_MONTHS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _write_months(df: DataFrame, path: str, widen: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Write a fact by month. Rows are shuffled as they come, columns derived from them are added after."""
+    dealt = df.hint("rebalance", "month_key")
+    with _open_months(df.sparkSession):
+        (widen(dealt) if widen else dealt).write.mode("overwrite").partitionBy("month_key").parquet(path)
+
+
 def write_star(star: Star, path: str | None = None) -> str:
     """Materialise the star once (S-05/S-06) and return its folder.
 
@@ -107,18 +140,18 @@ def write_star(star: Star, path: str | None = None) -> str:
     root = path or os.path.join(ensure_checkpoint_dir(spark), f"star-{uuid.uuid4().hex[:12]}")
     for name in DIMENSIONS:
         getattr(star, name).write.mode("overwrite").parquet(os.path.join(root, name))
-    star.wide_orders.hint("rebalance", "month_key").write.mode("overwrite").partitionBy("month_key").parquet(
-        os.path.join(root, "wide_orders"))
-    wide_lines = star.wide_lines
+    if star.orders_base is not None:
+        _write_months(star.orders_base, os.path.join(root, "wide_orders"), star.widen_orders)
+    else:
+        _write_months(star.wide_orders, os.path.join(root, "wide_orders"))
     if star.lines_base is not None:
         # attach order attributes from the order fact just written: the
         # order-customer join is not evaluated a second time
         written = spark.read.parquet(os.path.join(root, "wide_orders")).select(
             F.col("order_id").alias("__oid"), *LINE_ORDER_ATTRS)
-        wide_lines = (star.lines_base.join(written, F.col("order_id") == F.col("__oid"), "left").drop("__oid")
-                      .select(*star.wide_lines.columns))
-    wide_lines.hint("rebalance", "month_key").write.mode("overwrite").partitionBy("month_key").parquet(
-        os.path.join(root, "wide_lines"))
+        _write_months(star.lines_base(written), os.path.join(root, "wide_lines"), star.widen_lines)
+    else:
+        _write_months(star.wide_lines, os.path.join(root, "wide_lines"))
     written_star = read_star(spark, root, star.profile)
     for name, build in mart_builders().items():
         build(written_star).write.mode("overwrite").parquet(os.path.join(root, name))
@@ -206,8 +239,7 @@ def refresh_star(star: Star, root: str, expected: DataFrame) -> tuple[str, list]
     for name in DIMENSIONS:
         getattr(star, name).write.parquet(os.path.join(new, name))
     for name in ("wide_orders", "wide_lines"):
-        getattr(star, name).where(_in_months(months)).hint("rebalance", "month_key").write.partitionBy("month_key").parquet(
-            os.path.join(new, name))
+        _write_months(getattr(star, name).where(_in_months(months)), os.path.join(new, name))
     spark.createDataFrame([(root, m) for m in months], "base string, month_key string").coalesce(1).write.parquet(
         os.path.join(new, "refreshed_months"))
     whole = read_star(spark, new, star.profile)

@@ -98,3 +98,21 @@ def test_a_failed_gate_leaves_the_old_months(spark, star):
     with pytest.raises(Q.QualityGateError):
         refresh_star(_changed(star, bad), star.source, expected)
     assert read_star(spark, star.source, star.profile).fact_orders.agg(F.sum("net_before_tax")).first()[0] == before
+
+
+def test_written_facts_shuffle_source_columns_and_equal_the_lazy_ones(spark, tmp_path):
+    from martlens.sources.bind_tpch import bind_star
+    from martlens.sources.star import write_star
+
+    lazy = bind_star(spark, SF)
+    assert not {"store_name", "city", "tax_amount", "festive_period"} & set(lazy.orders_base.columns)
+    attrs = lazy.fact_orders.selectExpr("order_id as __oid", "order_date", "month_key", "store_id", "channel")
+    assert not {"sku_id", "line_margin", "est_cogs"} & set(lazy.lines_base(attrs).columns)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    root = write_star(lazy, str(tmp_path / "star"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    for name in ("wide_orders", "wide_lines"):
+        got, want = spark.read.parquet(f"{root}/{name}"), getattr(lazy, name)
+        assert set(got.columns) == set(want.columns)
+        got = got.select(*want.columns)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
