@@ -25,11 +25,16 @@ The first tier that hits wins per phrase. Longer phrases then claim their
 tokens greedily (size descending, then left to right) with the claimed spans
 as the accumulator of ``aggregate``; matches are ordered by confidence,
 dimension, value and capped per text.
+
+Most phrases name nothing. Where the dictionary is too large to broadcast, a
+bit set of its keys' hashes (of bounded size) is broadcast instead, so only
+phrases that it may hold, and a few per cent of the others, are shuffled to it.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlens.functions.arrays import covered, let, picked
-from martlens.operators.joins import broadcast_if_small, broadcast_literal
+from martlens.operators.joins import broadcast_if_small, broadcast_literal, is_small
+from martlens.operators.numbering import stored
 from martlens.sources.star import Star
 
 # --- Fixed values of the matching rules (must equal the source system's) -------------
@@ -178,27 +184,22 @@ def phrases(texts: DataFrame) -> DataFrame:
     """All 1-4 token phrases with their token span, stop-word singles removed (E-02, E-03).
 
     Per text: the tokens, and the separators between them (a split on the
-    token pattern). A k-token phrase is token_i + separator_i + the (k-1)-token
-    phrase starting at i+1, so each phrase costs one concatenation and every
-    length is one ``zip_with`` over whole arrays. Exploding then emits rows that
-    carry only their own phrase: linear in the text length.
+    token pattern). A phrase of k tokens from token i on is token_i + separator_i + token_i+1 ...,
+    read from both arrays by position, so it costs its own length; rows then carry only their own
+    phrase: linear in the text length. Nothing here is a lambda, so all of it is compiled.
     """
     toks = F.regexp_extract_all("text", F.lit(f"({TOKEN_RE})"), 1)
     seps = F.split("text", TOKEN_RE, -1)
-    df = texts.select("text_id", toks.alias("_t"), seps.alias("_s")).filter(F.size("_t") > 0)
-    n = F.size("_t")
-    joined = F.zip_with("_t", F.slice("_s", 2, n), lambda a, b: F.concat(a, b))  # token_i + separator_i
-    levels = [F.col("_t")]
-    for k in range(2, MAX_WORDS + 1):
-        prev = levels[-1]
-        levels.append(F.zip_with(F.slice(joined, 1, F.greatest(n - k + 1, F.lit(0))),
-                                 F.slice(prev, 2, F.greatest(n - k + 1, F.lit(0))), lambda a, b: F.concat(a, b)))
-    def tag(k: int):
-        return lambda x, i: F.struct(i.alias("start"), (i + (k - 1)).alias("end"), F.lit(k).alias("n_tokens"),
-                                     x.alias("phrase"))
-    structs = [F.transform(arr, tag(k)) for k, arr in enumerate(levels, start=1)]
-    out = df.select("text_id", F.explode(F.concat(*structs)).alias("_x")).select(
-        "text_id", "_x.start", "_x.end", "_x.n_tokens", F.trim(F.col("_x.phrase")).alias("phrase"))
+    at = texts.select("text_id", toks.alias("_t"), seps.alias("_s")).select(
+        "text_id", "_t", "_s", F.posexplode("_t").alias("start", "_w"))
+    levels = [F.col("_w")]
+    for k in range(1, MAX_WORDS):
+        i = F.col("start") + k  # null beyond the last token
+        levels.append(F.concat(levels[-1], F.get("_s", i), F.get("_t", i)))
+    structs = [F.struct(F.lit(k).alias("n_tokens"), x.alias("phrase")) for k, x in enumerate(levels, start=1)]
+    out = at.select("text_id", "start", F.explode(F.array(*structs)).alias("_x")).where(F.col("_x.phrase").isNotNull()).select(
+        "text_id", "start", (F.col("start") + F.col("_x.n_tokens") - 1).alias("end"), "_x.n_tokens",
+        F.trim(F.col("_x.phrase")).alias("phrase"))
     stop = F.lower("phrase").isin(list(STOPWORDS)) & (F.col("n_tokens") == 1)
     return out.filter(~stop & (F.col("phrase") != ""))
 
@@ -223,6 +224,12 @@ def _value_prefixes(cat: DataFrame) -> DataFrame:
         "dimension", "column", "value", F.col("suffix").substr(F.lit(1), F.col("_n")).alias("prefix"))
 
 
+#: Rows of a dictionary that is broadcast whole; of a larger one, the bit set of its keys is.
+BROADCAST_KEYS = 100_000
+#: Bits per key of the bit set (a key that is not held passes with a chance of at most 1 in 32), and its size at most.
+BITS_PER_KEY, MAX_BITS = 32, 1 << 28
+_WORD, _BLOCK = 64, 64 * 1024
+
 #: Values in one row of the dictionary; a key of more values has more rows.
 POSTINGS = 256
 
@@ -258,8 +265,35 @@ def phrase_keys(ph: DataFrame) -> DataFrame:
     idk = F.when(F.col("n_tokens") == 1, F.concat(F.lit("i:"), ident_prefix(F.col("phrase")), F.lit(":"),
                                                   ident_number(F.col("phrase")).cast("string")))
     sk = F.when(F.length(needle) >= MIN_SUBSTRING_LENGTH, F.concat(F.lit("s:"), needle))
-    keys = F.filter(F.array(F.concat(F.lit("x:"), low), idk, sk), lambda k: k.isNotNull())
-    return ph.select("text_id", "start", "end", "n_tokens", "phrase", F.explode(keys).alias("key"))
+    keys = F.array(F.concat(F.lit("x:"), low), idk, sk)
+    return ph.select("text_id", "start", "end", "n_tokens", "phrase", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
+
+
+def _slot(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def key_bits(kt: DataFrame, bits: int) -> DataFrame:
+    """(block, words): the bit set of the hashes of the dictionary's keys, in rows of 1,024 words."""
+    slot = kt.select(_slot(F.col("key"), bits).alias("_h"))
+    held = slot.groupBy(F.floor(F.col("_h") / _WORD).alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_h") % _WORD).cast("int"))).alias("_w"))
+    every = kt.sparkSession.range(bits // _WORD).join(held, "id", "left")
+    per = _BLOCK // _WORD
+    blocks = every.groupBy(F.floor(F.col("id") / per).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("id", F.coalesce("_w", F.lit(0).cast("long")).alias("w")))).alias("_s"))
+    return blocks.select("block", F.transform("_s", lambda x: x["w"]).alias("words"))
+
+
+def may_be_held(keys: DataFrame, kt: DataFrame) -> DataFrame:
+    """The rows of ``keys`` whose key the dictionary may hold: all that it holds, and few others (J-10)."""
+    n = kt.count()
+    bits = min(MAX_BITS, max(_BLOCK, 1 << math.ceil(math.log2(BITS_PER_KEY * max(n, 1)))))
+    set_ = broadcast_literal(key_bits(kt, bits))  # 32 MB at most, by MAX_BITS
+    h = _slot(F.col("key"), bits)
+    word = F.get("words", (F.floor(h / _WORD) % (_BLOCK // _WORD)).cast("int"))
+    return keys.join(set_, (F.floor(h / _BLOCK) == F.col("block")) & (F.getbit(word, (h % _WORD).cast("int")) == 1)).drop(
+        "block", "words")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -300,11 +334,14 @@ def _fuzzy_candidates(ph: DataFrame, cat: DataFrame) -> DataFrame:
     Candidates are an equi-join on shared pairs of characters: strings that reach the threshold share at
     least ``_least_shared`` pairs, so one of the first few of each in one fixed order. The exact
     count of shared pairs leaves few for the similarity itself. Nothing that reaches the threshold is lost.
+    Both sides are written distinct: the optimizer would else move the filters on their pairs below
+    the aggregation and work the pairs out for every phrase.
     """
     tokens = (ph.filter((F.col("n_tokens") == 1) & (F.length("phrase") >= MIN_FUZZY_LENGTH))
               .select(F.lower("phrase").alias("tok")).distinct())
     vals = cat.filter(~F.col("is_identifier")).select(F.lower("value").alias("vl")).distinct()
-    one, two = (_with_pairs(df, c).withColumn("_key", F.explode("_first")).drop("_first") for df, c in ((tokens, "tok"), (vals, "vl")))
+    one, two = (_with_pairs(stored(df, f"fuzzy-{c}"), c).withColumn("_key", F.explode("_first")).drop("_first")
+                for df, c in ((tokens, "tok"), (vals, "vl")))
     la, lb = F.col("_n_tok"), F.col("_n_vl")
     pairs = one.join(two, "_key").where(F.least(la, lb) * 2.0 >= FUZZY_THRESHOLD * (la + lb)).dropDuplicates(["tok", "vl"])
     near = pairs.where(F.size(F.array_intersect("_g_tok", "_g_vl")) >= _least_shared(la, lb)).select("tok", "vl")
@@ -349,7 +386,10 @@ def _finish_per_text(cands: DataFrame, max_matches: int | None) -> DataFrame:
         F.collect_list(F.struct("start", "end", "n_tokens", "phrase", won.alias("matches")))).alias("_s"))
     span = F.transform("_s", lambda x: F.struct(
         *(x[c].alias(c) for c in ("n_tokens", "start", "end", "phrase", "matches"))))
-    kept = spans.select("text_id", let(span.cast(_SPAN), claimed).alias("_k"))
+    # spans that are apart (each ends before the next starts) are all kept
+    apart = F.forall(F.zip_with(F.slice("_s.start", 2, F.size("_s")), F.col("_s.end"), lambda a, b: a > b),
+                     lambda x: F.coalesce(x, F.lit(True)))
+    kept = spans.select("text_id", F.when(apart, span.cast(_SPAN)).otherwise(let(span.cast(_SPAN), claimed)).alias("_k"))
     # order by confidence desc, dimension, value (then position) and cap
     flat = F.flatten(F.transform("_k", lambda s: F.transform(s["matches"], lambda m: F.struct(
         (-m["confidence"]).alias("nc"), m["dimension"].alias("dimension"), m["value"].alias("value"),
@@ -371,7 +411,6 @@ _MATCH_MEMO: dict[tuple[str, str, bool], DataFrame] = {}
 def resolved(star: Star, texts: DataFrame, name: str, fuzzy: bool = False) -> DataFrame:
     """All matches of a text table of the star, resolved once per application and stored like the
     dictionary; a cap is a filter on match_rank. ``name`` tells the text tables of a star apart."""
-    from martlens.operators.numbering import stored
     from martlens.session import app_key
 
     spark = star.fact_orders.sparkSession
@@ -407,12 +446,17 @@ def resolve(texts: DataFrame, cat: DataFrame, delivery_channels: tuple[str, ...]
     """Matches per text: (text_id, text, dimension, column, value, confidence, method, match_rank) (E-04 ... E-09).
 
     Phrases and their keys are produced row-locally; tiers 1-4 are one
-    equi-join with the dictionary (broadcast behind a size check); everything
-    after stays within one partitioning by text.
+    equi-join with the dictionary (broadcast behind a size check, else with the phrases
+    that it may hold only); everything after stays within one partitioning by text.
     """
-    kt = broadcast_if_small(kt if kt is not None else key_table(cat, delivery_channels), 1_000_000, key=cat_key)
+    kt = kt if kt is not None else key_table(cat, delivery_channels)
     ph = phrases(texts)
-    j = phrase_keys(ph).join(kt, "key").select("text_id", "start", "end", "n_tokens", "phrase", "tier", F.inline("entries"))
+    keys = phrase_keys(ph)
+    if is_small(kt, BROADCAST_KEYS, cat_key):
+        found = keys.join(F.broadcast(kt), "key")
+    else:
+        found = may_be_held(keys, kt).join(kt, "key")
+    j = found.select("text_id", "start", "end", "n_tokens", "phrase", "tier", F.inline("entries"))
     conf = (F.when(F.col("tier") == 1, F.when(F.col("phrase") == F.col("value"), F.lit(CONFIDENCE_EXACT))
                    .otherwise(F.lit(CONFIDENCE_CASE_INSENSITIVE)))
             .when(F.col("tier") == 2, F.lit(CONFIDENCE_ALIAS))
@@ -427,7 +471,11 @@ def resolve(texts: DataFrame, cat: DataFrame, delivery_channels: tuple[str, ...]
         vals = cat.filter(~F.col("is_identifier")).select("dimension", "column", "value", F.lower("value").alias("vl"))
         single = ph.filter((F.col("n_tokens") == 1) & (F.length("phrase") >= MIN_FUZZY_LENGTH)).withColumn(
             "tok", F.lower("phrase"))
-        t5 = single.join(fz, "tok").join(vals, "vl")
+        # the pairs within the band of their token's best, the only ones that can be within it of the best of a span
+        best_of = fz.groupBy("tok").agg(F.max("ratio").alias("_b"))
+        fz = stored(fz.join(best_of, "tok").where(F.col("ratio") >= F.col("_b") - FUZZY_BAND).drop("_b").join(vals, "vl"),
+                    "fuzzy-pairs")
+        t5 = single.join(broadcast_if_small(fz, BROADCAST_KEYS), "tok")
         best = Window.partitionBy("text_id", "start", "end")
         t5 = (t5.withColumn("_best", F.max("ratio").over(best)).filter(F.col("ratio") >= F.col("_best") - FUZZY_BAND)
               .select("text_id", "start", "end", "n_tokens", F.lit(5).alias("tier"),

@@ -70,3 +70,39 @@ def test_claiming_is_linear_in_a_long_text(spark):
         took[tokens] = time.time() - began
         assert len(got) > tokens / 8 and all(a[1] < b[0] for a, b in zip(got, got[1:]))  # disjoint, in order
     assert took[150_000] < 20 * took[15_000] + 5
+
+
+def _shop(spark, n=300):
+    cat = spark.createDataFrame(
+        [("sku_id", "t.i", f"SKU{i}", True) for i in range(n)] + [("d", "t.c", v, False) for v in ("North Park", "Burger", "Weekend")],
+        "dimension string, column string, value string, is_identifier boolean")
+    texts = spark.createDataFrame([(i, f"Compare sku{i} with the burgr in north park, {i} odd words and more") for i in range(200)]
+                                  + [(None, None), (7, "SKU7 SKU7")], "text_id long, text string")
+    return cat, texts
+
+
+def test_a_large_dictionary_meets_only_the_phrases_it_may_hold(spark, monkeypatch):
+    cat, texts = _shop(spark)
+    kt = E.key_table(cat, ()).localCheckpoint()
+    keys = E.phrase_keys(E.phrases(texts)).localCheckpoint()
+    passed = E.may_be_held(keys, kt).localCheckpoint()
+    held = keys.join(kt.select("key").distinct(), "key", "left_semi").select(*keys.columns)
+    assert held.count() > 500 and held.exceptAll(passed).count() == 0 and passed.exceptAll(keys).count() == 0
+    assert passed.count() - held.count() < 0.1 * keys.count()  # 1 in 32 of the others by chance
+    whole = E.resolve(texts, cat, (), fuzzy=True, kt=kt)
+    monkeypatch.setattr(E, "BROADCAST_KEYS", 10)
+    cut = E.resolve(texts, cat, (), fuzzy=True, kt=kt)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect())) and whole.where("method = 'fuzzy'").count() > 0
+
+
+def test_similarity_works_on_distinct_tokens(spark):
+    cat, texts = _shop(spark)
+    found = E._fuzzy_candidates(E.phrases(texts), cat)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.tok, r.vl) for r in found.collect()] == [("burgr", "burger")]
+
+
+def test_phrases_are_compiled(spark):
+    _, texts = _shop(spark)
+    plan = E.phrase_keys(E.phrases(texts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
