@@ -65,14 +65,15 @@ HOT_BUCKET = 20_000
 
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of ``many`` and ``few`` where single keys may hold a large share of ``many``: a key with more than
-    HOT_BUCKET rows is dealt to parts of about as many, and the rows of ``few`` visit each part."""
+    HOT_BUCKET rows is dealt to parts of about as many, and the rows of ``few`` visit each part. Both sides grow with
+    the input, so they meet by shuffle: one that compresses to less than the broadcast bound may still fill a driver."""
     full = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_BUCKET) \
         .select(*keys, F.ceil(F.col("__n") / HOT_BUCKET).cast("int").alias("__parts"))
     parts = F.coalesce("__parts", F.lit(1))
     dealt = many.join(full, keys, "left").withColumn(
         "__p", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
     visits = few.join(full, keys, "left").withColumn("__p", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return dealt.join(visits, [*keys, "__p"]).drop("__p")
+    return dealt.hint("merge").join(visits, [*keys, "__p"]).drop("__p")
 
 
 def tolerance_bucket(v: Column, rel_tol: float, abs_floor: float) -> Column:

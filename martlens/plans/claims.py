@@ -99,7 +99,7 @@ def supported_by_difference(figs: DataFrame, cells: DataFrame, profile: Profile)
     fig = figs.select("answer_id", "position", x.alias("x"), F.greatest(F.abs(x) * tol, F.lit(ABS_FLOOR)).alias("t")) \
         .withColumn("w", F.pow(F.lit(2.0), F.ceil(F.log2(2 * F.col("t")) + 0.01)))
     # a figure beyond the column's spread is no difference of it
-    asked = fig.join(several, "answer_id").where(F.col("x") - F.col("t") <= (F.col("_hi") - F.col("_lo")) * (1 + 1e-9) + 1e-9)
+    asked = fig.hint("merge").join(several, "answer_id").where(F.col("x") - F.col("t") <= (F.col("_hi") - F.col("_lo")) * (1 + 1e-9) + 1e-9)
     values = col_vals.distinct()
     step = lambda c: F.floor(c / F.col("w")).cast("long")
     near = F.col("x") + F.col("v")
@@ -117,7 +117,7 @@ def unsupported_figures(answers: DataFrame, cells: DataFrame, profile: Profile)
     """Distinct unsupported figures per answer, as written (N-05)."""
     figs = figures(answers, profile)
     ok = supported_by_value(figs, cells, profile).unionByName(supported_by_difference(figs, cells, profile)).distinct()
-    bad = figs.join(ok, ["answer_id", "position"], "left_anti")
+    bad = figs.join(ok.hint("merge"), ["answer_id", "position"], "left_anti")
     return bad.groupBy("answer_id", "token").agg(F.min("position").alias("first_position"))
 
 
@@ -143,7 +143,7 @@ def identifiers(answers: DataFrame) -> DataFrame:
 
 def unsupported_identifiers(answers: DataFrame, cells: DataFrame) -> DataFrame:
     """Identifier tokens contained in no string cell of the answer's results (N-06)."""
-    return identifiers(answers).join(_identifier_keys(cells), ["answer_id", "token"], "left_anti")
+    return identifiers(answers).join(_identifier_keys(cells).hint("merge"), ["answer_id", "token"], "left_anti")
 
 
 # --- N-07 -------------------------------------------------------------------------------------------
@@ -154,7 +154,7 @@ def adjusted_confidence(answers: DataFrame, unsupported: DataFrame, base_col: st
     Confidence is carried as DECIMAL so the rounding is exact.
     """
     flagged = unsupported.select("answer_id").distinct().withColumn("_flag", F.lit(True))
-    a = answers.join(flagged, "answer_id", "left")
+    a = answers.join(flagged.hint("merge"), "answer_id", "left")
     conf = F.col(base_col).cast("decimal(6,4)")
     pen = F.when(F.col("_flag"), F.round(conf * F.lit(0.7).cast("decimal(2,1)"), 2)).otherwise(conf)
     capped = F.when(F.col(failed_col), F.least(pen, F.lit(UNVERIFIED_CEILING).cast("decimal(6,4)"))).otherwise(pen)

@@ -42,3 +42,15 @@ def test_difference_within_column_but_not_across(spark):
 def test_identifiers(spark):
     _, ids, _ = audit(spark, "ST007 led, ST07 lagged, ST012 appears inside a name, Q3 is prose.", CELLS)
     assert ids == ["ST07"]
+
+
+def test_sides_that_grow_with_the_answers_are_not_broadcast(spark):
+    answers = spark.createDataFrame([(1, "Revenue was 4,100,000 INR.", 0.8, False)],
+                                    "answer_id long, text string, confidence double, verification_failed boolean")
+    cells = spark.createDataFrame([(1, r, c, n, s) for r, c, n, s in CELLS],
+                                  "answer_id long, result_id string, column string, num double, str string")
+    bad = C.unsupported_figures(answers, cells, P)
+    plan = C.adjusted_confidence(answers, bad)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert sum("SortMergeJoin" in x for x in joins) >= 6, joins  # the rest look up the few keys that are spread
+    assert "SortMergeJoin" in C.unsupported_identifiers(answers, cells)._jdf.queryExecution().sparkPlan().toString()
