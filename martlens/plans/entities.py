@@ -5,11 +5,10 @@ to them by the planner: broadcast when its size is checked to be small, a
 shuffle join otherwise (an identifier dimension such as SKU can be as large as
 the product table).
 
-Per text the work is row-local array arithmetic (no shuffle): the text is cut
-into alternating token / separator pieces, and every 1-4 token phrase is the
-concatenation of the pieces between its first and last token, so separators
-inside a phrase are kept exactly as written. Each phrase is matched by five
-tiers, all as joins:
+A text is cut into alternating token / separator pieces, row by row, and every
+1-4 token phrase is the concatenation of the pieces between its first and last
+token, so separators inside a phrase are kept exactly as written. Each phrase
+is matched by five tiers, all as joins:
 
 1. exact (1.0, or 0.98 case-folded)       equi-join on lower(phrase)
 2. alias (0.95)                             equi-join on the alias table
@@ -22,22 +21,26 @@ tiers, all as joins:
                                             distinct (token, value) pairs
 
 The first tier that hits wins per phrase. Longer phrases then claim their
-tokens greedily (size descending, then left to right) with the claimed spans
-as the accumulator of ``aggregate``; matches are ordered by confidence,
-dimension, value and capped per text.
-
-Most phrases name nothing. Where the dictionary is too large to broadcast, a
-bit set of its keys' hashes (of bounded size) is broadcast instead, so only
-phrases that it may hold, and a few per cent of the others, are shuffled to it.
+tokens greedily (size descending, then left to right); matches are ordered by
+confidence, dimension, value and capped per text.
+
+Most phrases name nothing. A bit set of the hashes of the dictionary's keys (of
+bounded size) is broadcast, and the texts are read once: only phrases that the
+dictionary may hold, a few per cent of the others and words long enough for
+tier 5 are written. The tiers are worked out once per distinct phrase of these, and what
+a text's phrases won is found by one join. Claims and ranks work on numbers
+of phrases and matches; the matched values are attached last.
 """
 
 from __future__ import annotations
 
 import difflib
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,7 +169,10 @@ def alias_table(cat: DataFrame, delivery_channels: tuple[str, ...]) -> DataFrame
 # --- F-10 ... F-12 helpers --------------------------------------------------------------------
 def singular(c: Column) -> Column:
     """F-11: lower-case; drop a trailing 's' when longer than 4 characters."""
-    low = F.lower(c)
+    return _without_s(F.lower(c))
+
+
+def _without_s(low: Column) -> Column:
     return F.when((F.length(low) > MIN_SUBSTRING_LENGTH) & low.endswith("s"),
                   low.substr(F.lit(1), F.length(low) - 1)).otherwise(low)
 
@@ -188,20 +194,30 @@ def phrases(texts: DataFrame) -> DataFrame:
     read from both arrays by position, so it costs its own length; rows then carry only their own
     phrase: linear in the text length. Nothing here is a lambda, so all of it is compiled.
     """
-    toks = F.regexp_extract_all("text", F.lit(f"({TOKEN_RE})"), 1)
+    return _phrases_from(_words(texts)).select(
+        "text_id", "start", (F.col("start") + F.col("n_tokens") - 1).alias("end"), "n_tokens", "phrase")
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """A row per token: its place and, for the phrases from it on, the tokens and separators of its text."""
+    toks = F.regexp_extract_all("text", F.lit(TOKEN_RE), 0)
     seps = F.split("text", TOKEN_RE, -1)
-    at = texts.select("text_id", toks.alias("_t"), seps.alias("_s")).select(
+    return texts.select("text_id", toks.alias("_t"), seps.alias("_s")).select(
         "text_id", "_t", "_s", F.posexplode("_t").alias("start", "_w"))
+
+
+def _phrases_from(words: DataFrame, longer: Column | None = None) -> DataFrame:
+    """(text_id, start, n_tokens, phrase) of the phrases from each token on; only the token itself where ``longer`` is
+    false. A phrase begins and ends with a token, so there is nothing to trim."""
     levels = [F.col("_w")]
     for k in range(1, MAX_WORDS):
         i = F.col("start") + k  # null beyond the last token
         levels.append(F.concat(levels[-1], F.get("_s", i), F.get("_t", i)))
     structs = [F.struct(F.lit(k).alias("n_tokens"), x.alias("phrase")) for k, x in enumerate(levels, start=1)]
-    out = at.select("text_id", "start", F.explode(F.array(*structs)).alias("_x")).where(F.col("_x.phrase").isNotNull()).select(
-        "text_id", "start", (F.col("start") + F.col("_x.n_tokens") - 1).alias("end"), "_x.n_tokens",
-        F.trim(F.col("_x.phrase")).alias("phrase"))
-    stop = F.lower("phrase").isin(list(STOPWORDS)) & (F.col("n_tokens") == 1)
-    return out.filter(~stop & (F.col("phrase") != ""))
+    some = F.array(*structs) if longer is None else F.when(longer, F.array(*structs)).otherwise(F.array(structs[0]))
+    out = words.select("text_id", "start", F.explode(some).alias("_x")).where(F.col("_x.phrase").isNotNull()).select(
+        "text_id", "start", "_x.n_tokens", "_x.phrase")
+    return out.filter((F.col("n_tokens") > 1) | ~F.lower("phrase").isin(list(STOPWORDS)))
 
 
 def _value_suffixes(cat: DataFrame) -> DataFrame:
@@ -266,19 +282,19 @@ def phrase_keys(ph: DataFrame) -> DataFrame:
                                                   ident_number(F.col("phrase")).cast("string")))
     sk = F.when(F.length(needle) >= MIN_SUBSTRING_LENGTH, F.concat(F.lit("s:"), needle))
     keys = F.array(F.concat(F.lit("x:"), low), idk, sk)
-    return ph.select("text_id", "start", "end", "n_tokens", "phrase", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
+    return ph.select("*", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
 
-def _slot(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(bits))
+def _bits_for(n: int) -> int:
+    return min(MAX_BITS, max(_BLOCK, 1 << math.ceil(math.log2(BITS_PER_KEY * max(n, 1)))))
 
 
-def key_bits(kt: DataFrame, bits: int) -> DataFrame:
-    """(block, words): the bit set of the hashes of the dictionary's keys, in rows of 1,024 words."""
-    slot = kt.select(_slot(F.col("key"), bits).alias("_h"))
+def key_bits(hashes: DataFrame, bits: int) -> DataFrame:
+    """(block, words): the bit set of the hashes in column ``h``, in rows of 1,024 words; every block is there."""
+    slot = hashes.select(F.pmod("h", F.lit(bits)).alias("_h"))
     held = slot.groupBy(F.floor(F.col("_h") / _WORD).alias("id")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_h") % _WORD).cast("int"))).alias("_w"))
-    every = kt.sparkSession.range(bits // _WORD).join(held, "id", "left")
+    every = hashes.sparkSession.range(bits // _WORD).join(held, "id", "left")
     per = _BLOCK // _WORD
     blocks = every.groupBy(F.floor(F.col("id") / per).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("id", F.coalesce("_w", F.lit(0).cast("long")).alias("w")))).alias("_s"))
@@ -287,13 +303,57 @@ def key_bits(kt: DataFrame, bits: int) -> DataFrame:
 
 def may_be_held(keys: DataFrame, kt: DataFrame) -> DataFrame:
     """The rows of ``keys`` whose key the dictionary may hold: all that it holds, and few others (J-10)."""
-    n = kt.count()
-    bits = min(MAX_BITS, max(_BLOCK, 1 << math.ceil(math.log2(BITS_PER_KEY * max(n, 1)))))
-    set_ = broadcast_literal(key_bits(kt, bits))  # 32 MB at most, by MAX_BITS
-    h = _slot(F.col("key"), bits)
-    word = F.get("words", (F.floor(h / _WORD) % (_BLOCK // _WORD)).cast("int"))
-    return keys.join(set_, (F.floor(h / _BLOCK) == F.col("block")) & (F.getbit(word, (h % _WORD).cast("int")) == 1)).drop(
-        "block", "words")
+    key = F.xxhash64("key")
+    bits = _bits_for(kt.count())
+    set_ = key_bits(kt.select(key.alias("h")), bits)
+    return _with_bit(keys, key, set_, bits, "_held").where("_held").drop("_held")
+
+
+def _with_bit(df: DataFrame, hash_: Column, set_: DataFrame, bits: int, name: str) -> DataFrame:
+    """df with the boolean ``name``: whether the bit set has the hash. The set is broadcast: 32 MB at most, by MAX_BITS."""
+    h = F.pmod(hash_, F.lit(bits))
+    word = F.get("words", F.shiftright(h, 6).bitwiseAND(F.lit(_BLOCK // _WORD - 1)).cast("int"))
+    return df.join(broadcast_literal(set_), F.shiftright(h, 16) == F.col("block")).withColumn(
+        name, F.getbit(word, h.bitwiseAND(F.lit(_WORD - 1)).cast("int")) == 1).drop("block", "words")
+
+
+def _mark(low: Column) -> Column:
+    """One string for every way in which a lower-cased phrase can hit: its singular, without the zeros that pad
+    the number of an identifier. A phrase that hits a key has the mark of that key."""
+    return F.when((F.length(low) <= 10) & low.contains("0"), F.regexp_replace(low, r"^([a-z]+)0+(\d+)$", "$1$2")).otherwise(low)
+
+
+def _first_word(low: Column) -> Column:
+    """Hash of a phrase's first token, apart from the hashes of marks."""
+    return F.xxhash64(F.lit("first"), low)
+
+
+def _dictionary_hashes(kt: DataFrame) -> DataFrame:
+    """Hashes of the marks of the dictionary's keys, and of the first tokens of those that go on after it."""
+    key = F.col("key").substr(F.lit(3), F.length("key"))
+    mark = (F.when(F.col("key").startswith("x:"), _mark(_without_s(key))).when(F.col("key").startswith("s:"), _mark(key))
+            .otherwise(_mark(F.translate(key, ":", ""))))
+    run = F.regexp_extract(key, f"^{TOKEN_RE}", 0)
+    on = F.when(~F.col("key").startswith("i:") & (run != "") & (F.length(run) < F.length(key)), _first_word(run))
+    return kt.select(F.explode(F.array(F.xxhash64(mark), on)).alias("h")).where(F.col("h").isNotNull()).distinct()
+
+
+def phrases_to_look_up(texts: DataFrame, kt: DataFrame, fuzzy: bool) -> DataFrame:
+    """(text_id, start, n_tokens, phrase) of the phrases that the dictionary may hold: all that it holds, and few
+    others; with ``fuzzy`` also every token long enough for it (J-10).
+
+    A token that begins no longer key gives no longer phrases; where the separator after it is not plain ASCII
+    its lower form may join them, so these always do.
+    """
+    hashes = stored(_dictionary_hashes(kt), "dictionary-hashes")
+    bits = _bits_for(hashes.count())
+    set_ = key_bits(hashes, bits)
+    sep = F.get("_s", F.col("start") + 1)
+    words = _with_bit(_words(texts), _first_word(F.lower("_w")), set_, bits, "_on")
+    ph = _phrases_from(words, F.col("_on") | (F.octet_length(sep) != F.length(sep))).withColumn("_low", F.lower("phrase"))
+    ph = _with_bit(ph.withColumn("_needle", _without_s(F.col("_low"))), F.xxhash64(_mark(F.col("_needle"))), set_, bits, "_held")
+    long = (F.col("n_tokens") == 1) & (F.length("phrase") >= MIN_FUZZY_LENGTH)
+    return ph.where(F.col("_held") | long if fuzzy else F.col("_held")).select("text_id", "start", "n_tokens", "phrase")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -348,8 +408,10 @@ def _fuzzy_candidates(ph: DataFrame, cat: DataFrame) -> DataFrame:
     return near.withColumn("ratio", similarity_ratio("tok", "vl")).filter(F.col("ratio") >= FUZZY_THRESHOLD)
 
 
-_SPAN = ("array<struct<n_tokens:int,start:int,end:int,phrase:string,matches:array<struct<dimension:string,column:string,"
-         "value:string,confidence:double,method:string>>>>")
+_SPAN = ("array<struct<n_tokens:int,start:int,end:int,phrase:string,"
+         "found:array<struct<tier:int,loss:double,phrase_id:bigint>>>>")
+#: A text whose spans end before this token is claimed by the bits of one number.
+MASKED_TOKENS = 63
 
 
 def claimed(spans: Column) -> Column:
@@ -374,34 +436,106 @@ def claimed(spans: Column) -> Column:
     return step(F.array().cast(_SPAN), MAX_WORDS)
 
 
-def _finish_per_text(cands: DataFrame, max_matches: int | None) -> DataFrame:
-    """Per text, in one row: first tier per span, greedy span claiming, order and cap (E-04, E-08, E-09)."""
-    match = F.struct("dimension", "column", "value", "confidence", "method")
-    # both aggregations below stay within the partitioning by text
-    by_span = cands.repartition("text_id").groupBy("text_id", "start", "end", "n_tokens").agg(
-        F.min("tier").alias("_tier"), F.first("phrase").alias("phrase"),
-        F.collect_set(F.struct("tier", match.alias("match"))).alias("_m"))
-    won = F.transform(F.filter("_m", lambda m: m["tier"] == F.col("_tier")), lambda m: m["match"])
-    spans = by_span.groupBy("text_id").agg(F.array_sort(
-        F.collect_list(F.struct("start", "end", "n_tokens", "phrase", won.alias("matches")))).alias("_s"))
-    span = F.transform("_s", lambda x: F.struct(
-        *(x[c].alias(c) for c in ("n_tokens", "start", "end", "phrase", "matches"))))
-    # spans that are apart (each ends before the next starts) are all kept
-    apart = F.forall(F.zip_with(F.slice("_s.start", 2, F.size("_s")), F.col("_s.end"), lambda a, b: a > b),
-                     lambda x: F.coalesce(x, F.lit(True)))
-    kept = spans.select("text_id", F.when(apart, span.cast(_SPAN)).otherwise(let(span.cast(_SPAN), claimed)).alias("_k"))
-    # order by confidence desc, dimension, value (then position) and cap
-    flat = F.flatten(F.transform("_k", lambda s: F.transform(s["matches"], lambda m: F.struct(
-        (-m["confidence"]).alias("nc"), m["dimension"].alias("dimension"), m["value"].alias("value"),
-        s["start"].alias("start"), m["column"].alias("column"), m["method"].alias("method"),
-        s["phrase"].alias("phrase"), m["confidence"].alias("confidence")))))
-    ordered = F.array_sort(flat)
-    capped = F.slice(ordered, 1, max_matches) if max_matches is not None else ordered
-    return kept.select("text_id", F.posexplode(capped).alias("_r", "_x")).select(
-        "text_id", F.col("_x.phrase").alias("text"), F.col("_x.dimension").alias("dimension"),
-        F.col("_x.column").alias("column"), F.col("_x.value").alias("value"),
-        F.col("_x.confidence").alias("confidence"), F.col("_x.method").alias("method"),
-        (F.col("_r") + 1).cast("long").alias("match_rank"))
+def claimed_by_bits(spans: Column) -> Column:
+    """``claimed`` of spans that come longest first and left to right, and all end before token MASKED_TOKENS: one pass
+    with the taken tokens as the bits of a number."""
+    def add(a: Column, x: Column) -> Column:
+        one = F.lit(1).cast("long")
+        mask = F.call_function("shiftleft", F.call_function("shiftleft", one, x["n_tokens"]) - one, x["start"])
+        return F.when(a["taken"].bitwiseAND(mask) != 0, a).otherwise(F.struct(
+            a["taken"].bitwiseOR(mask).alias("taken"), F.concat(a["kept"], F.array(x)).alias("kept")))
+
+    return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("taken"), F.array().cast(_SPAN).alias("kept")), add,
+                       lambda a: a["kept"])
+
+
+def _phrase_matches(words: DataFrame, cat: DataFrame, kt: DataFrame, fuzzy: bool, cat_key: str | None) -> DataFrame:
+    """What each distinct phrase (phrase, n_tokens) matches, by its first tier that hits: (phrase, tier, ratio,
+    dimension, column, value, confidence, method) (E-04). ratio is that of tier 5, null in the others."""
+    keys = phrase_keys(words)
+    if is_small(kt, BROADCAST_KEYS, cat_key):
+        found = keys.join(F.broadcast(kt), "key")
+    elif is_small(words, BROADCAST_KEYS):
+        found = kt.join(F.broadcast(keys), "key")
+    else:
+        found = may_be_held(keys, kt).join(kt, "key")
+    found = stored(found.select("phrase", "tier", "entries"), "found")
+    first = found.groupBy("phrase").agg(F.min("tier").alias("tier"))
+    won = found.join(first, ["phrase", "tier"]).select("phrase", "tier", F.inline("entries"))
+    conf = (F.when(F.col("tier") == 1, F.when(F.col("phrase") == F.col("value"), F.lit(CONFIDENCE_EXACT))
+                   .otherwise(F.lit(CONFIDENCE_CASE_INSENSITIVE)))
+            .when(F.col("tier") == 2, F.lit(CONFIDENCE_ALIAS))
+            .when(F.col("tier") == 3, F.when(F.upper("phrase") == F.upper("value"), F.lit(CONFIDENCE_EXACT))
+                  .otherwise(F.lit(CONFIDENCE_NORMALISED_ID)))
+            .otherwise(F.lit(CONFIDENCE_SUBSTRING)))
+    method = F.element_at(F.array(*[F.lit(m) for m in ("exact", "alias", "identifier", "substring")]), F.col("tier"))
+    out = won.select("phrase", "tier", F.lit(None).cast("double").alias("ratio"), "dimension", "column", "value",
+                     conf.alias("confidence"), method.alias("method"))
+    if fuzzy:
+        rest = words.where((F.col("n_tokens") == 1) & (F.length("phrase") >= MIN_FUZZY_LENGTH)).join(first, "phrase", "left_anti")
+        fz = _fuzzy_candidates(rest, cat)
+        vals = cat.filter(~F.col("is_identifier")).select("dimension", "column", "value", F.lower("value").alias("vl"))
+        # the pairs within the band of their token's best, the only ones that can be within it of the best of a span
+        best_of = fz.groupBy("tok").agg(F.max("ratio").alias("_b"))
+        fz = stored(fz.join(best_of, "tok").where(F.col("ratio") >= F.col("_b") - FUZZY_BAND).drop("_b").join(vals, "vl"),
+                    "fuzzy-pairs")
+        out = out.unionByName(rest.withColumn("tok", F.lower("phrase")).join(broadcast_if_small(fz, BROADCAST_KEYS), "tok").select(
+            "phrase", F.lit(5).alias("tier"), "ratio", "dimension", "column", "value",
+            F.round(F.lit(CONFIDENCE_FUZZY_BASE) * F.col("ratio"), 3).alias("confidence"), F.lit("fuzzy").alias("method")))
+    return out.distinct()
+
+
+@contextmanager
+def _sorted_groups(spark: SparkSession) -> Iterator[None]:
+    """Collecting aggregations sort their rows once; hashed, every one of them would sort anew beyond 128 groups."""
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _finish_per_text(spans: DataFrame, found: DataFrame, max_matches: int | None, shared: bool) -> DataFrame:
+    """Per text: greedy span claiming, order and cap (E-08, E-09), of the phrases in ``spans`` with a match in ``found``.
+
+    Phrases and matches are numbered, the matches in their order, so that what is sorted per text is numbers.
+    ``shared`` tells whether texts share an id: they are resolved as one, so a span may have several phrases.
+    """
+    own = ("confidence", "dimension", "value", "column", "method")
+    order = [F.desc("confidence"), *own[1:]]
+    matches = stored(found.select(*own).distinct().orderBy(*order).withColumn("match_id", F.monotonically_increasing_id()), "matches")
+    phrases_ = stored(found.groupBy("phrase").agg(F.min("tier").alias("tier"), (-F.max("ratio")).alias("loss")).withColumn(
+        "phrase_id", F.monotonically_increasing_id()), "phrases-won")
+    place = F.min("match_id").over(Window.partitionBy(*own[:3]))  # equal but for the column or method
+    won = stored(found.join(phrases_.select("phrase", "phrase_id"), "phrase")
+                 .join(matches.withColumn("place", place), list(own)).select("phrase_id", "tier", "ratio", "place", "match_id"), "won")
+    hits = spans.join(broadcast_if_small(phrases_, BROADCAST_KEYS), "phrase")
+    # the aggregations below and the ranks stay within the partitioning by text
+    hits = hits.repartition("text_id").withColumn("_f", F.struct("tier", "loss", "phrase_id"))
+    by_span = hits.groupBy("text_id", "start", "n_tokens").agg(
+        F.min("phrase").alias("phrase"), F.collect_set("_f").alias("found")) if shared else hits.withColumn("found", F.array("_f"))
+    span = F.struct("n_tokens", "start", (F.col("start") + F.col("n_tokens") - 1).alias("end"), "phrase",
+                    F.sort_array("found").alias("found"))
+    longest_first = F.sort_array(F.collect_list(F.struct((-F.col("n_tokens")).alias("n"), "start", span.alias("s"))))
+    per_text = by_span.groupBy("text_id").agg(longest_first.alias("_s")).select("text_id", F.col("_s.s").cast(_SPAN).alias("_s"))
+    in_order = F.array_sort("_s", lambda a, b: a["start"] - b["start"])
+    kept = per_text.select("text_id", F.explode(F.when(F.array_max("_s.end") < MASKED_TOKENS, claimed_by_bits(F.col("_s")))
+                                                .otherwise(let(in_order, claimed))).alias("_k"))
+    each = kept.select("text_id", "_k.start", "_k.phrase", F.get("_k.found", F.lit(0)).alias("_first"), F.explode("_k.found").alias("_f"))
+    each = each.where(F.col("_f.tier") == F.col("_first.tier")).select(
+        "text_id", "start", "phrase", (-F.col("_first.loss") - FUZZY_BAND).alias("_least"), F.col("_f.phrase_id").alias("phrase_id"))
+    each = each.join(broadcast_if_small(won, BROADCAST_KEYS), "phrase_id").where(
+        F.col("ratio").isNull() | (F.col("ratio") >= F.col("_least")))
+    # order by confidence desc, dimension, value (then position) and cap; a match that two phrases of a span share counts once
+    w = Window.partitionBy("text_id").orderBy("place", "start", "match_id")
+    at = F.struct("start", "match_id")
+    ranked = each.select("text_id", "phrase", "match_id", F.dense_rank().over(w).cast("long").alias("match_rank"),
+                         at.eqNullSafe(F.lag(at).over(w)).alias("_again")).where(~F.col("_again"))
+    capped = ranked.where(F.col("match_rank") <= max_matches) if max_matches is not None else ranked
+    return capped.join(broadcast_if_small(matches, BROADCAST_KEYS), "match_id").select(
+        "text_id", F.col("phrase").alias("text"), "dimension", "column", "value", "confidence", "method", "match_rank")
 
 
 _LOOKUP_MEMO: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
@@ -417,8 +551,9 @@ def resolved(star: Star, texts: DataFrame, name: str, fuzzy: bool = False) -> Da
     key = (app_key(spark), f"{star.source}|{star.profile.name}|{name}", fuzzy)
     if key not in _MATCH_MEMO:
         cat, kt = lookup_tables(star)
-        _MATCH_MEMO[key] = stored(resolve(texts, cat, star.profile.delivery_channels, fuzzy=fuzzy, kt=kt,
-                                          cat_key=f"{star.source}/keytable"), f"matches-{name}")
+        found = resolve(texts, cat, star.profile.delivery_channels, fuzzy=fuzzy, kt=kt, cat_key=f"{star.source}/keytable")
+        with _sorted_groups(spark):
+            _MATCH_MEMO[key] = stored(found, f"matches-{name}")
     return _MATCH_MEMO[key]
 
 
@@ -445,44 +580,15 @@ def resolve(texts: DataFrame, cat: DataFrame, delivery_channels: tuple[str, ...]
             max_matches: int | None = None, cat_key: str | None = None, kt: DataFrame | None = None) -> DataFrame:
     """Matches per text: (text_id, text, dimension, column, value, confidence, method, match_rank) (E-04 ... E-09).
 
-    Phrases and their keys are produced row-locally; tiers 1-4 are one
-    equi-join with the dictionary (broadcast behind a size check, else with the phrases
-    that it may hold only); everything after stays within one partitioning by text.
+    The texts are read once, for the phrases that may match; the tiers are an equi-join of the distinct phrases
+    with the dictionary and the fuzzy pairs; everything after stays within one partitioning by text.
     """
-    kt = kt if kt is not None else key_table(cat, delivery_channels)
-    ph = phrases(texts)
-    keys = phrase_keys(ph)
-    if is_small(kt, BROADCAST_KEYS, cat_key):
-        found = keys.join(F.broadcast(kt), "key")
-    else:
-        found = may_be_held(keys, kt).join(kt, "key")
-    j = found.select("text_id", "start", "end", "n_tokens", "phrase", "tier", F.inline("entries"))
-    conf = (F.when(F.col("tier") == 1, F.when(F.col("phrase") == F.col("value"), F.lit(CONFIDENCE_EXACT))
-                   .otherwise(F.lit(CONFIDENCE_CASE_INSENSITIVE)))
-            .when(F.col("tier") == 2, F.lit(CONFIDENCE_ALIAS))
-            .when(F.col("tier") == 3, F.when(F.upper("phrase") == F.upper("value"), F.lit(CONFIDENCE_EXACT))
-                  .otherwise(F.lit(CONFIDENCE_NORMALISED_ID)))
-            .otherwise(F.lit(CONFIDENCE_SUBSTRING)))
-    method = F.element_at(F.array(*[F.lit(m) for m in ("exact", "alias", "identifier", "substring")]), F.col("tier"))
-    cands = j.select("text_id", "start", "end", "n_tokens", "tier", conf.alias("confidence"), "dimension", "column",
-                     "value", method.alias("method"), "phrase")
-    if fuzzy:
-        fz = _fuzzy_candidates(ph, cat)
-        vals = cat.filter(~F.col("is_identifier")).select("dimension", "column", "value", F.lower("value").alias("vl"))
-        single = ph.filter((F.col("n_tokens") == 1) & (F.length("phrase") >= MIN_FUZZY_LENGTH)).withColumn(
-            "tok", F.lower("phrase"))
-        # the pairs within the band of their token's best, the only ones that can be within it of the best of a span
-        best_of = fz.groupBy("tok").agg(F.max("ratio").alias("_b"))
-        fz = stored(fz.join(best_of, "tok").where(F.col("ratio") >= F.col("_b") - FUZZY_BAND).drop("_b").join(vals, "vl"),
-                    "fuzzy-pairs")
-        t5 = single.join(broadcast_if_small(fz, BROADCAST_KEYS), "tok")
-        best = Window.partitionBy("text_id", "start", "end")
-        t5 = (t5.withColumn("_best", F.max("ratio").over(best)).filter(F.col("ratio") >= F.col("_best") - FUZZY_BAND)
-              .select("text_id", "start", "end", "n_tokens", F.lit(5).alias("tier"),
-                      F.round(F.lit(CONFIDENCE_FUZZY_BASE) * F.col("ratio"), 3).alias("confidence"),
-                      "dimension", "column", "value", F.lit("fuzzy").alias("method"), "phrase"))
-        cands = cands.unionByName(t5)
-    return _finish_per_text(cands, max_matches)
+    kt = kt if kt is not None else stored(key_table(cat, delivery_channels), "dictionary")
+    spans = stored(phrases_to_look_up(texts, kt, fuzzy), "spans")
+    words = stored(spans.select("phrase", "n_tokens").distinct(), "words")
+    found = stored(_phrase_matches(words, cat, kt, fuzzy, cat_key), "phrase-matches")
+    shared = not texts.groupBy("text_id").count().where("count > 1").isEmpty()
+    return _finish_per_text(spans, found, max_matches, shared)
 
 
 # --- E-10 ... E-13 ---------------------------------------------------------------------------------

@@ -106,3 +106,52 @@ def test_phrases_are_compiled(spark):
     _, texts = _shop(spark)
     plan = E.phrase_keys(E.phrases(texts))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_texts_are_cut_once_and_claims_work_on_what_was_found(spark):
+    cat, texts = _shop(spark)
+    for fuzzy in (False, True):
+        found = E.resolve(texts, cat, (), fuzzy=fuzzy, kt=E.key_table(cat, ()))
+        assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_to_look_up_are_all_that_the_dictionary_holds(spark):
+    values = ["North Park", "Glass's", "glasss", "Blu\u212ax Y", "abc\u0130def ghi", "abc s", "x0 y", "a & b", "St010s Lane", "\u039f\u03a3 one"]
+    cat = spark.createDataFrame([("d", "t.c", v, False) for v in values] + [("i", "t.i", v, True) for v in ("ST007", "st000", "SKU1234567", "AB-1")],
+                                "dimension string, column string, value string, is_identifier boolean")
+    lines = [*values, *(v.lower() for v in values), *(v.upper() for v in values), "ST7 st0007 ST0 sku1234567 ab-1 st010s st010", "Northe parks, north par north parks",
+             "the glass of glas; lane lanes", "", "...", "blu\u212ax y blukx y", "many odd words that name nothing at all here"]
+    texts = spark.createDataFrame([*enumerate(lines), (None, "north park"), (3, None)], "text_id long, text string")
+    kt = E.key_table(cat, ()).localCheckpoint()
+    held = E.phrase_keys(E.phrases(texts)).join(kt.select("key"), "key", "left_semi").select("text_id", "start", "n_tokens", "phrase").distinct()
+    looked = E.phrases_to_look_up(texts, kt, fuzzy=False).localCheckpoint()
+    assert held.count() > 60 and held.exceptAll(looked).count() == 0
+    assert looked.count() < held.count() + 0.2 * E.phrases(texts).count()
+    words = E.phrases(texts).where("n_tokens = 1 and length(phrase) >= 5").select("text_id", "start", "n_tokens", "phrase")
+    assert words.exceptAll(E.phrases_to_look_up(texts, kt, fuzzy=True)).count() == 0
+
+
+def test_texts_that_share_an_id_are_resolved_as_one(spark, monkeypatch):
+    cat, _ = _shop(spark)
+    rows = [(1, "north park burgr"), (1, "north park burgr"), (2, "burgr SKU5"), (2, "sku005 SKU6"), (None, "weekend"), (None, "x North Park"), (3, "zzz")]
+    texts = spark.createDataFrame(rows, "text_id long, text string")
+    for keys in (100_000, 1):
+        monkeypatch.setattr(E, "BROADCAST_KEYS", keys)
+        got = E.resolve(texts, cat, (), fuzzy=True).collect()
+        assert sorted((r.match_rank, r.value, r.method) for r in got if r.text_id == 1) == [(1, "North Park", "exact"), (2, "Burger", "fuzzy")]
+        # token 0 of id 2 is an identifier in one text and a typo in the other: the first tier wins
+        assert sorted((r.match_rank, r.value, r.method) for r in got if r.text_id == 2) == [
+            (1, "SKU5", "exact"), (2, "SKU6", "exact"), (3, "SKU5", "identifier")]
+        assert sorted((r.value, r.method, r.match_rank) for r in got if r.text_id is None) == [("North Park", "exact", 1), ("Weekend", "exact", 2)]
+
+
+def test_claims_by_bits_equal_the_greedy_rule(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(200):
+        n = r.choice([1, 3, 12, 56])
+        rows.append((i, sorted({(k, s, s + k - 1) for _ in range(r.randint(1, n)) for k in [r.randint(1, 4)] for s in [r.randint(0, n)]})))
+    df = spark.createDataFrame([(i, [(n, s, e, "p", []) for n, s, e in sorted(x, key=lambda y: (-y[0], y[1]))]) for i, x in rows],
+                               f"i int, s {E._SPAN}")
+    got = {x.i: sorted((y.start, y.end, y.n_tokens) for y in x.k) for x in df.select("i", E.claimed_by_bits(F.col("s")).alias("k")).collect()}
+    assert max(e for _, x in rows for _, _, e in x) < E.MASKED_TOKENS and got == {i: greedy(x) for i, x in rows}
